@@ -41,12 +41,31 @@ def element_frequency(df: DataFrame, column: str, name: str = "n") -> DataFrame:
     return df.select(F.explode(column).alias("element")).groupBy("element").agg(F.count(F.lit(1)).alias(name))
 
 
+def percentiles(df: DataFrame, column: str, points: Sequence[float], hot_rows: int | None = None) -> DataFrame:
+    """One row ``q`` of exact interpolated percentiles.
+
+    Values merge into counts, a running count orders them, and each point
+    picks its two neighbours; the distinct values never meet in one buffer.
+    """
+    counts = df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("_n"))
+    steps = ordered_windows(counts, [], [column], {"_upto": Running("sum", "_n")}, hot_rows)
+    total = df.select(F.count(column)).scalar()
+    value = F.col(column).cast("double")
+    picked = []
+    for p in points:
+        at = (total - 1) * F.lit(float(p))
+        low = F.min(F.when(F.col("_upto") > F.floor(at), value))
+        high = F.min(F.when(F.col("_upto") > F.ceil(at), value))
+        part = F.max(at - F.floor(at))
+        picked.append(low + (high - low) * part)
+    return steps.agg(F.array(*picked).alias("q"))
+
+
 def percentile_row(df: DataFrame, column: str, exact: bool = True) -> DataFrame:
-    """One row of quantiles. Exact ones merge value counts before sorting."""
+    """One row of named quantiles, exact or by sketch."""
     points = list(QUANTILES.values())
-    value = F.percentile(column, points) if exact else F.percentile_approx(column, points, 100000)
-    row = df.agg(value.alias("_q"))
-    return row.select(*[F.col("_q")[i].alias(n) for i, n in enumerate(QUANTILES)])
+    row = percentiles(df, column, points) if exact else df.agg(F.percentile_approx(column, points, 100000).alias("q"))
+    return row.select(*[F.col("q")[i].cast("double").alias(n) for i, n in enumerate(QUANTILES)])
 
 
 def frequencies(df: DataFrame, key: str) -> DataFrame:

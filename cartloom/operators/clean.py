@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cartloom.functions import scalars as S
+from cartloom.operators.aggregates import percentiles
 from cartloom.operators.ordered import Running, ordered_windows
 
 INT_TYPES = (("tinyint", 7), ("smallint", 15), ("int", 31), ("bigint", 63))
@@ -53,9 +54,13 @@ def modal_value(df: DataFrame, column: str) -> Column:
 
 def fill_fitted(df: DataFrame, fitted_on: DataFrame, column: str, how: str = "median",
                 constant=0, indicator: bool = True) -> DataFrame:
-    """Fill nulls by a value learnt from another table, with a ``_na`` flag."""
+    """Fill nulls by a value learnt from another table, with a ``_na`` flag.
+
+    ``median`` is the upper median, ``middle`` the interpolated one.
+    """
     value = {
         "median": lambda: upper_median(fitted_on, column),
+        "middle": lambda: percentiles(fitted_on, column, [0.5]).select(F.col("q")[0]).scalar(),
         "mode": lambda: modal_value(fitted_on, column),
         "constant": lambda: F.lit(constant),
     }[how]()

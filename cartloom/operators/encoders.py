@@ -7,9 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cartloom.operators.joins import attach
-from cartloom.operators.ordered import Number, number_rows, ordered_windows, with_group
-from cartloom.operators.ordered import Shift
+from cartloom.operators.joins import attach, outer_counts
+from cartloom.operators.ordered import Shift, number_rows, ordered_windows
 
 
 # --- vocabularies -----------------------------------------------------------
@@ -105,8 +104,6 @@ def cap_list_frequency(df: DataFrame, keys: Sequence[str], column: str, least: i
 
 def supported_ids(left: DataFrame, right: DataFrame, key: str, condition: Column, start: int = 1) -> DataFrame:
     """Embedding ids for keys whose joint counts meet the condition."""
-    from cartloom.operators.joins import outer_counts
-
     return number_rows(outer_counts(left, right, key).filter(condition), [key], "code", start)
 
 
@@ -142,8 +139,8 @@ def frequent_token(df: DataFrame, keys: Sequence[str], column: str, sep: str, ou
 def word_counts(texts: DataFrame, column: str, sep: str = " ") -> DataFrame:
     """Occurrences of each word over distinct texts.
 
-    Texts are told apart by hash before they are opened, so only 32 bytes per
-    text travel for the distinct step and the words aggregate map-side.
+    Copies merge map-side before the texts travel, and the words aggregate
+    map-side again before they do.
     """
     words = texts.select(column).distinct().select(F.explode(F.split(column, sep)).alias("word"))
     return words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
@@ -281,12 +278,11 @@ def target_encode(train: DataFrame, keys: Sequence[str], target: str, fold: str,
         (F.col("_tr") - F.col("_r")).alias("_or"),
     )
     if min_count:
-        # A key absent outside a fold still counts as rare there, hence the
-        # full sums per fold: total of keys with few rows outside that fold.
+        # A key without rows outside the fold is unknown there, not rare.
         pooled = _pool_rare(per_fold, totals, keys, fold, min_count)
         out_of = out_of.join(pooled, fold, "left").select(
             fold, *keys,
-            *[F.when(F.col("_or") <= min_count, F.col(f"_p{x}")).otherwise(F.col(f"_o{x}")).alias(f"_o{x}") for x in "sc"],
+            *[F.when((F.col("_or") > 0) & (F.col("_or") <= min_count), F.col(f"_p{x}")).otherwise(F.col(f"_o{x}")).alias(f"_o{x}") for x in "sc"],
         )
     encoded = out_of.join(priors, fold).select(
         fold, *keys,

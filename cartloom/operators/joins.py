@@ -37,7 +37,8 @@ def outer_counts(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
 def role_switched(table: DataFrame, roles: tuple[str, str]) -> DataFrame:
     """The same table with the two role keys exchanged."""
     a, b = roles
-    return table.withColumnsRenamed({c: {a: b, b: a}[c] for c in table.columns if c in roles})
+    other = {a: b, b: a}
+    return table.select(*[F.col(c).alias(other.get(c, c)) for c in table.columns])
 
 
 def shrink_to(table: DataFrame, df: DataFrame, keys: Sequence[str]) -> DataFrame:
