@@ -118,14 +118,12 @@ def placeholder(c: Column, most: int, value=1) -> Column:
     return F.concat(F.slice(c, 1, most - 1), F.array(F.lit(value)))
 
 
-def scale_list(c: Column, mean: Column, std: Column) -> Column:
-    return F.transform(c, lambda x: (x - mean) / std)
-
-
-def list_moments(df: DataFrame, column: str) -> tuple[Column, Column]:
-    """Mean and sample deviation over all elements, as scalar subqueries."""
-    items = df.select(F.explode(column).alias("x"))
-    return items.select(F.avg("x")).scalar(), items.select(F.stddev_samp("x")).scalar()
+def scale_elements(df: DataFrame, column: str, fitted_on: DataFrame, out: str) -> DataFrame:
+    """Standardise list elements by mean and deviation over all elements."""
+    items = fitted_on.select(F.explode(column).alias("x"))
+    moments = items.agg(F.avg("x").alias("a"), F.stddev_samp("x").alias("s"))
+    fitted = df.withColumns({"_a": moments.select("a").scalar(), "_s": moments.select("s").scalar()})
+    return fitted.withColumn(out, F.transform(column, lambda x: (x - F.col("_a")) / F.col("_s"))).drop("_a", "_s")
 
 
 # --- splitting --------------------------------------------------------------
@@ -331,3 +329,14 @@ def item_embeddings(lists: DataFrame, column: str, size: int = 16, min_count: in
 
     return Word2Vec(inputCol=column, outputCol="vector", vectorSize=size, minCount=min_count, seed=seed,
                     numPartitions=partitions, windowSize=window, maxIter=iterations).fit(lists)
+
+
+def decode_tokens(tokens: DataFrame, keys: Sequence[str], place: str, code: str, vocab: DataFrame, out: str) -> DataFrame:
+    """Text from token ids: look up, put in order, join, merge '##' pieces.
+
+    One output row is one text, so its tokens are bounded by the text itself.
+    """
+    words = attach(tokens, vocab.select("code", F.col("value").alias("_word")), {code: "code"})
+    lists = ordered_list(words.select(*keys, place, "_word"), keys, place, ["_word"])
+    joined = F.replace(F.array_join("_word_list", " "), F.lit(" ##"), F.lit(""))
+    return lists.select(*keys, joined.alias(out))

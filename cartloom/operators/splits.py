@@ -22,7 +22,8 @@ def before(df: DataFrame, at: str, moment) -> tuple[DataFrame, DataFrame]:
 
 def time_split(at: Column, valid_from, test_from) -> Column:
     """'train', 'valid' or 'test' by time."""
-    return F.when(at < F.lit(valid_from), "train").when(at < F.lit(test_from), "valid").otherwise("test")
+    as_column = lambda m: m if isinstance(m, Column) else F.lit(m)
+    return F.when(at < as_column(valid_from), "train").when(at < as_column(test_from), "valid").otherwise("test")
 
 
 def weekday_split(at: Column, held_out: Sequence[int]) -> Column:

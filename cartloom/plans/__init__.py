@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ("cleaning", "aggregating", "encoding")
+FAMILIES = ("cleaning", "aggregating", "encoding", "histories", "sequencing", "scalars")
 
 
 def load() -> None:

@@ -175,9 +175,8 @@ WITH r AS (SELECT o_orderkey, o_custkey, CAST(o_orderstatus = 'F' AS INT) AS y,
  c AS (SELECT k.fold, o_custkey, count(*) AS n FROM k JOIN f ON f.fold <> k.fold GROUP BY ALL),
  g AS (SELECT k.fold, CASE WHEN n <= 8 THEN -1 ELSE f.o_custkey END AS id, y FROM k JOIN f ON f.fold <> k.fold JOIN c ON c.fold = k.fold AND c.o_custkey = f.o_custkey),
  e AS (SELECT fold, id, sum(y) AS s, count(*) AS c FROM g GROUP BY ALL), p AS (SELECT fold, avg(y) AS m FROM g GROUP BY fold)
-SELECT o_orderkey, fold, round(coalesce((e.s + m * 20) / (e.c + 20), m), 6) AS te
-FROM f LEFT JOIN c USING (fold, o_custkey) LEFT JOIN e ON e.fold = f.fold AND e.id = CASE WHEN n <= 8 THEN -1 ELSE f.o_custkey END JOIN p ON p.fold = f.fold""".replace(
-    "SELECT o_orderkey, fold,", "SELECT o_orderkey, f.fold AS fold,").replace("LEFT JOIN c USING (fold, o_custkey)", "LEFT JOIN c ON c.fold = f.fold AND c.o_custkey = f.o_custkey"))
+SELECT o_orderkey, f.fold AS fold, round(coalesce((e.s + m * 20) / (e.c + 20), m), 6) AS te
+FROM f LEFT JOIN c ON c.fold = f.fold AND c.o_custkey = f.o_custkey LEFT JOIN e ON e.fold = f.fold AND e.id = CASE WHEN n <= 8 THEN -1 ELSE f.o_custkey END JOIN p ON p.fold = f.fold""")
 def _(t):
     rows = t.orders.withColumn("y", (F.col("o_orderstatus") == "F").cast("int"))
     folded = splits.contiguous_folds(rows, ["o_orderkey"], 5)
