@@ -15,7 +15,7 @@ COUNTED = {
     "photo": "Photo",
     "video": "Video",
     "gif": "GIF",
-    "capital_words": r"\b[A-Z]{2,}\b",
+    "capital_words": r"(?<![\p{L}\p{N}_])[A-Z]{2,}(?![\p{L}\p{N}_])",
     "retweet": "retweet",
     "rt": " rt ",
 }

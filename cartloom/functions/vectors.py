@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,11 +21,16 @@ def norm(v: Column) -> Column:
     return F.sqrt(dot(v, v))
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once per row, not per element."""
+    return F.transform(F.array(value), use)[0]
+
+
 def l2_normalise(v: Column) -> Column:
     """Unit-length vector; a zero vector stays as it is."""
     length = norm(v)
     divisor = F.when(length == 0, 1.0).otherwise(length)
-    return F.transform(v, lambda x: x.cast("double") / divisor)
+    return bound(divisor, lambda d: F.transform(v, lambda x: x.cast("double") / d))
 
 
 def cosine_distance(u: Column, v: Column) -> Column:
@@ -31,13 +38,13 @@ def cosine_distance(u: Column, v: Column) -> Column:
     return 1 - F.try_divide(dot(u, v), norm(u) * norm(v))
 
 
-def softmax(v: Column, scale: Column | None = None) -> Column:
-    """Softmax of a list, times ``scale`` when given."""
-    raised = F.transform(v, lambda x: F.exp(x - F.array_max(v)))
-    weight = F.lit(1.0) if scale is None else scale
-    return F.transform(raised, lambda x: x / total(raised) * weight)
+def softmax(v: Column) -> Column:
+    raised = bound(F.array_max(v), lambda peak: F.transform(v, lambda x: F.exp(x - peak)))
+    shared = lambda r: bound(total(r), lambda d: F.transform(r, lambda x: x / d))
+    return bound(raised, shared)
 
 
 def softmax_by_length(v: Column) -> Column:
     """Softmax scaled by log2 of the list's length."""
-    return softmax(v, F.log2(F.size(v)))
+    raised = softmax(v)
+    return bound(F.log2(F.size(v)), lambda w: F.transform(raised, lambda x: x * w))

@@ -39,16 +39,19 @@ def equal(*scores: Column) -> Column:
     return total / len(scores)
 
 
-def blend_top(tables: Sequence[tuple[DataFrame, float]], row: Sequence[str], item: str, score: str, k: int) -> DataFrame:
+def blend_top(tables: Sequence[tuple[DataFrame, float]], row: Sequence[str], item: str, score: str, k: int,
+              digits: int = 9) -> DataFrame:
     """Weighted sum of sparse top lists, absent items counting 0, best k again.
 
-    Several bags of one model are given as tables with the weight split.
+    Several bags of one model are given as tables with the weight split. Sums
+    are rounded before ranking: the order in which a cluster adds them up must
+    not decide a tie.
     """
     stacked = None
     for table, weight in tables:
         one = table.select(*row, item, (F.col(score) * weight).alias(score))
         stacked = one if stacked is None else stacked.unionByName(one)
-    summed = stacked.groupBy(*row, item).agg(F.sum(score).alias(score))
+    summed = stacked.groupBy(*row, item).agg(F.round(F.sum(score), digits).alias(score))
     return top_items(summed, row, item, score, k)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cartloom.functions import scalars as S
-from cartloom.operators.aggregates import percentiles
+from cartloom.operators.aggregates import one_row, percentiles
 from cartloom.operators.ordered import Running, ordered_windows
 
 INT_TYPES = (("tinyint", 7), ("smallint", 15), ("int", 31), ("bigint", 63))
@@ -122,9 +122,9 @@ def fit_moments(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
 def standardise(df: DataFrame, fitted_on: DataFrame, columns: dict[str, Column],
                 epsilon: float = 1e-7) -> DataFrame:
     """(x - mean) / (epsilon + std) with moments learnt from ``fitted_on``."""
-    moments = fit_moments(fitted_on, columns)
+    moments = one_row(fit_moments(fitted_on, columns))
     return df.withColumns({
-        n: (c - moments.select(f"{n}_mean").scalar()) / (moments.select(f"{n}_std").scalar() + epsilon)
+        n: (c - moments[f"{n}_mean"]) / (moments[f"{n}_std"] + epsilon)
         for n, c in columns.items()
     })
 
@@ -135,13 +135,13 @@ def log_standardise(df: DataFrame, fitted_on: DataFrame, columns: dict[str, Colu
 
 
 def min_max_scale(df: DataFrame, fitted_on: DataFrame, columns: Sequence[str]) -> DataFrame:
-    bounds = fitted_on.agg(
+    bounds = one_row(fitted_on.agg(
         *[F.min(c).alias(f"lo_{c}") for c in columns], *[F.max(c).alias(f"hi_{c}") for c in columns]
-    )
+    ))
 
     def scaled(c):
-        low = bounds.select(f"lo_{c}").scalar()
-        return F.try_divide(F.col(c) - low, bounds.select(f"hi_{c}").scalar() - low)
+        low = bounds[f"lo_{c}"]
+        return F.try_divide(F.col(c) - low, bounds[f"hi_{c}"] - low)
 
     return df.withColumns({c: scaled(c) for c in columns})
 

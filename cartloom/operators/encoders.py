@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cartloom.operators.aggregates import one_row
 from cartloom.operators.joins import attach, outer_counts
 from cartloom.operators.ordered import Shift, number_rows, ordered_windows
 
@@ -262,8 +263,8 @@ def target_encode(train: DataFrame, keys: Sequence[str], target: str, fold: str,
     per_fold = train.groupBy(fold, *keys).agg(F.sum(target).alias("_s"), F.count(target).alias("_c"),
                                               F.count(F.lit(1)).alias("_r"))
     by_fold = per_fold.groupBy(fold).agg(F.sum("_s").alias("_fs"), F.sum("_c").alias("_fc"))
-    everything = by_fold.agg(F.sum("_fs").alias("s"), F.sum("_fc").alias("c"))
-    all_s, all_c = everything.select("s").scalar(), everything.select("c").scalar()
+    everything = one_row(by_fold.agg(F.sum("_fs").alias("s"), F.sum("_fc").alias("c")))
+    all_s, all_c = everything["s"], everything["c"]
     none = F.coalesce
     priors = by_fold.select(
         fold,
@@ -301,10 +302,10 @@ def _pool_rare(per_fold, totals, keys, fold, min_count) -> DataFrame:
     so keys are summed once by total and corrected where they occur.
     """
     rare = lambda c: (c > 0) & (c <= min_count)
-    base = totals.agg(
+    base = one_row(totals.agg(
         F.sum(F.when(rare(F.col("_tr")), F.coalesce("_ts", F.lit(0)))).alias("s"),
         F.sum(F.when(rare(F.col("_tr")), F.col("_tc"))).alias("c"),
-    )
+    ))
     both = per_fold.join(totals, list(keys))
     outside = F.col("_tr") - F.col("_r")
     left_s = F.coalesce("_ts", F.lit(0)) - F.coalesce("_s", F.lit(0))
@@ -316,8 +317,8 @@ def _pool_rare(per_fold, totals, keys, fold, min_count) -> DataFrame:
     )
     return fix.select(
         fold,
-        (F.coalesce(base.select("s").scalar(), zero) + F.col("_ds")).alias("_ps"),
-        (F.coalesce(base.select("c").scalar(), zero) + F.col("_dc")).alias("_pc"),
+        (F.coalesce(base["s"], zero) + F.col("_ds")).alias("_ps"),
+        (F.coalesce(base["c"], zero) + F.col("_dc")).alias("_pc"),
     )
 
 

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cartloom.functions import timeparts as D
-from cartloom.operators.aggregates import percentile_row, share_curve, top_shares, gini
+from cartloom.operators.aggregates import frequency_summary, one_row, percentile_row, share_curve
 from cartloom.operators.history import session_gaps
 from cartloom.operators.joins import missing_ids
 from cartloom.operators.ordered import with_group
@@ -38,13 +36,7 @@ def sizes(df: DataFrame, user: str, item: str, session: str, at: str) -> DataFra
 
 def frequency_profile(df: DataFrame, key: str) -> DataFrame:
     """Percentiles of key frequencies, Gini index and top shares in one row."""
-    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("freq"))
-    row = percentile_row(counts, "freq")
-    shares = top_shares(df, key, (0.01, 0.05, 0.1, 0.25, 0.5))
-    return row.withColumns({
-        "gini": gini(df, key).select("gini").scalar(),
-        **{c: shares.select(c).scalar() for c in shares.columns},
-    })
+    return frequency_summary(df, key, (0.01, 0.05, 0.1, 0.25, 0.5))
 
 
 def repeat_profile(df: DataFrame, user: str, item: str) -> DataFrame:
@@ -94,13 +86,15 @@ def session_profile(df: DataFrame, user: str, session: str, seconds: str) -> Dat
         F.count(F.lit(1)).alias("length"), ((F.max(seconds) - F.min(seconds)) / 60).alias("minutes"))
     per_user = sessions.groupBy(user).agg(F.count(F.lit(1)).alias("sessions"))
     gaps = session_gaps(df, user, session, seconds)
-    measures = {"length": (sessions, "length"), "minutes": (sessions, "minutes"), "sessions_per_user": (per_user, "sessions"),
-                "gap_hours": (gaps, "gap_hours"), "gap_days": (gaps, "gap_days")}
-    out = None
-    for name, (table, column) in measures.items():
-        row = percentile_row(table.withColumn(column, F.col(column).cast("double")), column).withColumn("measure", F.lit(name))
-        out = row if out is None else out.unionByName(row)
-    return out
+    values = [F.struct(F.lit(n).alias("measure"), F.col(c).cast("double").alias("value")) for n, c in
+              (("length", "length"), ("minutes", "minutes"))]
+    between = [F.struct(F.lit(n).alias("measure"), F.col(n).cast("double").alias("value")) for n in ("gap_hours", "gap_days")]
+    long = (
+        sessions.select(F.inline(F.array(*values)))
+        .unionByName(per_user.select(F.lit("sessions_per_user").alias("measure"), F.col("sessions").cast("double").alias("value")))
+        .unionByName(gaps.select(F.inline(F.array(*between))))
+    )
+    return percentile_row(long, "value", by=["measure"])
 
 
 def compare_splits(train: DataFrame, test: DataFrame, session: str, item: str) -> DataFrame:
@@ -121,10 +115,10 @@ def profile_row(df: DataFrame, user: str, item: str, session: str, at: str) -> D
     row = sizes(df, user, item, session, at)
     extra = {}
     for name, key in (("item", item), ("user", user)):
-        part = frequency_profile(df, key)
-        extra |= {f"{name}_{c}": part.select(c).scalar() for c in ("p50", "p90", "max", "gini", "top_100")}
-        cold = cold_start(df, key, at)
-        extra |= {f"{name}_{c}": cold.select(c).scalar() for c in ("same_day", "same_week", "same_month")}
+        part = one_row(frequency_profile(df, key))
+        extra |= {f"{name}_{c}": part[c] for c in ("p50", "p90", "max", "gini", "top_100")}
+        cold = one_row(cold_start(df, key, at))
+        extra |= {f"{name}_{c}": cold[c] for c in ("same_day", "same_week", "same_month")}
     return row.withColumns(extra)
 
 

@@ -13,8 +13,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cartloom.functions import vectors as V
+from cartloom.operators.aggregates import one_row
 from cartloom.operators.joins import attach
 from cartloom.operators.ordered import Number, ordered_list, ordered_windows, top_k, with_group
+from cartloom.operators.rows import shuffle_rank
 
 CHUNK = 10_000
 
@@ -121,8 +123,8 @@ def placeholder(c: Column, most: int, value=1) -> Column:
 def scale_elements(df: DataFrame, column: str, fitted_on: DataFrame, out: str) -> DataFrame:
     """Standardise list elements by mean and deviation over all elements."""
     items = fitted_on.select(F.explode(column).alias("x"))
-    moments = items.agg(F.avg("x").alias("a"), F.stddev_samp("x").alias("s"))
-    fitted = df.withColumns({"_a": moments.select("a").scalar(), "_s": moments.select("s").scalar()})
+    moments = one_row(items.agg(F.avg("x").alias("a"), F.stddev_samp("x").alias("s")))
+    fitted = df.withColumns({"_a": moments["a"], "_s": moments["s"]})
     return fitted.withColumn(out, F.transform(column, lambda x: (x - F.col("_a")) / F.col("_s"))).drop("_a", "_s")
 
 
@@ -266,12 +268,10 @@ def resample_to(df: DataFrame, key: Sequence[str], bucket: str, split: str, sour
     Per bucket above 0 the surplus of the source split, counted in rows, is
     drawn by seeded hash order; drawn rows get ``new_<bucket>`` 0.
     """
-    from cartloom.operators.rows import shuffle_rank
-
     counts = df.groupBy(bucket).agg(
         F.count_if(F.col(split) == source).alias("_a"), F.count_if(F.col(split) == target).alias("_b"))
-    totals = counts.agg(F.sum("_a").alias("a"), F.sum("_b").alias("b"))
-    n_a, n_b = totals.select("a").scalar(), totals.select("b").scalar()
+    totals = one_row(counts.agg(F.sum("_a").alias("a"), F.sum("_b").alias("b")))
+    n_a, n_b = totals["a"], totals["b"]
     surplus = (F.try_divide(F.col("_a"), n_a) - F.try_divide(F.col("_b"), n_b)) * n_a
     quota = counts.select(bucket, F.when(F.col(bucket) > 0, F.floor(surplus + 1e-9)).otherwise(0).alias("_quota"))
     drawn = df.filter((F.col(split) == source) & (F.col(bucket) > 0)).withColumn("_draw", shuffle_rank(key, seed))

@@ -16,13 +16,17 @@ def _(t):
     return t.part.select("p_partkey", X.token_count(F.when(F.col("p_type") != "ECONOMY", F.col("p_name")), " ").alias("n"))
 
 
-_PATTERNS = {"quest": r"\?", "hash": "#", "at": "@", "capital_words": r"\b[A-Z]{2,}\b", "excl_quest": r"!|\?"}
+_PATTERNS = {"quest": r"\?", "hash": "#", "at": "@", "excl_quest": r"!|\?"}
+# RE2 knows ASCII word borders only: other letters become 'a' first.
+_ASCII_WORDS = r"""regexp_replace(regexp_replace(text, '[^\p{L}\p{N}_]', ' ', 'g'), '[^\x00-\x7F]', 'a', 'g')"""
 
 
 @query("str2_pattern_counts", "SELECT doc_id, " + ", ".join(
-    f"CAST(len(regexp_extract_all(text, '{p}')) AS INT) AS {n}" for n, p in _PATTERNS.items()) + " FROM documents")
+    f"CAST(len(regexp_extract_all(text, '{p}')) AS INT) AS {n}" for n, p in _PATTERNS.items())
+    + rf", CAST(len(regexp_extract_all({_ASCII_WORDS}, '\b[A-Z]{{2,}}\b')) AS INT) AS capital_words FROM documents")
 def _(t):
-    return t.documents.select("doc_id", *[X.pattern_count(F.col("text"), X.COUNTED[n]).alias(n) for n in _PATTERNS])
+    names = [*_PATTERNS, "capital_words"]
+    return t.documents.select("doc_id", *[X.pattern_count(F.col("text"), X.COUNTED[n]).alias(n) for n in names])
 
 
 @query("str3_lengths", """
