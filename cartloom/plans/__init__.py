@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ("cleaning", "aggregating", "encoding", "histories", "sequencing", "scalars", "evaluating", "profiles")
+FAMILIES = ("cleaning", "aggregating", "encoding", "histories", "sequencing", "scalars", "evaluating", "profiles", "storing", "learning")
 
 
 def load() -> None:

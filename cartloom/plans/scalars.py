@@ -121,7 +121,9 @@ def _(t):
     return t.pages.select("page_id", X.path_head(F.col("url")).alias("head"), X.path_head(F.replace("url", F.lit("://"), F.lit("/"))).alias("scheme"))
 
 
-@query("str14_amenity_tokens")
+@query("str14_amenity_tokens", """
+WITH u AS (SELECT p_partkey, unnest(['anytime Desk', p_type, p_name, ['one', 'two', 'three', 'four', 'five'][p_size % 5 + 1] || ' star']) AS a FROM part)
+SELECT p_partkey, lower(replace(string_agg(a, ' xxnext ' ORDER BY a), '  ', ' ')) AS tokens FROM (SELECT DISTINCT p_partkey, a FROM u) GROUP BY p_partkey""")
 def _(t):
     listed = F.concat_ws("|", F.lit("24/7 Desk"), F.col("p_type"), F.concat(F.pmod("p_size", F.lit(5)) + 1, F.lit(" Star")), F.lit("From 2 Stars"), F.col("p_name"))
     return t.part.select("p_partkey", F.array_join(X.amenity_tokens(listed), " ").alias("tokens"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -51,3 +52,13 @@ def plan_bytes(df: DataFrame) -> int:
 
 def is_small(df: DataFrame, limit: int = SMALL_BYTES) -> bool:
     return plan_bytes(df) <= limit
+
+
+def scratch_folder(spark: SparkSession) -> str:
+    """A fresh folder for round trips, beside the cluster's shared checkpoints."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared is not None:
+        return f"{shared.rstrip('/')}/cartloom-{uuid.uuid4().hex}"
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a shared folder")
+    return tempfile.mkdtemp(prefix="cartloom-scratch-")
