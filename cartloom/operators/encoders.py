@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cartloom.operators.aggregates import one_row
 from cartloom.operators.joins import attach, outer_counts
-from cartloom.operators.ordered import Shift, number_rows, ordered_windows
+from cartloom.operators.ordered import Shift, number_rows, ordered_windows, small_map
 
 
 # --- vocabularies -----------------------------------------------------------
@@ -178,8 +178,8 @@ def count_encode(df: DataFrame, others: Sequence[DataFrame], keys: Sequence[str]
 def frequency_encode(df: DataFrame, split: str, keys: Sequence[str], out: str) -> DataFrame:
     """Share of the key among the rows of its own split."""
     counts = df.groupBy(split, *keys).agg(F.count(F.lit(1)).alias("_n"))
-    sizes = counts.groupBy(split).agg(F.sum("_n").alias("_t"))
-    shares = counts.join(sizes, split).withColumn(out, F.col("_n") / F.col("_t")).drop("_n", "_t")
+    sizes = small_map(df.groupBy(split).agg(F.count(F.lit(1)).alias("_t")), split, F.col("_t"))
+    shares = counts.withColumn(out, F.col("_n") / F.try_element_at(sizes, F.col(split))).drop("_n")
     return attach(df, shares, [split, *keys])
 
 
@@ -256,70 +256,50 @@ def target_encode(train: DataFrame, keys: Sequence[str], target: str, fold: str,
     """Out-of-fold mean of the target, all folds at once.
 
     Sums per (fold, key) minus the key's total give every fold's complement:
-    two small aggregates whatever the number of folds. Null targets count
-    neither in sums nor in counts. ``fold_prior`` takes the prior from the
-    other folds' rows; ``min_count`` pools keys that are rare outside the fold.
+    one aggregate and a window over its few lines per key, whatever the number
+    of folds; the rows join once. Null targets count neither in sums nor in
+    counts. ``fold_prior`` takes the prior from the other folds' rows;
+    ``min_count`` pools keys that are rare outside the fold.
     """
-    per_fold = train.groupBy(fold, *keys).agg(F.sum(target).alias("_s"), F.count(target).alias("_c"),
-                                              F.count(F.lit(1)).alias("_r"))
-    by_fold = per_fold.groupBy(fold).agg(F.sum("_s").alias("_fs"), F.sum("_c").alias("_fc"))
-    everything = one_row(by_fold.agg(F.sum("_fs").alias("s"), F.sum("_fc").alias("c")))
-    all_s, all_c = everything["s"], everything["c"]
-    none = F.coalesce
-    priors = by_fold.select(
-        fold,
-        (F.try_divide(all_s - none("_fs", F.lit(0)), all_c - F.col("_fc")) if fold_prior
-         else F.try_divide(all_s, all_c)).alias("_prior"),
-    )
-    totals = per_fold.groupBy(*keys).agg(F.sum("_s").alias("_ts"), F.sum("_c").alias("_tc"), F.sum("_r").alias("_tr"))
-    out_of = per_fold.join(totals, list(keys)).select(
-        fold, *keys,
-        (none("_ts", F.lit(0)) - none("_s", F.lit(0))).alias("_os"),
-        (F.col("_tc") - F.col("_c")).alias("_oc"),
-        (F.col("_tr") - F.col("_r")).alias("_or"),
-    )
+    zero = F.lit(0)
+    per_fold = train.groupBy(fold, *keys).agg(
+        F.coalesce(F.sum(target), zero).alias("_s"), F.count(target).alias("_c"), F.count(F.lit(1)).alias("_r"))
+    whole = one_row(train.agg(F.sum(target).alias("s"), F.count(target).alias("c")))
+    if fold_prior:
+        by_fold = train.groupBy(fold).agg(F.coalesce(F.sum(target), zero).alias("_s"), F.count(target).alias("_c"))
+        of_fold = small_map(by_fold, fold, F.try_divide(whole["s"] - F.col("_s"), whole["c"] - F.col("_c")))
+        prior = F.try_element_at(of_fold, F.col(fold))
+    else:
+        prior = F.try_divide(whole["s"], whole["c"])
+    same_key = Window.partitionBy(*keys)
+    outside = per_fold.select(
+        fold, *keys, "_s", "_c", "_r",
+        *[F.sum(c).over(same_key).alias(f"_t{c}") for c in ("_s", "_c", "_r")],
+    ).withColumns({f"_o{c}": F.col(f"_t{c}") - F.col(c) for c in ("_s", "_c", "_r")})
+    total, count = F.col("_o_s"), F.col("_o_c")
     if min_count:
-        # A key without rows outside the fold is unknown there, not rare.
-        pooled = _pool_rare(per_fold, totals, keys, fold, min_count)
-        out_of = out_of.join(pooled, fold, "left").select(
-            fold, *keys,
-            *[F.when((F.col("_or") > 0) & (F.col("_or") <= min_count), F.col(f"_p{x}")).otherwise(F.col(f"_o{x}")).alias(f"_o{x}") for x in "sc"],
-        )
-    encoded = out_of.join(priors, fold).select(
-        fold, *keys,
-        F.when(F.col("_oc") > 0, F.try_divide(F.col("_os") + F.col("_prior") * smooth, F.col("_oc") + smooth))
-        .otherwise(F.col("_prior")).alias(out),
-    )
-    joined = attach(train, encoded, [fold, *keys])
-    fallback = attach(joined, priors, [fold])
-    return fallback.withColumn(out, F.coalesce(out, "_prior")).drop("_prior")
+        rare = (F.col("_o_r") > 0) & (F.col("_o_r") <= min_count)
+        pooled = F.try_element_at(_pool_rare(outside, keys, fold, min_count), F.col(fold))
+        total, count = F.when(rare, pooled["s"]).otherwise(total), F.when(rare, pooled["c"]).otherwise(count)
+    value = F.when(count > 0, F.try_divide(total + prior * smooth, count + smooth))
+    encoded = outside.select(fold, *keys, value.alias(out))
+    return attach(train, encoded, [fold, *keys]).withColumn(out, F.coalesce(F.col(out), prior))
 
 
-def _pool_rare(per_fold, totals, keys, fold, min_count) -> DataFrame:
-    """Per fold: target sum and count of keys with 1..min_count rows outside it.
+def _pool_rare(outside: DataFrame, keys, fold, min_count) -> Column:
+    """Map of fold to the target sum and count of keys with 1..min_count rows
+    outside it.
 
     A key's rows outside a fold equal its total unless it occurs in the fold,
-    so keys are summed once by total and corrected where they occur.
+    so rare keys are summed once and corrected where they occur.
     """
-    rare = lambda c: (c > 0) & (c <= min_count)
-    base = one_row(totals.agg(
-        F.sum(F.when(rare(F.col("_tr")), F.coalesce("_ts", F.lit(0)))).alias("s"),
-        F.sum(F.when(rare(F.col("_tr")), F.col("_tc"))).alias("c"),
-    ))
-    both = per_fold.join(totals, list(keys))
-    outside = F.col("_tr") - F.col("_r")
-    left_s = F.coalesce("_ts", F.lit(0)) - F.coalesce("_s", F.lit(0))
-    left_c = F.col("_tc") - F.col("_c")
-    zero = F.lit(0)
-    fix = both.groupBy(fold).agg(
-        F.sum(F.when(rare(outside), left_s).otherwise(zero) - F.when(rare(F.col("_tr")), F.coalesce("_ts", zero)).otherwise(zero)).alias("_ds"),
-        F.sum(F.when(rare(outside), left_c).otherwise(zero) - F.when(rare(F.col("_tr")), F.col("_tc")).otherwise(zero)).alias("_dc"),
-    )
-    return fix.select(
-        fold,
-        (F.coalesce(base["s"], zero) + F.col("_ds")).alias("_ps"),
-        (F.coalesce(base["c"], zero) + F.col("_dc")).alias("_pc"),
-    )
+    rare = lambda c: (F.col(c) > 0) & (F.col(c) <= min_count)
+    picked = lambda cond, c: F.sum(F.when(cond, F.col(c)).otherwise(0))
+    totals = outside.groupBy(*keys).agg(*[F.max(c).alias(c) for c in ("_t_s", "_t_c", "_t_r")])
+    base = one_row(totals.agg(picked(rare("_t_r"), "_t_s").alias("s"), picked(rare("_t_r"), "_t_c").alias("c")))
+    fixes = outside.groupBy(fold).agg(
+        *[(picked(rare("_o_r"), f"_o_{x}") - picked(rare("_t_r"), f"_t_{x}")).alias(f"_d{x}") for x in "sc"])
+    return small_map(fixes, fold, F.struct((base["s"] + F.col("_ds")).alias("s"), (base["c"] + F.col("_dc")).alias("c")))
 
 
 def encode_unseen(df: DataFrame, train: DataFrame, keys: Sequence[str], target: str, smooth: float, out: str) -> DataFrame:
@@ -358,8 +338,8 @@ def daily_target_encode(df: DataFrame, keys: Sequence[str], target: str, day: st
         history = history.filter(F.col("_d") != first).unionByName(sums.select(*history.columns))
         mean = later.select(F.avg(target)).scalar()
         means = means.withColumn("_mean", F.when(F.col("_d") == first, mean).otherwise(F.col("_mean")))
-    keyed = df.withColumn("_d", source)
-    joined = attach(attach(keyed, history, [*keys, "_d"]), means, ["_d"])
+    # Means join the small history table, so the rows themselves join once.
+    joined = attach(df.withColumn("_d", source), history.join(means, "_d", "left"), [*keys, "_d"])
     if method == 0:
         value = (F.col("_hs") + F.col("_mean") * weight) / (F.col("_hc") + weight)
     else:

@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from cartloom.runtime import cut_lineage, is_small
 
 HOT_ROWS = 4_000_000
+SAMPLED = 4_000
+MANY_GROUPS = 100_000
 PART, LOCAL, REVERSE = "_part", "_local", "_reverse"
 
 
@@ -61,9 +63,17 @@ def null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
 
 
 def hot_groups(df: DataFrame, keys: Sequence[str], hot_rows: int) -> DataFrame:
-    """Keys of groups above ``hot_rows`` rows: at most rows / hot_rows lines."""
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    return sizes.filter(F.col("_n") > hot_rows).drop("_n")
+    """Keys of groups of about ``hot_rows`` rows or more.
+
+    Large sizes are told from a sample that would hold some thousand rows of
+    such a group. Which side a borderline group falls on changes the plan,
+    never the result. The table has about rows / hot_rows lines at most.
+    """
+    share = min(1.0, SAMPLED / hot_rows)
+    rows = df.select(*keys)
+    rows = rows.sample(fraction=share, seed=1) if share < 1 else rows
+    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    return sizes.filter(F.col("_n") > hot_rows * share).drop("_n")
 
 
 def ordered_windows(
@@ -83,14 +93,15 @@ def ordered_windows(
         return _plain(df, keys, order, specs)
     limit = HOT_ROWS if hot_rows is None else hot_rows
     if not keys:
-        return _in_parts(df, keys, order, specs)
-    hot = hot_groups(df, keys, limit)
-    if hot.isEmpty():
+        return _in_parts(df, keys, order, specs, few=True)
+    hot = cut_lineage(hot_groups(df, keys, limit))
+    n_hot = hot.count()
+    if n_hot == 0:
         return _plain(df, keys, order, specs)
-    hot = cut_lineage(hot)
     match = null_safe(df, hot, keys)
     cold = _plain(df.join(hot, match, "left_anti"), keys, order, specs)
-    return cold.unionByName(_in_parts(df.join(hot, match, "left_semi"), keys, order, specs))
+    split = _in_parts(df.join(hot, match, "left_semi"), keys, order, specs, few=n_hot <= MANY_GROUPS)
+    return cold.unionByName(split)
 
 
 def _plain(df, keys, order, specs) -> DataFrame:
@@ -118,7 +129,11 @@ def range_parts(df: DataFrame, order: Sequence[Column], parts: int | None = None
     return cut_lineage(ranged.withColumn(PART, F.spark_partition_id()))
 
 
-def _in_parts(df, keys, order, specs) -> DataFrame:
+def _in_parts(df, keys, order, specs, few: bool) -> DataFrame:
+    """``few`` says that the group count was seen to be small: the carry and
+    edge tables have at most parts + groups lines (times the shift) and may
+    then be broadcast."""
+    lookup = F.broadcast if few else (lambda frame: frame)
     key_columns = [F.col(k) for k in keys]
     tagged = range_parts(df, [*key_columns, *order])
     group = [PART, *keys]
@@ -148,7 +163,7 @@ def _in_parts(df, keys, order, specs) -> DataFrame:
         if isinstance(spec, Running):
             carried[f"_carry_{name}"] = _AGG[spec.how](f"_sum_{name}").over(earlier)
     carry = per_part.withColumns(carried).select(*group, "_rows", *carried)
-    joined = rows.join(carry, null_safe(rows, carry, group), "left")
+    joined = rows.join(lookup(carry), null_safe(rows, carry, group), "left")
     for k in group:
         joined = joined.drop(carry[k])
 
@@ -171,13 +186,13 @@ def _in_parts(df, keys, order, specs) -> DataFrame:
     out = out.withColumns(finished) if finished else out
     for name, spec in specs.items():
         if isinstance(spec, Shift):
-            out = _across_parts(out, keys, name, spec)
+            out = _across_parts(out, keys, name, spec, lookup)
     helpers = [PART, LOCAL, REVERSE, "_rows", "_before", "_position"]
     helpers += [f"_carry_{n}" for n, s in specs.items() if isinstance(s, Running)]
     return out.drop(*helpers)
 
 
-def _across_parts(out, keys, name, spec) -> DataFrame:
+def _across_parts(out, keys, name, spec, lookup) -> DataFrame:
     """Fill a shift over part borders from the edge rows of other parts."""
     reach = abs(spec.step)
     near, far = (LOCAL, REVERSE) if spec.step > 0 else (REVERSE, LOCAL)
@@ -191,7 +206,7 @@ def _across_parts(out, keys, name, spec) -> DataFrame:
     match = marked["_want"] == edge["_at"]
     for i, k in enumerate(keys):
         match = match & marked[k].eqNullSafe(edge[f"_k{i}"])
-    joined = marked.join(edge, match, "left")
+    joined = marked.join(lookup(edge), match, "left")
     value = F.when(F.col("_want").isNull(), F.col(name)).otherwise(F.col("_edge"))
     return joined.withColumn(name, value).drop(
         "_want", "_at", "_edge", *[f"_k{i}" for i in range(len(keys))]
@@ -231,6 +246,13 @@ def top_k(df: DataFrame, keys: Sequence[str], order: Sequence, k: int,
     return df.withColumn(rank, F.row_number().over(spec)).filter(F.col(rank) <= k)
 
 
+def small_map(frame: DataFrame, key: str, value: Column) -> Column:
+    """A table with few keys by nature (folds, splits, buckets) as a map
+    column: a scalar subquery, so big tables look it up without a shuffle."""
+    entries = F.collect_list(F.struct(F.col(key).alias("k"), value.alias("v")))
+    return frame.filter(F.col(key).isNotNull()).agg(F.map_from_entries(entries).alias("m")).scalar()
+
+
 def first_row(df: DataFrame, keys: Sequence[str], order: Sequence, last: bool = False) -> DataFrame:
     """One row per group: the first (or last) by ``order``, by partial aggregation."""
     rest = [c for c in df.columns if c not in keys]

@@ -9,7 +9,7 @@ from cartloom.functions import timeparts as D
 from cartloom.operators.aggregates import frequency_summary, one_row, percentile_row, share_curve
 from cartloom.operators.history import session_gaps
 from cartloom.operators.joins import missing_ids
-from cartloom.operators.ordered import with_group
+from cartloom.operators.ordered import small_map, with_group
 
 PERIODS = {"day": lambda c: F.date_format(c, "yyyy-MM-dd"), "week": D.year_week, "month": D.year_month}
 
@@ -104,10 +104,10 @@ def compare_splits(train: DataFrame, test: DataFrame, session: str, item: str) -
             F.count(F.lit(1)).alias("n")).withColumn("split", F.lit(name))
 
     both = lengths(train, "train").unionByName(lengths(test, "test"))
-    totals = both.groupBy("split").agg(F.sum("n").alias("_t"))
+    totals = small_map(both.groupBy("split").agg(F.sum("n").alias("_t")), "split", F.col("_t"))
     unseen = missing_ids(test, train, item).agg(F.count(F.lit(1))).scalar()
-    return both.join(totals, "split").select(
-        "split", "length", "n", (F.col("n") / F.col("_t")).alias("share"), unseen.alias("test_only_items"))
+    return both.select(
+        "split", "length", "n", (F.col("n") / F.try_element_at(totals, F.col("split"))).alias("share"), unseen.alias("test_only_items"))
 
 
 def profile_row(df: DataFrame, user: str, item: str, session: str, at: str) -> DataFrame:

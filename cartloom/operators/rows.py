@@ -61,8 +61,9 @@ def reverse_copy(df: DataFrame, key: str, forward: str = "dcount", backward: str
 
 def hash_below(keys: Sequence[str], fraction: float, seed: int = 0) -> Column:
     """True for a stable share of key values, the same on every run."""
-    point = F.pmod(F.xxhash64(*[F.col(k) for k in keys], F.lit(seed)), F.lit(1_000_000))
-    return point < int(fraction * 1_000_000)
+    text = F.concat_ws("|", *[F.col(k).cast("string") for k in keys], F.lit(str(seed)))
+    point = F.conv(F.right(F.md5(text), F.lit(8)), 16, 10).cast("long")
+    return point < int(fraction * 2**32)
 
 
 def sample_rows(df: DataFrame, fraction: float, seed: int = 0) -> DataFrame:

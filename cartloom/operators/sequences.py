@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from cartloom.functions import vectors as V
 from cartloom.operators.aggregates import one_row
 from cartloom.operators.joins import attach
-from cartloom.operators.ordered import Number, ordered_list, ordered_windows, top_k, with_group
+from cartloom.operators.ordered import Number, ordered_list, ordered_windows, small_map, top_k, with_group
 from cartloom.operators.rows import shuffle_rank
 
 CHUNK = 10_000
@@ -273,10 +273,11 @@ def resample_to(df: DataFrame, key: Sequence[str], bucket: str, split: str, sour
     totals = one_row(counts.agg(F.sum("_a").alias("a"), F.sum("_b").alias("b")))
     n_a, n_b = totals["a"], totals["b"]
     surplus = (F.try_divide(F.col("_a"), n_a) - F.try_divide(F.col("_b"), n_b)) * n_a
-    quota = counts.select(bucket, F.when(F.col(bucket) > 0, F.floor(surplus + 1e-9)).otherwise(0).alias("_quota"))
+    quota = small_map(counts, bucket, F.floor(surplus + 1e-9))
     drawn = df.filter((F.col(split) == source) & (F.col(bucket) > 0)).withColumn("_draw", shuffle_rank(key, seed))
     placed = ordered_windows(drawn, [bucket], ["_draw", *key], {"_place": Number()}, hot_rows)
-    hit = attach(placed, quota, [bucket]).filter(F.col("_place") <= F.col("_quota")).select(*key, F.lit(1).alias("_hit"))
+    drawn_all = placed.filter(F.col("_place") <= F.try_element_at(quota, F.col(bucket)))
+    hit = drawn_all.select(*key, F.lit(1).alias("_hit"))
     marked = df.join(hit, list(key), "left")
     return marked.withColumn(f"new_{bucket}", F.when(F.col("_hit") == 1, 0).otherwise(F.col(bucket))).drop("_hit")
 

@@ -321,7 +321,8 @@ def _(t):
     return rows.sample_rows(t.lineitem, 0.1, 7).agg(big(F.count(F.lit(1)), "n"))
 
 
-@query("row9_sample_entities")
+@query("row9_sample_entities", """
+SELECT l_orderkey, count(*) AS n FROM lineitem WHERE CAST(concat('0x', right(md5(CAST(l_orderkey AS VARCHAR) || '|7'), 8)) AS UBIGINT) < 429496729 GROUP BY l_orderkey""")
 def _(t):
     kept = rows.sample_entities(t.lineitem, ["l_orderkey"], 0.1, 7)
     return kept.groupBy("l_orderkey").agg(big(F.count(F.lit(1)), "n"))

@@ -98,9 +98,25 @@ def _(t):
     return R.compare_splits(train, test, "o_custkey", "item").withColumn("share", rounded("share"))
 
 
-@query("pro10_profile_row")
+def _profile_sql() -> str:
+    pick = [f"count(*) AS n_rows, min(s) AS first_second, max(s) AS last_second, CAST(date_diff('day', min(ts), max(ts)) AS INT) AS n_days, count(DISTINCT user_id) AS n_users, count(DISTINCT item) AS n_items, "
+            "count(DISTINCT sess) AS n_sessions, count(DISTINCT (user_id, item)) AS n_pairs, round(1 - count(DISTINCT (user_id, item)) / (count(DISTINCT user_id) * count(DISTINCT item)), 6) AS sparsity"]
+    for name, key in (("item", "item"), ("user", "user_id")):
+        steps = f"(SELECT freq AS x, row_number() OVER (ORDER BY freq) AS i, row_number() OVER (ORDER BY freq DESC) AS d, count(*) OVER () AS n FROM (SELECT count(*) AS freq FROM e GROUP BY {key}))"
+        for n, p in (("p50", 0.5), ("p90", 0.9), ("max", 1.0)):
+            pick.append(f"(SELECT round(quantile_cont(x, {p}), 6) FROM {steps}) AS {name}_{n}")
+        pick.append(f"(SELECT round(sum((2 * i - n - 1) * x) / (max(n) * sum(x)), 6) FROM {steps}) AS {name}_gini")
+        pick.append(f"(SELECT round(sum(CASE WHEN d <= floor(n * 0.1) THEN x ELSE 0 END) / sum(x), 6) FROM {steps}) AS {name}_top_100")
+        later = f"(SELECT ts AS d, min(ts) OVER (PARTITION BY {key}) AS f FROM e) WHERE {_WEEK('d')} <> (SELECT min({_WEEK('ts')}) FROM e)"
+        pick += [f"(SELECT round(avg(CAST({_PERIODS[p]('d')} = {_PERIODS[p]('f')} AS INT)), 6) FROM {later}) AS {name}_same_{p}" for p in _PERIODS]
+    return f"WITH {_EV} SELECT {', '.join(pick)} FROM e"
+
+
+@query("pro10_profile_row", _profile_sql())
 def _(t):
-    return R.profile_row(events(t), "user_id", "item", "sess", "ts")
+    row = R.profile_row(events(t), "user_id", "item", "sess", "ts")
+    exact = ("n_rows", "first_second", "last_second", "n_days", "n_users", "n_items", "n_sessions", "n_pairs")
+    return row.select(*[c if c in exact else rounded(c) for c in row.columns])
 
 
 @query("pro10_share_table", """
