@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from cartloom.operators.aggregates import one_row
 from cartloom.operators.joins import attach, outer_counts
 from cartloom.operators.ordered import Shift, number_rows, ordered_windows, small_map
+from cartloom.runtime import stored
 
 
 # --- vocabularies -----------------------------------------------------------
@@ -24,21 +25,21 @@ def vocabulary(df: DataFrame, columns: str | Sequence[str], start: int = 0, min_
     counts = values.filter("value is not null").groupBy("value").agg(F.count(F.lit(1)).alias("n"))
     if min_count > 1:
         counts = counts.filter(F.col("n") >= min_count)
-    return number_rows(counts, ["value"], "code", start)
+    return stored(number_rows(counts, ["value"], "code", start), df)
 
 
 def vocabulary_by_first(df: DataFrame, column: str, order: Sequence, start: int = 0) -> DataFrame:
     """Distinct values coded by first appearance in the given order."""
     firsts = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(
         F.min(F.struct(*order)).alias("_at"))
-    return number_rows(firsts, ["_at", "value"], "code", start).select("value", "code")
+    return stored(number_rows(firsts, ["_at", "value"], "code", start).select("value", "code"), df)
 
 
 def vocabulary_by_count(df: DataFrame, columns: Sequence[str], start: int = 0) -> DataFrame:
     """Shared codes over several columns, the most frequent value first."""
     values = df.select(F.explode(F.array(*columns)).alias("value")).filter("value is not null")
     counts = values.groupBy("value").agg(F.count(F.lit(1)).alias("n"))
-    return number_rows(counts, [F.desc("n"), "value"], "code", start)
+    return stored(number_rows(counts, [F.desc("n"), "value"], "code", start), df)
 
 
 def encode(df: DataFrame, vocab: DataFrame, column: str, out: str, default: int | None = None) -> DataFrame:
@@ -78,7 +79,7 @@ def encode_lists(df: DataFrame, keys: Sequence[str], column: str, vocab: DataFra
 def collapse_rare(df: DataFrame, column: str, most: int, other, out: str,
                   also: Sequence[str] = ()) -> DataFrame:
     """Values seen at most ``most`` times become ``other``, in listed columns too."""
-    rare = df.groupBy(F.col(column).alias("_v")).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") <= most)
+    rare = stored(df.groupBy(F.col(column).alias("_v")).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") <= most), df)
     for source, target in [(column, out), *[(c, f"{c}_{out}") for c in also]]:
         hits = rare.select(F.col("_v").alias(f"_v_{target}"), F.lit(1).alias("_hit"))
         df = df.join(hits, df[source] == hits[f"_v_{target}"], "left")
@@ -91,7 +92,7 @@ def cap_list_frequency(df: DataFrame, keys: Sequence[str], column: str, least: i
                        out: str = "capped") -> DataFrame:
     """Rare elements of a list become ``rare_code``; flags 2 frequent, 1 rare."""
     items = df.select(*keys, F.posexplode(column).alias("_at", "_item"))
-    counts = items.groupBy("_item").agg(F.count(F.lit(1)).alias("_n"))
+    counts = stored(items.groupBy("_item").agg(F.count(F.lit(1)).alias("_n")), df)
     marked = attach(items, counts, ["_item"]).withColumn("_frequent", F.col("_n") >= least)
     pair = F.struct(
         "_at",
@@ -129,9 +130,11 @@ def frequent_token(df: DataFrame, keys: Sequence[str], column: str, sep: str, ou
 
     Ties go to the token that comes first in the row.
     """
-    items = df.filter(F.col(column).isNotNull()).select(*keys, F.posexplode(F.split(column, sep)).alias("_at", "_t"))
-    spots = items.groupBy(*keys, "_t").agg(F.min("_at").alias("_at"), F.count(F.lit(1)).alias("_m"))
-    counts = spots.groupBy("_t").agg(F.sum("_m").alias("_n"))
+    present = df.filter(F.col(column).isNotNull())
+    counts = present.select(F.explode(F.split(column, sep)).alias("_t")).groupBy("_t").agg(F.count(F.lit(1)).alias("_n"))
+    counts = stored(counts, df)
+    # Distinct tokens keep the order of their first place in the row.
+    spots = present.select(*keys, F.posexplode(F.array_distinct(F.split(column, sep))).alias("_at", "_t"))
     best = attach(spots, counts, ["_t"]).groupBy(*keys).agg(
         F.max_by("_t", F.struct("_n", -F.col("_at"))).alias(out))
     return df.join(best, list(keys), "left").fillna("", [out])
@@ -144,7 +147,7 @@ def word_counts(texts: DataFrame, column: str, sep: str = " ") -> DataFrame:
     map-side again before they do.
     """
     words = texts.select(column).distinct().select(F.explode(F.split(column, sep)).alias("word"))
-    return words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    return stored(words.groupBy("word").agg(F.count(F.lit(1)).alias("n")), texts)
 
 
 def words_by_frequency(df: DataFrame, keys: Sequence[str], column: str, counts: DataFrame, above: int = 2,
@@ -172,7 +175,7 @@ def count_encode(df: DataFrame, others: Sequence[DataFrame], keys: Sequence[str]
     stacked = df.select(*keys)
     for other in others:
         stacked = stacked.unionByName(other.select(*keys))
-    return attach(df, stacked.groupBy(*keys).agg(F.count(F.lit(1)).alias(out)), keys)
+    return attach(df, stored(stacked.groupBy(*keys).agg(F.count(F.lit(1)).alias(out)), stacked), keys)
 
 
 def frequency_encode(df: DataFrame, split: str, keys: Sequence[str], out: str) -> DataFrame:
@@ -180,12 +183,13 @@ def frequency_encode(df: DataFrame, split: str, keys: Sequence[str], out: str) -
     counts = df.groupBy(split, *keys).agg(F.count(F.lit(1)).alias("_n"))
     sizes = small_map(df.groupBy(split).agg(F.count(F.lit(1)).alias("_t")), split, F.col("_t"))
     shares = counts.withColumn(out, F.col("_n") / F.try_element_at(sizes, F.col(split))).drop("_n")
-    return attach(df, shares, [split, *keys])
+    return attach(df, stored(shares, df), [split, *keys])
 
 
 def count_maps(df: DataFrame, key_sets: Sequence[Sequence[str]]) -> dict[tuple[str, ...], DataFrame]:
     """One count table per key set."""
-    return {tuple(k): df.groupBy(*k).agg(F.count(F.lit(1)).alias("cnt_" + "_".join(k))) for k in key_sets}
+    count = lambda k: df.groupBy(*k).agg(F.count(F.lit(1)).alias("cnt_" + "_".join(k)))
+    return {tuple(k): stored(count(k), df) for k in key_sets}
 
 
 def attach_counts(df: DataFrame, maps: dict[tuple[str, ...], DataFrame], missing: int = 1) -> DataFrame:
@@ -212,7 +216,7 @@ def difference(df: DataFrame, entity: Sequence[str], order: Sequence, column: st
 def fit_target(df: DataFrame, keys: Sequence[str], labels: Sequence[str], min_count: int = 0) -> DataFrame:
     """Mergeable encoder table: sum per label and one count per key."""
     table = df.groupBy(*keys).agg(*[F.sum(y).alias(f"{y}_sum") for y in labels], F.count(F.lit(1)).alias("te_count"))
-    return table.filter(F.col("te_count") > min_count) if min_count else table
+    return stored(table.filter(F.col("te_count") > min_count) if min_count else table, df)
 
 
 def merge_target(tables: Sequence[DataFrame], keys: Sequence[str], labels: Sequence[str]) -> DataFrame:
@@ -282,7 +286,7 @@ def target_encode(train: DataFrame, keys: Sequence[str], target: str, fold: str,
         pooled = F.try_element_at(_pool_rare(outside, keys, fold, min_count), F.col(fold))
         total, count = F.when(rare, pooled["s"]).otherwise(total), F.when(rare, pooled["c"]).otherwise(count)
     value = F.when(count > 0, F.try_divide(total + prior * smooth, count + smooth))
-    encoded = outside.select(fold, *keys, value.alias(out))
+    encoded = stored(outside.select(fold, *keys, value.alias(out)), train)
     return attach(train, encoded, [fold, *keys]).withColumn(out, F.coalesce(F.col(out), prior))
 
 
@@ -308,7 +312,7 @@ def encode_unseen(df: DataFrame, train: DataFrame, keys: Sequence[str], target:
     whole = totals.agg(F.try_divide(F.sum("_s"), F.sum("_c")).alias("m"))
     prior = whole.select("m").scalar()
     table = totals.select(*keys, F.try_divide(F.coalesce("_s", F.lit(0)) + prior * smooth, F.col("_c") + smooth).alias(out))
-    return attach(df, table, keys).withColumn(out, F.coalesce(F.col(out), prior))
+    return attach(df, stored(table, train), keys).withColumn(out, F.coalesce(F.col(out), prior))
 
 
 def daily_target_encode(df: DataFrame, keys: Sequence[str], target: str, day: str, weight: float, out: str,
@@ -339,7 +343,8 @@ def daily_target_encode(df: DataFrame, keys: Sequence[str], target: str, day: st
         mean = later.select(F.avg(target)).scalar()
         means = means.withColumn("_mean", F.when(F.col("_d") == first, mean).otherwise(F.col("_mean")))
     # Means join the small history table, so the rows themselves join once.
-    joined = attach(df.withColumn("_d", source), history.join(means, "_d", "left"), [*keys, "_d"])
+    table = stored(history.join(means, "_d", "left"), df)
+    joined = attach(df.withColumn("_d", source), table, [*keys, "_d"])
     if method == 0:
         value = (F.col("_hs") + F.col("_mean") * weight) / (F.col("_hc") + weight)
     else:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cartloom.operators.ordered import Running, ordered_windows
+from cartloom.runtime import hashed, stored
 
 
 def attach(df: DataFrame, table: DataFrame, on: Sequence[str] | dict[str, str],
@@ -109,31 +110,37 @@ def two_hop(pairs: DataFrame, edges: DataFrame, a: str = "a", b: str = "b") -> D
     For each pair only the shorter of a's followees and b's followers is
     opened, and the other leg is a semi-join: a hub is not multiplied out.
     """
-    links = edges.select(F.col(a).alias("_s"), F.col(b).alias("_d")).distinct()
+    links = stored(edges.select(F.col(a).alias("_s"), F.col(b).alias("_d")).distinct())
+    return _two_hop(pairs, links, a, b)
+
+
+def _two_hop(pairs: DataFrame, links: DataFrame, a: str, b: str) -> DataFrame:
+    closing = hashed(links)
     out_degree = links.groupBy(F.col("_s").alias(a)).agg(F.count(F.lit(1)).alias("_out"))
     in_degree = links.groupBy(F.col("_d").alias(b)).agg(F.count(F.lit(1)).alias("_in"))
     sized = pairs.select(a, b).distinct().join(out_degree, a).join(in_degree, b)
     by_start = (
         sized.filter(F.col("_out") <= F.col("_in")).select(a, b)
         .join(links.select(F.col("_s").alias(a), F.col("_d").alias("_c")), a)
-        .join(links.select(F.col("_s").alias("_c"), F.col("_d").alias(b)), ["_c", b], "left_semi")
+        .join(closing.select(F.col("_s").alias("_c"), F.col("_d").alias(b)), ["_c", b], "left_semi")
     )
     by_end = (
         sized.filter(F.col("_out") > F.col("_in")).select(a, b)
         .join(links.select(F.col("_s").alias("_c"), F.col("_d").alias(b)), b)
-        .join(links.select(F.col("_s").alias(a), F.col("_d").alias("_c")), [a, "_c"], "left_semi")
+        .join(closing.select(F.col("_s").alias(a), F.col("_d").alias("_c")), [a, "_c"], "left_semi")
     )
     return by_start.select(a, b).unionByName(by_end.select(a, b)).distinct()
 
 
 def follow_flags(rows: DataFrame, edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Per row (a, b): follows back, two hops forward, two hops backward."""
+    links = stored(edges.select(F.col(a).alias("_s"), F.col(b).alias("_d")).distinct())
     pairs = rows.select(a, b).distinct()
     swapped = pairs.select(F.col(b).alias(a), F.col(a).alias(b))
-    back = edges.select(F.col(b).alias(a), F.col(a).alias(b)).distinct().withColumn("follows_back", F.lit(1))
-    forward = two_hop(pairs, edges, a, b).withColumn("two_hop", F.lit(1))
+    back = links.select(F.col("_d").alias(a), F.col("_s").alias(b), F.lit(1).alias("follows_back"))
+    forward = _two_hop(pairs, links, a, b).withColumn("two_hop", F.lit(1))
     reverse = (
-        two_hop(swapped, edges, a, b)
+        _two_hop(swapped, links, a, b)
         .select(F.col(b).alias(a), F.col(a).alias(b))
         .withColumn("two_hop_back", F.lit(1))
     )

@@ -17,7 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cartloom.runtime import cut_lineage, is_small
+from cartloom.runtime import cut_lineage, is_small, stored
 
 HOT_ROWS = 4_000_000
 SAMPLED = 4_000
@@ -76,13 +76,8 @@ def hot_groups(df: DataFrame, keys: Sequence[str], hot_rows: int) -> DataFrame:
     return sizes.filter(F.col("_n") > hot_rows * share).drop("_n")
 
 
-def ordered_windows(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence,
-    specs: dict[str, Spec],
-    hot_rows: int | None = None,
-) -> DataFrame:
+def ordered_windows(df: DataFrame, keys: Sequence[str], order: Sequence, specs: dict[str, Spec],
+                    hot_rows: int | None = None) -> DataFrame:
     """Add one column per spec. ``order`` must be total within a group.
 
     Without keys the whole table is one group. ``hot_rows`` overrides the
@@ -226,7 +221,7 @@ def with_group(df: DataFrame, keys: Sequence[str], **aggregates: Column) -> Data
     Aggregate first, join after: partial aggregation absorbs hot groups, and
     the join either broadcasts the small side or may split a skewed partition.
     """
-    totals = df.groupBy(*keys).agg(*[c.alias(n) for n, c in aggregates.items()])
+    totals = stored(df.groupBy(*keys).agg(*[c.alias(n) for n, c in aggregates.items()]), df)
     renamed = totals.withColumnsRenamed({k: f"_g{i}" for i, k in enumerate(keys)})
     match = reduce(
         lambda a, b: a & b,

@@ -7,8 +7,10 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-SMALL_BYTES = 32 << 20
-"""A plan estimated below this may be handled by a single task."""
+SMALL_BYTES = 64 << 20
+"""A plan estimated below this, one advisory partition, may go to a single task."""
+
+_local_folder: str | None = None
 
 
 def local_session(cores: int | str = 8, app: str = "cartloom") -> SparkSession:
@@ -26,39 +28,78 @@ def local_session(cores: int | str = 8, app: str = "cartloom") -> SparkSession:
     )
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder the cluster names.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names for checkpoints, kept through lost executors.
 
-    Without ``spark.checkpoint.dir`` only a local session may pick a folder of
-    its own: on a cluster a machine-local folder would not survive an executor.
+    Only a local session without the setting may pick one of its own.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    global _local_folder
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is not None:
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a shared folder")
+    if _local_folder is None:
+        _local_folder = tempfile.mkdtemp(prefix="cartloom-")
+    return _local_folder
+
+
+def scratch_folder(spark: SparkSession) -> str:
+    """A fresh path beneath the shared folder."""
+    return f"{shared_folder(spark)}/cartloom-{uuid.uuid4().hex}"
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in the shared folder."""
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-            folder = tempfile.mkdtemp(prefix="cartloom-checkpoint-")
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+def stored(table: DataFrame, source: DataFrame | None = None) -> DataFrame:
+    """The table written to the shared folder and read back.
+
+    A statistics table that later joins big tables is worth storing: its size
+    is then known when the join is planned, so a small one is broadcast without
+    shuffling the big side, and it is not computed again for every use. Left
+    lazy when the ``source`` it was computed from is small.
+    """
+    if source is not None and is_small(source):
+        return table
+    path = scratch_folder(table.sparkSession)
+    table.write.parquet(path)
+    return table.sparkSession.read.schema(table.schema).parquet(path)
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """A plain scan with fewer splits than cores, dealt out over all cores.
+
+    For CPU-heavy work on inputs of few files; a scan that has enough splits
+    is returned as it is, so big tables never pay this shuffle.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
+
+
 def plan_bytes(df: DataFrame) -> int:
-    """The optimizer's own size estimate of the plan, in bytes."""
-    stats = df._jdf.queryExecution().optimizedPlan().stats()
-    return int(str(stats.sizeInBytes()))
+    """Size estimate of a plan in bytes.
 
+    The optimizer multiplies the sizes of join inputs; four times the sum of
+    all inputs is taken as the ceiling.
+    """
+    plan = df._jdf.queryExecution().optimizedPlan()
+    leaves = plan.collectLeaves()
+    inputs = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    return min(int(str(plan.stats().sizeInBytes())), 4 * inputs)
 
-def is_small(df: DataFrame, limit: int = SMALL_BYTES) -> bool:
-    return plan_bytes(df) <= limit
 
+def is_small(df: DataFrame) -> bool:
+    return plan_bytes(df) <= SMALL_BYTES
 
-def scratch_folder(spark: SparkSession) -> str:
-    """A fresh folder for round trips, beside the cluster's shared checkpoints."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared is not None:
-        return f"{shared.rstrip('/')}/cartloom-{uuid.uuid4().hex}"
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-    return tempfile.mkdtemp(prefix="cartloom-scratch-")
+
+def hashed(side: DataFrame) -> DataFrame:
+    """Ask for a hash join on this side if each of its shuffle partitions is
+    estimated to fit easily; else leave the choice to the optimizer."""
+    parts = int(side.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return side.hint("shuffle_hash") if plan_bytes(side) / parts <= SMALL_BYTES else side
