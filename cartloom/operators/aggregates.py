@@ -106,10 +106,10 @@ def gini(df: DataFrame, key: str) -> DataFrame:
 
 def share_curve(df: DataFrame, key: str) -> DataFrame:
     """Top share of keys against their share of rows, one line per frequency."""
-    bins = frequencies(df, key).withColumn("_rows", F.col("freq") * F.col("n_keys"))
-    totals = one_row(bins.agg(F.sum("n_keys").alias("k"), F.sum("_rows").alias("r")))
+    bins = frequencies(df, key).withColumn("_volume", F.col("freq") * F.col("n_keys"))
+    totals = one_row(bins.agg(F.sum("n_keys").alias("k"), F.sum("_volume").alias("r")))
     running = ordered_windows(
-        bins, [], [F.desc("freq")], {"cum_keys": Running("sum", "n_keys"), "cum_rows": Running("sum", "_rows")}
+        bins, [], [F.desc("freq")], {"cum_keys": Running("sum", "n_keys"), "cum_rows": Running("sum", "_volume")}
     )
     return running.select(
         "freq", "n_keys",

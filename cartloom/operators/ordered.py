@@ -22,7 +22,7 @@ from cartloom.runtime import cut_lineage, is_small, stored
 HOT_ROWS = 4_000_000
 SAMPLED = 4_000
 MANY_GROUPS = 100_000
-PART, LOCAL, REVERSE = "_part", "_local", "_reverse"
+PART, LOCAL, REVERSE = "_ow_part", "_ow_local", "_ow_reverse"
 
 
 @dataclass(frozen=True)
@@ -143,35 +143,35 @@ def _in_parts(df, keys, order, specs, few: bool) -> DataFrame:
             local[name] = _AGG[spec.how](spec.column).over(frame)
     rows = tagged.withColumns(local)
 
-    sums = [F.count(F.lit(1)).alias("_rows")]
+    sums = [F.count(F.lit(1)).alias("_ow_rows")]
     for name, spec in specs.items():
         if isinstance(spec, Running):
-            sums.append(_AGG[spec.how](spec.column).alias(f"_sum_{name}"))
+            sums.append(_AGG[spec.how](spec.column).alias(f"_ow_sum_{name}"))
     per_part = tagged.groupBy(*group).agg(*sums)
     earlier = (
         Window.partitionBy(*(keys or [F.lit(0)]))
         .orderBy(PART)
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    carried = {"_before": F.coalesce(F.sum("_rows").over(earlier), F.lit(0))}
+    carried = {"_ow_before": F.coalesce(F.sum("_ow_rows").over(earlier), F.lit(0))}
     for name, spec in specs.items():
         if isinstance(spec, Running):
-            carried[f"_carry_{name}"] = _AGG[spec.how](f"_sum_{name}").over(earlier)
-    carry = per_part.withColumns(carried).select(*group, "_rows", *carried)
+            carried[f"_ow_carry_{name}"] = _AGG[spec.how](f"_ow_sum_{name}").over(earlier)
+    carry = per_part.withColumns(carried).select(*group, "_ow_rows", *carried)
     joined = rows.join(lookup(carry), null_safe(rows, carry, group), "left")
     for k in group:
         joined = joined.drop(carry[k])
 
-    position = (F.col("_before") + F.col(LOCAL)).cast("long")
-    out = joined.withColumn("_position", position).withColumn(
-        REVERSE, F.col("_rows") - F.col(LOCAL) + 1
+    position = (F.col("_ow_before") + F.col(LOCAL)).cast("long")
+    out = joined.withColumn("_ow_position", position).withColumn(
+        REVERSE, F.col("_ow_rows") - F.col(LOCAL) + 1
     )
     finished = {}
     for name, spec in specs.items():
         if isinstance(spec, Number):
-            finished[name] = F.col("_position")
+            finished[name] = F.col("_ow_position")
         elif isinstance(spec, Running):
-            mine, before = F.col(name), F.col(f"_carry_{name}")
+            mine, before = F.col(name), F.col(f"_ow_carry_{name}")
             if spec.how == "sum":
                 both = mine + before
                 finished[name] = F.coalesce(both, mine, before)
@@ -182,8 +182,8 @@ def _in_parts(df, keys, order, specs, few: bool) -> DataFrame:
     for name, spec in specs.items():
         if isinstance(spec, Shift):
             out = _across_parts(out, keys, name, spec, lookup)
-    helpers = [PART, LOCAL, REVERSE, "_rows", "_before", "_position"]
-    helpers += [f"_carry_{n}" for n, s in specs.items() if isinstance(s, Running)]
+    helpers = [PART, LOCAL, REVERSE, "_ow_rows", "_ow_before", "_ow_position"]
+    helpers += [f"_ow_carry_{n}" for n, s in specs.items() if isinstance(s, Running)]
     return out.drop(*helpers)
 
 
@@ -193,18 +193,18 @@ def _across_parts(out, keys, name, spec, lookup) -> DataFrame:
     near, far = (LOCAL, REVERSE) if spec.step > 0 else (REVERSE, LOCAL)
     edge = out.filter(F.col(far) <= reach).select(
         *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
-        (F.col("_position") + spec.step).alias("_at"),
-        F.col(spec.column).alias("_edge"),
+        (F.col("_ow_position") + spec.step).alias("_ow_at"),
+        F.col(spec.column).alias("_ow_edge"),
     )
-    wanted = F.when(F.col(near) <= reach, F.col("_position"))
-    marked = out.withColumn("_want", wanted)
-    match = marked["_want"] == edge["_at"]
+    wanted = F.when(F.col(near) <= reach, F.col("_ow_position"))
+    marked = out.withColumn("_ow_want", wanted)
+    match = marked["_ow_want"] == edge["_ow_at"]
     for i, k in enumerate(keys):
         match = match & marked[k].eqNullSafe(edge[f"_k{i}"])
     joined = marked.join(lookup(edge), match, "left")
-    value = F.when(F.col("_want").isNull(), F.col(name)).otherwise(F.col("_edge"))
+    value = F.when(F.col("_ow_want").isNull(), F.col(name)).otherwise(F.col("_ow_edge"))
     return joined.withColumn(name, value).drop(
-        "_want", "_at", "_edge", *[f"_k{i}" for i in range(len(keys))]
+        "_ow_want", "_ow_at", "_ow_edge", *[f"_k{i}" for i in range(len(keys))]
     )
 
 
