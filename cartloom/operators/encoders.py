@@ -266,15 +266,18 @@ def target_encode(train: DataFrame, keys: Sequence[str], target: str, fold: str,
     ``min_count`` pools keys that are rare outside the fold.
     """
     zero = F.lit(0)
-    per_fold = train.groupBy(fold, *keys).agg(
-        F.coalesce(F.sum(target), zero).alias("_s"), F.count(target).alias("_c"), F.count(F.lit(1)).alias("_r"))
-    whole = one_row(train.agg(F.sum(target).alias("s"), F.count(target).alias("c")))
+    per_fold = stored(train.groupBy(fold, *keys).agg(
+        F.coalesce(F.sum(target), zero).alias("_s"), F.count(target).alias("_c"), F.count(F.lit(1)).alias("_r")), train)
+    # All further sums come from the per-fold table: the rows are read once to
+    # fit and once to apply.
+    sums = [F.sum(c).alias(c) for c in ("_s", "_c", "_r")]
+    whole = one_row(per_fold.agg(*sums))
     if fold_prior:
-        by_fold = train.groupBy(fold).agg(F.coalesce(F.sum(target), zero).alias("_s"), F.count(target).alias("_c"))
-        of_fold = small_map(by_fold, fold, F.try_divide(whole["s"] - F.col("_s"), whole["c"] - F.col("_c")))
+        by_fold = per_fold.groupBy(fold).agg(*sums)
+        of_fold = small_map(by_fold, fold, F.try_divide(whole["_s"] - F.col("_s"), whole["_c"] - F.col("_c")))
         prior = F.try_element_at(of_fold, F.col(fold))
     else:
-        prior = F.try_divide(whole["s"], whole["c"])
+        prior = F.try_divide(whole["_s"], whole["_c"])
     same_key = Window.partitionBy(*keys)
     outside = per_fold.select(
         fold, *keys, "_s", "_c", "_r",
@@ -328,7 +331,7 @@ def daily_target_encode(df: DataFrame, keys: Sequence[str], target: str, day: st
     Keys without history stay null.
     """
     source = F.col(day) if held_out is None else F.least(F.col(day), F.lit(held_out))
-    daily = df.groupBy(*keys, source.alias("_d")).agg(F.sum(target).alias("_s"), F.count(target).alias("_c"))
+    daily = stored(df.groupBy(*keys, source.alias("_d")).agg(F.sum(target).alias("_s"), F.count(target).alias("_c")), df)
     past = Window.partitionBy(*keys).orderBy("_d").rangeBetween(Window.unboundedPreceding, -1)
     history = daily.select(*keys, "_d", F.sum("_s").over(past).alias("_hs"), F.sum("_c").over(past).alias("_hc"))
     per_day = daily.groupBy("_d").agg(F.sum("_s").alias("_ds"), F.sum("_c").alias("_dc"))

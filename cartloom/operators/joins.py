@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cartloom.operators.ordered import Running, ordered_windows
@@ -137,16 +137,14 @@ def follow_flags(rows: DataFrame, edges: DataFrame, a: str = "a", b: str = "b")
     links = stored(edges.select(F.col(a).alias("_s"), F.col(b).alias("_d")).distinct())
     pairs = rows.select(a, b).distinct()
     swapped = pairs.select(F.col(b).alias(a), F.col(a).alias(b))
-    back = links.select(F.col("_d").alias(a), F.col("_s").alias(b), F.lit(1).alias("follows_back"))
-    forward = _two_hop(pairs, links, a, b).withColumn("two_hop", F.lit(1))
-    reverse = (
-        _two_hop(swapped, links, a, b)
-        .select(F.col(b).alias(a), F.col(a).alias(b))
-        .withColumn("two_hop_back", F.lit(1))
+    forward, reverse = _two_hop(pairs, links, a, b), _two_hop(swapped, links, a, b)
+    names = ("follows_back", "two_hop", "two_hop_back")
+    mark = lambda frame, start, end, which: frame.select(
+        F.col(start).alias(a), F.col(end).alias(b), *[F.lit(int(n == which)).alias(n) for n in names])
+    marks = (
+        mark(links, "_d", "_s", names[0])
+        .unionByName(mark(forward, a, b, names[1]))
+        .unionByName(mark(reverse, b, a, names[2]))
     )
-    flags = pairs.join(back, [a, b], "left").join(forward, [a, b], "left").join(reverse, [a, b], "left")
-    return rows.join(flags, [a, b], "left").fillna(0, ["follows_back", "two_hop", "two_hop_back"])
-
-
-def when_present(c: Column) -> Column:
-    return c.isNotNull().cast("int")
+    flags = marks.groupBy(a, b).agg(*[F.max(n).alias(n) for n in names])
+    return rows.join(flags, [a, b], "left").fillna(0, list(names))
