@@ -69,11 +69,11 @@ def joined_lists(df: DataFrame, keys: Sequence[str], order: Sequence[str], colum
 
 
 def explode_pairs(df: DataFrame, keys: Sequence[str], items: str, values: str, sep: str, clicked: str | None = None,
-                  keep: Sequence[str] = ()) -> DataFrame:
+                  keep: Sequence[str] = (), least: int | Column = 2) -> DataFrame:
     """Candidates of an impression: one row each with position, value and
-    label; impressions with a single candidate are dropped."""
+    label; impressions with fewer than ``least`` candidates are dropped."""
     ids, prices = F.split(items, sep), F.split(values, sep)
-    rows = df.withColumn("_ids", ids).filter(F.size("_ids") > 1)
+    rows = df.withColumn("_ids", ids).filter(F.size("_ids") >= least)
     out = rows.select(*keys, *keep, *([clicked] if clicked else []),
                       F.posexplode(F.arrays_zip(F.col("_ids").alias("item"), prices.alias("value"))).alias("position", "_p"))
     out = out.withColumns({"item": F.col("_p.item"), "value": F.col("_p.value")}).drop("_p")

@@ -37,12 +37,15 @@ WITH $LOG, n AS (SELECT basket, item, price, row_number() OVER (PARTITION BY bas
  first(item) OVER (PARTITION BY basket ORDER BY $LINE_ORDER) AS clicked FROM log)
 SELECT basket, CAST(position AS INT) AS position, CAST(item AS VARCHAR) AS item, price AS value, CAST(item = clicked AS INT) AS label FROM n WHERE n > 1""")
 def _(t):
-    lists = Q.chunk_lists(t.log, ["basket"], LINE_ORDER, ["item", "price"])
+    first = with_group(t.log, ["basket"], clicked=F.min_by("item", F.struct(*LINE_ORDER)))
+    lists = Q.chunk_lists(first, ["basket"], LINE_ORDER, ["item", "price", "clicked"])
     bar = lambda c: F.array_join(F.col(c).cast("array<string>"), "|")
-    shown = lists.select("basket", bar("item_list").alias("impressions"), bar("price_list").alias("prices"),
-                         F.col("item_list")[0].cast("string").alias("reference"))
-    rows = Q.explode_pairs(shown, ["basket"], "impressions", "prices", r"\|", "reference")
-    return rows.select("basket", "position", "item", F.col("value").cast("double").alias("value"), "label")
+    shown = lists.select("basket", "chunk", bar("item_list").alias("impressions"), bar("price_list").alias("prices"),
+                         F.col("clicked_list")[0].cast("string").alias("reference"))
+    least = F.when(F.col("chunk") == 0, 2).otherwise(1)
+    rows = Q.explode_pairs(shown, ["basket", "chunk"], "impressions", "prices", r"\|", "reference", least=least)
+    position = (F.col("position") + F.col("chunk") * Q.CHUNK).cast("int").alias("position")
+    return rows.select("basket", position, "item", F.col("value").cast("double").alias("value"), "label")
 
 
 @query("seq2_click_events", """

@@ -7,6 +7,7 @@ from cartloom.runtime import local_session
 def spark(tmp_path_factory):
     session = local_session(4, "cartloom-tests")
     session.sparkContext.setLogLevel("ERROR")
+    session.conf.set("spark.sql.shuffle.partitions", "2")
     session.sparkContext.setCheckpointDir(str(tmp_path_factory.mktemp("checkpoints")))
     yield session
 
