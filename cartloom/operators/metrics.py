@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cartloom.operators.ordered import Number, Running, number_rows, ordered_windows, top_k
+from cartloom.operators.ordered import Running, number_rows, ordered_windows, top_k
 from cartloom.operators.ranking import candidate_rank
 from cartloom.operators.rows import shuffle_rank
 

@@ -3,7 +3,6 @@
 from pyspark.sql import functions as F
 
 from cartloom.functions import scalars as S
-from cartloom.functions import timeparts as D
 from cartloom.operators import encoders as E
 from cartloom.operators import sequences as Q
 from cartloom.operators import splits

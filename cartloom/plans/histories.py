@@ -6,7 +6,7 @@ from cartloom.functions import timeparts as D
 from cartloom.operators import history as H
 from cartloom.operators import joins as J
 from cartloom.operators import ranking as R
-from cartloom.plans.registry import LINE_ORDER, big, query, rounded
+from cartloom.plans.registry import LINE_ORDER, query, rounded
 
 KEY = ["basket", "line", "item"]
 TRIP = ["posted", "basket", *LINE_ORDER]

@@ -7,7 +7,7 @@ from cartloom.functions import timeparts as D
 from cartloom.functions import vectors as V
 from cartloom.operators.ordered import ordered_list
 from cartloom.operators import encoders as E
-from cartloom.plans.registry import big, query, rounded, scaled
+from cartloom.plans.registry import query, rounded, scaled
 
 
 @query("str1_token_counts", """
