@@ -11,7 +11,7 @@ the words there are compared with the window's.
 
 from __future__ import annotations
 
-from hashlib import blake2b
+from hashlib import md5
 
 import numpy as np
 import pyarrow as pa
@@ -117,7 +117,7 @@ def prefixes(windows: DataFrame, counts: DataFrame) -> DataFrame:
 def _candidates(docs: DataFrame, bits, size: int) -> DataFrame:
     """Every row with its number of words and the places that pass the filter,
     each with the words around it in which a window over it must lie."""
-    schema = "digest binary, n_words long, places array<struct<at: long, low: long, shingle: long, words: array<string>>>"
+    schema = "digest string, n_words long, places array<struct<at: long, low: long, shingle: long, words: array<string>>>"
     place_type = pa.list_(pa.struct([("at", pa.int64()), ("low", pa.int64()), ("shingle", pa.int64()), ("words", pa.list_(pa.string()))]))
 
     def find(batches):
@@ -136,7 +136,7 @@ def _candidates(docs: DataFrame, bits, size: int) -> DataFrame:
             digests, places = [None] * batch.num_rows, [None] * batch.num_rows
             for row in np.unique(rows):
                 low, high = int(found.first[row]), int(found.first[row + 1])
-                digests[row] = blake2b(texts[int(row)].as_py().encode(), digest_size=16).digest()
+                digests[row] = md5(texts[int(row)].as_py().encode()).hexdigest()
                 listed = []
                 for spot, value in zip(spots[cuts[row] : cuts[row + 1]].tolist(), values[cuts[row] : cuts[row + 1]].tolist()):
                     left, right = max(low, spot - size + 1), min(high, spot + size)
@@ -145,24 +145,16 @@ def _candidates(docs: DataFrame, bits, size: int) -> DataFrame:
             kept = [batch.column(i) for i, name in enumerate(batch.schema.names) if name != "_text"]
             names = [name for name in batch.schema.names if name != "_text"]
             yield pa.RecordBatch.from_arrays(
-                [*kept, pa.array(digests, pa.binary()), pa.array(np.diff(found.first)), pa.array(places, place_type)],
+                [*kept, pa.array(digests, pa.string()), pa.array(np.diff(found.first)), pa.array(places, place_type)],
                 names=[*names, "digest", "n_words", "places"])
 
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "_text")
     return docs.mapInArrow(find, f"{kept}, {schema}")
 
 
-def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW, share: int = SHARE,
+def _measured(docs: DataFrame, items: DataFrame, size: int = WINDOW, share: int = SHARE,
                   doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
-
-    Words are runs of letters, digits and non-ASCII characters with A-Z
-    lower-cased. A word within any occurrence of a window is hit. ``n_items``
-    counts the ids with an occurring window; ``items_sha256`` is of those ids,
-    sorted as strings and comma-joined. Null and empty texts have no words and
-    no hits; rows repeated in text have equal results; an empty benchmark hits
-    nothing; items that share a window are all named.
-    """
+    """One row per document as of contamination(), with the md5 of each text that has a candidate."""
     spark = docs.sparkSession
     windows = written(benchmark_windows(items, size))
     wanted = windows.select(F.explode("shingles").alias("shingle")).distinct()
@@ -190,15 +182,38 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW, share:
     per_text = hits.join(named, "digest").select(
         "digest", "n_hit", F.size("ids").cast("long").alias("n_items"), F.sha2(F.array_join("ids", ","), 256).alias("items_sha256"))
 
-    none = rows.filter("digest IS NULL").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_hit"),
+    none = rows.filter("digest IS NULL").select("doc_id", "digest", "n_words", F.lit(0).cast("long").alias("n_hit"),
                                                F.lit(0).cast("long").alias("n_items"), F.lit(EMPTY_SHA).alias("items_sha256"))
     some = rows.filter("digest IS NOT NULL").select("doc_id", "n_words", "digest").join(per_text, "digest", "left").select(
-        "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("n_items", F.lit(0)).alias("n_items"),
+        "doc_id", "digest", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("n_items", F.lit(0)).alias("n_items"),
         F.coalesce("items_sha256", F.lit(EMPTY_SHA)).alias("items_sha256"))
     dirty = (F.col("n_hit") > 0) & (F.col("n_hit") * share >= F.col("n_words"))
     return none.unionByName(some).withColumn("contaminated", dirty)
 
 
+def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW, share: int = SHARE,
+                  doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
+
+    Words are runs of letters, digits and non-ASCII characters with A-Z
+    lower-cased. A word within any occurrence of a window is hit. ``n_items``
+    counts the ids with an occurring window; ``items_sha256`` is of those ids,
+    sorted as strings and comma-joined. Null and empty texts have no words and
+    no hits; rows repeated in text have equal results; an empty benchmark hits
+    nothing; items that share a window are all named.
+    """
+    return _measured(docs, items, size, share, doc_id, text).drop("digest")
+
+
+def decontaminated(docs: DataFrame, items: DataFrame, size: int = WINDOW, share: int = SHARE, text: str = "text") -> DataFrame:
+    """The rows of docs that are not contaminated, all columns kept; null texts stay."""
+    dirty = written(_measured(docs, items, size, share, text, text).filter("contaminated").select("digest").distinct())
+    marks = dirty.select(F.col("digest").alias("_digest"))
+    if marks.count() <= FEW_WINDOWS:
+        marks = F.broadcast(marks)
+    return docs.join(marks, F.md5(F.col(text)) == F.col("_digest"), "left_anti")
+
+
 SQL = r"""
 WITH words AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),

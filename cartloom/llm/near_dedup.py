@@ -28,6 +28,8 @@ BANDS, ROWS = 32, 4
 BLOCK = 512
 """Sets that a comparing task holds of either side."""
 FILTER_BITS = 24
+FEW_MARKS = 500_000
+"""So many dropped documents at most (50 bytes each) are broadcast; more are joined by shuffle."""
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -77,6 +79,11 @@ def band_keys(signature: np.ndarray, bands: int = BANDS) -> np.ndarray:
     return keys.astype(np.int64)
 
 
+def text_key(text: Column) -> Column:
+    """Tells the texts of one id apart; null as empty."""
+    return F.md5(F.coalesce(text, F.lit("")))
+
+
 def _sets(texts: pa.Array, size: int):
     found = find_words(texts, BLANK_CUT)
     hashes = found.hashes()
@@ -86,23 +93,24 @@ def _sets(texts: pa.Array, size: int):
 
 
 def sketches(docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, n_shingles, digest of the set, band keys); the last two null for a document without words."""
+    """(doc_id, text_key, n_shingles, digest of the set, band keys); the last two null for a document without words."""
 
     def sketch(batches):
         for batch in batches:
             counts, digests, bands = [], [], []
             signed: dict = {}
-            for elements, digest in _sets(batch.column(1), size):
+            for elements, digest in _sets(batch.column(2), size):
                 counts.append(len(elements))
                 digests.append(digest)
                 if digest is not None and digest not in signed:
                     signed[digest] = band_keys(superminhash(elements))
                 bands.append(signed.get(digest))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
-                names=["doc_id", "n_shingles", "digest", "bands"])
+                [batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
+                names=["doc_id", "text_key", "n_shingles", "digest", "bands"])
 
-    return docs.mapInArrow(sketch, "doc_id long, n_shingles long, digest binary, bands array<long>")
+    return docs.select("doc_id", text_key(F.col("_text")).alias("text_key"), "_text").mapInArrow(
+        sketch, "doc_id long, text_key string, n_shingles long, digest binary, bands array<long>")
 
 
 def class_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
@@ -274,7 +282,7 @@ def _both_sides(compare):
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, threshold: int = THRESHOLD,
                     doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept, set_digest.
+    """One row per document: doc_id, n_shingles, component_id, kept, text_key.
 
     Words end at blanks, with A-Z lower-cased. Linked: 100 * common >= threshold
     * union of the shingle sets. The component's id is the smallest doc_id that
@@ -292,13 +300,31 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, threshold: int = THRES
     known = classes.select("node", "digest", "first_id").join(parted, "node", "left").withColumn("root", F.coalesce("root", "node"))
     names = known.groupBy("root").agg(F.min("first_id").alias("component_id"))
     labelled = known.join(names, "root").select("digest", "component_id")
-    worded = rows.filter("digest IS NOT NULL").select("doc_id", "n_shingles", "digest").join(labelled, "digest")
-    empty = rows.filter("digest IS NULL").select("doc_id", "n_shingles", "digest", F.col("doc_id").alias("component_id"))
+    worded = rows.filter("digest IS NOT NULL").select("doc_id", "text_key", "n_shingles", "digest").join(labelled, "digest")
+    empty = rows.filter("digest IS NULL").select("doc_id", "text_key", "n_shingles", "digest", F.col("doc_id").alias("component_id"))
     return worded.unionByName(empty).select(
-        "doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), F.lower(F.hex("digest")).alias("set_digest"))
+        "doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "text_key")
+
+
+def deduplicated(docs: DataFrame, size: int = SHINGLE, threshold: int = THRESHOLD, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs whose documents are kept, all columns kept, rows repeated in id and text once."""
+    decided = written(near_duplicates(docs, size, threshold, doc_id, text))
+    key = [F.col(doc_id).eqNullSafe(F.col("_id")), text_key(F.col(text)) == F.col("_key")]
+
+    def marks(rows: DataFrame) -> DataFrame:
+        named = rows.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
+        return F.broadcast(named) if named.count() <= FEW_MARKS else named
+
+    dropped = marks(decided.filter("NOT kept"))
+    repeated = written(decided.filter("kept").groupBy("doc_id", "text_key").agg(F.count("*").alias("n")).filter("n > 1"))
+    kept = docs.join(dropped, key, "left_anti")
+    if repeated.isEmpty():
+        return kept
+    once = kept.join(marks(repeated), key, "left_semi").dropDuplicates([doc_id, text])
+    return kept.join(marks(repeated), key, "left_anti").unionByName(once)
 
 
 @llm_query("op9_near_dedup")
 def op9_near_dedup(spark, folder):
     """All documents by two-word shingles."""
-    return near_duplicates(read(spark, folder, "documents"), size=2).drop("set_digest")
+    return near_duplicates(read(spark, folder, "documents"), size=2).drop("text_key")
