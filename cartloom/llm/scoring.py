@@ -1 +1,354 @@
-"""In work."""
+"""Scores of texts under a backoff n-gram automaton of the whole corpus.
+
+States are the root and one state for every word of the training texts; an arc
+of a state is a word seen after it, with log10 of its smoothed probability, and
+its failure arc leads to the root with log10 of the state's backoff weight.
+Probabilities are by absolute discounting over an add-one unigram model, with
+one share for all unknown words, so those of a state sum to one:
+
+    p(w)     = (c(w) + 1) / (N + V + 1)
+    p(w | u) = (c(uw) - D) / c(u) + b(u) p(w)  if uw was seen, else b(u) p(w)
+    b(u)     = D * (words seen after u) / c(u)
+
+The model grows with the corpus, so no task holds it. Texts are cut into blocks
+of bounded size. A block sends each distinct word and word pair once to the
+shard of its hash, which adds the counts of all blocks and answers every block
+in the order it asked in; a hot word costs a shard one entry per block. With the
+answers a block has the part of the automaton that its texts can reach, and
+walks through it: one step for the next word of all texts at once, from left to
+right, each text carrying its state and its sum.
+"""
+
+from __future__ import annotations
+
+import math
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from cartloom.llm.registry import llm_query, read
+from cartloom.llm.words import BLANK_CUT, find_words, mix, pair_hashes, slices
+
+DISCOUNT = 0.75
+BLOCK_TOKENS = 4_000_000
+SHARD_BYTES = 24 << 20
+"""Text bytes for each shard of counts."""
+END, BEGIN = mix(np.array([0x454E44, 0x424547], dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+# Messages: what they are, where to, from where, entries, then packed arrays.
+MESSAGE = "kind string, target long, origin long, n long, a binary, b binary, c binary, d binary"
+_MESSAGE = pa.schema([("kind", pa.string()), ("target", pa.int64()), ("origin", pa.int64()), ("n", pa.int64()),
+                      ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary()), ("d", pa.binary())])
+
+
+def pack(x: np.ndarray) -> bytes:
+    """Unsigned numbers, first all lowest bytes, then all next ones, as far as the largest needs."""
+    x = np.ascontiguousarray(x, dtype=np.uint64)
+    width = max(1, (int(x.max()).bit_length() + 7) // 8) if len(x) else 1
+    return bytes([width]) + x.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+
+
+def unpack(raw: bytes) -> np.ndarray:
+    width = raw[0]
+    planes = np.frombuffer(raw, dtype=np.uint8, offset=1).reshape(width, -1)
+    out = np.zeros((planes.shape[1], 8), dtype=np.uint8)
+    out[:, :width] = planes.T
+    return out.view(np.uint64).reshape(-1)
+
+
+def pack_sorted(x: np.ndarray) -> bytes:
+    return pack(np.diff(x, prepend=np.uint64(0)))
+
+
+def unpack_sorted(raw: bytes) -> np.ndarray:
+    return np.cumsum(unpack(raw), dtype=np.uint64)
+
+
+def _shard_edges(hashes: np.ndarray, shards: int) -> np.ndarray:
+    """Where each shard's part of sorted hashes begins, and the end."""
+    shard = (hashes >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)
+    return np.searchsorted(shard, np.arange(shards + 1, dtype=np.uint64))
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _MESSAGE.types)], schema=_MESSAGE) if rows \
+        else pa.RecordBatch.from_pylist([], schema=_MESSAGE)
+
+
+def _words(texts: pa.Array):
+    """Hashes of a column's words with END after each text, and where each text ends."""
+    found = find_words(texts, BLANK_CUT)
+    counts = np.diff(found.first)
+    ends = np.cumsum(counts + 1)
+    out = np.empty(int(ends[-1]) if len(ends) else 0, dtype=np.uint64)
+    last = np.zeros(len(out), dtype=bool)
+    last[ends - 1] = True
+    out[~last], out[last] = found.hashes(), END
+    return out, ends
+
+
+def _blocks(batches):
+    """(ids, trained, hashes, ends) of about BLOCK_TOKENS words each; whole texts."""
+    held: list[tuple] = []
+    size = 0
+    for batch in batches:
+        for low, high in slices(batch.column(2)):
+            part = batch.slice(low, high - low)
+            hashes, ends = _words(part.column(2))
+            held.append((part.column(0), part.column(1), hashes, ends))
+            size += len(hashes)
+            if size >= BLOCK_TOKENS:
+                yield _together(held)
+                held, size = [], 0
+    if held:
+        yield _together(held)
+
+
+def _together(held):
+    shifts = np.cumsum([0] + [len(h[2]) for h in held[:-1]])
+    return (pa.concat_arrays([h[0] for h in held]), pa.concat_arrays([h[1] for h in held]).to_numpy(zero_copy_only=False),
+            np.concatenate([h[2] for h in held]), np.concatenate([h[3] + s for h, s in zip(held, shifts)]))
+
+
+def _weights(trained: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    return np.repeat(trained, np.diff(ends, prepend=0))
+
+
+def count_words(texts: DataFrame, shards: int) -> tuple[int, int]:
+    """Number of training tokens and of distinct ones. texts: doc_id, trained, text."""
+
+    def send(batches):
+        for _, trained, hashes, ends in _blocks(batches):
+            keys, counts = np.unique(hashes[_weights(trained, ends)], return_counts=True)
+            edges = _shard_edges(keys, shards)
+            yield _batch([("word", s, 0, b - a, pack_sorted(keys[a:b]), pack(counts[a:b]), None, None)
+                          for s, (a, b) in enumerate(zip(edges[:-1], edges[1:])) if b > a])
+
+    def add(messages: pa.Table) -> pa.Table:
+        keys = np.unique(np.concatenate([unpack_sorted(a.as_py()) for a in messages.column("a")]))
+        tokens = sum(int(unpack(b.as_py()).sum()) for b in messages.column("b"))
+        return pa.table({"tokens": pa.array([tokens], pa.int64()), "words": pa.array([len(keys)], pa.int64())})
+
+    sent = texts.mapInArrow(send, MESSAGE).select("target", "a", "b").repartition(shards, "target")
+    total = sent.groupBy("target").applyInArrow(add, "tokens long, words long").agg(F.sum("tokens"), F.sum("words")).first()
+    return int(total[0] or 0), int(total[1] or 0)
+
+
+def _pairs(local: np.ndarray, ends: np.ndarray, words: np.ndarray):
+    """Distinct (before, word) numbers of all positions, the hash of each, and the pair of each position.
+
+    Numbers index ``words``; BEGIN has the number len(words).
+    """
+    before = np.empty(len(local), dtype=np.uint64)
+    before[1:] = local[:-1]
+    before[np.concatenate([[0], ends[:-1]])] = len(words)
+    keys = before << np.uint64(32) | local.astype(np.uint64)
+    hashes = np.append(words, BEGIN)
+    return keys, hashes
+
+
+def _key_hashes(keys: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    return pair_hashes(hashes[(keys >> np.uint64(32)).astype(np.int64)], hashes[(keys & np.uint64(0xFFFFFFFF)).astype(np.int64)])
+
+
+def _questions(shards: int):
+    """Messages of a partition's blocks: its texts as numbers of its words, its words, its word pairs."""
+
+    def send(batches):
+        partition = TaskContext.get().partitionId()
+        for number, (ids, trained, hashes, ends) in enumerate(_blocks(batches)):
+            block = partition << 24 | number
+            words, local = np.unique(hashes, return_inverse=True)
+            weight = _weights(trained, ends)
+            named = ids.is_valid().to_numpy(zero_copy_only=False)
+            about = np.concatenate([named, trained]).astype(np.uint64)
+            yield _batch([("text", block, 0, len(ids), pack(local), pack(np.concatenate([ends, ids.fill_null(0).to_numpy().view(np.uint64)])),
+                           pack(about), pack_sorted(words))])
+
+            counts = np.bincount(local[weight], minlength=len(words)).astype(np.uint64)
+            # BEGIN is asked for among the words; training texts are its count.
+            asked = np.append(words, BEGIN)
+            order = np.argsort(asked)
+            asked, counts = asked[order], np.append(counts, np.uint64(trained.sum()))[order]
+            edges = _shard_edges(asked, shards)
+            yield _batch([("word", s, block, b - a, pack_sorted(asked[a:b]), pack(counts[a:b]), None, None)
+                          for s, (a, b) in enumerate(zip(edges[:-1], edges[1:])) if b > a])
+
+            keys, named_hashes = _pairs(local, ends, words)
+            distinct, inverse = np.unique(keys, return_inverse=True)
+            counts = np.bincount(inverse[weight], minlength=len(distinct)).astype(np.uint64)
+            del keys, inverse
+            hashes_of = _key_hashes(distinct, named_hashes)
+            order = np.argsort(hashes_of)
+            hashes_of, counts = hashes_of[order], counts[order]
+            before = named_hashes[(distinct[order] >> np.uint64(32)).astype(np.int64)]
+            edges = _shard_edges(hashes_of, shards)
+            for s, (a, b) in enumerate(zip(edges[:-1], edges[1:])):
+                if b > a:
+                    states, of = np.unique(before[a:b], return_inverse=True)
+                    yield _batch([("pair", s, block, b - a, pack_sorted(hashes_of[a:b]), pack(counts[a:b]), pack(of), pack_sorted(states))])
+
+    return send
+
+
+def _add_pairs(shards: int):
+    """For each block its pairs' counts; for the words' shards how many words each word has after it."""
+
+    def add(messages: pa.Table) -> pa.Table:
+        if messages.column("kind")[0].as_py() != "pair":
+            return pa.Table.from_batches([_batch([])])
+        sent = [[m[k] for k in ("origin", "n", "a", "b", "c", "d")] for m in messages.to_pylist()]
+        keys, where = np.unique(np.concatenate([unpack_sorted(m[2]) for m in sent]), return_inverse=True)
+        totals = np.bincount(where, weights=np.concatenate([unpack(m[3]) for m in sent]), minlength=len(keys)).astype(np.uint64)
+        state = np.empty(len(keys), dtype=np.uint64)
+        rows, low = [], 0
+        for origin, n, _, _, of, states in sent:
+            here = where[low : low + n]
+            state[here] = unpack_sorted(states)[unpack(of).astype(np.int64)]
+            rows.append(("pairs", origin, messages.column("target")[0].as_py(), n, pack(totals[here]), None, None, None))
+            low += n
+        states, follow = np.unique(state[totals > 0], return_counts=True)
+        edges = _shard_edges(states, shards)
+        rows += [("after", s, -1, b - a, pack_sorted(states[a:b]), pack(follow[a:b]), None, None)
+                 for s, (a, b) in enumerate(zip(edges[:-1], edges[1:])) if b > a]
+        return pa.Table.from_batches([_batch(rows)])
+
+    return add
+
+
+def _add_words(messages: pa.Table) -> pa.Table:
+    """For each block its words' counts and the number of words seen after each."""
+    sent = messages.to_pylist()
+    asked = [m for m in sent if m["origin"] >= 0]
+    keys, where = np.unique(np.concatenate([unpack_sorted(m["a"]) for m in sent]), return_inverse=True)
+    low, counts, after = 0, np.zeros(len(keys), dtype=np.uint64), np.zeros(len(keys), dtype=np.uint64)
+    places = {}
+    for m in sent:
+        here = where[low : low + m["n"]]
+        (counts if m["origin"] >= 0 else after)[here] += unpack(m["b"])
+        if m["origin"] >= 0:
+            places[m["origin"]] = here
+        low += m["n"]
+    return pa.Table.from_batches([_batch([("words", m["origin"], m["target"], m["n"], pack(counts[places[m["origin"]]]),
+                                           pack(after[places[m["origin"]]]), None, None) for m in asked])])
+
+
+RESULT = "doc_id long, trained boolean, n_tokens long, n_known long, base_score double, score double"
+
+
+def _walk(arcs, weights, failure, unigram, known, local, ends):
+    """Sum of the log-probabilities of each text, one step for one word of every text."""
+    begins = np.concatenate([[0], ends[:-1]])
+    lengths = ends - begins
+    order = np.argsort(-lengths, kind="stable")
+    begins, lengths = begins[order], lengths[order]
+    root, start = len(known) - 1, len(known) - 2
+    state = np.full(len(order), start if known[start] else root, dtype=np.int64)
+    total = np.zeros(len(order))
+    active = len(order)
+    for step in range(int(lengths[0]) if len(order) else 0):
+        while lengths[active - 1] <= step:
+            active -= 1
+        word, at = local[begins[:active] + step], state[:active]
+        gain = unigram[word]
+        if len(arcs):
+            key = at.astype(np.uint64) << np.uint64(32) | word.astype(np.uint64)
+            place = np.minimum(np.searchsorted(arcs, key), len(arcs) - 1)
+            gain = np.where(arcs[place] == key, weights[place], failure[at] + gain)
+        total[:active] += gain
+        state[:active] = np.where(known[word], word, root)
+    out = np.empty(len(order))
+    out[order] = total
+    return out
+
+
+def _score(tokens: int, distinct: int, discount: float):
+    def score(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        if not texts.num_rows or texts.column("kind")[0].as_py() != "text":
+            return pa.table({k: pa.array([], t) for k, t in zip(
+                ("doc_id", "trained", "n_tokens", "n_known", "base_score", "score"),
+                (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()))})
+        block = {k: v[0] for k, v in texts.to_pydict().items()}
+        n = block["n"]
+        local, words, about = unpack(block["a"]).astype(np.int64), unpack_sorted(block["d"]), unpack(block["c"]).astype(bool)
+        both = unpack(block["b"])
+        ends, ids = both[:n].astype(np.int64), both[n:].view(np.int64)
+        by_kind: dict[str, list] = {"words": [], "pairs": []}
+        for m in answers.to_pylist():
+            by_kind[m["kind"]].append(m)
+        gather = lambda kind, column: np.concatenate([unpack(m[column]) for m in sorted(by_kind[kind], key=lambda m: m["origin"])])
+        order = np.argsort(np.append(words, BEGIN))
+        count, after = np.empty(len(order)), np.empty(len(order))
+        count[order], after[order] = gather("words", "a"), gather("words", "b")
+
+        unigram = np.log10((count[:-1] + 1) / (tokens + distinct + 1))
+        keys, hashes = _pairs(local, ends, words)
+        arcs = np.unique(keys)
+        seen = np.empty(len(arcs))
+        seen[np.argsort(_key_hashes(arcs, hashes))] = gather("pairs", "a")
+        arcs, seen = arcs[seen > 0], seen[seen > 0]
+        # The numbers after the words': the begin of a text, then the root. The end of a text leads nowhere.
+        known = np.append(after > 0, False)
+        failure = np.zeros(len(known))
+        with np.errstate(divide="ignore"):
+            failure[:-1] = np.where(after > 0, np.log10(discount * after / np.maximum(count, 1)), 0)
+        before, word = (arcs >> np.uint64(32)).astype(np.int64), (arcs & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        weights = np.log10((seen - discount) / count[before] + 10 ** (failure[before] + unigram[word]))
+        total = _walk(arcs, weights, failure, unigram, known, local, ends)
+        begins = np.concatenate([[0], ends[:-1]])
+        named = about[:n]
+        return pa.table({
+            "doc_id": pa.array(ids, mask=~named), "trained": pa.array(about[n:]), "n_tokens": pa.array(np.diff(ends, prepend=0)),
+            "n_known": pa.array(np.add.reduceat((count[local] > 0).astype(np.int64), begins)),
+            "base_score": pa.array(np.add.reduceat(unigram[local], begins)), "score": pa.array(total)})
+
+    return score
+
+
+def _of_kind(messages: DataFrame, kind: str) -> DataFrame:
+    """Rows of one kind. The condition is bound to the partition so that it stays
+    above the exchange, and the one exchange of all messages serves every reader."""
+    return messages.filter(F.when(F.spark_partition_id() >= 0, F.col("kind") == kind))
+
+
+def language_scores(docs: DataFrame, trained: Column, discount: float = DISCOUNT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per document: doc_id, trained, n_tokens, n_known, train_tokens, base_score, score.
+
+    The model is learned from all texts of which ``trained`` holds and scores
+    all. Words end at blanks, A-Z lower-cased, and the end of a text is a token;
+    null and empty texts are that token alone. ``base_score`` is the sum of
+    log10 p(w), ``score`` that of the automaton. Repeated rows count as often as
+    they occur. With nothing to learn from, all is unknown: p = 1. An empty
+    table gives no rows.
+    """
+    texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(trained, F.lit(False)).alias("trained"),
+                        F.coalesce(F.col(text), F.lit("")).alias("text"))
+    size = texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    shards = max(1, math.ceil(size / SHARD_BYTES))
+    tokens, distinct = count_words(texts, shards)
+
+    sent = texts.mapInArrow(_questions(shards), MESSAGE).repartition(shards, "kind", "target")
+    pairs = _of_kind(sent, "pair").groupBy("kind", "target").applyInArrow(_add_pairs(shards), MESSAGE).repartition(shards, "kind", "target")
+    words = (_of_kind(sent, "word").unionByName(_of_kind(pairs, "after")).repartition(shards, "target")
+             .groupBy("target").applyInArrow(_add_words, MESSAGE))
+    # All columns of both, so that the exchange of the pairs' answers is the same for its two readers.
+    answers = _of_kind(pairs, "pairs").unionByName(words).withColumnRenamed("target", "block")
+    scored = (_of_kind(sent, "text").groupBy("target").cogroup(answers.groupBy("block"))
+              .applyInArrow(_score(tokens, distinct, discount), RESULT))
+    return scored.withColumn("train_tokens", F.lit(tokens).cast("long"))
+
+
+def held_out(doc_id: Column) -> Column:
+    """The seventh of the documents that is not learned from; a null id counts as empty text."""
+    return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(7)) == 2
+
+
+@llm_query("op1_lm_scores")
+def op1_lm_scores(spark, folder):
+    """All documents under the model of those that are not held out."""
+    docs = read(spark, folder, "documents")
+    scored = language_scores(docs, ~held_out(F.col("doc_id")))
+    return scored.select("doc_id", (~F.col("trained")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
