@@ -37,7 +37,7 @@ LETTERS_DIGITS = _table([(0x30, 0x39), (0x41, 0x5A), (0x61, 0x7A), (0x80, 0xFF)]
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
-_CODES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[LOWER]
+_CODES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _STEP = 0xD6E8FEB86659FD93
 
 
@@ -52,8 +52,9 @@ class Words(NamedTuple):
     def text(self, i: int) -> str:
         return LOWER[self.data[self.starts[i] : self.ends[i]]].tobytes().decode("utf-8", "replace")
 
-    def hashes(self) -> np.ndarray:
-        """64-bit hashes of the words with A-Z lower-cased."""
+    def hashes(self, lower: bool = True) -> np.ndarray:
+        """64-bit hashes of the words, with A-Z lower-cased unless told not to."""
+        codes = _CODES[LOWER] if lower else _CODES
         lengths = self.ends - self.starts
         out = np.empty(len(lengths), dtype=np.uint64)
         upto = np.cumsum(lengths)
@@ -64,7 +65,7 @@ class Words(NamedTuple):
             begins = np.cumsum(n) - n
             place = np.arange(int(n.sum())) - np.repeat(begins, n)
             byte = self.data[place + np.repeat(self.starts[low:high], n)]
-            out[low:high] = np.add.reduceat(_CODES[byte] * _powers(int(n.max()))[place], begins)
+            out[low:high] = np.add.reduceat(codes[byte] * _powers(int(n.max()))[place], begins)
             low = high
         return mix(out ^ lengths.astype(np.uint64))
 
