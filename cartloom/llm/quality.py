@@ -1 +1,238 @@
-"""In work."""
+"""Quality by perplexity under an interpolated modified Kneser-Ney trigram model.
+
+The model of each language is learned from a bounded sample of trusted texts.
+Its counts are Spark tables sharded by n-gram: trigrams are counted, shorter
+n-grams counted by the distinct words before them, counts of counts give the
+discounts, and joins of n-grams with their contexts' totals give each n-gram's
+discounted share and each context's weight for the next shorter one. A document
+passes if its perplexity is within a quantile of that of its language's trusted
+documents, those held back from learning.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from cartloom.llm.registry import llm_query, read, written
+from cartloom.llm.words import BLANK_CUT, find_words, mix, pair_hashes, slices
+
+SAMPLE_ROWS, SAMPLE_BYTES, LANGUAGES = 2000, 3_000_000, 64
+"""Bound of the trusted sample for each language, and of the languages; it bounds the model, which every task reads."""
+QUANTILE = 0.995
+ACCURACY = 20_000
+END, BEGIN = mix(np.array([0x656E64, 0x626567696E], dtype=np.uint64))
+_GRAM = ["u", "v", "w"]
+
+
+def _language_seed(name: str) -> np.uint64:
+    out = np.uint64(len(name) + 1)
+    for byte in name.encode():
+        out = mix(np.array([out + np.uint64(byte)]) * np.uint64(0x9E3779B97F4A7C15))[0]
+    return out
+
+
+def _sequences(texts: pa.Array, langs: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(u, v, w) for every word and text end, the words told apart by language, and where each text ends.
+
+    BEGIN stands twice before a text.
+    """
+    found = find_words(texts, BLANK_CUT)
+    ends = np.cumsum(np.diff(found.first) + 1)
+    w = np.empty(int(ends[-1]), dtype=np.uint64)
+    last = np.zeros(len(w), dtype=bool)
+    last[ends - 1] = True
+    w[~last], w[last] = found.hashes(), END
+    seeds = {name: _language_seed(name) for name in set(langs)}
+    each = np.array([seeds[name] for name in langs], dtype=np.uint64)
+    seed = np.repeat(each, np.diff(ends, prepend=0))
+    w = mix(w ^ seed)
+    begin = mix(each ^ BEGIN)
+    first = np.concatenate([[0], ends[:-1]])
+    v = np.empty_like(w)
+    v[1:] = w[:-1]
+    v[first] = begin
+    u = np.empty_like(w)
+    u[1:] = v[:-1]
+    u[first] = begin
+    return u, v, w, ends
+
+
+def _trigram_rows(texts: DataFrame) -> DataFrame:
+    def cut(batches):
+        for batch in batches:
+            for low, high in slices(batch.column(1)):
+                part = batch.slice(low, high - low)
+                grams = _sequences(part.column(1), part.column(0).to_pylist())[:3]
+                yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)) for g in grams], names=_GRAM)
+
+    return texts.mapInArrow(cut, "u long, v long, w long")
+
+
+def discounts(counts: DataFrame) -> Column:
+    """Modified Kneser-Ney discount for a count n, from the counts of counts 1 to 4 of the table."""
+    row = counts.agg(*(F.count_if(F.col("n") == k).alias(f"n{k}") for k in range(1, 5))).first()
+    n1, n2, n3, n4 = (row[k] for k in range(4))
+    y = n1 / (n1 + 2 * n2) if n1 else 0.5
+    raw = [1 - 2 * y * n2 / n1 if n1 else 0.5, 2 - 3 * y * n3 / n2 if n2 else 1.0, 3 - 4 * y * n4 / n3 if n3 else 1.5]
+    # Small or odd tables can give figures outside what a count allows.
+    fixed = [min(max(d, 0.1), k - 0.1) for k, d in enumerate(raw, 1)]
+    return F.when(F.col("n") == 1, fixed[0]).when(F.col("n") == 2, fixed[1]).otherwise(fixed[2])
+
+
+def _shares(counts: DataFrame, context: list[str], gram: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Each n-gram's discounted share of its context, and each context's weight for the shorter n-gram."""
+    held = counts.withColumn("d", discounts(counts))
+    totals = held.groupBy(*context).agg(F.sum("n").alias("total"), F.sum("d").alias("held"))
+    shares = held.join(totals, context).select(*gram, ((F.col("n") - F.col("d")) / F.col("total")).alias("value"))
+    return shares, totals.select(*context, (F.col("held") / F.col("total")).alias("value"))
+
+
+class Model:
+    """Sorted n-gram hashes with their values, for each table."""
+
+    def __init__(self, tables: list[tuple[np.ndarray, np.ndarray]], floor: dict[str, float]):
+        self.tables = []
+        for keys, values in tables:
+            order = np.argsort(keys)
+            self.tables.append((keys[order], values[order].astype(np.float32)))
+        self.floor = floor
+
+    def look(self, table: int, keys: np.ndarray, missing: float) -> np.ndarray:
+        have, values = self.tables[table]
+        if not len(have):
+            return np.full(len(keys), missing)
+        at = np.minimum(np.searchsorted(have, keys), len(have) - 1)
+        return np.where(have[at] == keys, values[at], missing)
+
+    def log_probability(self, texts: pa.Array, langs: list) -> tuple[np.ndarray, np.ndarray]:
+        """log10 of each whole text's probability, and its number of words with the end."""
+        u, v, w, ends = _sequences(texts, langs)
+        sizes = np.diff(ends, prepend=0)
+        floor = np.repeat(np.array([self.floor[x] for x in langs]), sizes)
+        distinct, inverse = np.unique(w, return_inverse=True)
+        p = self.look(0, distinct, 0.0)[inverse] + floor
+        pairs, inverse2 = np.unique(pair_hashes(v, w), return_inverse=True)
+        p = self.look(1, pairs, 0.0)[inverse2] + self.look(2, v, 1.0) * p
+        vw = pairs[inverse2]
+        p = self.look(3, pair_hashes(u, vw), 0.0) + self.look(4, pair_hashes(u, v), 1.0) * p
+        return np.add.reduceat(np.log10(p), ends - sizes), sizes
+
+
+def fit(trusted: DataFrame) -> Model:
+    """The model of a bounded sample (lang, text) of trusted texts."""
+    rows = written(trusted.select("lang", "text"))
+    names = [r.lang for r in rows.select("lang").distinct().collect()]
+    trigrams = written(_trigram_rows(rows).groupBy(*_GRAM).agg(F.count("*").alias("n")))
+    bigrams = written(trigrams.groupBy("v", "w").agg(F.count("*").alias("n")))
+    words = written(bigrams.groupBy("w").agg(F.count("*").alias("n")))
+    share3, weight3 = _shares(trigrams, ["u", "v"], _GRAM)
+    share2, weight2 = _shares(bigrams, ["v"], ["v", "w"])
+
+    def columns(df: DataFrame) -> tuple:
+        got = df.toArrow()
+        return tuple(c.to_numpy().view(np.uint64) if pa.types.is_int64(c.type) else c.to_numpy() for c in got.columns)
+
+    w, n = columns(words.select("w", "n"))
+    n = n.astype(np.float64)
+    # Words carry their language in the hash; a language's words are those of its texts.
+    floor, shares = {}, np.zeros(len(n))
+    of = {name: columns(_trigram_rows(rows.filter(F.col("lang") == F.lit(name))).select("w").distinct())[0] for name in names}
+    for name in names:
+        mine = np.isin(w, of[name])
+        total = n[mine].sum()
+        shares[mine] = (n[mine] - 0.5) / total
+        floor[name] = float(0.5 * mine.sum() / total / (mine.sum() + 1))
+    v2, w2, value2 = columns(share2)
+    u3, v3, w3, value3 = columns(share3)
+    cv, cvalue = columns(weight2)
+    cu3, cv3, cvalue3 = columns(weight3)
+    return Model([(w, shares), (pair_hashes(v2, w2), value2), (cv, cvalue),
+                  (pair_hashes(u3, pair_hashes(v3, w3)), value3), (pair_hashes(cu3, cv3), cvalue3)], floor)
+
+
+def perplexities(docs: DataFrame, model: Model, text: str = "text", lang: str = "lang") -> DataFrame:
+    """All rows and columns of docs with n_tokens and perplexity, replacing columns of these names.
+
+    The perplexity is null where the language is null or was not learned. Null
+    and empty texts are the end of a text alone.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    source = docs.drop("n_tokens", "perplexity").withColumns({"_text": F.coalesce(F.col(text), F.lit("")), "_lang": F.col(lang).cast("string")})
+    names = [c for c in source.columns if c not in ("_text", "_lang")]
+
+    def score(batches):
+        model = shared.value
+        for batch in batches:
+            texts, langs = batch.column("_text"), batch.column("_lang").to_pylist()
+            tokens, values = np.zeros(len(texts), dtype=np.int64), np.full(len(texts), np.nan)
+            for low, high in slices(texts):
+                known = np.array([x in model.floor for x in langs[low:high]], dtype=bool)
+                part = texts.slice(low, high - low)
+                tokens[low:high] = np.diff(find_words(part, BLANK_CUT).first) + 1
+                if known.any():
+                    mine = part.filter(pa.array(known))
+                    log, sizes = model.log_probability(mine, [x for x in langs[low:high] if x in model.floor])
+                    values[low + np.flatnonzero(known)] = 10 ** (-log / sizes)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(tokens), pa.array(values, mask=np.isnan(values))],
+                                             names=[*names, "n_tokens", "perplexity"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema if f.name in names)
+    return source.mapInArrow(score, f"{schema}, n_tokens long, perplexity double")
+
+
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    """Ids labelled good and not toxic; an id with any other label too is not trusted."""
+    good = (F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0)
+    return labels.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(F.coalesce(good, F.lit(False))).alias("good")).filter("good").select("doc_id")
+
+
+def learns(doc_id: Column) -> Column:
+    """The half of the trusted documents that models are learned from; thresholds come from the other."""
+    return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(2)) == 0
+
+
+def trusted_sample(docs: DataFrame, trusted: DataFrame, rows: int = SAMPLE_ROWS, size: int = SAMPLE_BYTES, languages: int = LANGUAGES) -> DataFrame:
+    """(lang, text) of trusted documents, whole texts in hash order of the ids up to the bounds; one of each language at least.
+
+    Ids are chosen first, without the texts; there are rows * languages of them
+    at most, which is why they are broadcast to the scan of the texts.
+    """
+    narrow = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), F.octet_length("text").cast("long").alias("bytes"))
+    labelled = narrow.filter("lang IS NOT NULL AND bytes > 0").join(trusted, "doc_id", "left_semi")
+    order = Window.partitionBy("lang").orderBy(F.xxhash64(F.lit(20240607), "doc_id"), "doc_id")
+    ranked = labelled.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= rows)
+    upto = F.sum("bytes").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    chosen = ranked.withColumn("upto", upto).filter((F.col("upto") <= size) | (F.col("rank") == 1))
+    top = chosen.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages)
+    ids = written(chosen.join(top.select("lang"), "lang", "left_semi").select("doc_id").distinct())
+    return docs.filter("lang IS NOT NULL AND octet_length(text) > 0").join(F.broadcast(ids), "doc_id", "left_semi").select(
+        F.col("lang").cast("string").alias("lang"), "text")
+
+
+def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, rows: int = SAMPLE_ROWS, size: int = SAMPLE_BYTES) -> DataFrame:
+    """One row per document: doc_id, lang, n_tokens, perplexity, threshold, kept.
+
+    ``threshold`` is the quantile of the perplexities of all the language's
+    trusted documents of the half that nothing is learned from. A document without a perplexity or a threshold (unknown
+    or null language, no trusted text) is kept, as nothing speaks against it.
+    Repeated rows each get a row; an empty table gives none.
+    """
+    trusted = trusted_ids(labels)
+    model = fit(trusted_sample(docs, trusted.filter(learns(F.col("doc_id"))), rows, size))
+    scored = written(perplexities(docs.select("doc_id", "lang", "text"), model).select("doc_id", "lang", "n_tokens", "perplexity"))
+    limits = (scored.join(trusted.filter(~learns(F.col("doc_id"))), "doc_id", "left_semi").filter("perplexity IS NOT NULL").groupBy("lang")
+              .agg(F.percentile_approx("perplexity", F.lit(quantile), F.lit(ACCURACY)).alias("threshold")))
+    few = written(limits.limit(LANGUAGES))
+    passes = F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True))
+    named = few.withColumnRenamed("lang", "_lang")
+    return scored.join(F.broadcast(named), F.col("lang") == F.col("_lang"), "left").select(
+        "doc_id", "lang", "n_tokens", "perplexity", "threshold", passes.alias("kept"))
+
+
+@llm_query("op6_quality")
+def op6_quality(spark, folder):
+    """Every document's perplexity and whether it passes."""
+    return classify(read(spark, folder, "documents"), read(spark, folder, "labels"))

@@ -1 +1,144 @@
-"""In work."""
+"""Secrets in documents, false findings removed by a random forest.
+
+A candidate is a run of key characters in a word, long enough and with a digit.
+Each gets features of its own characters (length, kinds, transitions between
+kinds, share that dictionary words cover), of its neighbouring words and of its
+path, and a forest learned from labelled findings tells how likely it is a
+secret. All of it is columns, SQL functions and Spark's own forest.
+"""
+
+from __future__ import annotations
+
+from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from cartloom.llm.registry import llm_query, read, written
+
+RUN = r"[A-Za-z0-9+/_\-]{12,}={0,2}"
+"""What a candidate is made of; one digit at least is asked for besides."""
+DICTIONARY = 20_000
+"""Most frequent words of the corpus that count as dictionary; the bound of what is broadcast."""
+SAMPLE = 20_000
+"""Labelled findings that the forest learns from at most."""
+TREES, DEPTH, SEED = 40, 8, 20240607
+LIMIT = 0.5
+CONTEXT = 2
+
+# What tells findings by their form, and words that point to secrets, places of tests, and calls for them.
+KEY_FORMS = r"^(AKIA|ASIA)[0-9A-Z]{16}$"
+ASSIGNED = r"(?i)(token|secret|passw(or)?d|pwd|api_?key|credential)\s*[=:]\s*[\"']?$"
+NUMBER = r"^[0-9]+$"
+KEY_WORDS = r"(?i)(token|secret|passw|pwd|key|auth|credential|login)"
+TEST_PATHS = r"(?i)(test|example|sample|spec|doc|fixture|mock)"
+
+TRANSITIONS = {
+    "letter_digit": r"(?<=[A-Za-z])(?=[0-9])", "digit_letter": r"(?<=[0-9])(?=[A-Za-z])",
+    "lower_upper": r"(?<=[a-z])(?=[A-Z])", "upper_lower": r"(?<=[A-Z])(?=[a-z])", "to_mark": r"(?<=[A-Za-z0-9])(?=[+/_\-])",
+    "vowel_consonant": r"(?<=[aeiouAEIOU])(?=[b-df-hj-np-tv-zB-DF-HJ-NP-TV-Z])", "same": r"(.)(?=\1)",
+}
+FEATURES = ["length", "digits", "uppers", "lowers", "marks", "distinct_chars", "hex_only", *TRANSITIONS, "coverage",
+            "before_key", "before_assign", "inside_assign", "quoted", "after_letters", "before_letters", "path_test", "path_depth"]
+
+
+def candidates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str = "source") -> DataFrame:
+    """(doc_id, position, path, value, lead, tail, before, after), one row per candidate of whole texts.
+
+    ``position`` is the word's number; lead and tail are the rest of its word
+    around the value, before and after its CONTEXT neighbours. A word with several
+    runs gives several rows. Null and empty texts have none.
+    """
+    words = F.split(F.coalesce(F.col(text), F.lit("")), r"[\x20\x09-\x0D]+")
+    numbered = F.transform("_words", lambda w, i: F.struct(w.alias("word"), i.alias("position")))
+    spots = F.filter(numbered, lambda s: (F.length(s["word"]) >= 12) & s["word"].rlike(r"[0-9]"))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(path).cast("string").alias("path"), words.alias("_words")).withColumn("_spots", spots)
+    spotted = rows.filter(F.size("_spots") > 0).select("doc_id", "path", "_words", F.explode("_spots").alias("s"))
+    runs = F.filter(F.regexp_extract_all(F.col("s.word"), F.lit(RUN), F.lit(0)), lambda v: v.rlike(r"[0-9]"))
+    found = spotted.select("doc_id", "path", "_words", "s", F.explode(runs).alias("value"))
+    at = F.col("s.position")
+    around = found.select(
+        "doc_id", at.cast("long").alias("position"), F.coalesce("path", F.lit("")).alias("path"), F.col("s.word").alias("word"),
+        "value",
+        F.array_join(F.slice("_words", F.greatest(at + 1 - CONTEXT, F.lit(1)), F.least(at, F.lit(CONTEXT))), " ").alias("before"),
+        F.array_join(F.slice("_words", at + 2, F.lit(CONTEXT)), " ").alias("after"))
+    begin = F.instr("word", F.col("value"))
+    return around.select("doc_id", "position", "path", "value", F.expr("substring(word, 1, instr(word, value) - 1)").alias("lead"),
+                         F.substring("word", begin + F.length("value"), F.length("word")).alias("tail"), "before", "after")
+
+
+def dictionary(docs: DataFrame, size: int = DICTIONARY, text: str = "text") -> DataFrame:
+    """The corpus's most frequent words of 3 letters and more; ties by the word."""
+    word = F.explode(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}]+"))
+    counts = docs.select(word.alias("word")).filter("length(word) >= 3").groupBy("word").agg(F.count("*").alias("n"))
+    return written(counts.orderBy(F.desc("n"), "word").limit(size).select("word"))
+
+
+def with_features(found: DataFrame, words: DataFrame) -> DataFrame:
+    """Candidates with the columns FEATURES."""
+    value, length = F.col("value"), F.length("value").cast("double")
+    share = lambda pattern: F.regexp_count(value, F.lit(pattern)) / length
+    near = F.concat_ws("", F.col("before"), F.lit(" "), F.col("lead"))
+    columns = {
+        "length": length, "digits": share("[0-9]"), "uppers": share("[A-Z]"), "lowers": share("[a-z]"), "marks": share(r"[+/_\-=]"),
+        "distinct_chars": F.size(F.array_distinct(F.split(value, ""))) / length,
+        "hex_only": value.rlike("^([0-9a-f]+|[0-9A-F]+)$").cast("double"),
+        "before_key": near.rlike(KEY_WORDS).cast("double"), "before_assign": F.col("before").rlike(r"[=:]$").cast("double"),
+        "inside_assign": F.col("lead").rlike(r"[=:][\"']?$").cast("double"),
+        "quoted": (F.col("lead").rlike("[\"']$") & F.col("tail").rlike("^[\"']")).cast("double"),
+        "before_letters": F.regexp_count("before", F.lit(r"\p{L}")).cast("double"), "after_letters": F.regexp_count("after", F.lit(r"\p{L}")).cast("double"),
+        "path_test": F.col("path").rlike(TEST_PATHS).cast("double"), "path_depth": F.regexp_count("path", F.lit("/")).cast("double"),
+    } | {name: share(pattern) for name, pattern in TRANSITIONS.items()}
+    # Letters of the value's alphabetic parts that are dictionary words.
+    distinct = found.select("value").distinct()
+    parts = distinct.select("value", F.explode(F.split(F.lower("value"), r"[^a-z]+")).alias("word")).filter("length(word) >= 3")
+    covered = parts.join(F.broadcast(words), "word").groupBy("value").agg(F.sum(F.length("word")).alias("covered"))
+    joined = found.join(covered, "value", "left").withColumn("coverage", F.coalesce("covered", F.lit(0)) / length).drop("covered")
+    return joined.withColumns(columns)
+
+
+def labelled_by_form(found: DataFrame) -> DataFrame:
+    """Findings with a label where their form decides: 1 for a cloud key or an assignment to a
+    name of secrets, 0 for bare numbers; the others are left out."""
+    named = F.concat_ws(" ", F.col("before"), F.col("lead")).rlike(ASSIGNED)
+    label = F.when(F.col("value").rlike(KEY_FORMS) | named, 1.0).when(F.col("value").rlike(NUMBER), 0.0)
+    plain = F.when(F.col("coverage") >= 0.5, 0.0)
+    return found.withColumn("label", F.coalesce(label, plain)).filter("label IS NOT NULL")
+
+
+def fit(labelled: DataFrame, sample: int = SAMPLE) -> RandomForestClassificationModel | None:
+    """A forest from at most ``sample`` labelled findings, those of the smallest hashes; None unless both labels occur."""
+    drawn = labelled.orderBy(F.xxhash64(F.lit(SEED), "value", "before"), "value", "before", "position").limit(sample)
+    rows = written(drawn.select("label", *(F.col(c).cast("double").alias(c) for c in FEATURES)))
+    if rows.select("label").distinct().count() < 2:
+        return None
+    assembled = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(rows)
+    return RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED, featureSubsetStrategy="sqrt").fit(assembled.select("label", "features"))
+
+
+def scan(docs: DataFrame, labelled: DataFrame | None = None, limit: float = LIMIT) -> DataFrame:
+    """One row per candidate: doc_id, position, value_sha256, length, probability, secret.
+
+    ``labelled`` has candidates with FEATURES and a label; without it findings
+    whose form decides are the labels. Where labels do not show both kinds
+    nothing can be learned: the probability is null and every candidate counts
+    as a secret. Repeated rows are scanned each for itself; an empty table gives
+    no rows.
+    """
+    found = written(candidates(docs))
+    featured = written(with_features(found, dictionary(docs)))
+    model = fit(labelled if labelled is not None else labelled_by_form(featured))
+    if model is None:
+        scored = featured.withColumn("probability", F.lit(None).cast("double"))
+    else:
+        rows = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(featured)
+        scored = model.transform(rows).withColumn("probability", vector_to_array("probability")[1])
+    return scored.select("doc_id", "position", F.sha2("value", 256).alias("value_sha256"), F.col("length").cast("int").alias("length"),
+                         "probability", F.coalesce(F.col("probability") >= limit, F.lit(True)).alias("secret"))
+
+
+@llm_query("op7_secret_scan")
+def op7_secret_scan(spark, folder):
+    """All candidates of all documents."""
+    return scan(read(spark, folder, "documents"))
