@@ -1,0 +1,284 @@
+"""Language ID, scoring, token counts, quality and secrets against brute force."""
+
+import math
+import zlib
+from collections import Counter, defaultdict
+
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from cartloom.llm import langid, quality, scoring, secrets, token_counts
+from tests.llm.conftest import BASE, EDGES, FOLDER, LOWER, blank_words
+
+TRAIN = [("en", BASE), ("en", "It is what it is."), ("de", "der die das und ist nicht mit von zu auf über"), ("de", "Die Straße ist lang")]
+
+
+def code_length(train, text, order=langid.ORDER):
+    """Bits by plain prediction by partial matching."""
+    counts = defaultdict(Counter)
+    for body in train:
+        data = b" " * order + body.translate(LOWER).encode()
+        for i in range(order, len(data)):
+            for k in range(order + 1):
+                counts[data[i - k : i]][data[i]] += 1
+    data, bits = b" " * order + text.translate(LOWER).encode(), 0.0
+    for i in range(order, len(data)):
+        for k in range(order, -1, -1):
+            seen = counts.get(data[i - k : i])
+            if not seen:
+                continue
+            whole = sum(seen.values()) + len(seen)
+            if seen[data[i]]:
+                bits -= math.log2(seen[data[i]] / whole)
+                break
+            bits -= math.log2(len(seen) / whole)
+        else:
+            bits += 8
+    return bits
+
+
+def test_code_lengths(session):
+    model = langid.fit(session.createDataFrame(TRAIN, "lang string, text string"))
+    assert model.languages == ["de", "en"]
+    texts = ["", "the wise owl", "die lange Straße", "ZZZ 漢字 \x00", "a", BASE * 3]
+    got = model.code_lengths(pa.array(texts))
+    for row, text in zip(got, texts):
+        for bits, lang in zip(row, model.languages):
+            assert bits == pytest.approx(code_length([t for n, t in TRAIN if n == lang], text), rel=1e-9)
+
+
+def test_identified_edges(session, edges, clashing):
+    model = langid.fit(session.createDataFrame(TRAIN, "lang string, text string"))
+    got = langid.identify(edges, model)
+    assert got.columns == [*edges.columns, "lang_pred", "score"] and got.count() == len(EDGES)
+    for r in got.collect():
+        if not r.text or not any(c.isalpha() for c in r.text):
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+        else:
+            assert r.lang_pred in ("de", "en") and 0 < r.score <= 1
+    again = langid.identify(clashing, model)
+    assert sorted(map(str, again.select("doc_id", "lang_pred").collect())) == sorted(map(str, got.select("doc_id", "lang_pred").collect()))
+
+
+def test_nothing_learned(session, edges, empty):
+    model = langid.learned(empty)
+    assert model.languages == [] and {r.lang_pred for r in langid.identify(edges, model).collect()} == {"und"}
+    assert langid.identify(empty, model).count() == 0
+
+
+def test_sample_is_bounded(documents):
+    got = langid.sample(documents, rows=5, size=10_000).collect()
+    by = defaultdict(list)
+    for r in got:
+        by[r.lang].append(len(r.text.encode()))
+    assert set(by) == {r.lang for r in documents.select("lang").distinct().collect()}
+    assert all(len(v) == 1 or (len(v) <= 5 and sum(v) <= 10_000) for v in by.values())
+
+
+def test_held_out_accuracy(session):
+    from cartloom.llm.catalog import QUERIES
+
+    got = QUERIES["op3_language_id"](session, FOLDER).join(session.read.parquet(f"{FOLDER}/documents.parquet"), "doc_id").filter("held_out").collect()
+    assert sum(r.lang == r.lang_pred for r in got) >= 0.9 * len(got) > 0
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in got)
+
+
+def automaton(rows, discount=scoring.DISCOUNT):
+    """Counts and probabilities by dictionaries; rows of (trained, words)."""
+    word, pair, state = Counter(), Counter(), Counter()
+    for trained, words in rows:
+        if trained:
+            word.update(words)
+            line = ["<s>", *words]
+            pair.update(zip(line, words))
+            state.update(line[:-1])
+    after = Counter(u for u, _ in pair)
+    tokens, total = sum(word.values()), sum(word.values()) + len(word) + 1
+
+    def p(u, w):
+        base = (word[w] + 1) / total
+        return base if not state[u] else max(pair[u, w] - discount, 0) / state[u] + discount * after[u] / state[u] * base
+
+    return word, tokens, total, p
+
+
+@pytest.mark.parametrize("pieces", [(1 << 30, 1 << 30), (50, 400)])
+def test_scores(session, documents, edges, monkeypatch, pieces):
+    monkeypatch.setattr(scoring, "BLOCK_TOKENS", pieces[0])
+    monkeypatch.setattr(scoring, "SHARD_BYTES", pieces[1] * 100)
+    docs = edges.unionByName(documents.limit(60).select(*edges.columns))
+    rows = docs.collect()
+    trained = [not zlib.crc32(str("" if r.doc_id is None else r.doc_id).encode()) % 7 == 2 for r in rows]
+    words = [[*blank_words(r.text), ""] for r in rows]
+    word, tokens, total, p = automaton(zip(trained, words))
+    got = scoring.language_scores(docs, ~scoring.held_out(F.col("doc_id"))).collect()
+    want = [(r.doc_id, t, len(w), sum(word[x] > 0 for x in w), tokens, sum(math.log10((word[x] + 1) / total) for x in w),
+             sum(math.log10(p(u, x)) for u, x in zip(["<s>", *w], w))) for r, t, w in zip(rows, trained, words)]
+    key = lambda r: (r[0] is None, r[0] or 0, r[2], r[5])
+    fields = ["doc_id", "trained", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+    for a, b in zip(sorted((tuple(r[f] for f in fields) for r in got), key=key), sorted(want, key=key), strict=True):
+        assert a[:5] == b[:5] and a[5:] == pytest.approx(b[5:], rel=1e-9)
+
+
+def test_probabilities_sum_to_one():
+    _, _, _, p = automaton([(True, ["a", "b", "a", "c", ""]), (True, ["b", "a", ""])])
+    for u in ("<s>", "a", "b", "c", "never"):
+        assert sum(p(u, w) for w in ("a", "b", "c", "", "unknown")) == pytest.approx(1)
+
+
+def test_scores_of_nothing(session, empty, edges):
+    assert scoring.language_scores(empty, F.lit(True)).count() == 0
+    got = scoring.language_scores(edges, F.lit(False)).collect()
+    assert len(got) == len(EDGES) and all((r.train_tokens, r.n_known, r.base_score, r.score) == (0, 0, 0, 0) for r in got)
+
+
+def test_packed_numbers():
+    import numpy as np
+
+    for x in ([], [0], [1, 2, 3], [2**64 - 1, 0, 5], [255, 256]):
+        x = np.array(x, dtype=np.uint64)
+        assert scoring.unpack(scoring.pack(x)).tolist() == x.tolist()
+        assert scoring.unpack_sorted(scoring.pack_sorted(np.sort(x))).tolist() == np.sort(x).tolist()
+
+
+PIECES = ["a", "b", "▁", "ab", "▁a", "aba", "ü", "ba", "▁ab"]
+
+
+def fewest(word, vocabulary):
+    """Best segmentation by trying all."""
+    def ways(rest):
+        if not rest:
+            yield 0.0, 0
+            return
+        for n in range(1, len(rest) + 1):
+            score = vocabulary.scores.get(rest[:n])
+            if score is None and n == 1:
+                size = len(rest[0].encode())
+                for s, k in ways(rest[1:]):
+                    yield s + vocabulary.byte * size, k + size
+            elif score is not None:
+                for s, k in ways(rest[n:]):
+                    yield s + score, k + 1
+    return max(ways(word), key=lambda x: (round(x[0], 9), -x[1]))[1]
+
+
+def test_trie_counts():
+    vocabulary = token_counts.Vocabulary(PIECES)
+    words = ["ab", "abab", "ababa", "abüba", "xyz", "▁aba", "▁abba", "b", "bab", "漢a", "ab"]
+    got = token_counts.trie_counts(list(set(words)), vocabulary)
+    assert got == {w: fewest(w, vocabulary) for w in words}
+
+
+def test_token_counts_of_edges(session, edges, clashing):
+    vocabulary = token_counts.Vocabulary([*PIECES, *"cdefghijklmnopqrstuvwxyz"])
+    texts = ["ab  ab", "\nab", " ab", "ab ", "a b", "", None]
+    docs = session.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: (r.n_pretokens, r.n_tokens) for r in token_counts.token_counts(docs, vocabulary).collect()}
+    # Words with the mark, plain words and blanks that stand for themselves.
+    count = lambda w: fewest(w, vocabulary)
+    assert got == {0: (2, 2 * count("▁ab") + 1), 1: (1, count("ab") + 1), 2: (1, count("▁ab")), 3: (1, count("▁ab") + 1),
+                   4: (1, count("▁a b")), 5: (0, 0), 6: (0, 0)}
+    assert token_counts.token_counts(clashing, vocabulary).filter("n_tokens IS NULL").count() == 0
+
+
+def kneser_ney(rows):
+    """Perplexities by dictionaries; rows of (lang, text) learned from."""
+    tri = Counter()
+    for lang, text in rows:
+        words = [*blank_words(text), ""]
+        line = [(lang, "<s>"), (lang, "<s>"), *((lang, w) for w in words)]
+        tri.update(zip(line, line[1:], line[2:]))
+    bi = Counter((v, w) for _, v, w in tri)
+    uni = Counter(w for _, w in bi)
+
+    def discount(table):
+        n = [0, *(sum(c == k for c in table.values()) for k in range(1, 5))]
+        y = n[1] / (n[1] + 2 * n[2]) if n[1] else 0.5
+        raw = [1 - 2 * y * n[2] / n[1] if n[1] else 0.5, 2 - 3 * y * n[3] / n[2] if n[2] else 1.0, 3 - 4 * y * n[4] / n[3] if n[3] else 1.5]
+        fixed = [min(max(d, 0.1), k - 0.1) for k, d in enumerate(raw, 1)]
+        return lambda c: fixed[min(c, 3) - 1] if c else 0.0
+
+    d3, d2 = discount(tri), discount(bi)
+    sums3, held3, sums2, held2 = Counter(), Counter(), Counter(), Counter()
+    for (u, v, w), c in tri.items():
+        sums3[u, v] += c
+        held3[u, v] += d3(c)
+    for (v, w), c in bi.items():
+        sums2[v] += c
+        held2[v] += d2(c)
+
+    def perplexity(lang, text):
+        mine = {w: c for w, c in uni.items() if w[0] == lang}
+        total = sum(mine.values())
+        words = [(lang, w) for w in [*blank_words(text), ""]]
+        line, log = [(lang, "<s>"), (lang, "<s>"), *words], 0.0
+        for u, v, w in zip(line, line[1:], line[2:]):
+            p = (max(mine.get(w, 0) - 0.5, 0) if w in mine else 0) / total + 0.5 * len(mine) / total / (len(mine) + 1)
+            if v in sums2:
+                p = (bi[v, w] - d2(bi[v, w])) / sums2[v] + held2[v] / sums2[v] * p
+            if (u, v) in sums3:
+                p = (tri[u, v, w] - d3(tri[u, v, w])) / sums3[u, v] + held3[u, v] / sums3[u, v] * p
+            log += math.log10(p)
+        return 10 ** (-log / len(words))
+
+    return perplexity
+
+
+def test_perplexities(session, documents, edges, clashing):
+    rows = [(r.lang, r.text) for r in documents.filter("length(text) < 3000").limit(25).collect()] + TRAIN
+    perplexity = kneser_ney(rows)
+    model = quality.fit(session.createDataFrame(rows, "lang string, text string"))
+    known = {lang for lang, _ in rows}
+    docs = edges.unionByName(documents.limit(20).select(*edges.columns))
+    for r in quality.perplexities(docs, model).collect():
+        assert r.n_tokens == len(blank_words(r.text)) + 1
+        if r.lang in known:
+            assert r.perplexity == pytest.approx(perplexity(r.lang, r.text), rel=1e-4)
+        else:
+            assert r.perplexity is None
+    assert quality.perplexities(clashing, model).filter("CAST(perplexity AS STRING) = 'taken'").count() == 0
+
+
+def test_quality_of_edges(session, edges, empty):
+    labels = session.createDataFrame([(1, 1, 0), (2, 1, 0), (3, 1, None), (4, 1, 0), (9, 0, 0), (13, 1, 1), (None, 1, 0), (8, None, 0)], "doc_id long, quality int, toxic int")
+    got = quality.classify(edges, labels).collect()
+    assert len(got) == len(EDGES) and all(r.kept for r in got if r.perplexity is None)
+    assert quality.classify(empty, labels).count() == 0
+    assert all(r.kept for r in quality.classify(edges, labels.limit(0)).collect())
+
+
+def test_quality_tells_junk_from_trusted(session):
+    from cartloom.llm.catalog import QUERIES
+
+    sf = FOLDER.replace("0.001", "0.01")
+    labels = session.read.parquet(f"{sf}/labels.parquet")
+    rows = QUERIES["op6_quality"](session, sf).join(labels, "doc_id").filter("toxic = 0").collect()
+    share = lambda q: sum(r.kept for r in rows if r.quality == q) / sum(r.quality == q for r in rows)
+    assert share(1) > 0.97 and share(0) < 0.5
+
+
+def test_candidates_of_edges(edges):
+    got = sorted((r.position, r.value, r.before, r.lead, r.tail) for r in secrets.candidates(edges.filter("doc_id = 14")).collect())
+    assert [g[1] for g in got] == ["e3b3ed3cc8548923d6", "4193369542294721", "8c2c33f34dd8d92efc35b359ecc7eb9ef7c2ae0c", "a1b2c3d4e5f6a7b8"]
+    assert got[0][3] == "password=" and got[2][2:] == ("token =", '"', '"') and got[3][3] == "mykeypassword="
+
+
+def test_scan_tells_secrets_from_numbers(session, edges, empty):
+    import hashlib
+
+    made = [(100 + k, f"lorem token = \"{hashlib.sha1(str(k).encode()).hexdigest()}\" ipsum dolor {4000000000000000 + k * 7919} amet", "en", "src", 1) for k in range(60)]
+    docs = session.createDataFrame(made, edges.schema)
+    rows = secrets.scan(docs).collect()
+    digest = lambda v: hashlib.sha256(v.encode()).hexdigest()
+    want = {digest(hashlib.sha1(str(k).encode()).hexdigest()) for k in range(60)}
+    assert len(rows) == 120 and {r.value_sha256 for r in rows if r.secret} == want
+    assert secrets.scan(empty).count() == 0
+    alone = secrets.scan(edges.filter("doc_id IS NULL OR doc_id < 9")).collect()
+    assert alone == []
+
+
+def test_no_python_in_native_plans(session, edges):
+    featured = secrets.with_features(secrets.candidates(edges), secrets.dictionary(edges))
+    plan = featured._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
