@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cartloom.operators.ordered import Running, ordered_windows
-from cartloom.runtime import hashed, stored
+from cartloom.runtime import stored
 
 
 def attach(df: DataFrame, table: DataFrame, on: Sequence[str] | dict[str, str],
@@ -105,46 +105,50 @@ def nearest_events(rows: DataFrame, events: DataFrame, entity: tuple[str, str],
 
 
 def two_hop(pairs: DataFrame, edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """The given distinct pairs (a, b) that are linked by some a -> c -> b.
+    """The given pairs (a, b) that are linked by some a -> c -> b, each once.
 
     For each pair only the shorter of a's followees and b's followers is
     opened, and the other leg is a semi-join: a hub is not multiplied out.
     """
     links = stored(edges.select(F.col(a).alias("_s"), F.col(b).alias("_d")).distinct())
-    return _two_hop(pairs, links, a, b)
+    return _two_hop(pairs.select(a, b).distinct(), links, a, b)
 
 
 def _two_hop(pairs: DataFrame, links: DataFrame, a: str, b: str) -> DataFrame:
-    closing = hashed(links)
-    out_degree = links.groupBy(F.col("_s").alias(a)).agg(F.count(F.lit(1)).alias("_out"))
-    in_degree = links.groupBy(F.col("_d").alias(b)).agg(F.count(F.lit(1)).alias("_in"))
-    sized = pairs.select(a, b).distinct().join(out_degree, a).join(in_degree, b)
+    """Those of the distinct pairs that are linked over some third; further columns of the pairs stay."""
+    names = pairs.columns
+    out_degree = stored(links.groupBy(F.col("_s").alias(a)).agg(F.count(F.lit(1)).alias("_out")), links)
+    in_degree = stored(links.groupBy(F.col("_d").alias(b)).agg(F.count(F.lit(1)).alias("_in")), links)
+    sized = pairs.join(out_degree, a).join(in_degree, b)
     by_start = (
-        sized.filter(F.col("_out") <= F.col("_in")).select(a, b)
+        sized.filter(F.col("_out") <= F.col("_in")).select(*names)
         .join(links.select(F.col("_s").alias(a), F.col("_d").alias("_c")), a)
-        .join(closing.select(F.col("_s").alias("_c"), F.col("_d").alias(b)), ["_c", b], "left_semi")
+        .join(links.select(F.col("_s").alias("_c"), F.col("_d").alias(b)), ["_c", b], "left_semi")
     )
     by_end = (
-        sized.filter(F.col("_out") > F.col("_in")).select(a, b)
+        sized.filter(F.col("_out") > F.col("_in")).select(*names)
         .join(links.select(F.col("_s").alias("_c"), F.col("_d").alias(b)), b)
-        .join(closing.select(F.col("_s").alias(a), F.col("_d").alias("_c")), [a, "_c"], "left_semi")
+        .join(links.select(F.col("_s").alias(a), F.col("_d").alias("_c")), [a, "_c"], "left_semi")
     )
-    return by_start.select(a, b).unionByName(by_end.select(a, b)).distinct()
+    return by_start.select(*names).unionByName(by_end.select(*names)).distinct()
 
 
 def follow_flags(rows: DataFrame, edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Per row (a, b): follows back, two hops forward, two hops backward."""
     links = stored(edges.select(F.col(a).alias("_s"), F.col(b).alias("_d")).distinct())
     pairs = rows.select(a, b).distinct()
+    # Both directions in one pass over the links.
     swapped = pairs.select(F.col(b).alias(a), F.col(a).alias(b))
-    forward, reverse = _two_hop(pairs, links, a, b), _two_hop(swapped, links, a, b)
+    ways = pairs.withColumn("_back", F.lit(False)).unionByName(swapped.withColumn("_back", F.lit(True)))
+    over = _two_hop(ways, links, a, b)
     names = ("follows_back", "two_hop", "two_hop_back")
     mark = lambda frame, start, end, which: frame.select(
         F.col(start).alias(a), F.col(end).alias(b), *[F.lit(int(n == which)).alias(n) for n in names])
     marks = (
         mark(links, "_d", "_s", names[0])
-        .unionByName(mark(forward, a, b, names[1]))
-        .unionByName(mark(reverse, b, a, names[2]))
+        .unionByName(over.select(
+            F.when(F.col("_back"), F.col(b)).otherwise(F.col(a)).alias(a), F.when(F.col("_back"), F.col(a)).otherwise(F.col(b)).alias(b),
+            F.lit(0).alias(names[0]), (~F.col("_back")).cast("int").alias(names[1]), F.col("_back").cast("int").alias(names[2])))
     )
     flags = marks.groupBy(a, b).agg(*[F.max(n).alias(n) for n in names])
     return rows.join(flags, [a, b], "left").fillna(0, list(names))

@@ -22,7 +22,10 @@ from cartloom.runtime import cut_lineage, is_small, stored
 HOT_ROWS = 4_000_000
 SAMPLED = 4_000
 MANY_GROUPS = 100_000
-PART, LOCAL, REVERSE = "_ow_part", "_ow_local", "_ow_reverse"
+"""A carry table of at most so many lines, edge rows included, is broadcast."""
+PART_ROWS = 2_000_000
+"""Rows of a part when a group is split."""
+PART, LOCAL, PLACE = "_ow_part", "_ow_local", "_ow_place"
 
 
 @dataclass(frozen=True)
@@ -88,14 +91,16 @@ def ordered_windows(df: DataFrame, keys: Sequence[str], order: Sequence, specs:
         return _plain(df, keys, order, specs)
     limit = HOT_ROWS if hot_rows is None else hot_rows
     if not keys:
-        return _in_parts(df, keys, order, specs, few=True)
+        return _in_parts(df, keys, order, specs, groups=1)
     hot = cut_lineage(hot_groups(df, keys, limit))
     n_hot = hot.count()
     if n_hot == 0:
         return _plain(df, keys, order, specs)
+    # Told apart without moving rows by the very keys that are hot.
+    marked = F.broadcast(hot) if n_hot <= MANY_GROUPS else hot
     match = null_safe(df, hot, keys)
-    cold = _plain(df.join(hot, match, "left_anti"), keys, order, specs)
-    split = _in_parts(df.join(hot, match, "left_semi"), keys, order, specs, few=n_hot <= MANY_GROUPS)
+    cold = _plain(df.join(marked, match, "left_anti"), keys, order, specs)
+    split = _in_parts(df.join(marked, match, "left_semi"), keys, order, specs, groups=n_hot)
     return cold.unionByName(split)
 
 
@@ -113,99 +118,110 @@ def _plain(df, keys, order, specs) -> DataFrame:
     return df.withColumns(out)
 
 
+def part_count(df: DataFrame) -> int:
+    """A part for every ``PART_ROWS`` counted rows, and one for each shuffle partition at least."""
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(least, -(-df.select(F.lit(1)).count() // PART_ROWS))
+
+
 def range_parts(df: DataFrame, order: Sequence[Column], parts: int | None = None) -> DataFrame:
-    """Range-partition by ``order``, tag rows with their part and pin the result.
+    """Range-partition by ``order``, tag rows with their part and their place
+    in it, and pin the result.
 
     The cut points come from a sample, so the tagged rows are checkpointed:
     every later read, also after a lost executor, sees the same parts.
     """
-    count = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(count, *order)
-    return cut_lineage(ranged.withColumn(PART, F.spark_partition_id()))
+    ranged = df.repartitionByRange(parts or part_count(df), *order).sortWithinPartitions(*order)
+    return cut_lineage(ranged.withColumns({PART: F.spark_partition_id(), PLACE: F.monotonically_increasing_id()}))
+
 
+def _in_parts(df, keys, order, specs, groups: int) -> DataFrame:
+    """Window every part on its own and carry over what comes before it.
 
-def _in_parts(df, keys, order, specs, few: bool) -> DataFrame:
-    """``few`` says that the group count was seen to be small: the carry and
-    edge tables have at most parts + groups lines (times the shift) and may
-    then be broadcast."""
-    lookup = F.broadcast if few else (lambda frame: frame)
+    The carry table has one line per part and group: rows and running
+    aggregates of the earlier parts, and the rows of other parts within reach
+    of a shift, by position. All specs take one join of the rows with it; it is
+    broadcast if the number of ``groups`` says that it is small.
+    """
     key_columns = [F.col(k) for k in keys]
-    tagged = range_parts(df, [*key_columns, *order])
+    parts = part_count(df)
+    tagged = range_parts(df, [*key_columns, *order], parts)
     group = [PART, *keys]
-    inside = Window.partitionBy(*group).orderBy(*order)
-    shifts = [s for s in specs.values() if isinstance(s, Shift)]
-    local = {LOCAL: F.row_number().over(inside)}
-    for name, spec in specs.items():
-        if isinstance(spec, Shift):
-            local[name] = F.lag(spec.column, spec.step).over(inside)
-        elif isinstance(spec, Running):
-            frame = inside.rowsBetween(Window.unboundedPreceding, -1 if spec.before else 0)
-            local[name] = _AGG[spec.how](spec.column).over(frame)
-    rows = tagged.withColumns(local)
+    shifts = {n: s for n, s in specs.items() if isinstance(s, Shift)}
+    running = {n: s for n, s in specs.items() if isinstance(s, Running)}
+    reach = max([abs(s.step) for s in shifts.values()], default=0)
 
-    sums = [F.count(F.lit(1)).alias("_ow_rows")]
-    for name, spec in specs.items():
-        if isinstance(spec, Running):
-            sums.append(_AGG[spec.how](spec.column).alias(f"_ow_sum_{name}"))
-    per_part = tagged.groupBy(*group).agg(*sums)
+    sums = [F.count(F.lit(1)).alias("_ow_rows"), F.min(PLACE).alias("_ow_first")]
+    sums += [_AGG[s.how](s.column).alias(f"_ow_sum_{n}") for n, s in running.items()]
     earlier = (
         Window.partitionBy(*(keys or [F.lit(0)]))
         .orderBy(PART)
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    carried = {"_ow_before": F.coalesce(F.sum("_ow_rows").over(earlier), F.lit(0))}
-    for name, spec in specs.items():
-        if isinstance(spec, Running):
-            carried[f"_ow_carry_{name}"] = _AGG[spec.how](f"_ow_sum_{name}").over(earlier)
-    carry = per_part.withColumns(carried).select(*group, "_ow_rows", *carried)
-    joined = rows.join(lookup(carry), null_safe(rows, carry, group), "left")
-    for k in group:
-        joined = joined.drop(carry[k])
+    carried = {"_ow_before": F.coalesce(F.sum("_ow_rows").over(earlier), F.lit(0).cast("long"))}
+    carried |= {f"_ow_carry_{n}": _AGG[s.how](f"_ow_sum_{n}").over(earlier) for n, s in running.items()}
+    per_part = tagged.groupBy(*group).agg(*sums)
+    carry = per_part.withColumns(carried).select(*group, "_ow_rows", "_ow_first", *carried)
+
+    small = (parts + groups) * max(1, 2 * reach) <= MANY_GROUPS
+    if shifts:
+        carry = cut_lineage(_with_edges(tagged, carry, group, keys, shifts, reach, small))
+
+    inside = Window.partitionBy(*group).orderBy(PLACE)
+    local = {n: F.lag(s.column, s.step).over(inside) for n, s in shifts.items()}
+    for name, spec in running.items():
+        frame = inside.rowsBetween(Window.unboundedPreceding, -1 if spec.before else 0)
+        local[name] = _AGG[spec.how](spec.column).over(frame)
+    # Places of a part's group are consecutive, so positions need no window.
+    rows = tagged.withColumns(local) if local else tagged
+    joined = _carried(rows, carry, group, small)
+    joined = joined.withColumn(LOCAL, F.col(PLACE) - F.col("_ow_first") + 1)
 
-    position = (F.col("_ow_before") + F.col(LOCAL)).cast("long")
-    out = joined.withColumn("_ow_position", position).withColumn(
-        REVERSE, F.col("_ow_rows") - F.col(LOCAL) + 1
-    )
     finished = {}
+    position = (F.col("_ow_before") + F.col(LOCAL)).cast("long")
     for name, spec in specs.items():
         if isinstance(spec, Number):
-            finished[name] = F.col("_ow_position")
+            finished[name] = position
         elif isinstance(spec, Running):
             mine, before = F.col(name), F.col(f"_ow_carry_{name}")
             if spec.how == "sum":
-                both = mine + before
-                finished[name] = F.coalesce(both, mine, before)
+                finished[name] = F.coalesce(mine + before, mine, before)
             else:
                 pick = F.greatest if spec.how == "max" else F.least
                 finished[name] = pick(mine, before)
-    out = out.withColumns(finished) if finished else out
-    for name, spec in specs.items():
-        if isinstance(spec, Shift):
-            out = _across_parts(out, keys, name, spec, lookup)
-    helpers = [PART, LOCAL, REVERSE, "_ow_rows", "_ow_before", "_ow_position"]
-    helpers += [f"_ow_carry_{n}" for n, s in specs.items() if isinstance(s, Running)]
-    return out.drop(*helpers)
-
-
-def _across_parts(out, keys, name, spec, lookup) -> DataFrame:
-    """Fill a shift over part borders from the edge rows of other parts."""
-    reach = abs(spec.step)
-    near, far = (LOCAL, REVERSE) if spec.step > 0 else (REVERSE, LOCAL)
-    edge = out.filter(F.col(far) <= reach).select(
-        *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
-        (F.col("_ow_position") + spec.step).alias("_ow_at"),
-        F.col(spec.column).alias("_ow_edge"),
-    )
-    wanted = F.when(F.col(near) <= reach, F.col("_ow_position"))
-    marked = out.withColumn("_ow_want", wanted)
-    match = marked["_ow_want"] == edge["_ow_at"]
+        else:
+            outside = F.col(LOCAL) <= spec.step if spec.step > 0 else F.col(LOCAL) > F.col("_ow_rows") + spec.step
+            edge = F.try_element_at("_ow_edges", position - spec.step)[name]
+            finished[name] = F.when(outside, edge).otherwise(F.col(name))
+    helpers = [PART, PLACE, LOCAL, "_ow_rows", "_ow_first", *carried, *(["_ow_edges"] if shifts else [])]
+    return joined.withColumns(finished).drop(*helpers)
+
+
+def _carried(rows, carry, group, small: bool) -> DataFrame:
+    lines = carry.withColumnsRenamed({k: f"_g{i}" for i, k in enumerate(group)})
+    match = reduce(lambda a, b: a & b, [rows[k].eqNullSafe(lines[f"_g{i}"]) for i, k in enumerate(group)])
+    joined = rows.join(F.broadcast(lines) if small else lines, match)
+    return joined.drop(*[f"_g{i}" for i in range(len(group))])
+
+
+def _with_edges(tagged, carry, group, keys, shifts, reach: int, small: bool) -> DataFrame:
+    """The carry table with a map of the rows up to ``reach`` positions before and after each part's."""
+    values = F.struct(*[F.col(s.column).alias(n) for n, s in shifts.items()])
+    ends = _carried(tagged, carry, group, small).withColumn(LOCAL, F.col(PLACE) - F.col("_ow_first") + 1)
+    near = (F.col(LOCAL) <= reach) | (F.col(LOCAL) > F.col("_ow_rows") - reach)
+    edges = ends.filter(near).select(
+        *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], (F.col("_ow_before") + F.col(LOCAL)).alias("_ow_at"), values.alias("_ow_values"))
+    first, last = F.col("_ow_before") + 1, F.col("_ow_before") + F.col("_ow_rows")
+    span = F.lit(reach).cast("long")
+    wanted = carry.select(*group, F.explode(F.concat(F.sequence(first - span, first - 1), F.sequence(last + 1, last + span))).alias("_ow_want"))
+    match = wanted["_ow_want"] == edges["_ow_at"]
     for i, k in enumerate(keys):
-        match = match & marked[k].eqNullSafe(edge[f"_k{i}"])
-    joined = marked.join(lookup(edge), match, "left")
-    value = F.when(F.col("_ow_want").isNull(), F.col(name)).otherwise(F.col("_ow_edge"))
-    return joined.withColumn(name, value).drop(
-        "_ow_want", "_ow_at", "_ow_edge", *[f"_k{i}" for i in range(len(keys))]
-    )
+        match = match & wanted[k].eqNullSafe(edges[f"_k{i}"])
+    found = wanted.join(edges, match).groupBy(*group).agg(
+        F.map_from_entries(F.collect_list(F.struct("_ow_want", "_ow_values"))).alias("_ow_edges"))
+    named = found.withColumnsRenamed({k: f"_g{i}" for i, k in enumerate(group)})
+    same = reduce(lambda a, b: a & b, [carry[k].eqNullSafe(named[f"_g{i}"]) for i, k in enumerate(group)])
+    return carry.join(named, same, "left").drop(*[f"_g{i}" for i in range(len(group))])
 
 
 def number_rows(df: DataFrame, order: Sequence, name: str = "row_id", start: int = 0,
@@ -235,8 +251,11 @@ def top_k(df: DataFrame, keys: Sequence[str], order: Sequence, k: int,
     """The first ``k`` rows of each group, ranked from 1.
 
     The rank filter lets Spark keep only k rows per group and task before the
-    shuffle, so a hot group never travels whole.
+    shuffle, so a hot group never travels whole. Spark does so up to a limit of
+    its own; beyond it ranks are given by the windows that split hot groups.
     """
+    if k > int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000")):
+        return ordered_windows(df, keys, order, {rank: Number()}).filter(F.col(rank) <= k).withColumn(rank, F.col(rank).cast("int"))
     spec = Window.partitionBy(*keys).orderBy(*_as_columns(order))
     return df.withColumn(rank, F.row_number().over(spec)).filter(F.col(rank) <= k)
 

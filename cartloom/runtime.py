@@ -6,9 +6,12 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SMALL_BYTES = 64 << 20
-"""A plan estimated below this, one advisory partition, may go to a single task."""
+"""A plan estimated above this, one advisory partition, is not small."""
+SMALL_ROWS = 1_000_000
+"""Nor is one of more counted rows; only a small plan may go to a single task."""
 
 _local_folder: str | None = None
 
@@ -65,7 +68,7 @@ def stored(table: DataFrame, source: DataFrame | None = None) -> DataFrame:
     shuffling the big side, and it is not computed again for every use. Left
     lazy when the ``source`` it was computed from is small.
     """
-    if source is not None and is_small(source):
+    if source is not None and is_plain(source):
         return table
     path = scratch_folder(table.sparkSession)
     table.write.parquet(path)
@@ -95,11 +98,16 @@ def plan_bytes(df: DataFrame) -> int:
 
 
 def is_small(df: DataFrame) -> bool:
-    return plan_bytes(df) <= SMALL_BYTES
+    """Few bytes by the estimate and few rows by count.
+
+    Estimates see compressed bytes and nothing behind an explode or a join, so
+    rows are counted: of a plain scan from the files' footers, of other plans
+    by running them without their columns.
+    """
+    return plan_bytes(df) <= SMALL_BYTES and df.select(F.lit(1)).count() <= SMALL_ROWS
 
 
-def hashed(side: DataFrame) -> DataFrame:
-    """Ask for a hash join on this side if each of its shuffle partitions is
-    estimated to fit easily; else leave the choice to the optimizer."""
-    parts = int(side.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return side.hint("shuffle_hash") if plan_bytes(side) / parts <= SMALL_BYTES else side
+def is_plain(df: DataFrame) -> bool:
+    """Estimated as small, with nothing in the plan that multiplies rows unseen."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return plan_bytes(df) <= SMALL_BYTES and not any(x in plan for x in ("Generate ", "Join ", "Expand "))

@@ -4,15 +4,19 @@ import duckdb
 import pytest
 
 import __spark_entry__ as contract
+from cartloom import plans
+from cartloom.plans.registry import ORACLES, QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark "
           "labels conversations").split()
-QUERIES, ORACLES = contract.queries(), contract.oracle_sql()
+plans.load()
 # Operators with a plan of their own for large inputs and hot groups.
 LARGE = ["prj6_fill_upper_median", "row1_dense_ids", "row6_group_positions", "agg6_session_lists", "agg9_gini", "agg10_share_curve",
          "jon7_nearest_events", "enc2_joint_codes", "enc16_contiguous_folds_pooled", "enc17_kfold_target_mean", "enc26_difference",
-         "win1_lags", "win17_session_gaps", "seq8_half_labels", "seq14_cut_points", "met7_pr_auc", "met9_grouped_precision"]
+         "win1_lags", "win17_session_gaps", "seq8_half_labels", "seq14_cut_points", "met7_pr_auc", "met9_grouped_precision",
+         "enc20_daily_target_mean", "seq13_cut_after_add", "seq16_resampled_buckets", "win2_neighbour_gaps", "win14_candidate_rank",
+         "str12_decoded_tokens", "agg7_concatenated_lists"]
 
 
 @pytest.fixture(scope="module")
@@ -53,6 +57,10 @@ def test_query_by_large_plan(spark, duck, large, name):
     check(spark, duck, name)
 
 
+def test_contract_has_the_plans():
+    assert set(QUERIES) <= set(contract.queries()) and set(ORACLES) <= set(contract.oracle_sql())
+
+
 def test_entry(spark):
     assert set(contract.entry(spark).columns) == {"basket", "line", "item", "te"}
 

@@ -77,3 +77,43 @@ def test_input_partitioning_does_not_matter(spark):
     df = skewed(spark)
     for parts in (1, 3, 11):
         same(history.lags(df, ["k"], ["t", "id"], "v", [1, 2]), history.lags(df.repartition(parts), ["k"], ["t", "id"], "v", [1, 2], hot_rows=200))
+
+
+@pytest.mark.parametrize("keys", [["k"], []])
+def test_joins_do_not_grow_with_the_shifts(spark, keys):
+    def joins_of(steps):
+        specs = {f"s{k}": Shift("v", k) for k in steps}
+        frame = ordered_windows(skewed(spark), keys, ["t", "id"], specs, hot_rows=100)
+        return frame._jdf.queryExecution().executedPlan().toString().count("Join ")
+
+    assert joins_of([1]) == joins_of([1, 2, 3, 4, -1, -2, -5])
+
+
+def test_far_shifts_over_thin_parts(spark):
+    df = skewed(spark, 200)
+    specs = {"far": Shift("id", 30), "ahead": Shift("id", -25), "n": Number()}
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        same(ordered_windows(df, ["k"], ["t", "id"], specs), ordered_windows(df, ["k"], ["t", "id"], specs, hot_rows=10))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "2")
+
+
+def test_exploded_rows_are_not_small(spark, monkeypatch):
+    from cartloom import runtime
+
+    monkeypatch.setattr(runtime, "SMALL_ROWS", 100_000)
+    few = spark.range(100)
+    assert runtime.is_small(few) and not runtime.is_small(few.select(F.explode(F.sequence(F.lit(1), F.lit(2000))).alias("x")))
+
+
+def test_ranks_beyond_the_group_limit(spark, large):
+    from cartloom.operators.ordered import top_k
+
+    spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", "20")
+    try:
+        got = top_k(skewed(spark), ["k"], ["v", "id"], 50).filter("k = 0").collect()
+    finally:
+        spark.conf.unset("spark.sql.optimizer.windowGroupLimitThreshold")
+    want = sorted((r.v, r.id) for r in skewed(spark).filter("k = 0").collect())[:50]
+    assert [(r.v, r.id) for r in sorted(got, key=lambda r: r["rank"])] == want
