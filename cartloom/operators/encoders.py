@@ -187,7 +187,8 @@ def frequency_encode(df: DataFrame, split: str, keys: Sequence[str], out: str) -
 
 
 def count_maps(df: DataFrame, key_sets: Sequence[Sequence[str]]) -> dict[tuple[str, ...], DataFrame]:
-    """One count table per key set."""
+    """One count table per key set, all counted from one stored copy of the keys."""
+    df = stored(df.select(*dict.fromkeys(c for k in key_sets for c in k)), df)
     count = lambda k: df.groupBy(*k).agg(F.count(F.lit(1)).alias("cnt_" + "_".join(k)))
     return {tuple(k): stored(count(k), df) for k in key_sets}
 

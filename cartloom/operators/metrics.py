@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cartloom.operators.ordered import Running, number_rows, ordered_windows, top_k
+from cartloom.operators.ordered import Running, number_rows, ordered_windows, top_k, with_group
 from cartloom.operators.ranking import candidate_rank
 from cartloom.operators.rows import shuffle_rank
 
@@ -122,12 +122,23 @@ def threshold_curve(df: DataFrame, score: str, label: str, by: Sequence[str] = (
                            {"tp": Running("sum", "pos"), "fp": Running("sum", "neg")}, hot_rows)
 
 
+def mean_filled(df: DataFrame, score: str, by: Sequence[str] = ()) -> DataFrame:
+    """Scores that are null or not a number replaced by the mean of the others."""
+    p = F.col(score).cast("double")
+    known = df.withColumn(score, F.when(~F.isnan(p), p))
+    if by:
+        filled = with_group(known, list(by), _mean=F.avg(score))
+        return filled.withColumn(score, F.coalesce(score, "_mean")).drop("_mean")
+    return known.withColumn(score, F.coalesce(F.col(score), known.agg(F.avg(score)).scalar()))
+
+
 def curve_areas(df: DataFrame, score: str, label: str, by: Sequence[str] = (), hot_rows: int | None = None) -> DataFrame:
     """ROC-AUC, PR-AUC by trapezoids, and average precision.
 
-    The PR curve starts at recall 0 with precision 1.
+    The PR curve starts at recall 0 with precision 1. Scores that are null or
+    not a number count as the mean score of the group.
     """
-    curve = threshold_curve(df, score, label, by, hot_rows)
+    curve = threshold_curve(mean_filled(df, score, by), score, label, by, hot_rows)
     tp, fp, pos, neg = (F.col(c) for c in ("tp", "fp", "pos", "neg"))
     precision = tp / (tp + fp)
     before_all = tp + fp - pos - neg

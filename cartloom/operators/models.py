@@ -12,18 +12,29 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cartloom.operators.blending import average_runs
+from cartloom.runtime import checkpoint_folder
 
 
 def fit_trees(df: DataFrame, features: Sequence[str], label: str, depth: int = 8, rounds: int = 300,
-              step: float = 0.1, seed: int = 42, share: float = 0.3) -> PipelineModel:
-    """Binary classifier for one label; missing features count as 0."""
+              step: float = 0.1, seed: int = 42, rows: float = 0.8, columns: float = 0.3) -> PipelineModel:
+    """Binary classifier for one label; missing features count as 0.
+
+    Each tree is grown on the share ``rows`` of the rows, and each of its splits
+    looks at the share ``columns`` of the features.
+    """
+    checkpoint_folder(df.sparkSession)
     assemble = VectorAssembler(inputCols=list(features), outputCol="features")
     trees = GBTClassifier(featuresCol="features", labelCol="_label", maxDepth=depth, maxIter=rounds, stepSize=step,
-                          seed=seed, subsamplingRate=share, maxBins=64, cacheNodeIds=False)
+                          seed=seed, subsamplingRate=rows, featureSubsetStrategy=str(columns), maxBins=64, checkpointInterval=10)
     data = df.select(*[F.col(c).cast("double").alias(c) for c in features], F.col(label).cast("double").alias("_label"))
     return Pipeline(stages=[assemble, trees]).fit(data.fillna(0.0))
 
 
+def fit_labels(df: DataFrame, features: Sequence[str], labels: Sequence[str], **options) -> dict[str, PipelineModel]:
+    """A model of its own for every label."""
+    return {label: fit_trees(df, features, label, **options) for label in labels}
+
+
 def score_trees(model: PipelineModel, df: DataFrame, out: str = "score") -> DataFrame:
     features = model.stages[0].getInputCols()
     filled = df.withColumns({f"_x_{c}": F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in features})

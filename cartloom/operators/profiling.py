@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cartloom.functions import timeparts as D
-from cartloom.operators.aggregates import frequency_summary, one_row, percentile_row, share_curve
+from cartloom.operators.aggregates import frequency_summary, one_row, percentile_row, percentiles, share_curve
 from cartloom.operators.history import session_gaps
 from cartloom.operators.joins import missing_ids
 from cartloom.operators.ordered import small_map, with_group
+from cartloom.runtime import stored
 
 PERIODS = {"day": lambda c: F.date_format(c, "yyyy-MM-dd"), "week": D.year_week, "month": D.year_month}
 
@@ -110,8 +111,22 @@ def compare_splits(train: DataFrame, test: DataFrame, session: str, item: str) -
         "split", "length", "n", (F.col("n") / F.try_element_at(totals, F.col("split"))).alias("share"), unseen.alias("test_only_items"))
 
 
+def compare_lengths(train: DataFrame, test: DataFrame, session: str, points: Sequence[float]) -> DataFrame:
+    """Session-length percentiles of both splits side by side, with their ratio."""
+    def at(df):
+        lengths = df.groupBy(session).agg(F.count(F.lit(1)).alias("_length"))
+        return one_row(percentiles(lengths, "_length", points))["q"]
+
+    both = train.sparkSession.createDataFrame([(list(points),)], "points array<double>").select(
+        "points", at(train).alias("a"), at(test).alias("b"))
+    rows = both.select(F.explode(F.arrays_zip("points", "a", "b")).alias("r"))
+    return rows.select(F.col("r.points").alias("point"), F.col("r.a").alias("train"), F.col("r.b").alias("test"),
+                       F.try_divide("r.a", "r.b").alias("ratio"))
+
+
 def profile_row(df: DataFrame, user: str, item: str, session: str, at: str) -> DataFrame:
-    """The whole profile as a single row."""
+    """The whole profile as a single row; the columns it needs are stored once and read from there."""
+    df = stored(df.select(*dict.fromkeys([user, item, session, at])))
     row = sizes(df, user, item, session, at)
     extra = {}
     for name, key in (("item", item), ("user", user)):
@@ -121,6 +136,3 @@ def profile_row(df: DataFrame, user: str, item: str, session: str, at: str) -> D
         extra |= {f"{name}_{c}": cold[c] for c in ("same_day", "same_week", "same_month")}
     return row.withColumns(extra)
 
-
-def share_table(df: DataFrame, key: str) -> DataFrame:
-    return share_curve(df, key)

@@ -78,6 +78,12 @@ def sample_entities(df: DataFrame, keys: Sequence[str], fraction: float, seed: i
     return df.filter(hash_below(keys, fraction, seed))
 
 
+def shuffled(df: DataFrame, key: Sequence[str], seed: int = 0, name: str = "place") -> DataFrame:
+    """Every row's place in a random order fixed by its key and the seed."""
+    drawn = df.withColumn("_draw", shuffle_rank(key, seed))
+    return number_rows(drawn, ["_draw", *key], name).drop("_draw")
+
+
 def shuffle_rank(keys: Sequence[str], seed: int = 0) -> Column:
     """Pseudo-random sort value of a row, fixed by its key and the seed."""
     return F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in keys], F.lit(seed)))

@@ -19,11 +19,12 @@ from cartloom.operators.ordered import Number, ordered_list, ordered_windows, sm
 from cartloom.operators.rows import shuffle_rank
 
 CHUNK = 10_000
+"""Elements of a list in the queries; the chunk's number is part of the result."""
 
 
 # --- building ---------------------------------------------------------------
 
-def chunk_lists(df: DataFrame, keys: Sequence[str], order: Sequence, columns: Sequence[str], chunk: int = CHUNK,
+def chunk_lists(df: DataFrame, keys: Sequence[str], order: Sequence, columns: Sequence[str], chunk: int,
                 hot_rows: int | None = None) -> DataFrame:
     """Whole ordered lists per group, in chunks of at most ``chunk`` elements.
 
@@ -102,6 +103,19 @@ def membership(shown: Column, chosen: Column) -> Column:
     return F.transform(shown, lambda x: F.array_contains(chosen, x).cast("int"))
 
 
+def fresh_items(clicks: DataFrame, session: DataFrame, keys: Sequence[str], item: str) -> DataFrame:
+    """Distinct clicked items of a session that it does not have already."""
+    match = [*keys, item]
+    return clicks.select(*match).distinct().join(session.select(*match).distinct(), match, "left_anti")
+
+
+def minimum_length(df: DataFrame, keys: Sequence[str], least: int, keep: Column | None = None) -> DataFrame:
+    """Rows of sessions of at least so many rows; rows for which ``keep`` holds stay in any case."""
+    sized = with_group(df, keys, _n=F.count(F.lit(1)))
+    long_enough = F.col("_n") >= least
+    return sized.filter(long_enough if keep is None else long_enough | keep).drop("_n")
+
+
 def keep_last(c: Column, n: int) -> Column:
     return F.when(F.size(c) > n, F.slice(c, -n, n)).otherwise(c)
 
@@ -262,17 +276,18 @@ def rows_of_cuts(df: DataFrame, cuts: DataFrame, keys: Sequence[str], order: Seq
 
 
 def resample_to(df: DataFrame, key: Sequence[str], bucket: str, split: str, source: str, target: str,
-                seed: int = 0, hot_rows: int | None = None) -> DataFrame:
+                seed: int = 0, hot_rows: int | None = None, balanced: bool = False) -> DataFrame:
     """Bring one split's bucket shares to another's by truncating to bucket 0.
 
-    Per bucket above 0 the surplus of the source split, counted in rows, is
+    With ``balanced`` the aim is the mean of the two splits' shares. Per bucket above 0 the surplus of the source split, counted in rows, is
     drawn by seeded hash order; drawn rows get ``new_<bucket>`` 0.
     """
     counts = df.groupBy(bucket).agg(
         F.count_if(F.col(split) == source).alias("_a"), F.count_if(F.col(split) == target).alias("_b"))
     totals = one_row(counts.agg(F.sum("_a").alias("a"), F.sum("_b").alias("b")))
     n_a, n_b = totals["a"], totals["b"]
-    surplus = (F.try_divide(F.col("_a"), n_a) - F.try_divide(F.col("_b"), n_b)) * n_a
+    share, aim = F.try_divide(F.col("_a"), n_a), F.try_divide(F.col("_b"), n_b)
+    surplus = (share - ((share + aim) / 2 if balanced else aim)) * n_a
     quota = small_map(counts, bucket, F.floor(surplus + 1e-9))
     drawn = df.filter((F.col(split) == source) & (F.col(bucket) > 0)).withColumn("_draw", shuffle_rank(key, seed))
     placed = ordered_windows(drawn, [bucket], ["_draw", *key], {"_place": Number()}, hot_rows)
@@ -323,11 +338,16 @@ def category_shares(around: DataFrame, keys: Sequence[str], category: str) -> Da
     )
 
 
-def item_embeddings(lists: DataFrame, column: str, size: int = 16, min_count: int = 1, partitions: int = 1,
+def item_embeddings(lists: DataFrame, column: str, size: int = 16, min_count: int = 1, partitions: int | None = None,
                     seed: int = 42, window: int = 5, iterations: int = 1):
-    """Word2Vec over session product lists; the model finds nearest items."""
+    """Word2Vec over session product lists; the model finds nearest items.
+
+    Trained in one task for each shuffle partition unless told otherwise. Spark
+    keeps the vocabulary with its vectors on the driver; ``min_count`` bounds it.
+    """
     from pyspark.ml.feature import Word2Vec
 
+    partitions = partitions or int(lists.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return Word2Vec(inputCol=column, outputCol="vector", vectorSize=size, minCount=min_count, seed=seed,
                     numPartitions=partitions, windowSize=window, maxIter=iterations).fit(lists)
 

@@ -56,7 +56,7 @@ WITH $LOG, p AS (SELECT *, row_number() OVER (PARTITION BY basket ORDER BY $LINE
 SELECT basket, i // 10000 AS chunk, string_agg(CAST(item AS VARCHAR), ',' ORDER BY i) AS items,
        string_agg(CAST(author AS VARCHAR), ',' ORDER BY i) AS authors FROM p GROUP BY basket, i // 10000""")
 def _(t):
-    lists = Q.chunk_lists(t.log, ["basket"], LINE_ORDER, ["item", "author"])
+    lists = Q.chunk_lists(t.log, ["basket"], LINE_ORDER, ["item", "author"], Q.CHUNK)
     return lists.select("basket", "chunk", text("item_list", "items"), text("author_list", "authors"))
 
 

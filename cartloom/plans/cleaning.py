@@ -321,6 +321,12 @@ def _(t):
     return rows.sample_rows(t.lineitem, 0.1, 7).agg(big(F.count(F.lit(1)), "n"))
 
 
+@query("row8_seeded_shuffle", """
+SELECT o_orderkey, row_number() OVER (ORDER BY md5(CAST(o_orderkey AS VARCHAR) || '|7'), o_orderkey) - 1 AS place FROM orders""")
+def _(t):
+    return rows.shuffled(t.orders.select("o_orderkey"), ["o_orderkey"], 7, "place")
+
+
 @query("row9_sample_entities", """
 SELECT l_orderkey, count(*) AS n FROM lineitem WHERE CAST(concat('0x', right(md5(CAST(l_orderkey AS VARCHAR) || '|7'), 8)) AS UBIGINT) < 429496729 GROUP BY l_orderkey""")
 def _(t):

@@ -61,12 +61,12 @@ def _(t):
 
 @query("enc6_encoded_lists", """
 WITH $LOG, v AS (SELECT author, dense_rank() OVER (ORDER BY author) AS code FROM (SELECT DISTINCT author FROM log)),
- r AS (SELECT basket, author, row_number() OVER (PARTITION BY basket ORDER BY line DESC, item DESC, author DESC, price DESC, ship DESC) AS b FROM log)
-SELECT basket, string_agg(CAST(code AS VARCHAR), ',' ORDER BY b DESC) AS codes FROM r JOIN v USING (author) WHERE b <= 5 GROUP BY basket""")
+ r AS (SELECT basket, author, row_number() OVER (PARTITION BY basket ORDER BY $LINE_ORDER) - 1 AS b FROM log)
+SELECT basket, b // 10000 AS chunk, string_agg(CAST(code AS VARCHAR), ',' ORDER BY b) AS codes FROM r JOIN v USING (author) GROUP BY ALL""")
 def _(t):
-    lists = Q.last_lists(t.log, ["basket"], LINE_ORDER, ["author"], 5)
-    coded = E.encode_lists(lists, ["basket"], "author_list", E.vocabulary(t.log, "author", start=1), "codes")
-    return coded.select("basket", text("codes"))
+    lists = Q.chunk_lists(t.log, ["basket"], LINE_ORDER, ["author"], Q.CHUNK)
+    coded = E.encode_lists(lists, ["basket", "chunk"], "author_list", E.vocabulary(t.log, "author", start=1), "codes")
+    return coded.select("basket", "chunk", text("codes"))
 
 
 @query("enc7_most_frequent_token", """
@@ -188,6 +188,28 @@ def _(t):
     return E.target_encode(_with_fold(t, 5), ["author"], "y", "fold", 20, "te").select(*KEY, rounded("te"))
 
 
+# Target means by keys of 5, 3, 66 and customers many values, for timing alike encodings.
+@query("enc17_by_5_values", _fold_sql("kind", 5, 20))
+def _(t):
+    return E.target_encode(_with_fold(t, 5), ["kind"], "y", "fold", 20, "te").select(*KEY, rounded("te"))
+
+
+@query("enc17_by_3_values", _fold_sql("status", 5, 20))
+def _(t):
+    return E.target_encode(_with_fold(t, 5), ["status"], "y", "fold", 20, "te").select(*KEY, rounded("te"))
+
+
+@query("enc17_by_66_values", _fold_sql("language", 5, 20).replace("SELECT *, basket", "SELECT *, item % 66 AS language, basket"))
+def _(t):
+    rows = _with_fold(t, 5).withColumn("language", F.pmod("item", F.lit(66)))
+    return E.target_encode(rows, ["language"], "y", "fold", 20, "te").select(*KEY, rounded("te"))
+
+
+@query("enc17_by_user", _fold_sql("reader", 5, 20))
+def _(t):
+    return E.target_encode(_with_fold(t, 5), ["reader"], "y", "fold", 20, "te").select(*KEY, rounded("te"))
+
+
 @query("enc18_multi_key_target_mean", _fold_sql("author, kind", 5, 20))
 def _(t):
     return E.target_encode(_with_fold(t, 5), ["author", "kind"], "y", "fold", 20, "te").select(*KEY, rounded("te"))
@@ -334,14 +356,14 @@ def _(t):
 
 
 @query("enc31_capped_lists", """
-WITH $LOG, r AS (SELECT basket, item, row_number() OVER (PARTITION BY basket ORDER BY line DESC, item DESC, author DESC, price DESC, ship DESC) AS b FROM log),
- l AS (SELECT * FROM r WHERE b <= 30), c AS (SELECT item, count(*) AS n FROM l GROUP BY item)
-SELECT basket, string_agg(CAST(CASE WHEN n >= 30 THEN item ELSE 1 END AS VARCHAR), ',' ORDER BY b DESC) AS capped, string_agg(CASE WHEN n >= 30 THEN '2' ELSE '1' END, ',' ORDER BY b DESC) AS flags
-FROM l JOIN c USING (item) GROUP BY basket""")
-def _(t):
-    lists = Q.last_lists(t.log, ["basket"], LINE_ORDER, ["item"], 30)
-    capped = E.cap_list_frequency(lists, ["basket"], "item_list", 30)
-    return capped.select("basket", text("capped"), text("capped_flags", "flags"))
+WITH $LOG, r AS (SELECT basket, item, row_number() OVER (PARTITION BY basket ORDER BY $LINE_ORDER) - 1 AS b FROM log),
+ c AS (SELECT item, count(*) AS n FROM log GROUP BY item)
+SELECT basket, b // 10000 AS chunk, string_agg(CAST(CASE WHEN n >= 30 THEN item ELSE 1 END AS VARCHAR), ',' ORDER BY b) AS capped, string_agg(CASE WHEN n >= 30 THEN '2' ELSE '1' END, ',' ORDER BY b) AS flags
+FROM r JOIN c USING (item) GROUP BY ALL""")
+def _(t):
+    lists = Q.chunk_lists(t.log, ["basket"], LINE_ORDER, ["item"], Q.CHUNK)
+    capped = E.cap_list_frequency(lists, ["basket", "chunk"], "item_list", 30)
+    return capped.select("basket", "chunk", text("capped"), text("capped_flags", "flags"))
 
 
 @query("enc32_supported_users", """

@@ -149,12 +149,14 @@ def _(t):
 
 
 _LISTS = f"""{_RUNS}, pr AS (SELECT sess, item, i FROM (SELECT *, row_number() OVER (PARTITION BY sess ORDER BY score DESC, item) AS i FROM runs WHERE bag = 0) WHERE i <= 20),
- lb AS (SELECT sess, item, k FROM (SELECT sess, item, row_number() OVER (PARTITION BY sess ORDER BY f DESC, item) AS k FROM (SELECT sess, item, max(score) AS f FROM runs WHERE bag = 1 GROUP BY ALL)) WHERE k <= 15)"""
+ lb AS (SELECT sess, item, row_number() OVER (PARTITION BY sess ORDER BY f DESC, item) AS k FROM (SELECT sess, item, max(score) AS f FROM runs WHERE bag = 1 GROUP BY ALL))"""
 
 
 def _lists(t):
     preds = R.top_lists(runs(t).filter("bag = 0"), ["sess"], "item", "score", 20).select("sess", F.col("items").alias("preds"))
-    labels = R.top_lists(runs(t).filter("bag = 1"), ["sess"], "item", "score", 15).select("sess", F.col("items").alias("labels"))
+    # Labels are whole; only predictions are cut.
+    scored = runs(t).filter("bag = 1").groupBy("sess", "item").agg(F.max("score").alias("score"))
+    labels = scored.groupBy("sess").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "item")))["item"].alias("labels"))
     return preds.join(labels, "sess")
 
 
@@ -204,14 +206,23 @@ _CURVE = lambda by: f"""c AS (SELECT {by}p, sum(y) AS pos, sum(1 - y) AS neg FRO
  q AS (SELECT *, tp / (tp + fp) AS prec, CASE WHEN tp + fp - pos - neg > 0 THEN (tp - pos) / (tp + fp - pos - neg) ELSE 1 END AS prev FROM s)"""
 
 
-@query("met7_pr_auc", f"WITH {_PRED}, {_CURVE('')} SELECT round(sum(pos * (prec + prev) / 2) / sum(pos), 6) AS pr_auc FROM q")
+# Scores of two buckets are missing: null in one, not a number in the other.
+_GAPS = f"{_PRED.replace('pred AS', 'whole AS', 1)}, pred AS (SELECT * REPLACE (coalesce(CASE WHEN bucket NOT IN (2, 4) THEN p END, avg(CASE WHEN bucket NOT IN (2, 4) THEN p END) OVER ()) AS p) FROM whole)"
+
+
+def gaps(t):
+    p = F.when(F.col("bucket") == 4, None).when(F.col("bucket") == 2, F.lit(float("nan"))).otherwise(F.col("p"))
+    return pred(t).withColumn("p", p)
+
+
+@query("met7_pr_auc", f"WITH {_GAPS}, {_CURVE('')} SELECT round(sum(pos * (prec + prev) / 2) / sum(pos), 6) AS pr_auc FROM q")
 def _(t):
-    return M.curve_areas(pred(t), "p", "y").select(rounded("pr_auc"))
+    return M.curve_areas(gaps(t), "p", "y").select(rounded("pr_auc"))
 
 
-@query("met8_roc_auc", f"WITH {_PRED}, {_CURVE('')} SELECT CAST(sum(pos) AS BIGINT) AS n_pos, round(sum(neg * (tp - pos / 2)) / (sum(pos) * sum(neg)), 6) AS roc_auc FROM q")
+@query("met8_roc_auc", f"WITH {_GAPS}, {_CURVE('')} SELECT CAST(sum(pos) AS BIGINT) AS n_pos, round(sum(neg * (tp - pos / 2)) / (sum(pos) * sum(neg)), 6) AS roc_auc FROM q")
 def _(t):
-    return M.curve_areas(pred(t), "p", "y").select("n_pos", rounded("roc_auc"))
+    return M.curve_areas(gaps(t), "p", "y").select("n_pos", rounded("roc_auc"))
 
 
 @query("met9_grouped_precision", f"""

@@ -98,6 +98,17 @@ def _(t):
     return R.compare_splits(train, test, "o_custkey", "item").withColumn("share", rounded("share"))
 
 
+@query("pro9_length_percentiles", """
+WITH l AS (SELECT o_orderdate < TIMESTAMP '2000-01-01' AS tr, o_custkey, count(*) AS length FROM orders GROUP BY ALL), p AS (SELECT unnest([0.25, 0.5, 0.75, 0.9, 0.99]) AS point),
+ q AS (SELECT point, (SELECT quantile_cont(length, [0.25, 0.5, 0.75, 0.9, 0.99]) FROM l WHERE tr) AS a, (SELECT quantile_cont(length, [0.25, 0.5, 0.75, 0.9, 0.99]) FROM l WHERE NOT tr) AS b, row_number() OVER (ORDER BY point) AS i FROM p)
+SELECT CAST(point AS DOUBLE) AS point, round(a[i], 6) AS train, round(b[i], 6) AS test, round(a[i] / b[i], 6) AS ratio FROM q""")
+def _(t):
+    o = t.orders
+    train, test = o.filter("o_orderdate < timestamp_ntz'2000-01-01'"), o.filter("o_orderdate >= timestamp_ntz'2000-01-01'")
+    compared = R.compare_lengths(train, test, "o_custkey", [0.25, 0.5, 0.75, 0.9, 0.99])
+    return compared.select("point", rounded("train"), rounded("test"), rounded("ratio"))
+
+
 def _profile_sql() -> str:
     pick = [f"count(*) AS n_rows, min(s) AS first_second, max(s) AS last_second, CAST(date_diff('day', min(ts), max(ts)) AS INT) AS n_days, count(DISTINCT user_id) AS n_users, count(DISTINCT item) AS n_items, "
             "count(DISTINCT sess) AS n_sessions, count(DISTINCT (user_id, item)) AS n_pairs, round(1 - count(DISTINCT (user_id, item)) / (count(DISTINCT user_id) * count(DISTINCT item)), 6) AS sparsity"]
@@ -123,4 +134,4 @@ def _(t):
 WITH f AS (SELECT user_id, count(*) AS freq FROM events GROUP BY 1), b AS (SELECT freq, count(*) AS n_keys FROM f GROUP BY 1)
 SELECT freq, n_keys, round(sum(n_keys) OVER (ORDER BY freq DESC) / (SELECT count(*) FROM f), 6) AS key_share, round(sum(freq * n_keys) OVER (ORDER BY freq DESC) / (SELECT count(*) FROM events), 6) AS row_share FROM b""")
 def _(t):
-    return R.share_table(t.events, "user_id").select("freq", "n_keys", rounded("key_share"), rounded("row_share"))
+    return R.share_curve(t.events, "user_id").select("freq", "n_keys", rounded("key_share"), rounded("row_share"))

@@ -38,7 +38,7 @@ WITH $LOG, n AS (SELECT basket, item, price, row_number() OVER (PARTITION BY bas
 SELECT basket, CAST(position AS INT) AS position, CAST(item AS VARCHAR) AS item, price AS value, CAST(item = clicked AS INT) AS label FROM n WHERE n > 1""")
 def _(t):
     first = with_group(t.log, ["basket"], clicked=F.min_by("item", F.struct(*LINE_ORDER)))
-    lists = Q.chunk_lists(first, ["basket"], LINE_ORDER, ["item", "price", "clicked"])
+    lists = Q.chunk_lists(first, ["basket"], LINE_ORDER, ["item", "price", "clicked"], Q.CHUNK)
     bar = lambda c: F.array_join(F.col(c).cast("array<string>"), "|")
     shown = lists.select("basket", "chunk", bar("item_list").alias("impressions"), bar("price_list").alias("prices"),
                          F.col("clicked_list")[0].cast("string").alias("reference"))
@@ -69,14 +69,23 @@ def _(t):
 
 
 @query("seq5_membership_flags", f"""
-WITH $LOG, r AS (SELECT *, row_number() OVER (PARTITION BY basket ORDER BY line DESC, item DESC, author DESC, price DESC, ship DESC) AS b FROM log),
+WITH $LOG, r AS (SELECT *, row_number() OVER (PARTITION BY basket ORDER BY $LINE_ORDER) - 1 AS b FROM log),
  c AS (SELECT DISTINCT basket, item FROM log WHERE y = 1)
-SELECT basket, string_agg(CASE WHEN c.item IS NULL THEN '0' ELSE '1' END, ',' ORDER BY b DESC) AS flags FROM r LEFT JOIN c USING (basket, item) WHERE b <= 50 GROUP BY basket""")
+SELECT basket, b // 10000 AS chunk, string_agg(CASE WHEN c.item IS NULL THEN '0' ELSE '1' END, ',' ORDER BY b) AS flags FROM r LEFT JOIN c USING (basket, item) GROUP BY ALL""")
 def _(t):
-    shown = Q.last_lists(t.log, ["basket"], LINE_ORDER, ["item", "y"], 50)
-    pairs = F.filter(F.arrays_zip("item_list", "y_list"), lambda p: p["y_list"] == 1)
+    # An item chosen in another chunk of the basket counts too, so choices are marked on rows.
+    marked = with_group(t.log, ["basket", "item"], bought=F.max("y"))
+    shown = Q.chunk_lists(marked, ["basket"], LINE_ORDER, ["item", "bought"], Q.CHUNK)
+    pairs = F.filter(F.arrays_zip("item_list", "bought_list"), lambda p: p["bought_list"] == 1)
     chosen = F.transform(pairs, lambda p: p["item_list"])
-    return shown.select("basket", text(Q.membership(F.col("item_list"), chosen), "flags"))
+    return shown.select("basket", "chunk", text(Q.membership(F.col("item_list"), chosen), "flags"))
+
+
+@query("seq5_fresh_clicks", f"""
+WITH {_EV} SELECT DISTINCT user_id, day, item FROM ev WHERE event_type = 'click' AND (user_id, day, item) NOT IN (SELECT (user_id, day, item) FROM ev WHERE event_type = 'view')""")
+def _(t):
+    rows = sessions(t)
+    return Q.fresh_items(rows.filter("event_type = 'click'"), rows.filter("event_type = 'view'"), SESSION, "item")
 
 
 @query("seq6_last_n", f"""
@@ -89,11 +98,11 @@ def _(t):
 
 
 @query("seq7_scaled_elements", f"""
-WITH {_EV}, r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY s DESC, event_id DESC) AS b FROM ev), m AS (SELECT avg(value) AS a, stddev_samp(value) AS d FROM r WHERE b <= 10)
-SELECT user_id, string_agg(CAST(CAST(round((value - a) / d * 1000000) AS BIGINT) AS VARCHAR), ',' ORDER BY b DESC) AS scaled FROM r, m WHERE b <= 10 GROUP BY user_id""")
+WITH {_EV}, r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY s, event_id) - 1 AS b FROM ev), m AS (SELECT avg(value) AS a, stddev_samp(value) AS d FROM ev)
+SELECT user_id, b // 10000 AS chunk, string_agg(CAST(CAST(round((value - a) / d * 1000000) AS BIGINT) AS VARCHAR), ',' ORDER BY b) AS scaled FROM r, m GROUP BY ALL""")
 def _(t):
-    lists = Q.last_lists(sessions(t), ["user_id"], ["s", "event_id"], ["value"], 10)
-    return Q.scale_elements(lists, "value_list", lists, "scaled").select("user_id", scaled("scaled"))
+    lists = Q.chunk_lists(sessions(t), ["user_id"], ["s", "event_id"], ["value"], Q.CHUNK)
+    return Q.scale_elements(lists, "value_list", lists, "scaled").select("user_id", "chunk", scaled("scaled"))
 
 
 @query("seq8_half_labels", f"""
@@ -107,9 +116,9 @@ def _(t):
 
 
 @query("seq9_minimum_length", f"""
-WITH {_EV} SELECT event_id FROM ev WHERE (user_id, day) IN (SELECT (user_id, day) FROM ev GROUP BY user_id, day HAVING count(*) >= 2)""")
+WITH {_EV} SELECT event_id FROM ev WHERE day >= '2024-01-25' OR (user_id, day) IN (SELECT (user_id, day) FROM ev GROUP BY user_id, day HAVING count(*) >= 2)""")
 def _(t):
-    return with_group(sessions(t), SESSION, n=F.count(F.lit(1))).filter("n >= 2").select("event_id")
+    return Q.minimum_length(sessions(t), SESSION, 2, keep=F.col("day") >= "2024-01-25").select("event_id")
 
 
 @query("seq10_first_add_position", f"""
@@ -129,22 +138,20 @@ def _(t):
 
 
 @query("seq12_padded_lists", """
-WITH $LOG, r AS (SELECT basket, item, row_number() OVER (PARTITION BY basket ORDER BY line DESC, item DESC, author DESC, price DESC, ship DESC) AS b FROM log),
- l AS (SELECT basket, list(item ORDER BY b DESC) AS items FROM r WHERE b <= 4 GROUP BY basket)
+WITH $LOG, l AS (SELECT basket, list(item ORDER BY $LINE_ORDER) AS items FROM log GROUP BY basket)
 SELECT basket, array_to_string(list_concat(items, [0, 0, 0, 0])[1:4], ',') AS padded FROM l""")
 def _(t):
-    lists = Q.last_lists(t.log, ["basket"], LINE_ORDER, ["item"], 4)
+    lists = Q.chunk_lists(t.log, ["basket"], LINE_ORDER, ["item"], Q.CHUNK).filter("chunk = 0")
     return lists.select("basket", text(Q.pad(F.col("item_list"), 4), "padded"))
 
 
 @query("seq13_cut_after_add", f"""
 WITH {_AROUND}, n AS (SELECT user_id, day, item, row_number() OVER (PARTITION BY user_id, day ORDER BY s, event_id) AS i, count(*) FILTER (side < 0) OVER (PARTITION BY user_id, day) AS p, s, event_id FROM ar)
-SELECT user_id, day, string_agg(CAST(item AS VARCHAR), ',' ORDER BY i) AS items FROM n WHERE i <= p + 1 + 2 GROUP BY user_id, day""")
+SELECT user_id, day, i AS position, item FROM n WHERE i <= p + 1 + 2""")
 def _(t):
     around = _add(t)
     place = Q.event_position(around, SESSION, "item").select(*SESSION, (F.col("position") + 3).alias("kept"))
-    kept = Q.rows_of_cuts(around, place, SESSION, ["s", "event_id"])
-    return Q.chunk_lists(kept, SESSION, ["position"], ["item"]).select(*SESSION, text("item_list", "items"))
+    return Q.rows_of_cuts(around, place, SESSION, ["s", "event_id"]).select(*SESSION, "position", "item")
 
 
 @query("seq14_cut_points", f"""
@@ -175,6 +182,20 @@ def _(t):
     return Q.resample_to(rows, ["k"], "bucket", "split", "valid", "test")
 
 
+@query("seq16_balanced_buckets", """
+WITH n AS (SELECT l_orderkey AS k, least(10, count(*) // 2 * 2) AS bucket FROM lineitem GROUP BY 1),
+ s AS (SELECT k, CAST(bucket AS INT) AS bucket, CASE WHEN k % 3 = 0 THEN 'test' ELSE 'valid' END AS split FROM n),
+ z AS (SELECT bucket, count(*) FILTER (split = 'valid') / (SELECT count(*) FROM s WHERE split = 'valid') AS a, count(*) FILTER (split = 'test') / (SELECT count(*) FROM s WHERE split = 'test') AS b FROM s WHERE bucket > 0 GROUP BY bucket),
+ q AS (SELECT bucket, floor((a - (a + b) / 2) * (SELECT count(*) FROM s WHERE split = 'valid') + 1e-9) AS quota FROM z),
+ d AS (SELECT k, bucket, row_number() OVER (PARTITION BY bucket ORDER BY md5(CAST(k AS VARCHAR) || '|0')) AS i FROM s WHERE split = 'valid' AND bucket > 0)
+SELECT s.k, s.bucket, split, CASE WHEN i <= quota THEN 0 ELSE s.bucket END AS new_bucket FROM s LEFT JOIN d USING (k) LEFT JOIN q ON q.bucket = s.bucket""")
+def _(t):
+    """The target is the mean of both distributions."""
+    n = t.lineitem.groupBy(F.col("l_orderkey").alias("k")).agg(F.count(F.lit(1)).alias("_n"))
+    rows = n.select("k", S.snap_even(F.col("_n")).alias("bucket"), F.when(F.pmod("k", F.lit(3)) == 0, "test").otherwise("valid").alias("split"))
+    return Q.resample_to(rows, ["k"], "bucket", "split", "valid", "test", balanced=True)
+
+
 _KINDS = ("signup", "view", "click", "purchase")
 
 
@@ -249,10 +270,10 @@ def _(t):
 
 @query("seq24_item_embeddings")
 def _(t):
-    lists = Q.last_lists(sessions(t), ["user_id"], ["s", "event_id"], ["item"], 500)
+    lists = Q.chunk_lists(sessions(t), ["user_id"], ["s", "event_id"], ["item"], Q.CHUNK)
     words = lists.select(F.col("item_list").cast("array<string>").alias("items"))
     model = Q.item_embeddings(words, "items", size=8)
-    return model.getVectors().select(F.col("word").alias("item"), F.size(vector_to_array("vector")).alias("size"))
+    return model.getVectors().select(F.col("word").alias("item"), vector_to_array("vector").alias("vector"))
 
 
 @query("seq25_placeholder_item", """

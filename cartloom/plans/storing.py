@@ -105,7 +105,7 @@ def _(t):
 @query("snk4_bounded_files", "SELECT 1 AS bounded, count(*) AS n FROM lineitem")
 def _(t):
     folder = scratch_folder(t.spark) + "/bounded"
-    writers.write_parquet(t.lineitem, folder, rows_per_file=10000, block_bytes=1 << 20)
+    writers.write_parquet(t.lineitem, folder, rows_per_file=10000, block_bytes=1 << 20, rows_per_group=2000)
     sizes = readers.read_parquet(t.spark, folder).groupBy(F.input_file_name()).agg(F.count(F.lit(1)).alias("n"))
     return sizes.agg((F.max("n") <= 10000).cast("int").alias("bounded"), big(F.sum("n"), "n"))
 

@@ -34,10 +34,11 @@ def local_session(cores: int | str = 8, app: str = "cartloom") -> SparkSession:
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names for checkpoints, kept through lost executors.
 
-    Only a local session without the setting may pick one of its own.
+    A folder given to the context by setCheckpointDir serves as well. Only a
+    local session with neither may pick one of its own.
     """
     global _local_folder
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder is not None:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
@@ -54,12 +55,16 @@ def scratch_folder(spark: SparkSession) -> str:
 
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the shared folder."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(df.sparkSession))
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def checkpoint_folder(spark: SparkSession) -> None:
+    """See that checkpoints go to the shared folder."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
+
+
 def stored(table: DataFrame, source: DataFrame | None = None) -> DataFrame:
     """The table written to the shared folder and read back.
 

@@ -10,13 +10,16 @@ from pyspark.sql import functions as F
 from cartloom.operators.ordered import ordered_list, top_k
 
 
-def write_parquet(df: DataFrame, path: str, rows_per_file: int | None = None, block_bytes: int | None = None) -> None:
+def write_parquet(df: DataFrame, path: str, rows_per_file: int | None = None, block_bytes: int | None = None,
+                  rows_per_group: int | None = None) -> None:
     """One Parquet folder, with bounded files or row groups when asked."""
     writer = df.write.mode("overwrite")
     if rows_per_file:
         writer = writer.option("maxRecordsPerFile", rows_per_file)
     if block_bytes:
         writer = writer.option("parquet.block.size", block_bytes)
+    if rows_per_group:
+        writer = writer.option("parquet.block.row.count.limit", rows_per_group)
     writer.parquet(path)
 
 
