@@ -73,11 +73,13 @@ def scale_day(df: DataFrame, day: str, hour: str, score: str, which: int) -> Dat
     """Level one day's scores to its neighbours.
 
     The factor averages the ratios of mean score across midnight on both sides
-    of the day.
+    of the day. Where one side has no ratio the other counts alone, and without
+    both the scores stay as they are.
     """
     at = lambda d, h: F.avg(F.when((F.col(day) == d) & (F.col(hour) == h), F.col(score)))
     edge = df.agg(at(which - 1, 23).alias("a"), at(which, 0).alias("b"), at(which, 23).alias("c"), at(which + 1, 0).alias("d"))
-    factor = edge.select(0.5 * F.col("a") / F.col("b") + 0.5 * F.col("d") / F.col("c")).scalar()
+    left, right = F.try_divide("a", "b"), F.try_divide("d", "c")
+    factor = edge.select(F.coalesce(0.5 * left + 0.5 * right, left, right, F.lit(1.0))).scalar()
     return df.withColumn(score, F.when(F.col(day) == which, F.col(score) * factor).otherwise(F.col(score)))
 
 

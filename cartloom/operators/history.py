@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cartloom.operators.joins import attach
 from cartloom.operators.ordered import Shift, ordered_windows, with_group
+from cartloom.runtime import stored
 
 FIFTEEN_DAYS = 15 * 86400
 
@@ -71,7 +72,7 @@ def favourite(df: DataFrame, entity: str, value: str, out: str, support: int = 0
 def favourite_flags(df: DataFrame, favourites: DataFrame, entity: str, fav: str, values: Sequence[str],
                     name: str, fav_key: str | None = None) -> DataFrame:
     """same / diff / unknown flags of the row's value(s) against the favourite."""
-    joined = attach(df, favourites, {entity: fav_key or entity})
+    joined = attach(df, stored(favourites, df), {entity: fav_key or entity})
     hit = None
     for v in values:
         one = F.coalesce(F.col(v) == F.col(fav), F.lit(False))
@@ -92,7 +93,7 @@ def union_columns(df: DataFrame, entity: str, columns: Sequence[str], value: str
 def authored_count(df: DataFrame, reader: str, author: str, item: str, out: str) -> DataFrame:
     """Number of distinct items the reader of a row has authored."""
     counts = df.groupBy(F.col(author).alias("_a")).agg(F.countDistinct(item).alias(out))
-    return attach(df, counts, {reader: "_a"}, {out: 0})
+    return attach(df, stored(counts, df), {reader: "_a"}, {out: 0})
 
 
 def stable_flag(df: DataFrame, entity: Sequence[str], values: Sequence[str], at: str, out: str) -> DataFrame:
@@ -104,7 +105,7 @@ def stable_flag(df: DataFrame, entity: Sequence[str], values: Sequence[str], at:
         *entity, *values,
         F.when(F.col("_span") == 0, -1).otherwise((F.col("_span") == F.col("_most")).cast("int")).alias(out),
     )
-    return attach(df, flags, [*entity, *values])
+    return attach(df, stored(flags, df), [*entity, *values])
 
 
 def modal_flag(df: DataFrame, entity: Sequence[str], values: Sequence[str], out: str) -> DataFrame:
@@ -115,7 +116,7 @@ def modal_flag(df: DataFrame, entity: Sequence[str], values: Sequence[str], out:
         *entity, *values,
         F.when(F.col("_n") <= 1, -1).otherwise((F.col("_n") == F.col("_most")).cast("int")).alias(out),
     )
-    return attach(df, flags, [*entity, *values])
+    return attach(df, stored(flags, df), [*entity, *values])
 
 
 def latest_attributes(df: DataFrame, entity: str, order: Sequence[str], columns: Sequence[str],

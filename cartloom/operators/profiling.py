@@ -32,7 +32,7 @@ def sizes(df: DataFrame, user: str, item: str, session: str, at: str) -> DataFra
         count(user).alias("n_users"), count(item).alias("n_items"),
         count(session).alias("n_sessions"), count(user, item).alias("n_pairs"),
     )
-    return out.withColumn("sparsity", 1 - F.col("n_pairs") / (F.col("n_users") * F.col("n_items")))
+    return out.withColumn("sparsity", 1 - F.try_divide(F.col("n_pairs"), F.col("n_users") * F.col("n_items")))
 
 
 def frequency_profile(df: DataFrame, key: str) -> DataFrame:

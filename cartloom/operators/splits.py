@@ -63,9 +63,9 @@ def balanced_group_folds(df: DataFrame, key: str, folds: int, fold: str = "fold"
 def contiguous_folds(df: DataFrame, order: Sequence, folds: int, wrap: bool = False, fold: str = "fold",
                      hot_rows: int | None = None) -> DataFrame:
     """Equal runs of consecutive rows. The remainder joins the last fold, or
-    starts over at fold 0 with ``wrap``."""
+    starts over at fold 0 with ``wrap``; fewer rows than folds are a run each."""
     numbered = number_rows(df, order, "_row", hot_rows=hot_rows)
-    size = F.floor(df.select(F.count(F.lit(1))).scalar() / folds)
+    size = F.greatest(F.lit(1), F.floor(df.select(F.count(F.lit(1))).scalar() / folds))
     run = F.floor(F.col("_row") / size)
     placed = F.pmod(run, F.lit(folds)) if wrap else F.least(run, F.lit(folds - 1))
     return numbered.withColumn(fold, placed.cast("int")).drop("_row")

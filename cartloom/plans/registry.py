@@ -8,7 +8,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartloom.runtime import spread
+from cartloom.runtime import ADAPTIVE, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -25,16 +25,8 @@ LINE_ORDER = ["line", "item", "author", "price", "ship"]
 LINE_ORDER_SQL = "line, item, author, price, ship"
 
 
-# Epoch values need UTC; hot keys in joins are split even where that costs
-# another shuffle.
-SESSION_OPTIONS = {
-    "spark.sql.session.timeZone": "UTC",
-    "spark.sql.adaptive.enabled": "true",
-    "spark.sql.adaptive.skewJoin.enabled": "true",
-    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
-    # Hash joins without sorting where every built partition is seen to be small.
-    "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64m",
-}
+# Epoch values need UTC.
+SESSION_OPTIONS = {"spark.sql.session.timeZone": "UTC"} | ADAPTIVE
 
 
 class Tables:

@@ -16,6 +16,24 @@ SMALL_ROWS = 1_000_000
 _local_folder: str | None = None
 
 
+# Hot keys in joins are split even where that costs another shuffle.
+ADAPTIVE = {
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Hash joins without sorting where every built partition is seen to be small.
+    "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64m",
+}
+"""What a session should be set to for the operators' joins; see ``tune``."""
+
+
+def tune(spark: SparkSession) -> SparkSession:
+    """Set the options that the operators count on."""
+    for option, value in ADAPTIVE.items():
+        spark.conf.set(option, value)
+    return spark
+
+
 def local_session(cores: int | str = 8, app: str = "cartloom") -> SparkSession:
     """A local session for tests and the benchmark; clusters bring their own."""
     return (

@@ -232,3 +232,51 @@ def test_unlabelled_log(spark, tmp_path):
     (tmp_path / "log.tsv").write_text(line + "\n")
     row = readers.read_engagements(spark, str(tmp_path / "log.tsv"), labelled=False).first()
     assert (row.text_tokens, row.hashtags, row.media, row.b_follows_a, row.a_follower_count) == ("1\t2", None, "Photo\tGIF", True, 1)
+
+
+def test_missing_scores_count_as_the_mean(spark):
+    from cartloom.operators.metrics import curve_areas
+
+    rows = [(0.9, 1), (0.1, 0), (float("nan"), 0), (None, 1)]
+    got = curve_areas(spark.createDataFrame(rows, "p double, y int"), "p", "y").first()
+    assert got.roc_auc == pytest.approx(0.875)
+
+
+def test_row_groups_are_bounded(spark, tmp_path):
+    import glob
+
+    import pyarrow.parquet as pq
+
+    from cartloom.sources.writers import write_parquet
+
+    write_parquet(spark.range(5000).coalesce(1), str(tmp_path / "t"), rows_per_group=1000)
+    meta = pq.ParquetFile(glob.glob(str(tmp_path / "t" / "*.parquet"))[0]).metadata
+    assert max(meta.row_group(i).num_rows for i in range(meta.num_row_groups)) <= 1000
+
+
+def test_one_shared_folder(spark):
+    from cartloom import runtime
+
+    assert runtime.stored(spark.range(3)).count() == runtime.cut_lineage(spark.range(3)).count() == 3
+    assert runtime.shared_folder(spark).removeprefix("file:") in spark.sparkContext.getCheckpointDir()
+
+
+def test_short_sessions_and_flagged_rows(spark):
+    from cartloom.operators.sequences import minimum_length
+
+    df = spark.createDataFrame([(1, 0), (1, 0), (2, 0), (3, 1)], "s int, test int")
+    assert sorted(r.s for r in minimum_length(df, ["s"], 2, keep=F.col("test") == 1).collect()) == [1, 1, 3]
+
+
+def test_fewer_rows_than_folds(spark):
+    from cartloom.operators.splits import contiguous_folds
+
+    assert sorted(r.fold for r in contiguous_folds(spark.range(3), ["id"], 5).collect()) == [0, 1, 2]
+
+
+def test_a_day_without_neighbours_keeps_its_scores(spark):
+    from cartloom.operators.blending import scale_day
+
+    df = spark.createDataFrame([(1, 23, 2.0), (2, 0, 1.0), (2, 12, 3.0)], "d int, h int, s double")
+    assert sorted(r.s for r in scale_day(df, "d", "h", "s", 2).collect()) == [2.0, 2.0, 6.0]
+    assert sorted(r.s for r in scale_day(df.filter("d = 2"), "d", "h", "s", 2).collect()) == [1.0, 3.0]
