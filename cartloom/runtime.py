@@ -14,6 +14,7 @@ SMALL_ROWS = 1_000_000
 """Nor is one of more counted rows; only a small plan may go to a single task."""
 
 _local_folder: str | None = None
+_scratch: list[str] = []
 
 
 # Hot keys in joins are split even where that costs another shuffle.
@@ -67,8 +68,21 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def scratch_folder(spark: SparkSession) -> str:
-    """A fresh path beneath the shared folder."""
-    return f"{shared_folder(spark)}/cartloom-{uuid.uuid4().hex}"
+    """A fresh path beneath the shared folder; see ``drop_scratch``."""
+    path = f"{shared_folder(spark)}/cartloom-{uuid.uuid4().hex}"
+    _scratch.append(path)
+    return path
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Delete what this program has written to scratch folders so far.
+
+    To be called when no result that reads from them is needed any more; the
+    files are kept until then, as lazy results read them.
+    """
+    while _scratch:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_scratch.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -1,6 +1,6 @@
 import pytest
 
-from cartloom.runtime import local_session
+from cartloom.runtime import drop_scratch, local_session
 
 
 @pytest.fixture(scope="session")
@@ -11,6 +11,7 @@ def spark(tmp_path_factory):
     if session.conf.get("spark.checkpoint.dir", None) is None:
         session.sparkContext.setCheckpointDir(str(tmp_path_factory.mktemp("checkpoints")))
     yield session
+    drop_scratch(session)
 
 
 @pytest.fixture

@@ -280,3 +280,17 @@ def test_a_day_without_neighbours_keeps_its_scores(spark):
     df = spark.createDataFrame([(1, 23, 2.0), (2, 0, 1.0), (2, 12, 3.0)], "d int, h int, s double")
     assert sorted(r.s for r in scale_day(df, "d", "h", "s", 2).collect()) == [2.0, 2.0, 6.0]
     assert sorted(r.s for r in scale_day(df.filter("d = 2"), "d", "h", "s", 2).collect()) == [1.0, 3.0]
+
+
+def test_scratch_can_be_dropped(spark):
+    import os
+
+    from cartloom import runtime
+
+    path = runtime.scratch_folder(spark)
+    spark.range(3).write.parquet(path)
+    assert os.path.isdir(path.removeprefix("file:"))
+    kept, runtime._scratch[:] = runtime._scratch[:-1], [path]
+    runtime.drop_scratch(spark)
+    runtime._scratch[:] = kept
+    assert not os.path.exists(path.removeprefix("file:"))
