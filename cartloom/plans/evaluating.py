@@ -87,8 +87,9 @@ def _(t):
 
 
 @query("bld7_level_one_day", """
-WITH e AS (SELECT event_id, day(ts) AS d, hour(ts) AS h, value FROM events), f AS (SELECT 0.5 * avg(value) FILTER (d = 17 AND h = 23) / avg(value) FILTER (d = 18 AND h = 0)
- + 0.5 * avg(value) FILTER (d = 19 AND h = 0) / avg(value) FILTER (d = 18 AND h = 23) AS f FROM e)
+WITH e AS (SELECT event_id, day(ts) AS d, hour(ts) AS h, value FROM events),
+ r AS (SELECT avg(value) FILTER (d = 17 AND h = 23) / nullif(avg(value) FILTER (d = 18 AND h = 0), 0) AS a, avg(value) FILTER (d = 19 AND h = 0) / nullif(avg(value) FILTER (d = 18 AND h = 23), 0) AS b FROM e),
+ f AS (SELECT coalesce(0.5 * a + 0.5 * b, a, b, 1) AS f FROM r)
 SELECT event_id, round(CASE WHEN d = 18 THEN value * f ELSE value END, 6) AS value, round(CASE WHEN d = 18 THEN value * 0.85 ELSE value END, 6) AS fixed FROM e, f""")
 def _(t):
     e = t.events.select("event_id", F.dayofmonth("ts").alias("d"), F.hour("ts").alias("h"), "value", F.col("value").alias("fixed"))
