@@ -29,19 +29,19 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cartloom.llm.registry import llm_query, read
+from cartloom.llm.registry import llm_query, read, settled
 from cartloom.llm.words import BLANK_CUT, find_words, mix, pair_hashes, slices
 
 DISCOUNT = 0.75
-BLOCK_TOKENS = 4_000_000
+BLOCK_TOKENS = 6_000_000
 SHARD_BYTES = 24 << 20
 """Text bytes for each shard of counts."""
 END, BEGIN = mix(np.array([0x454E44, 0x424547], dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
-# Messages: what they are, where to, from where, entries, then packed arrays.
-MESSAGE = "kind string, target long, origin long, n long, a binary, b binary, c binary, d binary"
-_MESSAGE = pa.schema([("kind", pa.string()), ("target", pa.int64()), ("origin", pa.int64()), ("n", pa.int64()),
-                      ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary()), ("d", pa.binary())])
+# A message goes to the shard or block (kind, target): what it is, where from, how many entries, packed arrays.
+MESSAGE = "kind string, target long, what string, origin long, n long, a binary, b binary, c binary, d binary, e binary"
+_MESSAGE = pa.schema([("kind", pa.string()), ("target", pa.int64()), ("what", pa.string()), ("origin", pa.int64()), ("n", pa.int64()),
+                      *((c, pa.binary()) for c in "abcde")])
 
 
 def pack(x: np.ndarray) -> bytes:
@@ -73,11 +73,22 @@ def _shard_edges(hashes: np.ndarray, shards: int) -> np.ndarray:
     return np.searchsorted(shard, np.arange(shards + 1, dtype=np.uint64))
 
 
+def _message(kind: str, target: int, what: str, origin: int, n: int, *arrays: bytes) -> tuple:
+    return (kind, target, what, origin, n, *arrays, *[None] * (5 - len(arrays)))
+
+
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _MESSAGE.types)], schema=_MESSAGE) if rows \
         else pa.RecordBatch.from_pylist([], schema=_MESSAGE)
 
 
+def _to_shards(kind: str, what: str, origin: int, keys: np.ndarray, counts: np.ndarray, shards: int) -> list[tuple]:
+    """A message for every shard of the sorted keys."""
+    edges = _shard_edges(keys, shards)
+    return [_message(kind, s, what, origin, b - a, pack_sorted(keys[a:b]), pack(counts[a:b]))
+            for s, (a, b) in enumerate(zip(edges[:-1], edges[1:])) if b > a]
+
+
 def _words(texts: pa.Array):
     """Hashes of a column's words with END after each text, and where each text ends."""
     found = find_words(texts, BLANK_CUT)
@@ -123,9 +134,7 @@ def count_words(texts: DataFrame, shards: int) -> tuple[int, int]:
     def send(batches):
         for _, trained, hashes, ends in _blocks(batches):
             keys, counts = np.unique(hashes[_weights(trained, ends)], return_counts=True)
-            edges = _shard_edges(keys, shards)
-            yield _batch([("word", s, 0, b - a, pack_sorted(keys[a:b]), pack(counts[a:b]), None, None)
-                          for s, (a, b) in enumerate(zip(edges[:-1], edges[1:])) if b > a])
+            yield _batch(_to_shards("word", "words", 0, keys, counts, shards))
 
     def add(messages: pa.Table) -> pa.Table:
         keys = np.unique(np.concatenate([unpack_sorted(a.as_py()) for a in messages.column("a")]))
@@ -164,76 +173,112 @@ def _questions(shards: int):
             words, local = np.unique(hashes, return_inverse=True)
             weight = _weights(trained, ends)
             named = ids.is_valid().to_numpy(zero_copy_only=False)
-            about = np.concatenate([named, trained]).astype(np.uint64)
-            yield _batch([("text", block, 0, len(ids), pack(local), pack(np.concatenate([ends, ids.fill_null(0).to_numpy().view(np.uint64)])),
-                           pack(about), pack_sorted(words))])
+            # Frequent words get small numbers, whose upper bytes are all zero.
+            order = np.argsort(-np.bincount(local, minlength=len(words)), kind="stable")
+            rank = np.empty(len(order), dtype=np.int64)
+            rank[order] = np.arange(len(order))
+            yield _batch([_message(
+                "text", block, "texts", 0, len(ids), pack(rank[local]), pack(np.concatenate([ends, ids.fill_null(0).to_numpy().view(np.uint64)])),
+                pack(np.concatenate([named, trained])), pack_sorted(words), pack(order))])
+            del rank, order
 
-            counts = np.bincount(local[weight], minlength=len(words)).astype(np.uint64)
             # BEGIN is asked for among the words; training texts are its count.
+            counts = np.append(np.bincount(local[weight], minlength=len(words)), trained.sum())
             asked = np.append(words, BEGIN)
             order = np.argsort(asked)
-            asked, counts = asked[order], np.append(counts, np.uint64(trained.sum()))[order]
-            edges = _shard_edges(asked, shards)
-            yield _batch([("word", s, block, b - a, pack_sorted(asked[a:b]), pack(counts[a:b]), None, None)
-                          for s, (a, b) in enumerate(zip(edges[:-1], edges[1:])) if b > a])
+            yield _batch(_to_shards("word", "words", block, asked[order], counts[order], shards))
 
             keys, named_hashes = _pairs(local, ends, words)
             distinct, inverse = np.unique(keys, return_inverse=True)
-            counts = np.bincount(inverse[weight], minlength=len(distinct)).astype(np.uint64)
+            counts = np.bincount(inverse[weight], minlength=len(distinct))
             del keys, inverse
-            hashes_of = _key_hashes(distinct, named_hashes)
-            order = np.argsort(hashes_of)
-            hashes_of, counts = hashes_of[order], counts[order]
-            before = named_hashes[(distinct[order] >> np.uint64(32)).astype(np.int64)]
-            edges = _shard_edges(hashes_of, shards)
-            for s, (a, b) in enumerate(zip(edges[:-1], edges[1:])):
-                if b > a:
-                    states, of = np.unique(before[a:b], return_inverse=True)
-                    yield _batch([("pair", s, block, b - a, pack_sorted(hashes_of[a:b]), pack(counts[a:b]), pack(of), pack_sorted(states))])
+            hashes = _key_hashes(distinct, named_hashes)
+            order = np.argsort(hashes)
+            for message in _to_shards("pair", "pairs", block, hashes[order], counts[order], shards):
+                yield _batch([message])
 
     return send
 
 
-def _add_pairs(shards: int):
-    """For each block its pairs' counts; for the words' shards how many words each word has after it."""
+def _add_pairs(messages: pa.Table) -> pa.Table:
+    """For each block twice its pairs' counts, and one more where the pair is the block's to count:
+    of the blocks that have a pair seen in training exactly one is told so."""
+    if messages.column("kind")[0].as_py() != "pair":
+        return pa.Table.from_batches([_batch([])])
+    sent = sorted(messages.to_pylist(), key=lambda m: m["origin"])
+    keys, first, where = np.unique(np.concatenate([unpack_sorted(m["a"]) for m in sent]), return_index=True, return_inverse=True)
+    totals = np.bincount(where, weights=np.concatenate([unpack(m["b"]) for m in sent]), minlength=len(keys)).astype(np.uint64)
+    answer = totals[where] * np.uint64(2)
+    answer[first[totals > 0]] += np.uint64(1)
+    rows, low = [], 0
+    for m in sent:
+        rows.append(_message("text", m["origin"], "pairs", m["target"], m["n"], pack(answer[low : low + m["n"]])))
+        low += m["n"]
+    return pa.Table.from_batches([_batch(rows)])
+
+
+class _Block:
+    """A block's texts and what the shards have answered."""
 
-    def add(messages: pa.Table) -> pa.Table:
-        if messages.column("kind")[0].as_py() != "pair":
+    def __init__(self, texts: pa.Table, answers: pa.Table):
+        block = {k: v[0] for k, v in texts.to_pydict().items()}
+        self.number, n = block["target"], block["n"]
+        self.local = unpack(block["e"]).astype(np.int64)[unpack(block["a"]).astype(np.int64)]
+        self.words, about, both = unpack_sorted(block["d"]), unpack(block["c"]).astype(bool), unpack(block["b"])
+        self.ends, self.ids = both[:n].astype(np.int64), both[n:].view(np.int64)
+        self.named, self.trained = about[:n], about[n:]
+        self.answers = sorted(answers.to_pylist(), key=lambda m: m["origin"])
+        # Words in the order of their hashes, BEGIN among them.
+        self.asked = np.append(self.words, BEGIN)
+        self.order = np.argsort(self.asked)
+
+    def gather(self, what: str, column: str) -> np.ndarray:
+        return np.concatenate([unpack(m[column]) for m in self.answers if m["what"] == what])
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct (before, word) numbers, their counts, and whether the pair is this block's to count."""
+        keys, hashes = _pairs(self.local, self.ends, self.words)
+        arcs = np.unique(keys)
+        answer = np.empty(len(arcs), dtype=np.uint64)
+        answer[np.argsort(_key_hashes(arcs, hashes))] = self.gather("pairs", "a")
+        return arcs, answer >> np.uint64(1), (answer & np.uint64(1)).astype(bool)
+
+
+def _has_texts(texts: pa.Table) -> bool:
+    return bool(texts.num_rows) and texts.column("kind")[0].as_py() == "text"
+
+
+def _count_after(shards: int):
+    """For the words' shards: how many of the pairs that are this block's to count each word begins."""
+
+    def count(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        if not _has_texts(texts):
             return pa.Table.from_batches([_batch([])])
-        sent = [[m[k] for k in ("origin", "n", "a", "b", "c", "d")] for m in messages.to_pylist()]
-        keys, where = np.unique(np.concatenate([unpack_sorted(m[2]) for m in sent]), return_inverse=True)
-        totals = np.bincount(where, weights=np.concatenate([unpack(m[3]) for m in sent]), minlength=len(keys)).astype(np.uint64)
-        state = np.empty(len(keys), dtype=np.uint64)
-        rows, low = [], 0
-        for origin, n, _, _, of, states in sent:
-            here = where[low : low + n]
-            state[here] = unpack_sorted(states)[unpack(of).astype(np.int64)]
-            rows.append(("pairs", origin, messages.column("target")[0].as_py(), n, pack(totals[here]), None, None, None))
-            low += n
-        states, follow = np.unique(state[totals > 0], return_counts=True)
-        edges = _shard_edges(states, shards)
-        rows += [("after", s, -1, b - a, pack_sorted(states[a:b]), pack(follow[a:b]), None, None)
-                 for s, (a, b) in enumerate(zip(edges[:-1], edges[1:])) if b > a]
-        return pa.Table.from_batches([_batch(rows)])
-
-    return add
-
-
-def _add_words(messages: pa.Table) -> pa.Table:
+        block = _Block(texts, answers)
+        arcs, _, mine = block.pairs()
+        after = np.bincount((arcs[mine] >> np.uint64(32)).astype(np.int64), minlength=len(block.asked))[block.order]
+        some = after > 0
+        return pa.Table.from_batches([_batch(_to_shards("word", "after", block.number, block.asked[block.order][some], after[some], shards))])
+
+    return count
+
+
+def _add_words(asked: pa.Table, after: pa.Table) -> pa.Table:
     """For each block its words' counts and the number of words seen after each."""
-    sent = messages.to_pylist()
-    asked = [m for m in sent if m["origin"] >= 0]
+    if not asked.num_rows or asked.column("kind")[0].as_py() != "word":
+        return pa.Table.from_batches([_batch([])])
+    sent, more = asked.to_pylist(), after.to_pylist()
     keys, where = np.unique(np.concatenate([unpack_sorted(m["a"]) for m in sent]), return_inverse=True)
-    low, counts, after = 0, np.zeros(len(keys), dtype=np.uint64), np.zeros(len(keys), dtype=np.uint64)
-    places = {}
+    counts = np.bincount(where, weights=np.concatenate([unpack(m["b"]) for m in sent]), minlength=len(keys)).astype(np.uint64)
+    follow = np.zeros(len(keys), dtype=np.uint64)
+    for m in more:
+        follow[np.searchsorted(keys, unpack_sorted(m["a"]))] += unpack(m["b"])
+    rows, low = [], 0
     for m in sent:
         here = where[low : low + m["n"]]
-        (counts if m["origin"] >= 0 else after)[here] += unpack(m["b"])
-        if m["origin"] >= 0:
-            places[m["origin"]] = here
+        rows.append(_message("text", m["origin"], "words", m["target"], m["n"], pack(counts[here]), pack(follow[here])))
         low += m["n"]
-    return pa.Table.from_batches([_batch([("words", m["origin"], m["target"], m["n"], pack(counts[places[m["origin"]]]),
-                                           pack(after[places[m["origin"]]]), None, None) for m in asked])])
+    return pa.Table.from_batches([_batch(rows)])
 
 
 RESULT = "doc_id long, trained boolean, n_tokens long, n_known long, base_score double, score double"
@@ -267,28 +312,17 @@ def _walk(arcs, weights, failure, unigram, known, local, ends):
 
 def _score(tokens: int, distinct: int, discount: float):
     def score(texts: pa.Table, answers: pa.Table) -> pa.Table:
-        if not texts.num_rows or texts.column("kind")[0].as_py() != "text":
+        if not _has_texts(texts):
             return pa.table({k: pa.array([], t) for k, t in zip(
                 ("doc_id", "trained", "n_tokens", "n_known", "base_score", "score"),
                 (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()))})
-        block = {k: v[0] for k, v in texts.to_pydict().items()}
-        n = block["n"]
-        local, words, about = unpack(block["a"]).astype(np.int64), unpack_sorted(block["d"]), unpack(block["c"]).astype(bool)
-        both = unpack(block["b"])
-        ends, ids = both[:n].astype(np.int64), both[n:].view(np.int64)
-        by_kind: dict[str, list] = {"words": [], "pairs": []}
-        for m in answers.to_pylist():
-            by_kind[m["kind"]].append(m)
-        gather = lambda kind, column: np.concatenate([unpack(m[column]) for m in sorted(by_kind[kind], key=lambda m: m["origin"])])
-        order = np.argsort(np.append(words, BEGIN))
-        count, after = np.empty(len(order)), np.empty(len(order))
-        count[order], after[order] = gather("words", "a"), gather("words", "b")
+        block = _Block(texts, answers)
+        local, ends = block.local, block.ends
+        count, after = np.empty(len(block.asked)), np.empty(len(block.asked))
+        count[block.order], after[block.order] = block.gather("words", "a"), block.gather("words", "b")
 
         unigram = np.log10((count[:-1] + 1) / (tokens + distinct + 1))
-        keys, hashes = _pairs(local, ends, words)
-        arcs = np.unique(keys)
-        seen = np.empty(len(arcs))
-        seen[np.argsort(_key_hashes(arcs, hashes))] = gather("pairs", "a")
+        arcs, seen, _ = block.pairs()
         arcs, seen = arcs[seen > 0], seen[seen > 0]
         # The numbers after the words': the begin of a text, then the root. The end of a text leads nowhere.
         known = np.append(after > 0, False)
@@ -299,9 +333,8 @@ def _score(tokens: int, distinct: int, discount: float):
         weights = np.log10((seen - discount) / count[before] + 10 ** (failure[before] + unigram[word]))
         total = _walk(arcs, weights, failure, unigram, known, local, ends)
         begins = np.concatenate([[0], ends[:-1]])
-        named = about[:n]
         return pa.table({
-            "doc_id": pa.array(ids, mask=~named), "trained": pa.array(about[n:]), "n_tokens": pa.array(np.diff(ends, prepend=0)),
+            "doc_id": pa.array(block.ids, mask=~block.named), "trained": pa.array(block.trained), "n_tokens": pa.array(np.diff(ends, prepend=0)),
             "n_known": pa.array(np.add.reduceat((count[local] > 0).astype(np.int64), begins)),
             "base_score": pa.array(np.add.reduceat(unigram[local], begins)), "score": pa.array(total)})
 
@@ -314,6 +347,11 @@ def _of_kind(messages: DataFrame, kind: str) -> DataFrame:
     return messages.filter(F.when(F.spark_partition_id() >= 0, F.col("kind") == kind))
 
 
+def _renamed(messages: DataFrame) -> DataFrame:
+    """Keys by other names, for the side of a cogroup that comes from the same messages."""
+    return messages.withColumnsRenamed({"kind": "kind_", "target": "target_"})
+
+
 def language_scores(docs: DataFrame, trained: Column, discount: float = DISCOUNT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: doc_id, trained, n_tokens, n_known, train_tokens, base_score, score.
 
@@ -324,20 +362,20 @@ def language_scores(docs: DataFrame, trained: Column, discount: float = DISCOUNT
     they occur. With nothing to learn from, all is unknown: p = 1. An empty
     table gives no rows.
     """
-    texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(trained, F.lit(False)).alias("trained"),
-                        F.coalesce(F.col(text), F.lit("")).alias("text"))
+    texts = settled(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(trained, F.lit(False)).alias("trained"),
+                                F.coalesce(F.col(text), F.lit("")).alias("text")))
     size = texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    shards = max(1, math.ceil(size / SHARD_BYTES))
+    shards = max(2, math.ceil(size / SHARD_BYTES))
     tokens, distinct = count_words(texts, shards)
 
-    sent = texts.mapInArrow(_questions(shards), MESSAGE).repartition(shards, "kind", "target")
-    pairs = _of_kind(sent, "pair").groupBy("kind", "target").applyInArrow(_add_pairs(shards), MESSAGE).repartition(shards, "kind", "target")
-    words = (_of_kind(sent, "word").unionByName(_of_kind(pairs, "after")).repartition(shards, "target")
-             .groupBy("target").applyInArrow(_add_words, MESSAGE))
-    # All columns of both, so that the exchange of the pairs' answers is the same for its two readers.
-    answers = _of_kind(pairs, "pairs").unionByName(words).withColumnRenamed("target", "block")
-    scored = (_of_kind(sent, "text").groupBy("target").cogroup(answers.groupBy("block"))
-              .applyInArrow(_score(tokens, distinct, discount), RESULT))
+    keys = ["kind", "target"]
+    sent = texts.mapInArrow(_questions(shards), MESSAGE).repartition(shards, *keys)
+    pairs = _of_kind(sent, "pair").groupBy(*keys).applyInArrow(_add_pairs, MESSAGE).repartition(shards, *keys)
+    after = _of_kind(sent, "text").groupBy(*keys).cogroup(_renamed(pairs).groupBy("kind_", "target_")).applyInArrow(_count_after(shards), MESSAGE)
+    words = (_of_kind(sent, "word").groupBy(*keys).cogroup(_renamed(after).groupBy("kind_", "target_"))
+             .applyInArrow(_add_words, MESSAGE).repartition(shards, *keys))
+    answers = _renamed(pairs.unionByName(words)).groupBy("kind_", "target_")
+    scored = _of_kind(sent, "text").groupBy(*keys).cogroup(answers).applyInArrow(_score(tokens, distinct, discount), RESULT)
     return scored.withColumn("train_tokens", F.lit(tokens).cast("long"))
 
 
