@@ -33,7 +33,7 @@ from cartloom.llm.registry import llm_query, read, settled
 from cartloom.llm.words import BLANK_CUT, find_words, mix, pair_hashes, slices
 
 DISCOUNT = 0.75
-BLOCK_TOKENS = 6_000_000
+BLOCK_TOKENS = 1_500_000
 SHARD_BYTES = 24 << 20
 """Text bytes for each shard of counts."""
 END, BEGIN = mix(np.array([0x454E44, 0x424547], dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
