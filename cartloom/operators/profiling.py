@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cartloom.functions import timeparts as D
-from cartloom.operators.aggregates import frequency_summary, one_row, percentile_row, percentiles, share_curve
+from cartloom.operators.aggregates import frequency_summary, one_row, percentile_row, percentiles
 from cartloom.operators.history import session_gaps
 from cartloom.operators.joins import missing_ids
 from cartloom.operators.ordered import small_map, with_group

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from cartloom.functions import timeparts as D
 from cartloom.operators import profiling as R
+from cartloom.operators.aggregates import share_curve
 from cartloom.plans.aggregating import PERCENTILES_SQL
 from cartloom.plans.registry import query, rounded
 
@@ -134,4 +135,4 @@ def _(t):
 WITH f AS (SELECT user_id, count(*) AS freq FROM events GROUP BY 1), b AS (SELECT freq, count(*) AS n_keys FROM f GROUP BY 1)
 SELECT freq, n_keys, round(sum(n_keys) OVER (ORDER BY freq DESC) / (SELECT count(*) FROM f), 6) AS key_share, round(sum(freq * n_keys) OVER (ORDER BY freq DESC) / (SELECT count(*) FROM events), 6) AS row_share FROM b""")
 def _(t):
-    return R.share_curve(t.events, "user_id").select("freq", "n_keys", rounded("key_share"), rounded("row_share"))
+    return share_curve(t.events, "user_id").select("freq", "n_keys", rounded("key_share"), rounded("row_share"))
