@@ -8,8 +8,6 @@ and are the same on every run. Rates follow from the bytes of each source.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
