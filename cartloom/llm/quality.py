@@ -90,6 +90,21 @@ def _shares(counts: DataFrame, context: list[str], gram: list[str]) -> tuple[Dat
     return shares, totals.select(*context, (F.col("held") / F.col("total")).alias("value"))
 
 
+def _keyed(values: DataFrame, gram: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """A table's n-gram hashes and values on the driver; hashed in the tasks, so that 12 bytes of each row are sent."""
+
+    def key(batches):
+        for batch in batches:
+            columns = [batch.column(c).to_numpy().view(np.uint64) for c in gram]
+            keys = columns[-1]
+            for column in columns[-2::-1]:
+                keys = pair_hashes(column, keys)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), batch.column("value").cast(pa.float32())], names=["key", "value"])
+
+    got = values.select(*gram, "value").mapInArrow(key, "key long, value float").toArrow()
+    return got.column("key").to_numpy().view(np.uint64), got.column("value").to_numpy()
+
+
 class Model:
     """Sorted n-gram hashes with their values, for each table."""
 
@@ -131,26 +146,18 @@ def fit(trusted: DataFrame) -> Model:
     share3, weight3 = _shares(trigrams, ["u", "v"], _GRAM)
     share2, weight2 = _shares(bigrams, ["v"], ["v", "w"])
 
-    def columns(df: DataFrame) -> tuple:
-        got = df.toArrow()
-        return tuple(c.to_numpy().view(np.uint64) if pa.types.is_int64(c.type) else c.to_numpy() for c in got.columns)
-
-    w, n = columns(words.select("w", "n"))
+    w, n = _keyed(words.withColumnRenamed("n", "value"), ["w"])
     n = n.astype(np.float64)
     # Words carry their language in the hash; a language's words are those of its texts.
     floor, shares = {}, np.zeros(len(n))
-    of = {name: columns(_trigram_rows(rows.filter(F.col("lang") == F.lit(name))).select("w").distinct())[0] for name in names}
+    distinct = lambda name: _trigram_rows(rows.filter(F.col("lang") == F.lit(name))).select("w").distinct().withColumn("value", F.lit(0.0))
+    of = {name: _keyed(distinct(name), ["w"])[0] for name in names}
     for name in names:
         mine = np.isin(w, of[name])
         total = n[mine].sum()
         shares[mine] = (n[mine] - 0.5) / total
         floor[name] = float(0.5 * mine.sum() / total / (mine.sum() + 1))
-    v2, w2, value2 = columns(share2)
-    u3, v3, w3, value3 = columns(share3)
-    cv, cvalue = columns(weight2)
-    cu3, cv3, cvalue3 = columns(weight3)
-    return Model([(w, shares), (pair_hashes(v2, w2), value2), (cv, cvalue),
-                  (pair_hashes(u3, pair_hashes(v3, w3)), value3), (pair_hashes(cu3, cv3), cvalue3)], floor)
+    return Model([(w, shares), _keyed(share2, ["v", "w"]), _keyed(weight2, ["v"]), _keyed(share3, _GRAM), _keyed(weight3, ["u", "v"])], floor)
 
 
 def perplexities(docs: DataFrame, model: Model, text: str = "text", lang: str = "lang") -> DataFrame:
