@@ -24,6 +24,8 @@ SAMPLE_ROWS, SAMPLE_BYTES, LANGUAGES = 1000, 2_000_000, 256
 """Bound of the sample a model is fitted on: rows and bytes for each language, and languages (those
 of the most rows). It bounds the model, whatever the corpus, and so what is collected and broadcast."""
 UNKNOWN = "und"
+PIECE = 2 << 20
+"""Bytes of text scored at a time; a longer text is a piece of its own."""
 
 
 def _grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -154,7 +156,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         for batch in batches:
             texts, lettered = batch.column("_text"), batch.column("_lettered").to_numpy(zero_copy_only=False)
             best, score = np.full(len(texts), -1), np.zeros(len(texts))
-            for low, high in slices(texts):
+            for low, high in slices(texts, PIECE):
                 if model.languages:
                     bits = model.code_lengths(texts.slice(low, high - low))
                     best[low:high] = bits.argmin(axis=1)
