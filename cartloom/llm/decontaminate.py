@@ -15,7 +15,7 @@ from hashlib import md5
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cartloom.llm.registry import llm_query, read, written
@@ -152,15 +152,14 @@ def _candidates(docs: DataFrame, bits, size: int) -> DataFrame:
     return docs.mapInArrow(find, f"{kept}, {schema}")
 
 
-def _measured(docs: DataFrame, items: DataFrame, size: int = WINDOW, share: int = SHARE,
-                  doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def _measured(docs: DataFrame, items: DataFrame, size: int, share: int, doc_id: Column, text: str) -> DataFrame:
     """One row per document as of contamination(), with the md5 of each text that has a candidate."""
     spark = docs.sparkSession
     windows = written(benchmark_windows(items, size))
     wanted = windows.select(F.explode("shingles").alias("shingle")).distinct()
     chosen = written(prefixes(windows, shingle_counts(docs, wanted, text)))
     bits = spark.sparkContext.broadcast(_filter_of(chosen.select("shingle")))
-    rows = written(_candidates(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text")), bits, size))
+    rows = written(_candidates(docs.select(doc_id.alias("doc_id"), F.col(text).alias("_text")), bits, size))
 
     few = chosen.count() <= FEW_WINDOWS
     by_shingle = chosen.select("window", F.col("words").alias("window_words"), "shingle", "place", F.size("words").alias("length"))
@@ -202,12 +201,12 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW, share:
     no hits; rows repeated in text have equal results; an empty benchmark hits
     nothing; items that share a window are all named.
     """
-    return _measured(docs, items, size, share, doc_id, text).drop("digest")
+    return _measured(docs, items, size, share, F.col(doc_id), text).drop("digest")
 
 
 def decontaminated(docs: DataFrame, items: DataFrame, size: int = WINDOW, share: int = SHARE, text: str = "text") -> DataFrame:
     """The rows of docs that are not contaminated, all columns kept; null texts stay."""
-    dirty = written(_measured(docs, items, size, share, text, text).filter("contaminated").select("digest").distinct())
+    dirty = written(_measured(docs, items, size, share, F.lit(None).cast("long"), text).filter("contaminated").select("digest").distinct())
     marks = dirty.select(F.col("digest").alias("_digest"))
     if marks.count() <= FEW_WINDOWS:
         marks = F.broadcast(marks)
