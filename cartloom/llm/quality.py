@@ -1,30 +1,44 @@
 """Quality by perplexity under an interpolated modified Kneser-Ney trigram model.
 
-The model of each language is learned from a bounded sample of trusted texts.
-Its counts are Spark tables sharded by n-gram: trigrams are counted, shorter
-n-grams counted by the distinct words before them, counts of counts give the
-discounts, and joins of n-grams with their contexts' totals give each n-gram's
-discounted share and each context's weight for the next shorter one. A document
-passes if its perplexity is within a quantile of that of its language's trusted
-documents, those held back from learning.
+The model is learned from all texts of the learning half of the trusted
+documents. Its counts are one Spark table with a row for each n-gram: trigrams
+are counted, shorter n-grams counted by the distinct words before them, and each
+context has its total and how many n-grams of counts 1, 2 and more it has;
+counts of counts give the discounts. The table stays in shards of n-gram hashes.
+Texts are cut into blocks; a block asks the shards for its distinct n-grams,
+which are joined with the counts there, and sums the log-probabilities of each
+of its texts from the answers. A document passes if its perplexity is within a
+quantile of that of its language's trusted documents, those held back from
+learning.
 """
 
 from __future__ import annotations
 
+import math
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cartloom.llm.registry import llm_query, read, written
+from cartloom.llm.registry import llm_query, read, settled, written
+from cartloom.llm.scoring import MESSAGE, _batch, _message, _of_kind, _renamed, _shard_edges, pack, pack_sorted, unpack, unpack_sorted
 from cartloom.llm.words import BLANK_CUT, find_words, mix, pair_hashes, slices
 
-SAMPLE_ROWS, SAMPLE_BYTES, LANGUAGES = 2000, 3_000_000, 64
-"""Bound of the trusted sample for each language, and of the languages; it bounds the model, which every task reads."""
 QUANTILE = 0.995
 ACCURACY = 20_000
+BLOCK_TOKENS = 1_000_000
+SHARD_BYTES = 16 << 20
+"""Text bytes for each shard of counts."""
+FILTER_BITS = 28
+"""At most 2^FILTER_BITS bits tell blocks which n-grams the model cannot have; a fuller filter lets more through, and answers stay the same."""
+POOL = "\0pool"
+"""Stands for the language of the model of all trusted texts."""
 END, BEGIN = mix(np.array([0x656E64, 0x626567696E], dtype=np.uint64))
 _GRAM = ["u", "v", "w"]
+_COUNTS = ["n", "total", "m1", "m2", "m3"]
 
 
 def _language_seed(name: str) -> np.uint64:
@@ -34,30 +48,31 @@ def _language_seed(name: str) -> np.uint64:
     return out
 
 
-def _sequences(texts: pa.Array, langs: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(u, v, w) for every word and text end, the words told apart by language, and where each text ends.
+def _seeds(langs: list) -> np.ndarray:
+    seeds = {name: _language_seed(name or "") for name in set(langs)}
+    return np.array([seeds[name] for name in langs], dtype=np.uint64)
 
-    BEGIN stands twice before a text.
-    """
+
+def _words(texts: pa.Array, langs: list) -> tuple[np.ndarray, np.ndarray]:
+    """Every word and text end, told apart by language, and where each text ends."""
     found = find_words(texts, BLANK_CUT)
     ends = np.cumsum(np.diff(found.first) + 1)
-    w = np.empty(int(ends[-1]), dtype=np.uint64)
+    w = np.empty(int(ends[-1]) if len(ends) else 0, dtype=np.uint64)
     last = np.zeros(len(w), dtype=bool)
     last[ends - 1] = True
     w[~last], w[last] = found.hashes(), END
-    seeds = {name: _language_seed(name) for name in set(langs)}
-    each = np.array([seeds[name] for name in langs], dtype=np.uint64)
-    seed = np.repeat(each, np.diff(ends, prepend=0))
-    w = mix(w ^ seed)
-    begin = mix(each ^ BEGIN)
-    first = np.concatenate([[0], ends[:-1]])
-    v = np.empty_like(w)
+    return mix(w ^ np.repeat(_seeds(langs), np.diff(ends, prepend=0))), ends
+
+
+def _before(w: np.ndarray, ends: np.ndarray, langs: list) -> tuple[np.ndarray, np.ndarray]:
+    """The two words before each; BEGIN stands twice before a text."""
+    begin, first = mix(_seeds(langs) ^ BEGIN), np.concatenate([[0], ends[:-1]])
+    v, u = np.empty_like(w), np.empty_like(w)
     v[1:] = w[:-1]
     v[first] = begin
-    u = np.empty_like(w)
     u[1:] = v[:-1]
     u[first] = begin
-    return u, v, w, ends
+    return u, v
 
 
 def _trigram_rows(texts: DataFrame) -> DataFrame:
@@ -65,33 +80,43 @@ def _trigram_rows(texts: DataFrame) -> DataFrame:
         for batch in batches:
             for low, high in slices(batch.column(1)):
                 part = batch.slice(low, high - low)
-                grams = _sequences(part.column(1), part.column(0).to_pylist())[:3]
-                yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)) for g in grams], names=_GRAM)
+                langs = part.column(0).to_pylist()
+                w, ends = _words(part.column(1), langs)
+                yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)) for g in (*_before(w, ends, langs), w)], names=_GRAM)
+
+    return texts.select("lang", "text").mapInArrow(cut, "u long, v long, w long")
 
-    return texts.mapInArrow(cut, "u long, v long, w long")
 
+def _vocabulary(texts: DataFrame) -> DataFrame:
+    """Distinct (lang, w)."""
 
-def discounts(counts: DataFrame) -> Column:
-    """Modified Kneser-Ney discount for a count n, from the counts of counts 1 to 4 of the table."""
+    def cut(batches):
+        for batch in batches:
+            for low, high in slices(batch.column(1)):
+                part = batch.slice(low, high - low)
+                langs = part.column(0).to_pylist()
+                w, ends = _words(part.column(1), langs)
+                names, of = np.unique(np.array(langs, dtype=object), return_inverse=True)
+                each = np.repeat(of, np.diff(ends, prepend=0))
+                for k, name in enumerate(names):
+                    keys = np.unique(w[each == k])
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(keys), pa.string()), pa.array(keys.view(np.int64))], names=["lang", "w"])
+
+    return texts.select("lang", "text").mapInArrow(cut, "lang string, w long").distinct()
+
+
+def discounts(counts: DataFrame) -> list[float]:
+    """Modified Kneser-Ney discounts of the counts 1, 2 and more, from the counts of counts 1 to 4 of the table."""
     row = counts.agg(*(F.count_if(F.col("n") == k).alias(f"n{k}") for k in range(1, 5))).first()
     n1, n2, n3, n4 = (row[k] for k in range(4))
     y = n1 / (n1 + 2 * n2) if n1 else 0.5
     raw = [1 - 2 * y * n2 / n1 if n1 else 0.5, 2 - 3 * y * n3 / n2 if n2 else 1.0, 3 - 4 * y * n4 / n3 if n3 else 1.5]
     # Small or odd tables can give figures outside what a count allows.
-    fixed = [min(max(d, 0.1), k - 0.1) for k, d in enumerate(raw, 1)]
-    return F.when(F.col("n") == 1, fixed[0]).when(F.col("n") == 2, fixed[1]).otherwise(fixed[2])
-
-
-def _shares(counts: DataFrame, context: list[str], gram: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Each n-gram's discounted share of its context, and each context's weight for the shorter n-gram."""
-    held = counts.withColumn("d", discounts(counts))
-    totals = held.groupBy(*context).agg(F.sum("n").alias("total"), F.sum("d").alias("held"))
-    shares = held.join(totals, context).select(*gram, ((F.col("n") - F.col("d")) / F.col("total")).alias("value"))
-    return shares, totals.select(*context, (F.col("held") / F.col("total")).alias("value"))
+    return [min(max(d, 0.1), k - 0.1) for k, d in enumerate(raw, 1)]
 
 
-def _keyed(values: DataFrame, gram: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """A table's n-gram hashes and values on the driver; hashed in the tasks, so that 12 bytes of each row are sent."""
+def _keyed(rows: DataFrame, gram: list[str]) -> DataFrame:
+    """(key, *_COUNTS) of a table of n-grams, its missing counts as 0."""
 
     def key(batches):
         for batch in batches:
@@ -99,95 +124,219 @@ def _keyed(values: DataFrame, gram: list[str]) -> tuple[np.ndarray, np.ndarray]:
             keys = columns[-1]
             for column in columns[-2::-1]:
                 keys = pair_hashes(column, keys)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), batch.column("value").cast(pa.float32())], names=["key", "value"])
-
-    got = values.select(*gram, "value").mapInArrow(key, "key long, value float").toArrow()
-    return got.column("key").to_numpy().view(np.uint64), got.column("value").to_numpy()
-
-
-class Model:
-    """Sorted n-gram hashes with their values, for each table."""
-
-    def __init__(self, tables: list[tuple[np.ndarray, np.ndarray]], floor: dict[str, float]):
-        self.tables = []
-        for keys, values in tables:
-            order = np.argsort(keys)
-            self.tables.append((keys[order], values[order].astype(np.float32)))
-        self.floor = floor
-
-    def look(self, table: int, keys: np.ndarray, missing: float) -> np.ndarray:
-        have, values = self.tables[table]
-        if not len(have):
-            return np.full(len(keys), missing)
-        at = np.minimum(np.searchsorted(have, keys), len(have) - 1)
-        return np.where(have[at] == keys, values[at], missing)
-
-    def log_probability(self, texts: pa.Array, langs: list) -> tuple[np.ndarray, np.ndarray]:
-        """log10 of each whole text's probability, and its number of words with the end."""
-        u, v, w, ends = _sequences(texts, langs)
-        sizes = np.diff(ends, prepend=0)
-        floor = np.repeat(np.array([self.floor[x] for x in langs]), sizes)
-        distinct, inverse = np.unique(w, return_inverse=True)
-        p = self.look(0, distinct, 0.0)[inverse] + floor
-        pairs, inverse2 = np.unique(pair_hashes(v, w), return_inverse=True)
-        p = self.look(1, pairs, 0.0)[inverse2] + self.look(2, v, 1.0) * p
-        vw = pairs[inverse2]
-        p = self.look(3, pair_hashes(u, vw), 0.0) + self.look(4, pair_hashes(u, v), 1.0) * p
-        return np.add.reduceat(np.log10(p), ends - sizes), sizes
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *(batch.column(c) for c in _COUNTS)], names=["key", *_COUNTS])
+
+    counts = [F.col(c).cast("long").alias(c) if c in rows.columns else F.lit(0).cast("long").alias(c) for c in _COUNTS]
+    return rows.select(*gram, *counts).mapInArrow(key, "key long, " + ", ".join(f"{c} long" for c in _COUNTS))
+
+
+def _contexts(counts: DataFrame, context: list[str]) -> DataFrame:
+    """Each context's total and how many of its n-grams have counts 1, 2 and more."""
+    return counts.groupBy(*context).agg(F.sum("n").alias("total"), F.count_if(F.col("n") == 1).alias("m1"),
+                                        F.count_if(F.col("n") == 2).alias("m2"), F.count_if(F.col("n") >= 3).alias("m3"))
+
+
+class Model(NamedTuple):
+    """counts: (key, *_COUNTS), one row for each n-gram hash; discounts of trigrams and pairs; for each language what
+    a word's count is divided by and what every word has besides."""
+
+    counts: DataFrame
+    rows: int
+    discounts3: list[float]
+    discounts2: list[float]
+    languages: dict[str, tuple[float, float]]
 
 
 def fit(trusted: DataFrame) -> Model:
-    """The model of a bounded sample (lang, text) of trusted texts."""
-    rows = written(trusted.select("lang", "text"))
-    names = [r.lang for r in rows.select("lang").distinct().collect()]
-    trigrams = written(_trigram_rows(rows).groupBy(*_GRAM).agg(F.count("*").alias("n")))
+    """The model of all trusted texts (lang, text)."""
+    trigrams = written(_trigram_rows(trusted).groupBy(*_GRAM).agg(F.count("*").alias("n")))
     bigrams = written(trigrams.groupBy("v", "w").agg(F.count("*").alias("n")))
     words = written(bigrams.groupBy("w").agg(F.count("*").alias("n")))
-    share3, weight3 = _shares(trigrams, ["u", "v"], _GRAM)
-    share2, weight2 = _shares(bigrams, ["v"], ["v", "w"])
-
-    w, n = _keyed(words.withColumnRenamed("n", "value"), ["w"])
-    n = n.astype(np.float64)
+    sums = [F.sum(c).alias(c) for c in _COUNTS]
+    pairs = _keyed(bigrams, ["v", "w"]).unionByName(_keyed(_contexts(trigrams, ["u", "v"]), ["u", "v"])).groupBy("key").agg(*sums)
+    singles = _keyed(words, ["w"]).unionByName(_keyed(_contexts(bigrams, ["v"]), ["v"])).groupBy("key").agg(*sums)
+    counts = written(_keyed(trigrams, _GRAM).unionByName(pairs).unionByName(singles))
     # Words carry their language in the hash; a language's words are those of its texts.
-    floor, shares = {}, np.zeros(len(n))
-    distinct = lambda name: _trigram_rows(rows.filter(F.col("lang") == F.lit(name))).select("w").distinct().withColumn("value", F.lit(0.0))
-    of = {name: _keyed(distinct(name), ["w"])[0] for name in names}
-    for name in names:
-        mine = np.isin(w, of[name])
-        total = n[mine].sum()
-        shares[mine] = (n[mine] - 0.5) / total
-        floor[name] = float(0.5 * mine.sum() / total / (mine.sum() + 1))
-    return Model([(w, shares), _keyed(share2, ["v", "w"]), _keyed(weight2, ["v"]), _keyed(share3, _GRAM), _keyed(weight3, ["u", "v"])], floor)
+    rows = words.join(_vocabulary(trusted), "w").groupBy("lang").agg(F.sum("n").alias("total"), F.count("*").alias("words")).collect()
+    languages = {r.lang: (float(r.total), 0.5 * r.words / r.total / (r.words + 1)) for r in rows}
+    return Model(counts, counts.count(), discounts(trigrams), discounts(bigrams), languages)
+
+
+def _bit_map(model: Model) -> np.ndarray:
+    """A bit for the top bits of every key of the model; each segment of the map is made by one task."""
+    bits = min(FILTER_BITS, max(16, math.ceil(math.log2(16 * model.rows + 1))))
+    segments = 6
+
+    def mark(table: pa.Table) -> pa.Table:
+        keys = table.column("key").to_numpy().view(np.uint64) >> np.uint64(64 - bits)
+        marked = np.zeros(1 << (bits - segments), dtype=bool)
+        marked[(keys & np.uint64(len(marked) - 1)).astype(np.int64)] = True
+        return pa.table({"segment": table.column("segment")[:1], "marks": pa.array([np.packbits(marked).tobytes()], pa.binary())})
+
+    segment = F.shiftrightunsigned("key", 64 - segments).cast("int").alias("segment")
+    out = np.zeros(1 << (bits - 3), dtype=np.uint8)
+    size = len(out) >> segments
+    for r in model.counts.select("key", segment).groupBy("segment").applyInArrow(mark, "segment int, marks binary").toLocalIterator():
+        out[r.segment * size : (r.segment + 1) * size] = np.frombuffer(r.marks, dtype=np.uint8)
+    return out
 
 
-def perplexities(docs: DataFrame, model: Model, text: str = "text", lang: str = "lang") -> DataFrame:
-    """All rows and columns of docs with n_tokens and perplexity, replacing columns of these names.
+def _marked(keys: np.ndarray, bit_map: np.ndarray) -> np.ndarray:
+    at = keys >> np.uint64(64 - (len(bit_map).bit_length() + 2))
+    return (bit_map[(at >> np.uint64(3)).astype(np.int64)] >> (np.uint8(7) - (at & np.uint64(7)).astype(np.uint8))) & np.uint8(1) > 0
+
+
+def _asked(w: np.ndarray, ends: np.ndarray, langs: list, bit_map: np.ndarray):
+    """Sorted distinct keys that a block asks for, and the keys of each position: w, v, vw, uv, uvw."""
+    u, v = _before(w, ends, langs)
+    vw = pair_hashes(v, w)
+    keys = [w, v, vw, pair_hashes(u, v), pair_hashes(u, vw)]
+    every = np.unique(np.concatenate([k[_marked(k, bit_map)] for k in keys]))
+    return every, keys
+
+
+def _parts(batches):
+    """Rows of about BLOCK_TOKENS words each, with their words and where each text ends; whole texts."""
+    held, size = [], 0
+    for batch in batches:
+        texts = batch.column("_text")
+        for low, high in slices(texts):
+            part = batch.slice(low, high - low)
+            w, ends = _words(part.column("_text"), part.column("_lang").to_pylist())
+            held.append((part.drop_columns(["_text"]), w, ends))
+            size += len(w)
+            if size >= BLOCK_TOKENS:
+                yield _joined(held)
+                held, size = [], 0
+    if held:
+        yield _joined(held)
+
+
+def _joined(held):
+    shifts = np.cumsum([0] + [len(h[1]) for h in held[:-1]])
+    rows = pa.Table.from_batches([h[0] for h in held]).combine_chunks()
+    return rows, np.concatenate([h[1] for h in held]), np.concatenate([h[2] + s for h, s in zip(held, shifts)])
+
+
+def _questions(shards: int, shared):
+    """A message of each block's texts as numbers of its words, and one to every shard of n-grams asked for."""
+
+    def send(batches):
+        partition = TaskContext.get().partitionId()
+        for number, (rows, w, ends) in enumerate(_parts(batches)):
+            block = partition << 24 | number
+            words, local = np.unique(w, return_inverse=True)
+            # Frequent words get small numbers, whose upper bytes are all zero.
+            order = np.argsort(-np.bincount(local, minlength=len(words)), kind="stable")
+            rank = np.empty(len(order), dtype=np.int64)
+            rank[order] = np.arange(len(order))
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, rows.schema) as out:
+                out.write_table(rows)
+            yield _batch([_message("text", block, "texts", 0, len(ends), pack(rank[local]), pack(np.diff(ends, prepend=0)), pack_sorted(words),
+                                   pack(order), sink.getvalue().to_pybytes())])
+            del order, rank, local
+            asked, _ = _asked(w, ends, rows.column("_lang").to_pylist(), shared.value)
+            edges = _shard_edges(asked, shards)
+            for s, (a, b) in enumerate(zip(edges[:-1], edges[1:])):
+                if b > a:
+                    yield _batch([_message("gram", s, "grams", block, b - a, pack_sorted(asked[a:b]))])
+
+    return send
+
+
+def _answer(messages: pa.Table, counts: pa.Table) -> pa.Table:
+    """For each block the counts of the n-grams that it asked for, 0 where there are none."""
+    if not messages.num_rows or messages.column("kind")[0].as_py() != "gram":
+        return pa.Table.from_batches([_batch([])])
+    keys = counts.column("key").to_numpy().view(np.uint64)
+    order = np.argsort(keys)
+    keys, values = keys[order], [counts.column(c).to_numpy()[order] for c in _COUNTS]
+    rows = []
+    for m in messages.to_pylist():
+        asked = unpack_sorted(m["a"])
+        if len(keys):
+            at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+            found = keys[at] == asked
+            got = [np.where(found, v[at], 0) for v in values]
+        else:
+            got = [np.zeros(len(asked), dtype=np.int64)] * len(values)
+        rows.append(_message("text", m["origin"], "grams", m["target"], m["n"], *(pack(g) for g in got)))
+    return pa.Table.from_batches([_batch(rows)])
+
+
+def _score(model: dict, shared, names: list[str], types: pa.Schema):
+    """log10 of each whole text's probability, and its number of words with the end, beside its row."""
+
+    def score(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        if not texts.num_rows or texts.column("kind")[0].as_py() != "text":
+            return types.empty_table()
+        block = {k: v[0] for k, v in texts.to_pydict().items()}
+        rows = pa.ipc.open_stream(block["e"]).read_all()
+        langs = rows.column("_lang").to_pylist()
+        w = unpack_sorted(block["c"])[unpack(block["d"]).astype(np.int64)[unpack(block["a"]).astype(np.int64)]]
+        sizes = unpack(block["b"]).astype(np.int64)
+        ends = np.cumsum(sizes)
+        asked, keys = _asked(w, ends, langs, shared.value)
+        sent = sorted(answers.to_pylist(), key=lambda m: m["origin"])
+        # A last row of zeros stands for what is not asked for.
+        table = {c: np.append(np.concatenate([unpack(m[x]) for m in sent]) if sent else [], 0).astype(np.float64) for c, x in zip(_COUNTS, "abcde")}
+
+        def place(key: np.ndarray) -> np.ndarray:
+            at = np.searchsorted(asked, key)
+            return np.where(np.append(asked, np.uint64(0))[at] == key, at, len(asked)) if len(asked) else np.zeros(len(key), dtype=np.int64)
+
+        w_at, v_at, vw_at, uv_at, uvw_at = (place(k) for k in keys)
+        del keys, w
+
+        def longer(p: np.ndarray, gram: np.ndarray, context: np.ndarray, d: list[float]) -> np.ndarray:
+            n, total = table["n"][gram], table["total"][context]
+            held = sum(x * table[m][context] for x, m in zip(d, ("m1", "m2", "m3")))
+            own = n - np.where(n == 0, 0, np.where(n == 1, d[0], np.where(n == 2, d[1], d[2])))
+            return np.where(total > 0, (own + held * p) / np.maximum(total, 1), p)
+
+        each = np.array([model["languages"].get(x, (1.0, 1.0)) for x in langs])
+        total, floor = (np.repeat(each[:, k], sizes) for k in (0, 1))
+        p = np.maximum(table["n"][w_at] - 0.5, 0) / total + floor
+        p = longer(longer(p, vw_at, v_at, model["d2"]), uvw_at, uv_at, model["d3"])
+        values = 10 ** (-np.add.reduceat(np.log10(p), ends - sizes) / sizes)
+        unknown = np.array([x not in model["languages"] for x in langs])
+        columns = {c: rows.column(c) for c in names} | {"n_tokens": pa.array(sizes), "perplexity": pa.array(values, mask=unknown)}
+        return pa.table(columns).cast(types)
+
+    return score
+
+
+def perplexities(docs: DataFrame, model: Model, text: str = "text", lang: str = "lang", keep: list[str] | None = None) -> DataFrame:
+    """All rows of docs with its columns, or those of ``keep``, n_tokens and perplexity, replacing columns of these names.
 
     The perplexity is null where the language is null or was not learned. Null
     and empty texts are the end of a text alone.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    source = docs.drop("n_tokens", "perplexity").withColumns({"_text": F.coalesce(F.col(text), F.lit("")), "_lang": F.col(lang).cast("string")})
-    names = [c for c in source.columns if c not in ("_text", "_lang")]
+    spark = docs.sparkSession
+    names = [c for c in (docs.columns if keep is None else keep) if c not in ("n_tokens", "perplexity")]
+    source = settled(docs.select(*names, F.coalesce(F.col(text), F.lit("")).alias("_text"), F.col(lang).cast("string").alias("_lang")))
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema if f.name in names), "n_tokens long", "perplexity double"])
+    size = source.agg(F.sum(F.octet_length("_text").cast("long"))).first()[0] or 0
+    shards = max(2, math.ceil(size / SHARD_BYTES))
+    shared = spark.sparkContext.broadcast(_bit_map(model))
+    types = _arrow_schema(source, names)
 
-    def score(batches):
-        model = shared.value
-        for batch in batches:
-            texts, langs = batch.column("_text"), batch.column("_lang").to_pylist()
-            tokens, values = np.zeros(len(texts), dtype=np.int64), np.full(len(texts), np.nan)
-            for low, high in slices(texts):
-                known = np.array([x in model.floor for x in langs[low:high]], dtype=bool)
-                part = texts.slice(low, high - low)
-                tokens[low:high] = np.diff(find_words(part, BLANK_CUT).first) + 1
-                if known.any():
-                    mine = part.filter(pa.array(known))
-                    log, sizes = model.log_probability(mine, [x for x in langs[low:high] if x in model.floor])
-                    values[low + np.flatnonzero(known)] = 10 ** (-log / sizes)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(tokens), pa.array(values, mask=np.isnan(values))],
-                                             names=[*names, "n_tokens", "perplexity"])
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema if f.name in names)
-    return source.mapInArrow(score, f"{schema}, n_tokens long, perplexity double")
+    keys = ["kind", "target"]
+    sent = source.mapInArrow(_questions(shards, shared), MESSAGE).repartition(shards, *keys)
+    shard = F.shiftright(F.shiftrightunsigned("key", 32) * F.lit(shards).cast("long"), 32)
+    counts = model.counts.select(F.lit("gram").alias("kind_"), shard.alias("target_"), "key", *_COUNTS).groupBy("kind_", "target_")
+    answers = _of_kind(sent, "gram").groupBy(*keys).cogroup(counts).applyInArrow(_answer, MESSAGE).repartition(shards, *keys)
+    plain = {"languages": model.languages, "d2": model.discounts2, "d3": model.discounts3}
+    return _of_kind(sent, "text").groupBy(*keys).cogroup(_renamed(answers).groupBy("kind_", "target_")).applyInArrow(
+        _score(plain, shared, names, types), schema)
+
+
+def _arrow_schema(source: DataFrame, names: list[str]) -> pa.Schema:
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    own = to_arrow_schema(source.select(*names).schema)
+    return pa.schema([*own, pa.field("n_tokens", pa.int64()), pa.field("perplexity", pa.float64())])
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
@@ -201,25 +350,7 @@ def learns(doc_id: Column) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(2)) == 0
 
 
-def trusted_sample(docs: DataFrame, trusted: DataFrame, rows: int = SAMPLE_ROWS, size: int = SAMPLE_BYTES, languages: int = LANGUAGES) -> DataFrame:
-    """(lang, text) of trusted documents, whole texts in hash order of the ids up to the bounds; one of each language at least.
-
-    Ids are chosen first, without the texts; there are rows * languages of them
-    at most, which is why they are broadcast to the scan of the texts.
-    """
-    narrow = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), F.octet_length("text").cast("long").alias("bytes"))
-    labelled = narrow.filter("lang IS NOT NULL AND bytes > 0").join(trusted, "doc_id", "left_semi")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64(F.lit(20240607), "doc_id"), "doc_id")
-    ranked = labelled.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= rows)
-    upto = F.sum("bytes").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    chosen = ranked.withColumn("upto", upto).filter((F.col("upto") <= size) | (F.col("rank") == 1))
-    top = chosen.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages)
-    ids = written(chosen.join(top.select("lang"), "lang", "left_semi").select("doc_id").distinct())
-    return docs.filter("lang IS NOT NULL AND octet_length(text) > 0").join(F.broadcast(ids), "doc_id", "left_semi").select(
-        F.col("lang").cast("string").alias("lang"), "text")
-
-
-def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, rows: int = SAMPLE_ROWS, size: int = SAMPLE_BYTES) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
     """One row per document: doc_id, lang, n_tokens, perplexity, threshold, kept.
 
     ``threshold`` is the quantile of the perplexities of all the language's
@@ -228,14 +359,14 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, row
     Repeated rows each get a row; an empty table gives none.
     """
     trusted = trusted_ids(labels)
-    model = fit(trusted_sample(docs, trusted.filter(learns(F.col("doc_id"))), rows, size))
-    scored = written(perplexities(docs.select("doc_id", "lang", "text"), model).select("doc_id", "lang", "n_tokens", "perplexity"))
-    limits = (scored.join(trusted.filter(~learns(F.col("doc_id"))), "doc_id", "left_semi").filter("perplexity IS NOT NULL").groupBy("lang")
-              .agg(F.percentile_approx("perplexity", F.lit(quantile), F.lit(ACCURACY)).alias("threshold")))
-    few = written(limits.limit(LANGUAGES))
+    learning = docs.filter("lang IS NOT NULL AND octet_length(text) > 0").join(trusted.filter(learns(F.col("doc_id"))), "doc_id", "left_semi")
+    model = fit(learning.select(F.col("lang").cast("string").alias("lang"), "text"))
+    scored = written(perplexities(docs.select("doc_id", "lang", "text"), model, keep=["doc_id", "lang"]))
+    limits = written(scored.join(trusted.filter(~learns(F.col("doc_id"))), "doc_id", "left_semi").filter("perplexity IS NOT NULL").groupBy("lang")
+                     .agg(F.percentile_approx("perplexity", F.lit(quantile), F.lit(ACCURACY)).alias("threshold")))
     passes = F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True))
-    named = few.withColumnRenamed("lang", "_lang")
-    return scored.join(F.broadcast(named), F.col("lang") == F.col("_lang"), "left").select(
+    named = limits.withColumnRenamed("lang", "_lang")
+    return scored.join(named, F.col("lang") == F.col("_lang"), "left").select(
         "doc_id", "lang", "n_tokens", "perplexity", "threshold", passes.alias("kept"))
 
 

@@ -248,6 +248,22 @@ def test_quality_of_edges(session, edges, empty):
     assert all(r.kept for r in quality.classify(edges, labels.limit(0)).collect())
 
 
+def made_text(k, name="w"):
+    return " ".join(f"{name}{(k * k + 3 * j) % 17 if j % 3 else k}" for j in range(6))
+
+
+def test_quality_learns_all_trusted_texts(session):
+    rows = [(k, made_text(k), "en") for k in range(5000)]
+    docs = session.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = docs.select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
+    learned = {r.doc_id for r in docs.filter(quality.learns(F.col("doc_id"))).collect()}
+    assert len(learned) > 2000
+    perplexity = kneser_ney([("en", text) for k, text, _ in rows if k in learned])
+    got = {r.doc_id: r.perplexity for r in quality.classify(docs, labels).collect()}
+    for k, text, _ in rows[::500]:
+        assert got[k] == pytest.approx(perplexity("en", text), rel=1e-4)
+
+
 def test_quality_tells_junk_from_trusted(session):
     from cartloom.llm.catalog import QUERIES
 
