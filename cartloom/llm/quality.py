@@ -354,20 +354,36 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) ->
     """One row per document: doc_id, lang, n_tokens, perplexity, threshold, kept.
 
     ``threshold`` is the quantile of the perplexities of all the language's
-    trusted documents of the half that nothing is learned from. A document without a perplexity or a threshold (unknown
-    or null language, no trusted text) is kept, as nothing speaks against it.
+    trusted documents of the half that nothing is learned from. Documents of
+    null language, or of one without learned text or without a threshold, are
+    scored under the model of all trusted texts together and held against the
+    quantile of all such trusted documents under it. Only where no trusted
+    document is left for a model or a threshold, all is kept.
     Repeated rows each get a row; an empty table gives none.
     """
     trusted = trusted_ids(labels)
     learning = docs.filter("lang IS NOT NULL AND octet_length(text) > 0").join(trusted.filter(learns(F.col("doc_id"))), "doc_id", "left_semi")
     model = fit(learning.select(F.col("lang").cast("string").alias("lang"), "text"))
-    scored = written(perplexities(docs.select("doc_id", "lang", "text"), model, keep=["doc_id", "lang"]))
-    limits = written(scored.join(trusted.filter(~learns(F.col("doc_id"))), "doc_id", "left_semi").filter("perplexity IS NOT NULL").groupBy("lang")
-                     .agg(F.percentile_approx("perplexity", F.lit(quantile), F.lit(ACCURACY)).alias("threshold")))
-    passes = F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True))
-    named = limits.withColumnRenamed("lang", "_lang")
-    return scored.join(named, F.col("lang") == F.col("_lang"), "left").select(
-        "doc_id", "lang", "n_tokens", "perplexity", "threshold", passes.alias("kept"))
+    source = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), "text")
+    back = trusted.filter(~learns(F.col("doc_id")))
+    scored = written(perplexities(source, model, keep=["doc_id", "lang"]))
+    threshold = F.percentile_approx("perplexity", F.lit(quantile), F.lit(ACCURACY)).alias("threshold")
+    limits = written(scored.join(back, "doc_id", "left_semi").filter("perplexity IS NOT NULL").groupBy("lang").agg(threshold))
+    columns = ["doc_id", "lang", "n_tokens", "perplexity", "threshold"]
+    judged = scored.join(limits, "lang").select(*columns)
+    rest = scored.join(limits, "lang", "left_anti")
+    if not rest.isEmpty():
+        if model.languages:
+            pooled = fit(learning.select(F.lit(POOL).alias("lang"), "text"))
+            flags = (source.join(limits.select("lang", F.lit(True).alias("_own")), "lang", "left")
+                     .join(back.withColumn("_back", F.lit(True)), "doc_id", "left").filter("_own IS NULL OR _back").withColumn("_pool", F.lit(POOL)))
+            both = written(perplexities(flags, pooled, lang="_pool", keep=["doc_id", "lang", "_own", "_back"]))
+            limit = both.filter("_back").agg(threshold)
+            rest = both.filter("_own IS NULL").crossJoin(F.broadcast(limit))
+        else:
+            rest = rest.withColumn("threshold", F.lit(None).cast("double"))
+        judged = judged.unionByName(rest.select(*columns))
+    return judged.withColumn("kept", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True)))
 
 
 @llm_query("op6_quality")

@@ -264,6 +264,19 @@ def test_quality_learns_all_trusted_texts(session):
         assert got[k] == pytest.approx(perplexity("en", text), rel=1e-4)
 
 
+def test_quality_of_many_and_unknown_languages(session):
+    rows = [(100 * n + k, made_text(k, f"l{n}x"), f"l{n:02d}") for n in range(66) for k in range(8)]
+    rows += [(9001, made_text(3, "l5x"), None), (9002, "zq zr zs zt zu zv", None), (9003, "zq zr zs zt zu zv", "new")]
+    docs = session.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = docs.filter("doc_id < 9000").select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
+    got = {r.doc_id: r for r in quality.classify(docs, labels).collect()}
+    assert len(got) == len(rows) and all(r.perplexity is not None and r.threshold is not None for r in got.values())
+    assert got[9001].kept and not got[9002].kept and not got[9003].kept
+    learned = [(k, text) for k, text, _ in rows if k < 9000 and zlib.crc32(str(k).encode()) % 2 == 0]
+    pooled = kneser_ney([("all", text) for _, text in learned])
+    assert got[9002].perplexity == pytest.approx(pooled("all", rows[-2][1]), rel=1e-4)
+
+
 def test_quality_tells_junk_from_trusted(session):
     from cartloom.llm.catalog import QUERIES
 
