@@ -1,7 +1,8 @@
 """Secrets in documents, false findings removed by a random forest.
 
-A candidate is a run of key characters in a word, long enough and with a digit.
-Each gets features of its own characters (length, kinds, transitions between
+A candidate is a run of key characters in a word, long enough and with a digit,
+a key of a known form, or whatever is assigned to a name of secrets, however
+short or plain. Each gets features of its own characters (length, kinds, transitions between
 kinds, share that dictionary words cover), of its neighbouring words and of its
 path, and a forest learned from labelled findings tells how likely it is a
 secret. All of it is columns, SQL functions and Spark's own forest.
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from cartloom.llm.registry import llm_query, read, written
 
 RUN = r"[A-Za-z0-9+/_\-]{12,}={0,2}"
-"""What a candidate is made of; one digit at least is asked for besides."""
+"""What a candidate without a name is made of; one digit at least is asked for besides."""
 DICTIONARY = 20_000
 """Most frequent words of the corpus that count as dictionary; the bound of what is broadcast."""
 SAMPLE = 20_000
@@ -30,6 +31,8 @@ CONTEXT = 2
 # What tells findings by their form, and words that point to secrets, places of tests, and calls for them.
 KEY_FORMS = r"^(AKIA|ASIA)[0-9A-Z]{16}$"
 ASSIGNED = r"(?i)(token|secret|passw(or)?d|pwd|api_?key|credential)\s*[=:]\s*[\"']?$"
+FORMS = r"(?<![0-9A-Za-z])(?:(?:AKIA|ASIA)[0-9A-Z]{16}(?![0-9A-Za-z])|eyJ[A-Za-z0-9_\-]++\.[A-Za-z0-9_\-]++\.[A-Za-z0-9_\-]*+)"
+NAMED = r"(?i)(?:token|secret|pass|pwd|key|auth|credential|login)[a-z0-9_.\-]{0,40}+[\"'`\]]{0,3}+\s*[=:]{1,3}+>?\s*(?:(?:bearer|basic)\s+)?"
 NUMBER = r"^[0-9]+$"
 KEY_WORDS = r"(?i)(token|secret|passw|pwd|key|auth|credential|login)"
 TEST_PATHS = r"(?i)(test|example|sample|spec|doc|fixture|mock)"
@@ -46,17 +49,37 @@ FEATURES = ["length", "digits", "uppers", "lowers", "marks", "distinct_chars", "
 def candidates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str = "source") -> DataFrame:
     """(doc_id, position, path, value, lead, tail, before, after), one row per candidate of whole texts.
 
+    What stands after a name of secrets and = or : is a candidate up to the
+    word's end, without quotes around it; of a quoted value of several words the
+    first. Cloud keys and web tokens are candidates anywhere.
     ``position`` is the word's number; lead and tail are the rest of its word
     around the value, before and after its CONTEXT neighbours. A word with several
     runs gives several rows. Null and empty texts have none.
     """
     words = F.split(F.coalesce(F.col(text), F.lit("")), r"[\x20\x09-\x0D]+")
-    numbered = F.transform("_words", lambda w, i: F.struct(w.alias("word"), i.alias("position")))
-    spots = F.filter(numbered, lambda s: (F.length(s["word"]) >= 12) & s["word"].rlike(r"[0-9]"))
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(path).cast("string").alias("path"), words.alias("_words")).withColumn("_spots", spots)
+    # The three words before a word may hold the name that it is assigned to. They are zipped to it rather than looked
+    # up, since the optimizer may copy the split into whatever a lambda refers to.
+    own = F.col("_words")
+    shifted = lambda k: F.slice(F.concat(F.array_repeat(F.lit(""), k), own), F.lit(1), F.size(own)).alias(f"b{k}")
+    tail = NAMED + r"(\S+)$"
+    spot = lambda word, i, assigned: F.struct(word.alias("word"), i.alias("position"), assigned.alias("assigned"))
+    signed = lambda *parts: F.greatest(*(F.instr(x, "=") + F.instr(x, ":") for x in parts)) > 0
+    near = F.transform(F.arrays_zip(own.alias("w"), shifted(1), shifted(2), shifted(3)), lambda z, i: spot(
+        z["w"], i, F.when(signed(z["b2"], z["b1"], z["w"]), F.regexp_extract(F.concat_ws(" ", z["b3"], z["b2"], z["b1"], z["w"]), tail, 1)).otherwise("")))
+    plain = F.transform(own, lambda w, i: spot(w, i, F.lit("")))
+    numbered = F.when(F.col("_named"), near).otherwise(plain)
+    run = lambda s: (F.length(s["word"]) >= 12) & s["word"].rlike(r"[0-9]")
+    spots = F.filter(numbered, lambda s: run(s) | (s["assigned"] != "") | (F.length(s["word"]) >= 8) & s["word"].rlike(FORMS))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(path).cast("string").alias("path"), words.alias("_words"),
+                       F.coalesce(F.col(text).rlike(NAMED), F.lit(False)).alias("_named")).withColumn("_spots", spots)
     spotted = rows.filter(F.size("_spots") > 0).select("doc_id", "path", "_words", F.explode("_spots").alias("s"))
     runs = F.filter(F.regexp_extract_all(F.col("s.word"), F.lit(RUN), F.lit(0)), lambda v: v.rlike(r"[0-9]"))
-    found = spotted.select("doc_id", "path", "_words", "s", F.explode(runs).alias("value"))
+    raw = F.col("s.assigned")
+    quoted = F.regexp_extract(raw, r"^([\"'`])(.+?)\1", 2)
+    bare = F.regexp_replace(F.regexp_replace(raw, r"^[\"'`]+", ""), r"[\"'`,;]+$", "")
+    named = F.filter(F.array(F.when(quoted != "", quoted).otherwise(bare)), lambda v: v != "")
+    values = F.concat(runs, F.array_except(F.concat(F.regexp_extract_all(F.col("s.word"), F.lit(FORMS), F.lit(0)), named), runs))
+    found = spotted.select("doc_id", "path", "_words", "s", F.explode(values).alias("value"))
     at = F.col("s.position")
     around = found.select(
         "doc_id", at.cast("long").alias("position"), F.coalesce("path", F.lit("")).alias("path"), F.col("s.word").alias("word"),
@@ -81,7 +104,7 @@ def with_features(found: DataFrame, words: DataFrame) -> DataFrame:
     share = lambda pattern: F.regexp_count(value, F.lit(pattern)) / length
     near = F.concat_ws("", F.col("before"), F.lit(" "), F.col("lead"))
     columns = {
-        "length": length, "digits": share("[0-9]"), "uppers": share("[A-Z]"), "lowers": share("[a-z]"), "marks": share(r"[+/_\-=]"),
+        "length": length, "digits": share("[0-9]"), "uppers": share("[A-Z]"), "lowers": share("[a-z]"), "marks": share("[^0-9A-Za-z]"),
         "distinct_chars": F.size(F.array_distinct(F.split(value, ""))) / length,
         "hex_only": value.rlike("^([0-9a-f]+|[0-9A-F]+)$").cast("double"),
         "before_key": near.rlike(KEY_WORDS).cast("double"), "before_assign": F.col("before").rlike(r"[=:]$").cast("double"),
