@@ -22,17 +22,18 @@ ROW_BYTES = 16
 MAP_SCHEMA = "version INT, virtual_slot INT, shard INT, slot_bytes LONG, slot_rows LONG, first_position LONG"
 
 
-def with_slot(docs: DataFrame, slots: int = SLOTS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def with_slot(docs: DataFrame, slots: int = SLOTS, doc_id: str = "doc_id", text: str = "text", key: Column | None = None) -> DataFrame:
     """Adds size, text_crc32 and virtual_slot, replacing columns of these names.
 
     Id and text decide the slot together, so a hot or null id spreads over the
-    slots; only rows repeated in id and text share one. Null text has no bytes.
+    slots; only rows repeated in id and text share one. A whole-number ``key``
+    decides in their place. Null text has no bytes.
     """
     body = F.coalesce(F.col(text), F.lit(""))
     return docs.withColumns({
         "size": F.octet_length(body).cast("long") + F.lit(ROW_BYTES),
         "text_crc32": F.crc32(body.cast("binary")),
-        "virtual_slot": F.pmod(F.xxhash64(F.col(doc_id), body), F.lit(slots)).cast("int"),
+        "virtual_slot": F.pmod(F.xxhash64(F.col(doc_id), body) if key is None else key, F.lit(slots)).cast("int"),
     })
 
 
@@ -113,18 +114,21 @@ def place(slotted: DataFrame, slot_map: DataFrame, order: list[Column]) -> DataF
         "_at", "_slot", "_shard", "first_position")
 
 
-def shard_documents(docs: DataFrame, slot_map: SlotMap, shards: int = SHARDS, slots: int = SLOTS) -> DataFrame:
+def shard_documents(docs: DataFrame, slot_map: SlotMap, shards: int = SHARDS, slots: int = SLOTS,
+                    key: Column | None = None, order: list[Column] | None = None) -> DataFrame:
     """All rows and columns of docs with size, text_crc32, virtual_slot, law,
     shard, slot and grown_shard, replacing columns of these names.
 
     The law is ``bytes``: shard sizes are near equal. An empty table gives no
     rows and a map of empty slots. Repeated rows each have a place of their own.
+    ``key`` names the slot in place of id and text, ``order`` is that of the
+    rows in a slot.
     """
     spark = docs.sparkSession
-    slotted = with_slot(docs, slots)
+    slotted = with_slot(docs, slots, key=key)
     sizes = slot_sizes(slotted.select("virtual_slot", "size"))
     version = slot_map.write(1, sizes, shards, slots)
-    placed = place(slotted, version, [F.col("doc_id"), F.col("text_crc32"), F.col("size")])
+    placed = place(slotted, version, order or [F.col("doc_id"), F.col("text_crc32"), F.col("size")])
     return placed.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
 
 

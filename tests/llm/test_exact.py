@@ -191,6 +191,18 @@ def test_places_are_gapless(session, edges, clashing, empty):
     assert placed(session, empty).count() == 0
 
 
+def test_pipeline_spreads_copies(session, edges, empty):
+    import corpus_pipeline
+
+    many = edges.filter("doc_id = 1").crossJoin(session.range(300).select()).unionByName(edges)
+    rows = corpus_pipeline.shards(session, many, FOLDER).collect()
+    assert Counter((r.doc_id, r.text, r.lang) for r in rows) == Counter((r.doc_id, r.text, r.lang) for r in many.collect())
+    check_places(rows, sharding.SHARDS)
+    hot = [r for r in rows if r.doc_id == 1]
+    assert len({r.virtual_slot for r in hot}) > 250 and len({r.shard for r in hot}) > 30
+    assert corpus_pipeline.shards(session, empty, FOLDER).count() == 0
+
+
 def test_sizes_are_near_equal(session, documents):
     rows = placed(session, documents.unionByName(documents).unionByName(documents)).collect()
     check_places(rows)
