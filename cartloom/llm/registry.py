@@ -55,6 +55,15 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(taken: list[str], name: str) -> str:
+    """A name for a helper column that none of the taken ones has, in whatever case."""
+    used = {c.lower() for c in taken}
+    name = f"_{name}"
+    while name in used:
+        name = f"_{name}"
+    return name
+
+
 def settled(df: DataFrame) -> DataFrame:
     """Rows in the same order whenever a partition is computed again.
 
