@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from cartloom.llm.crc import crc_sql, followed, word_crcs
 from cartloom.llm.registry import fresh, llm_query, read, written
@@ -136,7 +137,7 @@ def weigh(docs: DataFrame, values: list[int], text: str = "text", keep: list[str
             found = _weights(batch.column(body), planes)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *map(pa.array, found)], names=[*names, *added])
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema if f.name in names), *(f"{c} long" for c in added)])
+    schema = StructType([*source.select(*names).schema, *(StructField(c, LongType()) for c in added)])
     return source.mapInArrow(score, schema)
 
 
@@ -160,17 +161,18 @@ def resample(docs: DataFrame, target: DataFrame, percent: int = PERCENT, min_wor
     """
     values = gains(bucket_counts(docs, text), bucket_counts(target, text))
     names = [c for c in (docs.columns if keep is None else keep) if c not in ("n_words", "n_features", "weight", "score", "rank")]
-    named = fresh(names, "id")
-    weighed = weigh(docs.withColumn(named, F.col(doc_id)), values, text, [*names, named])
-    scored = written(weighed.withColumn("score", F.col("weight") + noise(F.col(named), seed)))
+    # The caller's columns travel as one, apart from the helpers of the numbering.
+    packed = docs.select(F.struct(*names).alias("row"), F.col(doc_id).alias("id"), F.col(text).alias("text"))
+    weighed = weigh(packed, values, "text", ["row", "id"])
+    scored = written(weighed.withColumn("score", F.col("weight") + noise(F.col("id"), seed)))
     able = F.col("n_words") >= min_words
     drawn = scored.filter(able).count() * percent // 100
-    order = [F.desc("score"), F.asc_nulls_last(named), F.asc("n_features"), F.asc("n_words")]
+    order = [F.desc("score"), F.asc_nulls_last("id"), F.asc("n_features"), F.asc("n_words")]
     # Places over all rows are found in range parts, never in one task.
     placed = ordered_windows(scored.filter(able), [], order, {"rank": Number()}, hot_rows=1)
     ranked = placed.withColumn("rank", F.when(F.col("rank") <= drawn, F.col("rank")))
     rest = scored.filter(~able).withColumn("rank", F.lit(None).cast("long"))
-    return ranked.unionByName(rest).drop(named)
+    return ranked.unionByName(rest).select("row.*", "n_words", "n_features", "weight", "score", "rank")
 
 
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

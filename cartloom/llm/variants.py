@@ -135,10 +135,12 @@ def signed(words: DataFrame) -> DataFrame:
 
 def near_pairs(words: DataFrame) -> DataFrame:
     """(a, a_n, b, b_n): every two words (word, n) one edit apart, once."""
-    rows = signed(words)
+    rows = signed(words).repartition("key")
     left = rows.withColumnsRenamed({"role": "a_role", "word": "a", "n": "a_n"})
     right = rows.withColumnsRenamed({"role": "b_role", "word": "b", "n": "b_n"})
-    meet = ((F.col("a_role") == SAME) & (F.col("b_role") == SAME) & (F.col("a") < F.col("b"))) | ((F.col("a_role") == SHORTER) & (F.col("b_role") == LONGER))
+    # One condition on both roles, so that neither side is filtered and one exchange serves both.
+    roles = F.col("a_role") * 3 + F.col("b_role")
+    meet = ((roles == SAME * 3 + SAME) & (F.col("a") < F.col("b"))) | (roles == SHORTER * 3 + LONGER)
     return left.join(right, "key").filter(meet & (F.levenshtein("a", "b", 1) == 1)).groupBy("a", "b").agg(
         F.first("a_n").alias("a_n"), F.first("b_n").alias("b_n"))
 
