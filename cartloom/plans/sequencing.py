@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 
 from cartloom.functions import scalars as S
 from cartloom.functions import timeparts as D
+from cartloom.operators import embedding as E
+from cartloom.operators import nearest as N
 from cartloom.operators import ranking as R
 from cartloom.operators import sequences as Q
 from cartloom.operators import splits as P
@@ -276,6 +278,42 @@ def _(t):
     return model.getVectors().select(F.col("word").alias("item"), vector_to_array("vector").alias("vector"))
 
 
+@query("seq24_cooccurrences", f"""
+WITH {_EV}, o AS (SELECT user_id, item, row_number() OVER (PARTITION BY user_id ORDER BY s, event_id) AS p FROM ev),
+ w AS (SELECT x.item AS a, y.item AS b FROM o x JOIN o y ON x.user_id = y.user_id AND x.p <> y.p AND abs(x.p - y.p) <= 5)
+SELECT a, b, count(*) AS n FROM w GROUP BY a, b""")
+def _(t):
+    return E.cooccurrences(sessions(t), ["user_id"], ["s", "event_id"], "item").select("a", "b", big("n"))
+
+
+@query("seq24_association", f"""
+WITH {_EV}, o AS (SELECT user_id, item, row_number() OVER (PARTITION BY user_id ORDER BY s, event_id) AS p FROM ev),
+ w AS (SELECT x.item AS a, y.item AS b, count(*) AS n FROM o x JOIN o y ON x.user_id = y.user_id AND x.p <> y.p AND abs(x.p - y.p) <= 5 GROUP BY ALL),
+ e AS (SELECT a AS item, sum(n) AS m FROM w GROUP BY 1), t AS (SELECT sum(n) AS m FROM w),
+ r AS (SELECT w.a, w.b, ln(n::DOUBLE * t.m::DOUBLE / (x.m::DOUBLE * y.m::DOUBLE)) AS weight FROM w, t, e x, e y WHERE x.item = w.a AND y.item = w.b)
+SELECT a, b, round(weight, 6) AS weight FROM r WHERE weight > 1e-9""")
+def _(t):
+    counts = E.cooccurrences(sessions(t), ["user_id"], ["s", "event_id"], "item")
+    return E.association(counts).filter("weight > 1e-9").select("a", "b", rounded("weight"))
+
+
+@query("seq24_item_vectors")
+def _(t):
+    counts = E.cooccurrences(sessions(t), ["user_id"], ["s", "event_id"], "item")
+    return E.item_vectors(E.association(counts), size=8)[0]
+
+
+@query("seq24_nearest_items", """
+WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+ s AS (SELECT q.vec_id AS item, v.vec_id AS nearest, round(list_cosine_similarity(q.x, v.x), 9) AS similarity FROM v q JOIN v ON q.vec_id % 100 = 0 AND v.vec_id <> q.vec_id),
+ r AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY similarity DESC, nearest) AS rank FROM s)
+SELECT item, nearest, round(similarity, 6) AS similarity, CAST(rank AS INT) AS rank FROM r WHERE rank <= 5""")
+def _(t):
+    """The five most similar vectors of every hundredth one."""
+    found = N.nearest(t.embeddings.filter("vec_id % 100 = 0"), t.embeddings, "vec_id", "embedding", 64, k=5)
+    return found.select(F.col("query").alias("item"), "nearest", rounded("similarity"), "rank")
+
+
 @query("seq25_placeholder_item", """
 WITH $LOG, r AS (SELECT basket, item, row_number() OVER (PARTITION BY basket ORDER BY line DESC, item DESC, author DESC, price DESC, ship DESC) AS b FROM log),
  l AS (SELECT basket, list(item ORDER BY b DESC) AS items FROM r WHERE b <= 5 GROUP BY basket) SELECT basket, array_to_string(list_append(items[1:4], 1), ',') AS items FROM l""")
