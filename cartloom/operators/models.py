@@ -1,90 +1,201 @@
-"""Gradient-boosted trees on feature tables with Spark ML."""
+"""Gradient-boosted trees on feature tables with Spark ML.
+
+A feature table is binned once: features become the numbers of their quantile
+bins, a missing value has a bin of its own and a flag beside, so that a split may
+send it either way, and the table is stored. All models of a table, whatever
+their labels, folds or groups, are fitted side by side on that one stored table.
+A share of the rows stops the boosting once it no longer gets better on them.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import VectorAssembler
+from pyspark import inheritable_thread_target
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
+from pyspark.ml.feature import Bucketizer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cartloom.operators.blending import average_runs
-from cartloom.runtime import checkpoint_folder
+from cartloom.runtime import checkpoint_folder, stored
+
+BINS = 64
+SEED = 20240607
+SIDE_BY_SIDE = 4
+"""Models that are fitted at a time."""
+STOP = 5e-4
+"""Boosting ends when a round makes the loss of the rows held for it better by less than this share."""
+VECTOR, DRAW = "_bins", "_draw"
+
+
+@dataclass(frozen=True)
+class Bins:
+    """Inner borders of each feature's bins, and the features with missing values."""
+
+    features: tuple[str, ...]
+    edges: tuple[tuple[float, ...], ...]
+    flagged: tuple[str, ...]
+
+    @property
+    def parts(self) -> list[str]:
+        """The feature that each place of the vector belongs to."""
+        return [*self.features, *self.flagged]
+
+
+@dataclass(frozen=True)
+class Trees:
+    """A model with the bins that its input needs."""
+
+    bins: Bins
+    model: GBTClassificationModel
+
+
+def _number(c: str) -> Column:
+    """As a double; null, like NaN, is missing."""
+    return F.coalesce(F.col(c).cast("double"), F.lit(float("nan")))
+
+
+def learn_bins(df: DataFrame, features: Sequence[str], bins: int = BINS) -> Bins:
+    """Quantile borders of all features in one pass, and which features miss values, in another."""
+    numbers = df.select(*[F.col(c).cast("double").alias(c) for c in features])
+    # One bin is left for missing values.
+    share = [k / (bins - 1) for k in range(1, bins - 1)]
+    found = numbers.approxQuantile(list(features), share, 1 / (4 * bins))
+    edges = tuple(tuple(sorted({float(x) for x in e if not math.isinf(x)})) for e in found)
+    missing = numbers.agg(*[F.max(F.isnan(_number(c))).alias(c) for c in features]).first()
+    return Bins(tuple(features), edges, tuple(c for c in features if missing[c]))
+
+
+def binned(df: DataFrame, bins: Bins) -> DataFrame:
+    """The table with a vector of bin numbers; a value equal to a border lies above it."""
+    inputs = [f"_x{i}" for i in range(len(bins.features))]
+    outputs = [f"_b{i}" for i in range(len(bins.features))]
+    flags = [f"_m{i}" for i in range(len(bins.flagged))]
+    inside = F.lit(1e308)
+    clipped = {x: F.when(F.isnan(_number(c)), _number(c)).otherwise(F.least(F.greatest(_number(c), -inside), inside)) for x, c in zip(inputs, bins.features)}
+    table = df.withColumns(clipped | {m: F.isnan(_number(c)).cast("double") for m, c in zip(flags, bins.flagged)})
+    infinite = float("inf")
+    # A feature of one bin has no border of its own; any one does.
+    splits = [[-infinite, *(e or (0.0,)), infinite] for e in bins.edges]
+    cut = Bucketizer(splitsArray=splits, inputCols=inputs, outputCols=outputs, handleInvalid="keep").transform(table)
+    # Bins are numbers in order, not categories as the columns' metadata says.
+    plain = cut.withColumns({o: F.col(o).alias(o, metadata={}) for o in outputs})
+    whole = VectorAssembler(inputCols=[*outputs, *flags], outputCol=VECTOR).transform(plain)
+    return whole.select(*df.columns, VECTOR)
+
+
+def binned_table(df: DataFrame, features: Sequence[str], bins: int = BINS) -> tuple[DataFrame, Bins]:
+    """The table binned and stored with a number in [0, 1) drawn for each row, for any number of fits.
+
+    The source is read for the borders, for what is missing, and once more.
+    """
+    learned = learn_bins(df, features, bins)
+    place = F.xxhash64(F.lit(SEED), F.monotonically_increasing_id())
+    return stored(binned(df, learned).withColumn(DRAW, F.shiftrightunsigned(place, 11).cast("double") * F.lit(2.0**-53))), learned
 
 
-def fit_trees(df: DataFrame, features: Sequence[str], label: str, depth: int = 8, rounds: int = 300,
-              step: float = 0.1, seed: int = 42, rows: float = 0.8, columns: float = 0.3) -> PipelineModel:
-    """Binary classifier for one label; missing features count as 0.
+def fit_binned(table: DataFrame, bins: Bins, label: str, depth: int = 8, rounds: int = 300, step: float = 0.1, seed: int = 42,
+               rows: float = 0.8, columns: float = 0.3, held: float = 0.1) -> Trees:
+    """Binary classifier for one label on a binned table.
 
     Each tree is grown on the share ``rows`` of the rows, and each of its splits
-    looks at the share ``columns`` of the features.
+    looks at the share ``columns`` of the features. A share ``held`` of the rows,
+    drawn by hash, ends the boosting early; with 0 all rounds are run.
     """
-    checkpoint_folder(df.sparkSession)
-    assemble = VectorAssembler(inputCols=list(features), outputCol="features")
-    trees = GBTClassifier(featuresCol="features", labelCol="_label", maxDepth=depth, maxIter=rounds, stepSize=step,
-                          seed=seed, subsamplingRate=rows, featureSubsetStrategy=str(columns), maxBins=64, checkpointInterval=10)
-    data = df.select(*[F.col(c).cast("double").alias(c) for c in features], F.col(label).cast("double").alias("_label"))
-    return Pipeline(stages=[assemble, trees]).fit(data.fillna(0.0))
+    checkpoint_folder(table.sparkSession)
+    stop: dict = {}
+    chosen = [VECTOR, F.col(label).cast("double").alias("_label")]
+    # A table too small to have a row held grows all rounds.
+    if held > 0 and not table.filter(F.col(DRAW) < held).isEmpty():
+        chosen.append((F.col(DRAW) < held).alias("_held"))
+        stop = {"validationIndicatorCol": "_held", "validationTol": STOP}
+    trees = GBTClassifier(featuresCol=VECTOR, labelCol="_label", maxDepth=depth, maxIter=rounds, stepSize=step, seed=seed, subsamplingRate=rows,
+                          featureSubsetStrategy=str(columns), maxBins=max(BINS, 2 + max(map(len, bins.edges), default=0)), checkpointInterval=10, **stop)
+    data = table.select(*chosen)
+    return Trees(bins, trees.fit(data))
+
+
+def side_by_side(spark: SparkSession, jobs: Sequence[Callable[[], Trees]], threads: int = SIDE_BY_SIDE) -> list[Trees]:
+    """The jobs' models in order; fits share the cluster, so one's last tasks do not keep the others waiting."""
+    if not jobs:
+        return []
+    with ThreadPoolExecutor(min(threads, len(jobs))) as pool:
+        return [f.result() for f in [pool.submit(inheritable_thread_target(spark)(job)) for job in jobs]]
+
+
+def fit_trees(df: DataFrame, features: Sequence[str], label: str, **options) -> Trees:
+    """Binary classifier for one label, binned by the table's own quantiles."""
+    return fit_labels(df, features, [label], **options)[label]
+
+
+def fit_labels(df: DataFrame, features: Sequence[str], labels: Sequence[str], threads: int = SIDE_BY_SIDE, **options) -> dict[str, Trees]:
+    """A model of its own for every label, all on one binned table."""
+    table, bins = binned_table(df.select(*dict.fromkeys([*features, *labels])), features)
+    models = side_by_side(df.sparkSession, [lambda label=label: fit_binned(table, bins, label, **options) for label in labels], threads)
+    return dict(zip(labels, models))
+
+
+def score_trees(trees: Trees, df: DataFrame, out: str = "score") -> DataFrame:
+    """The probability of label 1 beside each row."""
+    ready = df if VECTOR in df.columns else binned(df, trees.bins)
+    scored = trees.model.transform(ready).withColumn(out, vector_to_array("probability")[1])
+    return scored.select(*[c for c in df.columns if c != out], out)
 
 
-def fit_labels(df: DataFrame, features: Sequence[str], labels: Sequence[str], **options) -> dict[str, PipelineModel]:
-    """A model of its own for every label."""
-    return {label: fit_trees(df, features, label, **options) for label in labels}
+def _fit_parts(df: DataFrame, features: Sequence[str], label: str, parts: Sequence[Column], threads: int, options: dict) -> tuple[DataFrame, list[Trees]]:
+    """The binned table, and a model of the rows of each part of it."""
+    table, bins = binned_table(df, features)
+    return table, side_by_side(df.sparkSession, [lambda part=part: fit_binned(table.filter(part), bins, label, **options) for part in parts], threads)
 
 
-def score_trees(model: PipelineModel, df: DataFrame, out: str = "score") -> DataFrame:
-    features = model.stages[0].getInputCols()
-    filled = df.withColumns({f"_x_{c}": F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in features})
-    assemble = VectorAssembler(inputCols=[f"_x_{c}" for c in features], outputCol="features")
-    scored = model.stages[1].transform(assemble.transform(filled))
-    kept = scored.withColumn(out, vector_to_array("probability")[1])
-    return kept.select(*df.columns, out)
+def _union(frames: Sequence[DataFrame]) -> DataFrame | None:
+    out = None
+    for frame in frames:
+        out = frame if out is None else out.unionByName(frame)
+    return out
 
 
 def cross_fit(df: DataFrame, features: Sequence[str], label: str, half: Column, test: DataFrame | None = None,
-              keys: Sequence[str] = (), **options):
+              keys: Sequence[str] = (), threads: int = SIDE_BY_SIDE, **options):
     """Two half-models score each other's rows; test rows get the mean."""
-    sides = df.withColumn("_half", half)
-    models = [fit_trees(sides.filter(F.col("_half") == h), features, label, **options) for h in (0, 1)]
-    scored = score_trees(models[1], sides.filter(F.col("_half") == 0)).unionByName(
-        score_trees(models[0], sides.filter(F.col("_half") == 1))).drop("_half")
+    side = F.col("_half")
+    table, models = _fit_parts(df.withColumn("_half", half), features, label, [side == 0, side == 1], threads, options)
+    scored = _union([score_trees(models[1], table.filter(side == 0)), score_trees(models[0], table.filter(side == 1))]).drop("_half", VECTOR, DRAW)
     if test is None:
         return scored, None
-    runs = score_trees(models[0], test).unionByName(score_trees(models[1], test))
-    return scored, average_runs(runs, keys, ["score"])
+    return scored, average_runs(_union([score_trees(m, test) for m in models]), keys, ["score"])
 
 
 def bag_folds(df: DataFrame, features: Sequence[str], label: str, fold: str, folds: int, test: DataFrame | None = None,
-              keys: Sequence[str] = (), **options):
+              keys: Sequence[str] = (), threads: int = SIDE_BY_SIDE, **options):
     """Out-of-fold scores, the bagged test scores, and the fold models."""
-    models, held_out, runs = [], None, None
-    for k in range(folds):
-        model = fit_trees(df.filter(F.col(fold) != k), features, label, **options)
-        models.append(model)
-        part = score_trees(model, df.filter(F.col(fold) == k))
-        held_out = part if held_out is None else held_out.unionByName(part)
-        if test is not None:
-            one = score_trees(model, test)
-            runs = one if runs is None else runs.unionByName(one)
-    return held_out, None if runs is None else average_runs(runs, keys, ["score"]), models
-
-
-def mean_importances(df: DataFrame, models: Sequence[PipelineModel]) -> DataFrame:
+    table, models = _fit_parts(df, features, label, [F.col(fold) != k for k in range(folds)], threads, options)
+    held_out = _union([score_trees(m, table.filter(F.col(fold) == k)) for k, m in enumerate(models)]).drop(VECTOR, DRAW)
+    runs = None if test is None else average_runs(_union([score_trees(m, test) for m in models]), keys, ["score"])
+    return held_out, runs, models
+
+
+def importances(trees: Trees) -> dict[str, float]:
+    """Share of each feature in the splits' gain, what its missing values tell included."""
+    out = dict.fromkeys(trees.bins.features, 0.0)
+    for feature, share in zip(trees.bins.parts, trees.model.featureImportances.toArray()):
+        out[feature] += float(share)
+    return out
+
+
+def mean_importances(df: DataFrame, models: Sequence[Trees]) -> DataFrame:
     """Feature importances averaged over models; one line per feature."""
-    features = models[0].stages[0].getInputCols()
-    arrays = [m.stages[1].featureImportances.toArray() for m in models]
-    lines = [(f, float(sum(a[i] for a in arrays) / len(arrays))) for i, f in enumerate(features)]
+    each = [importances(m) for m in models]
+    lines = [(f, sum(e[f] for e in each) / len(each)) for f in models[0].bins.features]
     return df.sparkSession.createDataFrame(lines, "feature string, importance double")
 
 
-def per_group_models(df: DataFrame, features: Sequence[str], label: str, group: str, values: Sequence, **options) -> DataFrame:
+def per_group_models(df: DataFrame, features: Sequence[str], label: str, group: str, values: Sequence, threads: int = SIDE_BY_SIDE, **options) -> DataFrame:
     """A model of its own for every value of a small group column."""
-    out = None
-    for v in values:
-        rows = df.filter(F.col(group) == v)
-        one = score_trees(fit_trees(rows, features, label, **options), rows)
-        out = one if out is None else out.unionByName(one)
-    return out
+    table, models = _fit_parts(df, features, label, [F.col(group) == v for v in values], threads, options)
+    return _union([score_trees(m, table.filter(F.col(group) == v)) for v, m in zip(values, models)]).drop(VECTOR, DRAW)

@@ -74,6 +74,11 @@ def scratch_folder(spark: SparkSession) -> str:
     return path
 
 
+def scratch_paths() -> tuple[str, ...]:
+    """Scratch folders given out and not dropped since."""
+    return tuple(_scratch)
+
+
 def drop_scratch(spark: SparkSession) -> None:
     """Delete what this program has written to scratch folders so far.
 
