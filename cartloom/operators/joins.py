@@ -11,6 +11,13 @@ from cartloom.operators.ordered import Running, ordered_windows
 from cartloom.runtime import stored
 
 
+FEW_KEYS = 100_000
+"""Distinct keys up to which they are broadcast to shrink a table."""
+KEY_BITS = 1 << 28
+"""Bits of a map of keys at most: 32 MB."""
+KEY_SEED = 20240607
+
+
 def attach(df: DataFrame, table: DataFrame, on: Sequence[str] | dict[str, str],
            fills: dict | None = None, how: str = "left") -> DataFrame:
     """Join a feature table; ``on`` may map own key names to the table's.
@@ -42,9 +49,38 @@ def role_switched(table: DataFrame, roles: tuple[str, str]) -> DataFrame:
     return table.select(*[F.col(c).alias(other.get(c, c)) for c in table.columns])
 
 
-def shrink_to(table: DataFrame, df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Only the table rows whose keys occur in ``df``."""
-    return table.join(df.select(*keys).distinct(), list(keys), "left_semi")
+def key_bits(keys_of: DataFrame, keys: Sequence[str], bits: int) -> DataFrame:
+    """(bucket, marks): a bit map of ``bits`` bits with the bit of every key's hash set, in maps of 4 KB."""
+    place = F.pmod(F.xxhash64(F.lit(KEY_SEED), *keys), F.lit(bits)) + 1
+    hashed = keys_of.select(F.bitmap_bucket_number(place).alias("bucket"), F.bitmap_bit_position(place).alias("bit"))
+    return hashed.groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("marks"))
+
+
+def maybe_among(table: DataFrame, marks: DataFrame, keys: Sequence[str], bits: int) -> DataFrame:
+    """The rows whose key's bit is set: all whose key was marked, and by chance some others."""
+    place = F.pmod(F.xxhash64(F.lit(KEY_SEED), *keys), F.lit(bits)) + 1
+    bit = F.bitmap_bit_position(place)
+    byte = F.conv(F.hex(F.substring("_marks", F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    is_set = F.expr("_byte >> cast(_bit % 8 as int) & 1 = 1")
+    named = marks.select(F.col("bucket").alias("_bucket"), F.col("marks").alias("_marks"))
+    met = table.withColumn("_bucket", F.bitmap_bucket_number(place)).withColumn("_bit", bit).join(F.broadcast(named), "_bucket")
+    return met.withColumn("_byte", byte).filter(is_set).select(*table.columns)
+
+
+def shrink_to(table: DataFrame, df: DataFrame, keys: Sequence[str], few: int = FEW_KEYS, most_bits: int = KEY_BITS) -> DataFrame:
+    """Only the table rows whose keys occur in ``df``.
+
+    Beyond ``few`` keys, which are looked up where the rows are, a bit map of the
+    keys drops most other rows before the semi-join shuffles what is left. It has
+    16 bits a key and ``most_bits`` at most, so its size is bounded; a fuller one
+    lets more rows through, and the result is the same. Null keys are in neither.
+    """
+    wanted = stored(df.select(*keys).dropna().distinct())
+    n = wanted.count()
+    if n <= few:
+        return table.join(F.broadcast(wanted), list(keys), "left_semi")
+    bits = min(most_bits, 1 << (16 * n - 1).bit_length())
+    return maybe_among(table, stored(key_bits(wanted, keys, bits)), keys, bits).join(wanted, list(keys), "left_semi")
 
 
 def missing_ids(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
@@ -107,36 +143,52 @@ def nearest_events(rows: DataFrame, events: DataFrame, entity: tuple[str, str],
 def two_hop(pairs: DataFrame, edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """The given pairs (a, b) that are linked by some a -> c -> b, each once.
 
-    For each pair only the shorter of a's followees and b's followers is
-    opened, and the other leg is a semi-join: a hub is not multiplied out.
+    For each pair only the shorter of a's followees and b's followers, as bit
+    maps, is opened, and the other leg is a semi-join: a hub is not multiplied out.
     """
     links = stored(edges.select(F.col(a).alias("_s"), F.col(b).alias("_d")).distinct())
-    return _two_hop(pairs.select(a, b).distinct(), links, a, b)
+    asked = links.select(F.col("_s").alias(a), F.col("_d").alias(b)) if pairs is edges else pairs.select(a, b).distinct()
+    return _two_hop(asked, links, a, b).distinct()
+
+
+def _neighbours(links: DataFrame, node: str, other: str) -> DataFrame:
+    """(node, word, bits): the node's neighbours, 64 numbers to a word; neighbours that are no numbers are words of their own."""
+    if links.schema[other].dataType.typeName() in ("byte", "short", "integer", "long"):
+        number = F.col(other).cast("long")
+        word, bit = F.shiftright(number, 6), F.call_function("shiftleft", F.lit(1).cast("long"), number.bitwiseAND(63).cast("int"))
+    else:
+        word, bit = F.col(other), F.lit(1).cast("long")
+    return stored(links.groupBy(F.col(node).alias("node"), word.alias("word")).agg(F.bit_or(bit).alias("bits")))
 
 
 def _two_hop(pairs: DataFrame, links: DataFrame, a: str, b: str) -> DataFrame:
-    """Those of the distinct pairs that are linked over some third; further columns of the pairs stay."""
+    """Those of the distinct pairs that are linked over some third, as often as they are; further columns of the pairs stay.
+
+    Followees and followers are bit maps, so that a hub has a row for 64 of its
+    neighbours; the maps of both ends of a pair meet word by word.
+    """
     names = pairs.columns
-    out_degree = stored(links.groupBy(F.col("_s").alias(a)).agg(F.count(F.lit(1)).alias("_out")), links)
-    in_degree = stored(links.groupBy(F.col("_d").alias(b)).agg(F.count(F.lit(1)).alias("_in")), links)
-    sized = pairs.join(out_degree, a).join(in_degree, b)
-    by_start = (
-        sized.filter(F.col("_out") <= F.col("_in")).select(*names)
-        .join(links.select(F.col("_s").alias(a), F.col("_d").alias("_c")), a)
-        .join(links.select(F.col("_s").alias("_c"), F.col("_d").alias(b)), ["_c", b], "left_semi")
-    )
-    by_end = (
-        sized.filter(F.col("_out") > F.col("_in")).select(*names)
-        .join(links.select(F.col("_s").alias("_c"), F.col("_d").alias(b)), b)
-        .join(links.select(F.col("_s").alias(a), F.col("_d").alias("_c")), [a, "_c"], "left_semi")
-    )
-    return by_start.select(*names).unionByName(by_end.select(*names)).distinct()
+    after, before = _neighbours(links, "_s", "_d"), _neighbours(links, "_d", "_s")
+    out_words = stored(after.groupBy(F.col("node").alias(a)).agg(F.count(F.lit(1)).alias("_out")), after)
+    in_words = stored(before.groupBy(F.col("node").alias(b)).agg(F.count(F.lit(1)).alias("_in")), before)
+    # Both ways of looking read the pairs; they are made once.
+    sized = stored(pairs.join(out_words, a).join(in_words, b))
+
+    def met(chosen: DataFrame, first: DataFrame, start: str, second: DataFrame, end: str) -> DataFrame:
+        opened = chosen.join(first.select(F.col("node").alias(start), F.col("word").alias("_word"), F.col("bits").alias("_bits")), start)
+        other = second.select(F.col("node").alias("_end"), F.col("word").alias("_there"), F.col("bits").alias("_held"))
+        same = (opened[end] == other["_end"]) & (opened["_word"] == other["_there"]) & (F.col("_bits").bitwiseAND(F.col("_held")) != 0)
+        return opened.join(other, same, "left_semi").select(*names)
+
+    by_start = met(sized.filter(F.col("_out") <= F.col("_in")), after, a, before, b)
+    by_end = met(sized.filter(F.col("_out") > F.col("_in")), before, b, after, a)
+    return by_start.unionByName(by_end)
 
 
 def follow_flags(rows: DataFrame, edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Per row (a, b): follows back, two hops forward, two hops backward."""
     links = stored(edges.select(F.col(a).alias("_s"), F.col(b).alias("_d")).distinct())
-    pairs = rows.select(a, b).distinct()
+    pairs = stored(rows.select(a, b).distinct())
     # Both directions in one pass over the links.
     swapped = pairs.select(F.col(b).alias(a), F.col(a).alias(b))
     ways = pairs.withColumn("_back", F.lit(False)).unionByName(swapped.withColumn("_back", F.lit(True)))

@@ -236,6 +236,16 @@ def _(t):
     return J.shrink_to(m, wanted, ["l_partkey"])
 
 
+@query("jon8_marked_map", """
+SELECT l_orderkey, l_suppkey, count(*) AS n FROM lineitem WHERE (l_orderkey, l_suppkey) IN (SELECT o_orderkey, o_custkey % 100 + 1 FROM orders WHERE o_orderstatus = 'F')
+GROUP BY ALL""")
+def _(t):
+    """Keys of two columns, more than are broadcast, as a bit map before the semi-join."""
+    m = A.histogram(t.lineitem, ["l_orderkey", "l_suppkey"])
+    wanted = t.orders.filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("l_orderkey"), (F.col("o_custkey") % 100 + 1).alias("l_suppkey"))
+    return J.shrink_to(m, wanted, ["l_orderkey", "l_suppkey"], few=0)
+
+
 @query("jon9_missing_ids", """
 SELECT DISTINCT c_custkey AS id FROM customer WHERE c_custkey NOT IN (SELECT l_suppkey FROM lineitem)""")
 def _(t):
