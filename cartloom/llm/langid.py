@@ -16,13 +16,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cartloom.llm.registry import llm_query, read
+from cartloom.llm.registry import llm_query, read, written
 from cartloom.llm.words import LOWER, column_bytes, slices
 
 ORDER = 4
-SAMPLE_ROWS, SAMPLE_BYTES, LANGUAGES = 1000, 2_000_000, 256
-"""Bound of the sample a model is fitted on: rows and bytes for each language, and languages (those
-of the most rows). It bounds the model, whatever the corpus, and so what is collected and broadcast."""
+SAMPLE_ROWS, SAMPLE_BYTES, ALL_BYTES = 1000, 2_000_000, 16_000_000
+"""Bound of the sample a model is fitted on: distinct texts and bytes for each language, and bytes of all
+languages, which share them evenly. Every language has one text at least. It bounds the model, whatever
+the corpus, and so what is collected and broadcast."""
+TOGETHER = 4
+"""Languages whose counts stand side by side in one table; others have tables of their own."""
 UNKNOWN = "und"
 PIECE = 2 << 20
 """Bytes of text scored at a time; a longer text is a piece of its own."""
@@ -49,35 +52,45 @@ def _low(grams: np.ndarray, width: int) -> np.ndarray:
 
 
 class Model:
-    """Sorted grams of each order with a column of counts per language."""
+    """For every few languages the sorted grams of each order with a column of counts per language."""
 
     def __init__(self, languages: list[str], grams: np.ndarray, language: np.ndarray, counts: np.ndarray):
         """grams of full width with their language's number and count, each once per language."""
-        self.languages, self.orders = languages, []
+        self.languages = languages
+        self.groups = []
+        for low in range(0, len(languages), TOGETHER):
+            some = (language >= low) & (language < low + TOGETHER)
+            self.groups.append(self._orders(grams[some], language[some] - low, counts[some], min(TOGETHER, len(languages) - low)))
+
+    @staticmethod
+    def _orders(grams: np.ndarray, language: np.ndarray, counts: np.ndarray, width: int) -> list[tuple]:
+        out = []
         for k in range(ORDER + 1):
             keys, where = np.unique(_low(grams, k + 1), return_inverse=True)
-            table = np.zeros((len(keys), len(languages)))
-            np.add.at(table, (where, language), counts)
+            table = np.zeros((len(keys), width), dtype=np.uint32)
+            np.add.at(table, (where, language), counts.astype(np.uint32))
             contexts, of = np.unique(keys >> np.uint64(8), return_inverse=True)
-            total, distinct = np.zeros((len(contexts), len(languages))), np.zeros((len(contexts), len(languages)))
+            total, distinct = np.zeros((len(contexts), width), dtype=np.uint32), np.zeros((len(contexts), width), dtype=np.uint32)
             np.add.at(total, of, table)
-            np.add.at(distinct, of, table > 0)
-            self.orders.append((keys, table, contexts, total, distinct))
+            np.add.at(distinct, of, (table > 0).astype(np.uint32))
+            out.append((keys, table, contexts, total, distinct))
+        return out
 
-    def bits(self, grams: np.ndarray) -> np.ndarray:
-        """Code length of each gram's last byte in each language."""
-        out = np.zeros((len(grams), len(self.languages)))
+    def bits(self, grams: np.ndarray, group: int) -> np.ndarray:
+        """Code length of each gram's last byte in each language of a group."""
+        orders = self.groups[group]
+        out = np.zeros((len(grams), orders[0][1].shape[1]))
         coded = np.zeros(out.shape, dtype=bool)
         for k in range(ORDER, -1, -1):
-            keys, table, contexts, total, distinct = self.orders[k]
+            keys, table, contexts, total, distinct = orders[k]
             if not len(keys):
                 continue
             full = _low(grams, k + 1)
             at = np.minimum(np.searchsorted(contexts, full >> np.uint64(8)), len(contexts) - 1)
             known = (contexts[at] == full >> np.uint64(8))[:, None]
-            n, q = np.where(known, total[at], 0), np.where(known, distinct[at], 0)
+            n, q = np.where(known, total[at], 0).astype(np.float64), np.where(known, distinct[at], 0).astype(np.float64)
             at = np.minimum(np.searchsorted(keys, full), len(keys) - 1)
-            c = np.where((keys[at] == full)[:, None], table[at], 0)
+            c = np.where((keys[at] == full)[:, None], table[at], 0).astype(np.float64)
             here = ~coded & (n > 0)
             cost = np.log2(np.where(here, n + q, 1)) - np.log2(np.where(here, np.where(c > 0, c, q), 1))
             out += cost
@@ -90,28 +103,30 @@ class Model:
         out = np.zeros((len(texts), len(self.languages)))
         if len(grams):
             distinct, inverse = np.unique(grams, return_inverse=True)
-            bits = self.bits(distinct)
             filled = offsets[1:] > offsets[:-1]
-            for k in range(len(self.languages)):
-                out[filled, k] = np.add.reduceat(bits[inverse, k], offsets[:-1][filled])
+            for group in range(len(self.groups)):
+                bits = self.bits(distinct, group)
+                for k in range(bits.shape[1]):
+                    out[filled, group * TOGETHER + k] = np.add.reduceat(bits[inverse, k], offsets[:-1][filled])
         return out
 
 
-def sample(docs: DataFrame, rows: int = SAMPLE_ROWS, size: int = SAMPLE_BYTES, languages: int = LANGUAGES,
+def sample(docs: DataFrame, rows: int = SAMPLE_ROWS, size: int = SAMPLE_BYTES, together: int = ALL_BYTES,
            text: str = "text", lang: str = "lang") -> DataFrame:
-    """(lang, text) of the labelled rows to learn from, whole texts in hash order up to the bounds.
+    """(lang, text) of the labelled rows to learn from, distinct whole texts in hash order up to the bounds.
 
     At least one text of each language is taken.
     """
     labelled = docs.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text")).filter(
-        "lang IS NOT NULL AND octet_length(text) > 0")
-    counts = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages)
-    drawn = F.xxhash64(F.lit(20240607), "text")
-    # Twice as many as wanted are expected to pass, or all where there are few.
-    unit = F.shiftrightunsigned(drawn, 11).cast("double") * F.lit(2.0**-53)
-    near = labelled.join(F.broadcast(counts), "lang").filter(unit * F.col("n") < 2 * rows + 20)
-    order = Window.partitionBy("lang").orderBy("_drawn", "text")
-    ranked = near.withColumn("_drawn", drawn).withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= rows)
+        "lang IS NOT NULL AND octet_length(text) > 0").withColumn("_drawn", F.xxhash64(F.lit(20240607), "text"))
+    counts = written(labelled.groupBy("lang").agg(F.approx_count_distinct("_drawn", 0.02).alias("n")))
+    size = min(size, together // max(1, counts.count()))
+    # Twice as many texts as wanted are expected to pass, or all where there are few; their copies go before they meet.
+    unit = F.shiftrightunsigned("_drawn", 11).cast("double") * F.lit(2.0**-53)
+    near = labelled.join(counts, "lang").filter(unit * F.col("n") < 2 * rows + 20)
+    distinct = near.groupBy("lang", "_drawn").agg(F.min("text").alias("text"))
+    order = Window.partitionBy("lang").orderBy("_drawn")
+    ranked = distinct.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= rows)
     before = F.sum(F.octet_length("text").cast("long")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return ranked.withColumn("_bytes", before).filter((F.col("_bytes") <= size) | (F.col("_rank") == 1)).select("lang", "text")
 

@@ -26,7 +26,6 @@ SAMPLE = 20_000
 """Labelled findings that the forest learns from at most."""
 TREES, DEPTH, SEED = 40, 8, 20240607
 LIMIT = 0.5
-CONTEXT = 2
 
 # What tells findings by their form, and words that point to secrets, places of tests, and calls for them.
 KEY_FORMS = r"^(AKIA|ASIA)[0-9A-Z]{16}$"
@@ -53,39 +52,42 @@ def candidates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path
     word's end, without quotes around it; of a quoted value of several words the
     first. Cloud keys and web tokens are candidates anywhere.
     ``position`` is the word's number; lead and tail are the rest of its word
-    around the value, before and after its CONTEXT neighbours. A word with several
+    around the value, before and after its two neighbours on each side. A word with several
     runs gives several rows. Null and empty texts have none.
     """
     words = F.split(F.coalesce(F.col(text), F.lit("")), r"[\x20\x09-\x0D]+")
     # The three words before a word may hold the name that it is assigned to. They are zipped to it rather than looked
-    # up, since the optimizer may copy the split into whatever a lambda refers to.
+    # up, since the optimizer may copy the split into whatever a lambda refers to; nothing stands for a missing word.
     own = F.col("_words")
-    shifted = lambda k: F.slice(F.concat(F.array_repeat(F.lit(""), k), own), F.lit(1), F.size(own)).alias(f"b{k}")
+    nothing = F.array_repeat(F.lit(None).cast("string"), 3)
+    earlier = lambda k: F.slice(F.concat(F.slice(nothing, 1, k), own), F.lit(1), F.size(own)).alias(f"b{k}")
+    later = lambda k: F.slice(F.concat(own, nothing), F.lit(k + 1), F.size(own)).alias(f"a{k}")
     tail = NAMED + r"(\S+)$"
-    spot = lambda word, i, assigned: F.struct(word.alias("word"), i.alias("position"), assigned.alias("assigned"))
-    signed = lambda *parts: F.greatest(*(F.instr(x, "=") + F.instr(x, ":") for x in parts)) > 0
-    near = F.transform(F.arrays_zip(own.alias("w"), shifted(1), shifted(2), shifted(3)), lambda z, i: spot(
-        z["w"], i, F.when(signed(z["b2"], z["b1"], z["w"]), F.regexp_extract(F.concat_ws(" ", z["b3"], z["b2"], z["b1"], z["w"]), tail, 1)).otherwise("")))
-    plain = F.transform(own, lambda w, i: spot(w, i, F.lit("")))
-    numbered = F.when(F.col("_named"), near).otherwise(plain)
+    sides = ["b2", "b1", "a1", "a2"]
+    spot = lambda z, i, assigned: F.struct(z["w"].alias("word"), *(z[c].alias(c) for c in sides), i.alias("position"), assigned.alias("assigned"))
+    signed = lambda *parts: F.coalesce(F.greatest(*(F.instr(x, "=") + F.instr(x, ":") for x in parts)), F.lit(0)) > 0
+    zipped = F.arrays_zip(own.alias("w"), earlier(1), earlier(2), earlier(3), later(1), later(2))
+    near = F.transform(zipped, lambda z, i: spot(
+        z, i, F.when(signed(z["b2"], z["b1"], z["w"]), F.regexp_extract(F.concat_ws(" ", z["b3"], z["b2"], z["b1"], z["w"]), tail, 1)).otherwise("")))
+    plain = F.transform(zipped, lambda z, i: spot(z, i, F.lit("")))
     run = lambda s: (F.length(s["word"]) >= 12) & s["word"].rlike(r"[0-9]")
-    spots = F.filter(numbered, lambda s: run(s) | (s["assigned"] != "") | (F.length(s["word"]) >= 8) & s["word"].rlike(FORMS))
+    wanted = lambda s: run(s) | (s["assigned"] != "") | (F.length(s["word"]) >= 8) & s["word"].rlike(FORMS)
+    # Each spot carries its neighbours, never the text, so that a text of many candidates stays of its own size.
+    small = lambda s: F.struct(s["word"].alias("word"), s["position"].alias("position"), s["assigned"].alias("assigned"),
+                               F.concat_ws(" ", s["b2"], s["b1"]).alias("before"), F.concat_ws(" ", s["a1"], s["a2"]).alias("after"))
+    spots = F.when(F.col("_named"), F.transform(F.filter(near, wanted), small)).otherwise(F.transform(F.filter(plain, wanted), small))
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(path).cast("string").alias("path"), words.alias("_words"),
-                       F.coalesce(F.col(text).rlike(NAMED), F.lit(False)).alias("_named")).withColumn("_spots", spots)
-    spotted = rows.filter(F.size("_spots") > 0).select("doc_id", "path", "_words", F.explode("_spots").alias("s"))
+                       F.coalesce(F.col(text).rlike(NAMED), F.lit(False)).alias("_named")).select("doc_id", "path", spots.alias("_spots"))
+    spotted = rows.filter(F.size("_spots") > 0).select("doc_id", "path", F.explode("_spots").alias("s"))
     runs = F.filter(F.regexp_extract_all(F.col("s.word"), F.lit(RUN), F.lit(0)), lambda v: v.rlike(r"[0-9]"))
     raw = F.col("s.assigned")
     quoted = F.regexp_extract(raw, r"^([\"'`])(.+?)\1", 2)
     bare = F.regexp_replace(F.regexp_replace(raw, r"^[\"'`]+", ""), r"[\"'`,;]+$", "")
     named = F.filter(F.array(F.when(quoted != "", quoted).otherwise(bare)), lambda v: v != "")
     values = F.concat(runs, F.array_except(F.concat(F.regexp_extract_all(F.col("s.word"), F.lit(FORMS), F.lit(0)), named), runs))
-    found = spotted.select("doc_id", "path", "_words", "s", F.explode(values).alias("value"))
-    at = F.col("s.position")
-    around = found.select(
-        "doc_id", at.cast("long").alias("position"), F.coalesce("path", F.lit("")).alias("path"), F.col("s.word").alias("word"),
-        "value",
-        F.array_join(F.slice("_words", F.greatest(at + 1 - CONTEXT, F.lit(1)), F.least(at, F.lit(CONTEXT))), " ").alias("before"),
-        F.array_join(F.slice("_words", at + 2, F.lit(CONTEXT)), " ").alias("after"))
+    around = spotted.select(
+        "doc_id", F.col("s.position").cast("long").alias("position"), F.coalesce("path", F.lit("")).alias("path"), F.col("s.word").alias("word"),
+        F.explode(values).alias("value"), F.col("s.before").alias("before"), F.col("s.after").alias("after"))
     begin = F.instr("word", F.col("value"))
     return around.select("doc_id", "position", "path", "value", F.expr("substring(word, 1, instr(word, value) - 1)").alias("lead"),
                          F.substring("word", begin + F.length("value"), F.length("word")).alias("tail"), "before", "after")
@@ -94,8 +96,16 @@ def candidates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path
 def dictionary(docs: DataFrame, size: int = DICTIONARY, text: str = "text") -> DataFrame:
     """The corpus's most frequent words of 3 letters and more; ties by the word."""
     word = F.explode(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}]+"))
-    counts = docs.select(word.alias("word")).filter("length(word) >= 3").groupBy("word").agg(F.count("*").alias("n"))
-    return written(counts.orderBy(F.desc("n"), "word").limit(size).select("word"))
+    counts = written(docs.select(word.alias("word")).filter("length(word) >= 3").groupBy("word").agg(F.count("*").alias("n")))
+    # How many words are at least as frequent as each power of 2^(1/8): only those from the last step needed are sorted.
+    step = F.floor(F.log2("n") * 8).alias("step")
+    steps = sorted(((r.step, r["count"]) for r in counts.groupBy(step).count().collect()), reverse=True)
+    least, held = 0, 0
+    for least, n in steps:
+        held += n
+        if held >= size:
+            break
+    return written(counts.filter(F.floor(F.log2("n") * 8) >= least).orderBy(F.desc("n"), "word").limit(size).select("word"))
 
 
 def with_features(found: DataFrame, words: DataFrame) -> DataFrame:

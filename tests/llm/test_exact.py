@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from cartloom.llm import catalog, decontaminate, exact_dedup, mixing, sharding
 from cartloom.runtime import scratch_folder
-from tests.llm.conftest import FOLDER, SCHEMA, letter_words
+from tests.llm.conftest import BASE, FOLDER, SCHEMA, letter_words
 from tests.test_queries import canonical
 
 
@@ -73,6 +73,44 @@ def test_later_batches_only_add_new_texts(session):
     assert sorted(r.keep_id for r in reopened.table().collect()) == [1, 2, 3]
 
 
+def decisions(frame):
+    return sorted(map(str, frame.collect()))
+
+
+def test_a_named_batch_can_be_run_again(session, edges):
+    store = index(session)
+    store.add(session.createDataFrame([(50, BASE, "", "", 0)], SCHEMA), batch="monday")
+    first = decisions(store.add(edges, batch="tuesday"))
+    held = decisions(store.table())
+    assert decisions(store.add(edges.repartition(3), batch="tuesday")) == first and decisions(store.table()) == held
+    assert any("kept=True" in r for r in first) and any("keep_id=50, " in r for r in first)
+    # Under another name it is a new batch, of which nothing is new.
+    assert not any("kept=True" in r for r in decisions(store.add(edges, batch="wednesday")))
+
+
+def test_a_batch_that_failed_between_append_and_result(session, edges):
+    whole = index(session)
+    want = decisions(whole.add(edges, batch="b"))
+    rows = sorted(map(tuple, whole.table().collect()))
+    for done in (rows, rows[::2], []):
+        store = index(session)
+        if done:
+            (session.createDataFrame(done, whole.COLUMNS).write.format("parquet").mode("append").bucketBy(4, "digest").sortBy("digest")
+             .option("path", store.path).saveAsTable(store.name))
+        assert decisions(store.add(edges, batch="b")) == want
+        assert sorted(map(tuple, store.table().collect())) == rows
+
+
+def test_clashing_columns_in_dedup(session, edges, clashing):
+    odd = clashing.withColumns({c: F.lit("taken") for c in ("points", "row", "batch", "best", "mine", "new")})
+    assert decisions(index(session).add(odd)) == decisions(index(session).add(edges))
+
+
+def test_buckets_follow_the_texts(session):
+    made = exact_dedup.DigestIndex(session, scratch_folder(session), f"digests_{uuid.uuid4().hex}", texts=1_000_000_000)
+    assert made.buckets == 250 and index(session).buckets == 4
+
+
 def test_the_index_side_of_the_anti_join_is_not_shuffled(session):
     store = index(session)
     store.add(session.createDataFrame([(1, "one", "", "", 0)], SCHEMA))

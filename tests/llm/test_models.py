@@ -76,6 +76,29 @@ def test_sample_is_bounded(documents):
     assert all(len(v) == 1 or (len(v) <= 5 and sum(v) <= 10_000) for v in by.values())
 
 
+def test_every_language_is_learned(session):
+    """300 languages, each of letters of its own, share the bound of bytes."""
+    letters = [chr(0x4E00 + k) for k in range(900)]
+    rows = [(f"l{k:03d}", " ".join(letters[3 * k + (i + j) % 3] * (1 + j % 4) for j in range(200))) for k in range(300) for i in range(4)]
+    drawn = langid.sample(session.createDataFrame(rows, "lang string, text string").repartition(4), together=300 * 1500)
+    sizes = defaultdict(list)
+    for r in drawn.collect():
+        sizes[r.lang].append(len(r.text.encode()))
+    assert len(sizes) == 300 and all(len(v) == 1 or sum(v) <= 1500 for v in sizes.values())
+    model = langid.fit(drawn)
+    assert len(model.languages) == 300 and len(model.groups) == 75
+    texts = [letters[3 * k] + " " + letters[3 * k + 1] * 2 for k in range(0, 300, 7)]
+    best = model.code_lengths(pa.array(texts)).argmin(axis=1)
+    assert [model.languages[b] for b in best] == [f"l{k:03d}" for k in range(0, 300, 7)]
+
+
+def test_copies_are_one_text_of_the_sample(session):
+    rows = [("en", BASE)] * 10_000 + [("en", f"{BASE} number {k}") for k in range(300)] + [("de", TRAIN[2][1])] * 50
+    drawn = langid.sample(session.createDataFrame(rows, "lang string, text string").repartition(4), rows=200).collect()
+    by = Counter(r.lang for r in drawn)
+    assert by == {"en": 200, "de": 1} and len({r.text for r in drawn}) == 201
+
+
 def test_held_out_accuracy(session):
     from cartloom.llm.catalog import QUERIES
 
@@ -324,3 +347,29 @@ def test_no_python_in_native_plans(session, edges):
     featured = secrets.with_features(secrets.candidates(edges), secrets.dictionary(edges))
     plan = featured._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_a_text_of_many_candidates(session, edges):
+    """Each candidate carries its neighbours alone, whatever the text's length."""
+    words = [f"{k:08d}abcdef{k:08d}" for k in range(100_000)]
+    docs = session.createDataFrame([(1, " ".join(words), "en", "s", 1)], edges.schema)
+    found = secrets.candidates(docs)
+    row = found.agg(F.count("*").alias("n"), F.countDistinct("value").alias("values"), F.max(F.length("before") + F.length("after")).alias("around")).first()
+    assert (row.n, row.values, row.around) == (100_000, 100_000, 4 * 22 + 2)
+    ends = {r.position: (r.before, r.after) for r in found.filter("position IN (0, 1, 99998, 99999)").collect()}
+    assert ends == {0: ("", f"{words[1]} {words[2]}"), 1: (words[0], f"{words[2]} {words[3]}"),
+                    99998: (f"{words[99996]} {words[99997]}", words[99999]), 99999: (f"{words[99997]} {words[99998]}", "")}
+
+
+def brute_dictionary(texts, size):
+    import regex
+
+    counts = Counter(w for t in texts for w in regex.findall(r"\p{L}+", (t or "").lower()) if len(w) >= 3)
+    return {w for w, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:size]}
+
+
+@pytest.mark.parametrize("size", [1, 10, 500, 10_000_000])
+def test_dictionary(documents, empty, size):
+    texts = [r.text for r in documents.select("text").collect()]
+    assert {r.word for r in secrets.dictionary(documents, size).collect()} == brute_dictionary(texts, size)
+    assert secrets.dictionary(empty, size).count() == 0
