@@ -75,7 +75,10 @@ def candidates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path
     # Each spot carries its neighbours, never the text, so that a text of many candidates stays of its own size.
     small = lambda s: F.struct(s["word"].alias("word"), s["position"].alias("position"), s["assigned"].alias("assigned"),
                                F.concat_ws(" ", s["b2"], s["b1"]).alias("before"), F.concat_ws(" ", s["a1"], s["a2"]).alias("after"))
-    spots = F.when(F.col("_named"), F.transform(F.filter(near, wanted), small)).otherwise(F.transform(F.filter(plain, wanted), small))
+    # Neighbours are zipped only where a word can be a candidate at all.
+    any_word = F.exists(own, lambda w: (F.length(w) >= 12) & w.rlike(r"[0-9]") | (F.length(w) >= 8) & w.rlike(FORMS))
+    spots = (F.when(F.col("_named"), F.transform(F.filter(near, wanted), small))
+             .when(any_word, F.transform(F.filter(plain, wanted), small)))
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(path).cast("string").alias("path"), words.alias("_words"),
                        F.coalesce(F.col(text).rlike(NAMED), F.lit(False)).alias("_named")).select("doc_id", "path", spots.alias("_spots"))
     spotted = rows.filter(F.size("_spots") > 0).select("doc_id", "path", F.explode("_spots").alias("s"))
