@@ -6,6 +6,7 @@ from cartloom.functions import timeparts as D
 from cartloom.operators import aggregates as A
 from cartloom.operators import joins as J
 from cartloom.operators import sequences as Q
+from cartloom.operators.featuremaps import KeyedMaps
 from cartloom.operators.ordered import with_group
 from cartloom.plans.registry import LINE_ORDER, big, query, rounded, text
 
@@ -288,6 +289,34 @@ def _(t):
     return fit_target(t.log, ["author"], ["y", "z"])
 
 
+@query("jon1_kept_maps", """
+WITH $LOG, n AS (SELECT author, count(*) AS n, CAST(sum(y) AS BIGINT) AS ys FROM log GROUP BY author), q AS (SELECT author, max(qty) AS most FROM log WHERE kind = '1-URGENT' GROUP BY author),
+ r AS (SELECT author, count(DISTINCT reader) AS readers FROM log WHERE status = 'P' GROUP BY author)
+SELECT basket, line, item, n, ys, most, coalesce(readers, 0) AS readers FROM log LEFT JOIN n USING (author) LEFT JOIN q USING (author) LEFT JOIN r USING (author)""")
+def _(t):
+    log = t.log
+    maps = KeyedMaps(t.spark, ["author"])
+    kept = [
+        maps.keep("sizes", A.summarise(log, ["author"], n=F.count(F.lit(1)), ys=F.sum("y"))),
+        maps.keep("urgent", A.summarise(log.filter("kind = '1-URGENT'"), ["author"], most=F.max("qty"))),
+        maps.keep("pending", A.summarise(log.filter("status = 'P'"), ["author"], readers=F.countDistinct("reader"))),
+    ]
+    # Attached by their buckets, however small they are.
+    return maps.attach(log, kept, {"readers": 0}, small=0).select("basket", "line", "item", "n", "ys", "most", "readers")
+
+
+@query("jon12_kept_predictions", """
+WITH p AS (SELECT event_id, user_id, event_id % 3 AS m, event_id * 7 % 1000 / 1000 AS score FROM events)
+SELECT event_id, CASE WHEN m = 0 THEN score END AS score_m0, CASE WHEN m = 1 THEN score END AS score_m1, CASE WHEN m = 2 THEN score END AS score_m2 FROM p""")
+def _(t):
+    keys = ["event_id", "user_id"]
+    p = t.events.select(*keys, (F.col("event_id") * 7 % 1000 / 1000).alias("score"))
+    maps = KeyedMaps(t.spark, keys)
+    kept = [maps.keep(f"m{m}", p.filter(F.col("event_id") % 3 == m).withColumnRenamed("score", f"score_m{m}")) for m in range(3)]
+    log = maps.keep("log", t.events.select(*keys))
+    return maps.attach(log, kept, arranged=True, small=0).select("event_id", "score_m0", "score_m1", "score_m2")
+
+
 # --- sets -------------------------------------------------------------------
 
 @query("set1_union_by_name", """
