@@ -3,10 +3,12 @@
 from pyspark.sql import functions as F
 
 from cartloom.functions import timeparts as D
+from cartloom.operators import daystate as S
 from cartloom.operators import profiling as R
 from cartloom.operators.aggregates import share_curve
 from cartloom.plans.aggregating import PERCENTILES_SQL
 from cartloom.plans.registry import query, rounded
+from cartloom.runtime import scratch_folder
 
 _EV = "e AS (SELECT event_id, ts, user_id, props AS item, user_id || '/' || strftime(ts, '%Y-%m-%d') AS sess, epoch_us(ts) // 1000000 AS s FROM events)"
 _WEEK = lambda c: f"year({c}) || '-' || lpad(CAST(week({c}) AS VARCHAR), 2, '0')"
@@ -124,6 +126,28 @@ def _profile_sql() -> str:
     return f"WITH {_EV} SELECT {', '.join(pick)} FROM e"
 
 
+for _p in ("day", "week", "month"):
+    @query(f"pro4_sketches_per_{_p}", f"""
+SELECT {_PERIODS[_p]('ts')} AS period, count(*) AS n_rows, count(DISTINCT user_id) AS n_users, TRUE AS users_near, TRUE AS p50_near, TRUE AS p90_near, TRUE AS p99_near FROM events GROUP BY 1""")
+    def _(t, period=_p):
+        """Periods merged from stored days; estimates are held against the exact figures within the sketches' bounds."""
+        events = t.events.select("ts", "user_id", "value")
+        store = S.DayStore(t.spark, scratch_folder(t.spark))
+        half = F.lit("2024-01-16").cast("timestamp_ntz")
+        for part in (F.col("ts") < half, F.col("ts") >= half):
+            store.put(S.daily_sketches(events.filter(part), "ts", ["user_id"], ["value"]))
+        told = S.merged_sketches(store.table(), period, (0.5, 0.9, 0.99))
+        points = {"p50": 0.5, "p90": 0.9, "p99": 0.99}
+        dated = events.withColumn("period", R.PERIODS[period](F.col("ts"))).join(told.drop("n_rows"), "period")
+        below = [F.avg((F.col("value") < F.col(f"value_{n}")).cast("int")).alias(f"{n}_below") for n in points]
+        upto = [F.avg((F.col("value") <= F.col(f"value_{n}")).cast("int")).alias(f"{n}_upto") for n in points]
+        exact = dated.groupBy("period").agg(F.first("n_user_id").alias("told"), F.count_distinct("user_id").alias("n_users"), *below, *upto)
+        error = S.rank_error()
+        near = [((F.col(f"{n}_below") <= p + error) & (F.col(f"{n}_upto") >= p - error)).alias(f"{n}_near") for n, p in points.items()]
+        users = (F.abs(F.col("told") - F.col("n_users")) <= F.col("n_users") * S.distinct_error()).alias("users_near")
+        return exact.join(told.select("period", "n_rows"), "period").select("period", "n_rows", "n_users", users, *near)
+
+
 @query("pro10_profile_row", _profile_sql())
 def _(t):
     row = R.profile_row(events(t), "user_id", "item", "sess", "ts")
