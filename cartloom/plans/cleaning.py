@@ -1,11 +1,13 @@
 """Filters, null handling, scaling, row identity."""
 
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.sql import functions as F
 
 from cartloom.functions import scalars as S
 from cartloom.functions import timeparts as D
-from cartloom.operators import clean, rows
+from cartloom.operators import clean, fitted, rows
 from cartloom.plans.registry import LINE_ORDER, big, query, rounded, text
+from cartloom.runtime import scratch_folder
 
 
 @query("prj1_select_rename_tag", """
@@ -228,6 +230,19 @@ def _(t):
     return clean.standardise(t.events, train, {"value": F.col("value")}).select("event_id", rounded("value"))
 
 
+@query("prj23_saved_model", """
+WITH e AS (SELECT event_id, ts, CASE WHEN event_type <> 'error' THEN value END AS v FROM events), t AS (SELECT v FROM e WHERE ts < TIMESTAMP '2024-01-20'),
+ f AS (SELECT v FROM (SELECT v, row_number() OVER (ORDER BY v) AS i, count(*) OVER () AS n FROM t WHERE v IS NOT NULL) WHERE i = n // 2 + 1),
+ m AS (SELECT avg(coalesce(v, (SELECT v FROM f))) AS a, stddev_samp(coalesce(v, (SELECT v FROM f))) AS s FROM t)
+SELECT event_id, CAST(v IS NULL AS INT) AS v_na, round((coalesce(v, (SELECT v FROM f)) - (SELECT a FROM m)) / ((SELECT s FROM m) + 1e-7), 6) AS v FROM e""")
+def _(t):
+    e = t.events.select("event_id", "ts", F.when(F.col("event_type") != "error", F.col("value")).alias("v"))
+    path = scratch_folder(t.spark)
+    stages = [fitted.Filled(inputCol="v"), fitted.Scores(inputCols=["v"])]
+    Pipeline(stages=stages).fit(e.filter("ts < timestamp_ntz'2024-01-20'")).save(path)
+    return PipelineModel.load(path).transform(e).select("event_id", "v_na", rounded("v"))
+
+
 @query("prj24_log_standardise", """
 WITH m AS (SELECT avg(ln(1 + value)) AS a, stddev_samp(ln(1 + value)) AS s FROM events)
 SELECT event_id, round((ln(1 + value) - (SELECT a FROM m)) / (SELECT s FROM m), 6) AS value FROM events""")

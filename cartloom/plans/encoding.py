@@ -1,13 +1,16 @@
 """Category codes, counts and target encodings."""
 
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.sql import functions as F
 
 from cartloom.functions import scalars as S
+from cartloom.operators import daystate, fitted
 from cartloom.operators import encoders as E
 from cartloom.operators import sequences as Q
 from cartloom.operators import splits
 from cartloom.operators.aggregates import histogram
 from cartloom.plans.registry import LINE_ORDER, big, query, rounded, text
+from cartloom.runtime import scratch_folder
 
 KEY = ["basket", "line", "item"]
 
@@ -50,6 +53,21 @@ def _(t):
     return E.encode(t.orders, v, "o_custkey", "code", 0).select("o_orderkey", "code")
 
 
+@query("enc3_saved_model", """
+WITH v AS (SELECT l_partkey, row_number() OVER (ORDER BY l_partkey) AS code FROM (SELECT l_partkey FROM lineitem WHERE l_shipdate < TIMESTAMP '1996-01-01' GROUP BY 1 HAVING count(*) >= 5)),
+ m AS (SELECT l_suppkey, sum(CAST(l_returnflag = 'R' AS INT)) AS s, count(*) AS c FROM lineitem WHERE l_shipdate < TIMESTAMP '1996-01-01' GROUP BY 1)
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, coalesce(code, 0) AS code, round(coalesce((s + 0.25 * 20) / (c + 20), 0.25), 6) AS te
+FROM lineitem LEFT JOIN v USING (l_partkey) LEFT JOIN m USING (l_suppkey)""")
+def _(t):
+    rows = t.lineitem.withColumn("y", (F.col("l_returnflag") == "R").cast("int"))
+    stages = [fitted.Codes(inputCol="l_partkey", outputCol="code", minCount=5),
+              fitted.TargetMeans(keys=["l_suppkey"], label="y", outputCol="te", prior=0.25, weight=20.0)]
+    path = scratch_folder(t.spark)
+    Pipeline(stages=stages).fit(rows.filter("l_shipdate < timestamp_ntz'1996-01-01'")).save(path)
+    coded = PipelineModel.load(path).transform(rows)
+    return coded.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "code", rounded("te"))
+
+
 @query("enc5_extended_vocabulary", """
 WITH v AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS code FROM (SELECT DISTINCT l_partkey AS id FROM lineitem WHERE l_shipdate < TIMESTAMP '1995-06-01')),
  n AS (SELECT DISTINCT l_partkey AS id FROM lineitem WHERE l_partkey NOT IN (SELECT id FROM v))
@@ -239,6 +257,19 @@ def _(t):
     return E.daily_target_encode(rows, ["event_type"], "y", "d", 10, "te", held_out=25).select("event_id", rounded("te"))
 
 
+@query("enc20_appended_days", f"""
+WITH {_DAYS}, m AS (SELECT DISTINCT d FROM e),
+ h AS (SELECT m.d, event_type, sum(y) AS s, count(*) AS c FROM m JOIN e ON e.d < m.d GROUP BY ALL), p AS (SELECT m.d, avg(y) AS mean FROM m JOIN e ON e.d < m.d GROUP BY ALL)
+SELECT event_id, round((s + mean * 10) / (c + 10), 6) AS te FROM e LEFT JOIN h USING (d, event_type) LEFT JOIN p USING (d)""")
+def _(t):
+    rows = t.events.select("event_id", "event_type", (F.col("value") > 40).cast("int").alias("y"), F.dayofmonth("ts").alias("d"))
+    store = daystate.DayStore(t.spark, scratch_folder(t.spark))
+    # Three deliveries, of which the second brings days 8 to 10 once more.
+    for low, high in ((1, 10), (8, 20), (21, 31)):
+        store.put(daystate.daily_sums(rows.filter(F.col("d").between(low, high)), ["event_type"], ["y"], "d"), range(low, high + 1))
+    return daystate.encode_from_days(rows, store.table(), ["event_type"], "y", "d", 10, "te").select("event_id", rounded("te"))
+
+
 @query("enc20_first_day_from_later", f"""
 WITH {_DAYS}, h AS (SELECT m.d, event_type, sum(y) AS s, count(*) AS c FROM (SELECT DISTINCT d FROM e) m JOIN e ON (m.d > 1 AND e.d < m.d) OR (m.d = 1 AND e.d BETWEEN 2 AND 6) GROUP BY ALL)
 SELECT event_id, round((s + 1) / (c + 1), 6) AS te FROM e LEFT JOIN h USING (d, event_type)""")
