@@ -208,8 +208,15 @@ def positive_pairs(df: DataFrame, a: str, b: str, labels: Sequence[str]) -> Data
 def difference(df: DataFrame, entity: Sequence[str], order: Sequence, column: str, step: int, out: str,
                hot_rows: int | None = None) -> DataFrame:
     """Value minus the entity's previous (next when negative) value; 0 at the end."""
-    moved = ordered_windows(df, entity, order, {"_prev": Shift(column, step)}, hot_rows)
-    return moved.withColumn(out, F.coalesce(F.col(column) - F.col("_prev"), F.lit(0))).drop("_prev")
+    return differences(df, entity, order, column, {out: step}, hot_rows)
+
+
+def differences(df: DataFrame, entity: Sequence[str], order: Sequence, column: str, steps: dict[str, int],
+                hot_rows: int | None = None) -> DataFrame:
+    """Differences by several steps, one column each, in one pass over the ordered rows."""
+    moved = ordered_windows(df, entity, order, {f"_at_{out}": Shift(column, step) for out, step in steps.items()}, hot_rows)
+    made = {out: F.coalesce(F.col(column) - F.col(f"_at_{out}"), F.lit(0)) for out in steps}
+    return moved.withColumns(made).drop(*[f"_at_{out}" for out in steps])
 
 
 # --- target encoding --------------------------------------------------------

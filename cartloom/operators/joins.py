@@ -117,7 +117,7 @@ def nearest_events(rows: DataFrame, events: DataFrame, entity: tuple[str, str],
     """Seconds to the entity's closest event strictly before and strictly after.
 
     Both sides collapse to distinct (entity, second) spots; a running maximum
-    over the spots finds the neighbour. The pairs of an entity's rows and
+    of the earlier spots and a minimum of the later ones find the neighbours in one pass. The pairs of an entity's rows and
     events are never formed.
     """
     spots = (
@@ -125,15 +125,13 @@ def nearest_events(rows: DataFrame, events: DataFrame, entity: tuple[str, str],
         .unionByName(events.select(F.col(entity[1]).alias("_e"), F.col(at[1]).alias("_t"),
                                    F.col(at[1]).cast("long").alias("_ev")))
         .groupBy("_e", "_t").agg(F.max("_ev").alias("_ev"))
-        .withColumn("_back", -F.col("_t"))
-        .withColumn("_neg", -F.col("_ev"))
     )
-    before = ordered_windows(spots, ["_e"], ["_t"], {"_prev": Running("max", "_ev", True)}, hot_rows)
-    both = ordered_windows(before, ["_e"], ["_back"], {"_next": Running("max", "_neg", True)}, hot_rows)
+    sides = {"_prev": Running("max", "_ev", before=True), "_next": Running("min", "_ev", before=True, later=True)}
+    both = ordered_windows(spots, ["_e"], ["_t"], sides, hot_rows)
     gaps = both.select(
         "_e", "_t",
         F.coalesce(F.col("_t") - F.col("_prev"), F.lit(none)).alias("gap_before"),
-        F.coalesce(-F.col("_next") - F.col("_t"), F.lit(none)).alias("gap_after"),
+        F.coalesce(F.col("_next") - F.col("_t"), F.lit(none)).alias("gap_after"),
     )
     match = (rows[entity[0]] == gaps["_e"]) & (rows[at[0]] == gaps["_t"])
     joined = rows.join(gaps, match, "left").drop("_e", "_t")

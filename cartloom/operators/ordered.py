@@ -45,12 +45,21 @@ class Shift:
 class Running:
     """sum, max or min from the group's first row to this one.
 
-    With ``before=True`` the row itself is left out.
+    With ``later=True`` from this row to the group's last one. With
+    ``before=True`` the row itself is left out.
     """
 
     how: str
     column: str
     before: bool = False
+    later: bool = False
+
+    def over(self, window):
+        """The rows of an ordered window that it takes."""
+        own = 1 if self.before else 0
+        if self.later:
+            return window.rowsBetween(own, Window.unboundedFollowing)
+        return window.rowsBetween(Window.unboundedPreceding, -own)
 
 
 Spec = Number | Shift | Running
@@ -113,8 +122,7 @@ def _plain(df, keys, order, specs) -> DataFrame:
         elif isinstance(spec, Shift):
             out[name] = F.lag(spec.column, spec.step).over(base)
         else:
-            frame = base.rowsBetween(Window.unboundedPreceding, -1 if spec.before else 0)
-            out[name] = _AGG[spec.how](spec.column).over(frame)
+            out[name] = _AGG[spec.how](spec.column).over(spec.over(base))
     return df.withColumns(out)
 
 
@@ -139,7 +147,7 @@ def _in_parts(df, keys, order, specs, groups: int) -> DataFrame:
     """Window every part on its own and carry over what comes before it.
 
     The carry table has one line per part and group: rows and running
-    aggregates of the earlier parts, and the rows of other parts within reach
+    aggregates of the earlier (or later) parts, and the rows of other parts within reach
     of a shift, by position. All specs take one join of the rows with it; it is
     broadcast if the number of ``groups`` says that it is small.
     """
@@ -153,13 +161,10 @@ def _in_parts(df, keys, order, specs, groups: int) -> DataFrame:
 
     sums = [F.count(F.lit(1)).alias("_ow_rows"), F.min(PLACE).alias("_ow_first")]
     sums += [_AGG[s.how](s.column).alias(f"_ow_sum_{n}") for n, s in running.items()]
-    earlier = (
-        Window.partitionBy(*(keys or [F.lit(0)]))
-        .orderBy(PART)
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
+    by_part = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(PART)
+    earlier, later = by_part.rowsBetween(Window.unboundedPreceding, -1), by_part.rowsBetween(1, Window.unboundedFollowing)
     carried = {"_ow_before": F.coalesce(F.sum("_ow_rows").over(earlier), F.lit(0).cast("long"))}
-    carried |= {f"_ow_carry_{n}": _AGG[s.how](f"_ow_sum_{n}").over(earlier) for n, s in running.items()}
+    carried |= {f"_ow_carry_{n}": _AGG[s.how](f"_ow_sum_{n}").over(later if s.later else earlier) for n, s in running.items()}
     per_part = tagged.groupBy(*group).agg(*sums)
     carry = per_part.withColumns(carried).select(*group, "_ow_rows", "_ow_first", *carried)
 
@@ -170,8 +175,7 @@ def _in_parts(df, keys, order, specs, groups: int) -> DataFrame:
     inside = Window.partitionBy(*group).orderBy(PLACE)
     local = {n: F.lag(s.column, s.step).over(inside) for n, s in shifts.items()}
     for name, spec in running.items():
-        frame = inside.rowsBetween(Window.unboundedPreceding, -1 if spec.before else 0)
-        local[name] = _AGG[spec.how](spec.column).over(frame)
+        local[name] = _AGG[spec.how](spec.column).over(spec.over(inside))
     # Places of a part's group are consecutive, so positions need no window.
     rows = tagged.withColumns(local) if local else tagged
     joined = _carried(rows, carry, group, small)

@@ -344,9 +344,8 @@ def _(t):
 SELECT event_id, round(coalesce(value - lag(value) OVER w, 0), 6) AS de_prev, round(coalesce(value - lead(value) OVER w, 0), 6) AS de_next
 FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)""")
 def _(t):
-    a = E.difference(t.events, ["user_id"], ["ts", "event_id"], "value", 1, "de_prev")
-    b = E.difference(a, ["user_id"], ["ts", "event_id"], "value", -1, "de_next")
-    return b.select("event_id", rounded("de_prev"), rounded("de_next"))
+    moved = E.differences(t.events, ["user_id"], ["ts", "event_id"], "value", {"de_prev": 1, "de_next": -1})
+    return moved.select("event_id", rounded("de_prev"), rounded("de_next"))
 
 
 @query("enc27_positive_pairs", """

@@ -8,7 +8,8 @@ from cartloom.operators import history, joins, rows
 from cartloom.operators.ordered import Number, Running, Shift, hot_groups, number_rows, ordered_windows
 
 SPECS = {"n": Number(), "p1": Shift("v", 1), "p3": Shift("v", 3), "x2": Shift("id", -2), "s": Running("sum", "v"),
-         "top": Running("max", "v", True), "low": Running("min", "v")}
+         "top": Running("max", "v", True), "low": Running("min", "v"), "rest": Running("sum", "v", before=True, later=True),
+         "least_later": Running("min", "v", later=True), "most_later": Running("max", "v", before=True, later=True)}
 
 
 def skewed(spark, n=3000):
