@@ -8,13 +8,17 @@ and are the same on every run. Rates follow from the bytes of each source.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cartloom.llm.registry import llm_query, read, written
 
-FEW_SOURCES = 10_000
-"""A rate table of at most so many sources is broadcast; a larger one is joined by shuffle."""
+BROADCAST_BYTES = 32 << 20
+"""A rate table of at most so many bytes, distributions included, is broadcast; a larger one is joined by shuffle."""
+LEAST_SKIPPED = 100
+"""Fewer terms than these are summed from 0; from here on the series is right to 13 digits."""
 SEED = 20240607
 TEMPERATURE = 0.5
 
@@ -32,17 +36,26 @@ def unit(key: Column) -> Column:
 def poisson_cdf(rate: Column) -> Column:
     """P(count <= k) for k = 0, 1, ... to where the rest is below 2^-53.
 
-    Terms are kept as logarithms, so a large rate does not underflow.
+    Terms are kept as logarithms, so a large rate does not underflow. What lies
+    12 deviations and more below the mean is below 2^-53 as well and taken as 0,
+    so the sums that are built up grow with the square root of the rate.
     """
-    last = F.ceil(rate + 12 * F.sqrt(rate) + 30).cast("int")
-    steps = F.transform(F.sequence(F.lit(1), last), lambda k: k.cast("double"))
-    start = F.struct((-rate).alias("log"), F.array(F.exp(-rate)).alias("sums"))
+    reach = 12 * F.sqrt(rate) + 30
+    low, last = F.floor(rate - reach).cast("int"), F.ceil(rate + reach).cast("int")
+    low = F.when(low >= LEAST_SKIPPED, low).otherwise(0)
+    # Stirling's series of the factorial, whose large terms cancel against the rate's.
+    n = low.cast("double")
+    factorial = F.log(2 * math.pi * n) / 2 + 1 / (12 * n) - 1 / (360 * n * n * n)
+    first = F.when(n > 0, n * F.log(rate / n) + n - rate - factorial).otherwise(-rate)
+    steps = F.transform(F.sequence(low + 1, last), lambda k: k.cast("double"))
+    start = F.struct(first.alias("log"), F.array(F.exp(first)).alias("sums"))
 
     def step(state: Column, k: Column) -> Column:
         log = state["log"] + F.log(rate) - F.log(k)
         return F.struct(log.alias("log"), F.concat(state["sums"], F.array(F.element_at(state["sums"], -1) + F.exp(log))).alias("sums"))
 
-    return F.when(rate > 0, F.aggregate(steps, start, step, lambda s: s["sums"])).otherwise(F.array(F.lit(1.0)))
+    sums = F.concat(F.array_repeat(F.lit(0.0), low), F.aggregate(steps, start, step, lambda s: s["sums"]))
+    return F.when(rate > 0, sums).otherwise(F.array(F.lit(1.0)))
 
 
 def source_rates(docs: DataFrame, targets: dict[str | None, float] | None = None, temperature: float = TEMPERATURE,
@@ -80,7 +93,8 @@ def replicate(docs: DataFrame, rates: DataFrame, seed: int = SEED, doc_id: str =
     by order_key, a hash. Repeated rows get equal counts; rows of null id are
     told apart by their text. An empty table stays empty.
     """
-    few = rates.count() <= FEW_SOURCES
+    held = rates.agg(F.sum(8 * F.size("cdf") + F.octet_length(F.coalesce("source", F.lit(""))) + 64).cast("long")).first()[0] or 0
+    few = held <= BROADCAST_BYTES
     table = rates.select(F.col("source").alias("_source"), F.col("rate").alias("_rate"), F.col("cdf").alias("_cdf"))
     joined = docs.join(F.broadcast(table) if few else table, F.col(source).eqNullSafe(F.col("_source")))
     u = unit(_key(seed, F.col(doc_id), F.col(text)))
