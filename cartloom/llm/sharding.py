@@ -13,28 +13,48 @@ import heapq
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cartloom.llm.registry import llm_query, read
+from cartloom.llm.registry import fresh, llm_query, read, written
 from cartloom.runtime import scratch_folder
 
 SLOTS = 4096
 SHARDS = 40
 ROW_BYTES = 16
+CHUNK = 10_000
+"""Copies of a row that one array names when they are numbered."""
 MAP_SCHEMA = "version INT, virtual_slot INT, shard INT, slot_bytes LONG, slot_rows LONG, first_position LONG"
 
 
+def with_size(docs: DataFrame, text: str = "text") -> DataFrame:
+    """Adds size and text_crc32, replacing columns of these names. Null text has no bytes."""
+    body = F.coalesce(F.col(text), F.lit(""))
+    return docs.withColumns({"size": F.octet_length(body).cast("long") + F.lit(ROW_BYTES), "text_crc32": F.crc32(body.cast("binary"))})
+
+
 def with_slot(docs: DataFrame, slots: int = SLOTS, doc_id: str = "doc_id", text: str = "text", key: Column | None = None) -> DataFrame:
     """Adds size, text_crc32 and virtual_slot, replacing columns of these names.
 
     Id and text decide the slot together, so a hot or null id spreads over the
     slots; only rows repeated in id and text share one. A whole-number ``key``
-    decides in their place. Null text has no bytes.
+    decides in their place.
     """
-    body = F.coalesce(F.col(text), F.lit(""))
-    return docs.withColumns({
-        "size": F.octet_length(body).cast("long") + F.lit(ROW_BYTES),
-        "text_crc32": F.crc32(body.cast("binary")),
-        "virtual_slot": F.pmod(F.xxhash64(F.col(doc_id), body) if key is None else key, F.lit(slots)).cast("int"),
-    })
+    own = F.xxhash64(F.col(doc_id), F.coalesce(F.col(text), F.lit(""))) if key is None else key
+    return with_size(docs, text).withColumn("virtual_slot", F.pmod(own, F.lit(slots)).cast("int"))
+
+
+def numbered(docs: DataFrame, number: str) -> DataFrame:
+    """All rows with a ``number`` from 0 that tells equal rows apart.
+
+    Equal rows are counted, which their tasks do before they meet, stored once,
+    and made again from the count in chunks of at most CHUNK, those of one hot
+    row by many tasks.
+    """
+    many, chunk = fresh([*docs.columns, number], "many"), fresh([*docs.columns, number], "chunk")
+    counted = written(docs.groupBy(*(F.col(f"`{c}`") for c in docs.columns)).agg(F.count("*").alias(many)))
+    few = counted.filter(F.col(many) <= CHUNK).withColumn(chunk, F.lit(0).cast("long"))
+    hot = counted.filter(F.col(many) > CHUNK).withColumn(chunk, F.explode(F.sequence(F.lit(0).cast("long"), F.col(many) - 1, F.lit(CHUNK).cast("long"))))
+    chunks = few.unionByName(hot.repartition(docs.sparkSession.sparkContext.defaultParallelism, F.xxhash64(chunk, *(F.col(f"`{c}`") for c in docs.columns))))
+    last = F.least(F.col(many), F.col(chunk) + CHUNK) - 1
+    return chunks.withColumn(number, F.explode(F.sequence(F.col(chunk), last))).drop(many, chunk)
 
 
 def slot_sizes(slotted: DataFrame) -> DataFrame:
@@ -107,33 +127,42 @@ def place(slotted: DataFrame, slot_map: DataFrame, order: list[Column]) -> DataF
     Rows are numbered slot by slot, so no task holds more than a slot's rows,
     and the map's running counts put the slots one after the other.
     """
-    numbered = slotted.withColumn("_at", F.row_number().over(Window.partitionBy("virtual_slot").orderBy(*order)) - 1)
-    few = slot_map.select(F.col("virtual_slot").alias("_slot"), F.col("shard").alias("_shard"), "first_position")
-    joined = numbered.join(F.broadcast(few), F.col("virtual_slot") == F.col("_slot"))
-    return joined.withColumns({"shard": F.col("_shard"), "slot": F.col("first_position") + F.col("_at")}).drop(
-        "_at", "_slot", "_shard", "first_position")
+    at, own_slot, own_shard, first = (fresh(slotted.columns, name) for name in ("at", "slot", "shard", "first"))
+    ranked = slotted.withColumn(at, F.row_number().over(Window.partitionBy("virtual_slot").orderBy(*order)) - 1)
+    few = slot_map.select(F.col("virtual_slot").alias(own_slot), F.col("shard").alias(own_shard), F.col("first_position").alias(first))
+    joined = ranked.join(F.broadcast(few), F.col("virtual_slot") == F.col(own_slot))
+    return joined.withColumns({"shard": F.col(own_shard), "slot": F.col(first) + F.col(at)}).drop(at, own_slot, own_shard, first)
 
 
 def shard_documents(docs: DataFrame, slot_map: SlotMap, shards: int = SHARDS, slots: int = SLOTS,
-                    key: Column | None = None, order: list[Column] | None = None) -> DataFrame:
-    """All rows and columns of docs with size, text_crc32, virtual_slot, law,
-    shard, slot and grown_shard, replacing columns of these names.
-
-    The law is ``bytes``: shard sizes are near equal. An empty table gives no
-    rows and a map of empty slots. Repeated rows each have a place of their own.
-    ``key`` names the slot in place of id and text, ``order`` is that of the
-    rows in a slot.
+                    keep: list[str] | None = None, seed: int | None = None) -> DataFrame:
+    """All rows of docs with its columns, or those of ``keep``, and size,
+    text_crc32, virtual_slot, law, shard, slot and grown_shard, replacing
+    columns of these names.
+
+    The law is ``bytes``: shard sizes are near equal. Rows equal in all that is
+    kept are numbered, and a hash of id, text and number names the slot, so
+    copies spread over the slots however many there are; columns must be of
+    types that can be grouped. In a slot rows are ordered by id, or with a
+    ``seed`` shuffled by another hash. An empty table gives no rows and a map of
+    empty slots.
     """
     spark = docs.sparkSession
-    slotted = with_slot(docs, slots, key=key)
-    sizes = slot_sizes(slotted.select("virtual_slot", "size"))
-    version = slot_map.write(1, sizes, shards, slots)
-    placed = place(slotted, version, order or [F.col("doc_id"), F.col("text_crc32"), F.col("size")])
-    return placed.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
+    added = ("size", "text_crc32", "virtual_slot", "law", "shard", "slot", "grown_shard")
+    names = [c for c in (docs.columns if keep is None else keep) if c.lower() not in added]
+    both, copy = fresh(docs.columns, "both"), fresh(docs.columns, "copy")
+    hashed = F.xxhash64(*([] if seed is None else [F.lit(seed)]), F.col("doc_id"), F.coalesce(F.col("text"), F.lit("")))
+    rows = numbered(with_size(docs.withColumn(both, hashed)).select(*(F.col(f"`{c}`") for c in names), "size", "text_crc32", both), copy)
+    slotted = rows.withColumn("virtual_slot", F.pmod(F.xxhash64(both, copy), F.lit(slots)).cast("int"))
+    version = slot_map.write(1, slot_sizes(slotted.select("virtual_slot", "size")), shards, slots)
+    plain = [F.col("doc_id")] if "doc_id" in names else []
+    shuffled = [] if seed is None else [F.xxhash64(F.lit(seed + 1), both, copy)]
+    placed = place(slotted, version, [*shuffled, *plain, F.col("text_crc32"), F.col("size"), F.col(both), F.col(copy)])
+    return placed.drop(both, copy).withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
 
 
 @llm_query("op8_sharding")
 def op8_sharding(spark, folder):
     """Every document's place in 40 shards."""
-    placed = shard_documents(read(spark, folder, "documents"), SlotMap(spark, scratch_folder(spark)))
+    placed = shard_documents(read(spark, folder, "documents"), SlotMap(spark, scratch_folder(spark)), keep=["doc_id"])
     return placed.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard", "virtual_slot")

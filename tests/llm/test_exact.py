@@ -257,6 +257,29 @@ def test_pipeline_spreads_copies(session, edges, empty):
     assert corpus_pipeline.shards(session, empty, FOLDER).count() == 0
 
 
+def test_equal_rows_are_spread(session, edges, monkeypatch):
+    monkeypatch.setattr(sharding, "CHUNK", 700)
+    hot = edges.filter("doc_id = 1").limit(1).crossJoin(session.range(20_000).select())
+    rows = placed(session, hot.unionByName(edges.filter("doc_id < 10"))).collect()
+    check_places(rows)
+    assert len(rows) == 20_000 + edges.filter("doc_id < 10").count()
+    load = Counter()
+    for r in rows:
+        load[r.shard] += r["size"]
+    assert max(load.values()) < 1.1 * min(load.values())
+
+
+def test_clashing_columns_in_the_pipeline(session, clashing):
+    import corpus_pipeline
+
+    assert decontaminate.decontaminated(clashing, session.read.parquet(f"{FOLDER}/benchmark.parquet")).columns == clashing.columns
+    rows = corpus_pipeline.shards(session, clashing, FOLDER)
+    own = [c for c in clashing.columns if c not in ("size", "shard", "slot", "law")]
+    assert set(own) <= set(rows.columns) and len(set(rows.columns)) == len(rows.columns)
+    assert Counter(map(str, rows.select(*own).collect())) == Counter(map(str, clashing.select(*own).collect()))
+    check_places(rows.collect(), sharding.SHARDS)
+
+
 def test_sizes_are_near_equal(session, documents):
     rows = placed(session, documents.unionByName(documents).unionByName(documents)).collect()
     check_places(rows)
