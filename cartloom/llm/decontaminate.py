@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cartloom.llm.registry import llm_query, read, written
+from cartloom.llm.registry import fresh, llm_query, read, written
 from cartloom.llm.words import LETTERS_DIGITS, find_words, pair_hashes
 
 WINDOW = 13
@@ -207,10 +207,11 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW, share:
 def decontaminated(docs: DataFrame, items: DataFrame, size: int = WINDOW, share: int = SHARE, text: str = "text") -> DataFrame:
     """The rows of docs that are not contaminated, all columns kept; null texts stay."""
     dirty = written(_measured(docs, items, size, share, F.lit(None).cast("long"), text).filter("contaminated").select("digest").distinct())
-    marks = dirty.select(F.col("digest").alias("_digest"))
+    marked = fresh(docs.columns, "digest")
+    marks = dirty.select(F.col("digest").alias(marked))
     if marks.count() <= FEW_WINDOWS:
         marks = F.broadcast(marks)
-    return docs.join(marks, F.md5(F.col(text)) == F.col("_digest"), "left_anti")
+    return docs.join(marks, F.md5(F.col(text)) == F.col(marked), "left_anti")
 
 
 SQL = r"""

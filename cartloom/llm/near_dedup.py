@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cartloom.llm.registry import llm_query, read, written
+from cartloom.llm.registry import fresh, llm_query, read, written
 from cartloom.llm.words import BLANK_CUT, find_words, mix
 
 SHINGLE = 5
@@ -309,10 +309,11 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, threshold: int = THRES
 def deduplicated(docs: DataFrame, size: int = SHINGLE, threshold: int = THRESHOLD, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs whose documents are kept, all columns kept, rows repeated in id and text once."""
     decided = written(near_duplicates(docs, size, threshold, doc_id, text))
-    key = [F.col(doc_id).eqNullSafe(F.col("_id")), text_key(F.col(text)) == F.col("_key")]
+    own_id, own_key = fresh(docs.columns, "id"), fresh(docs.columns, "key")
+    key = [F.col(doc_id).eqNullSafe(F.col(own_id)), text_key(F.col(text)) == F.col(own_key)]
 
     def marks(rows: DataFrame) -> DataFrame:
-        named = rows.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
+        named = rows.select(F.col("doc_id").alias(own_id), F.col("text_key").alias(own_key)).distinct()
         return F.broadcast(named) if named.count() <= FEW_MARKS else named
 
     dropped = marks(decided.filter("NOT kept"))

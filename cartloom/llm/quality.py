@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cartloom.llm.registry import llm_query, read, settled, written
+from cartloom.llm.registry import fresh, llm_query, read, settled, written
 from cartloom.llm.scoring import MESSAGE, _batch, _message, _of_kind, _renamed, _shard_edges, pack, pack_sorted, unpack, unpack_sorted
 from cartloom.llm.words import BLANK_CUT, find_words, mix, pair_hashes, slices
 
@@ -34,6 +34,8 @@ SHARD_BYTES = 16 << 20
 """Text bytes for each shard of counts."""
 FILTER_BITS = 28
 """At most 2^FILTER_BITS bits tell blocks which n-grams the model cannot have; a fuller filter lets more through, and answers stay the same."""
+SEGMENT_KEYS = 1 << 20
+"""Keys, about, that a task holds when it makes a segment of that filter."""
 POOL = "\0pool"
 """Stands for the language of the model of all trusted texts."""
 END, BEGIN = mix(np.array([0x656E64, 0x626567696E], dtype=np.uint64))
@@ -163,9 +165,9 @@ def fit(trusted: DataFrame) -> Model:
 
 
 def _bit_map(model: Model) -> np.ndarray:
-    """A bit for the top bits of every key of the model; each segment of the map is made by one task."""
+    """A bit for the top bits of every key of the model; a task makes a segment of the map from about SEGMENT_KEYS keys."""
     bits = min(FILTER_BITS, max(16, math.ceil(math.log2(16 * model.rows + 1))))
-    segments = 6
+    segments = min(bits - 3, max(6, math.ceil(math.log2(model.rows / SEGMENT_KEYS + 1))))
 
     def mark(table: pa.Table) -> pa.Table:
         keys = table.column("key").to_numpy().view(np.uint64) >> np.uint64(64 - bits)
@@ -196,14 +198,17 @@ def _asked(w: np.ndarray, ends: np.ndarray, langs: list, bit_map: np.ndarray):
 
 
 def _parts(batches):
-    """Rows of about BLOCK_TOKENS words each, with their words and where each text ends; whole texts."""
+    """Rows of about BLOCK_TOKENS words each without their text, with their words and where each text ends; whole texts.
+
+    Text and language are the last two columns, whatever they are called.
+    """
     held, size = [], 0
     for batch in batches:
-        texts = batch.column("_text")
-        for low, high in slices(texts):
+        texts = batch.num_columns - 2
+        for low, high in slices(batch.column(texts)):
             part = batch.slice(low, high - low)
-            w, ends = _words(part.column("_text"), part.column("_lang").to_pylist())
-            held.append((part.drop_columns(["_text"]), w, ends))
+            w, ends = _words(part.column(texts), part.column(texts + 1).to_pylist())
+            held.append((part.select([*range(texts), texts + 1]), w, ends))
             size += len(w)
             if size >= BLOCK_TOKENS:
                 yield _joined(held)
@@ -236,7 +241,7 @@ def _questions(shards: int, shared):
             yield _batch([_message("text", block, "texts", 0, len(ends), pack(rank[local]), pack(np.diff(ends, prepend=0)), pack_sorted(words),
                                    pack(order), sink.getvalue().to_pybytes())])
             del order, rank, local
-            asked, _ = _asked(w, ends, rows.column("_lang").to_pylist(), shared.value)
+            asked, _ = _asked(w, ends, rows.column(rows.num_columns - 1).to_pylist(), shared.value)
             edges = _shard_edges(asked, shards)
             for s, (a, b) in enumerate(zip(edges[:-1], edges[1:])):
                 if b > a:
@@ -273,7 +278,7 @@ def _score(model: dict, shared, names: list[str], types: pa.Schema):
             return types.empty_table()
         block = {k: v[0] for k, v in texts.to_pydict().items()}
         rows = pa.ipc.open_stream(block["e"]).read_all()
-        langs = rows.column("_lang").to_pylist()
+        langs = rows.column(rows.num_columns - 1).to_pylist()
         w = unpack_sorted(block["c"])[unpack(block["d"]).astype(np.int64)[unpack(block["a"]).astype(np.int64)]]
         sizes = unpack(block["b"]).astype(np.int64)
         ends = np.cumsum(sizes)
@@ -315,9 +320,10 @@ def perplexities(docs: DataFrame, model: Model, text: str = "text", lang: str =
     """
     spark = docs.sparkSession
     names = [c for c in (docs.columns if keep is None else keep) if c not in ("n_tokens", "perplexity")]
-    source = settled(docs.select(*names, F.coalesce(F.col(text), F.lit("")).alias("_text"), F.col(lang).cast("string").alias("_lang")))
+    own_text, own_lang = fresh(docs.columns, "text"), fresh(docs.columns, "lang")
+    source = settled(docs.select(*names, F.coalesce(F.col(text), F.lit("")).alias(own_text), F.col(lang).cast("string").alias(own_lang)))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema if f.name in names), "n_tokens long", "perplexity double"])
-    size = source.agg(F.sum(F.octet_length("_text").cast("long"))).first()[0] or 0
+    size = source.agg(F.sum(F.octet_length(own_text).cast("long"))).first()[0] or 0
     shards = max(2, math.ceil(size / SHARD_BYTES))
     shared = spark.sparkContext.broadcast(_bit_map(model))
     types = _arrow_schema(source, names)
@@ -378,8 +384,8 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) ->
             flags = (source.join(limits.select("lang", F.lit(True).alias("_own")), "lang", "left")
                      .join(back.withColumn("_back", F.lit(True)), "doc_id", "left").filter("_own IS NULL OR _back").withColumn("_pool", F.lit(POOL)))
             both = written(perplexities(flags, pooled, lang="_pool", keep=["doc_id", "lang", "_own", "_back"]))
-            limit = both.filter("_back").agg(threshold)
-            rest = both.filter("_own IS NULL").crossJoin(F.broadcast(limit))
+            limit = both.filter("_back").agg(threshold).first()[0]
+            rest = both.filter("_own IS NULL").withColumn("threshold", F.lit(limit).cast("double"))
         else:
             rest = rest.withColumn("threshold", F.lit(None).cast("double"))
         judged = judged.unionByName(rest.select(*columns))

@@ -120,6 +120,12 @@ def test_one_document_of_each_group_stays(session, edges):
     assert kept == Counter(k for k, c in fate.items() if k[0] == c)
 
 
+def test_clashing_columns_stay(session, clashing):
+    got = near_dedup.deduplicated(clashing)
+    assert got.columns == clashing.columns
+    assert Counter(r.doc_id for r in got.collect()) == Counter(r.doc_id for r in near_dedup.deduplicated(clashing.select("doc_id", "text")).collect())
+
+
 @pytest.mark.parametrize("table", ["edges", "empty", "documents"])
 def test_pipeline_stages(session, request, table):
     docs = request.getfixturevalue(table)
