@@ -8,7 +8,6 @@ empty and repeated rows go through as the operators' docstrings say.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from cartloom.llm import decontaminate, langid, mixing, near_dedup, sharding
 from cartloom.llm.registry import prepare, read, written
@@ -43,20 +42,9 @@ def source_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every row with its shard and its place there, shuffled over all.
-
-    Equal rows are counted, which their tasks do before they meet, and numbered
-    anew; a hash of id, text and number names a row's slot and orders the slot.
-    """
+    """Every row with its shard and its place there, shuffled over all; copies of a row are apart."""
     prepare(spark)
-    counted = written(docs.groupBy(*docs.columns).agg(F.count("*").alias("_n")))
-    rows = counted.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))))
-    body = F.coalesce(F.col("text"), F.lit(""))
-    keyed = rows.withColumns({
-        "_key": F.xxhash64(F.lit(SEED), "doc_id", body, "_copy"), "_order": F.xxhash64(F.lit(SEED + 1), "doc_id", body, "_copy")}).drop("_n", "_copy")
-    placed = sharding.shard_documents(keyed, sharding.SlotMap(spark, scratch_folder(spark)), key=F.col("_key"),
-                                      order=[F.col("_order"), *(F.col(c) for c in docs.columns)])
-    return placed.drop("_key", "_order")
+    return sharding.shard_documents(docs, sharding.SlotMap(spark, scratch_folder(spark)), seed=SEED)
 
 
 STAGES = [
