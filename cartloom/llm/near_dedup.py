@@ -6,6 +6,8 @@ to its smallest member, links are confirmed on the full sets, and components are
 formed. What a bucket then still holds apart from one another is compared set
 against set in blocks of bounded size, so no link is lost to the shortcut, and
 no pairs are listed for the many that are already known to belong together.
+Short sets of a large bucket, such as those of texts made from one template, are
+only compared if they share one of their rarest shingles, as all linked sets do.
 """
 
 from __future__ import annotations
@@ -27,6 +29,10 @@ BANDS, ROWS = 32, 4
 """At a similarity of 0.8 the bands miss a pair with a chance below 1e-7."""
 BLOCK = 512
 """Sets that a comparing task holds of either side."""
+SHORT = 256
+"""Sets of more shingles are compared with all of their bucket that are about as large."""
+COUNTER_BITS = 20
+"""2^COUNTER_BITS counters order shingles by rarity; a shared counter changes the work and not the links."""
 FILTER_BITS = 24
 FEW_MARKS = 500_000
 """So many dropped documents at most (50 bytes each) are broadcast; more are joined by shuffle."""
@@ -229,6 +235,49 @@ def _compare(threshold: int):
     return run
 
 
+def _rarest(counters, threshold: int):
+    """A row for each of a set's rarest shingles, so many that a linked set has one of them among its own."""
+
+    def take(batches):
+        for batch in batches:
+            nodes, parts, tokens = [], [], []
+            for node, part, elements in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                own = elements.values.to_numpy()
+                rare = own[np.lexsort((own, counters.value[own & (len(counters.value) - 1)]))]
+                rare = rare[: len(own) - (len(own) * threshold + 99) // 100 + 1]
+                tokens.append(rare)
+                nodes += [node] * len(rare)
+                parts += [part] * len(rare)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens) if tokens else [], pa.int64()), pa.array(nodes, pa.int64()), pa.array(parts, pa.int64())],
+                                             names=["bucket", "node", "part"])
+
+    return take
+
+
+def groups(rest: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """(bucket, node, part): any two linked sets of different parts that share a bucket of ``rest`` share one here.
+
+    Buckets of one part have nothing to compare. One of at most BLOCK sets stays
+    as it is. In a larger one sets of at most SHORT shingles are grouped by their
+    rarest ones, and those that a longer set can be linked with stay a bucket.
+    """
+    counts = rest.groupBy("bucket").agg(F.count("*").alias("all"), F.min("part").alias("low"), F.max("part").alias("high")).filter("low < high")
+    open_ = written(rest.join(counts.select("bucket", (F.col("all") > BLOCK).alias("large")), "bucket"))
+    plain, large = open_.filter("NOT large").select("bucket", "node", "part"), open_.filter("large").select("bucket", "node", "part")
+    if large.isEmpty():
+        return plain
+    length = F.size("elements")
+    lengths = written(large.select("node", "part").distinct().join(sets.select("node", length.alias("length"), F.when(length <= SHORT, F.col("elements")).alias("elements")), "node"))
+    long = large.join(lengths.filter(F.col("length") * 100 >= SHORT * threshold).select("node"), "node", "left_semi").select("bucket", "node", "part")
+    short = lengths.filter("elements IS NOT NULL").select("node", "part", "elements")
+    place = F.col("element").bitwiseAND(F.lit((1 << COUNTER_BITS) - 1))
+    seen = short.select(F.explode("elements").alias("element")).groupBy(place.cast("int").alias("place")).agg(F.count("*").alias("n")).toArrow()
+    counters = np.zeros(1 << COUNTER_BITS, dtype=np.int64)
+    counters[seen.column("place").to_numpy()] = seen.column("n").to_numpy()
+    tokens = short.mapInArrow(_rarest(rest.sparkSession.sparkContext.broadcast(counters), threshold), "bucket long, node long, part long")
+    return plain.unionByName(long).unionByName(tokens)
+
+
 def linked_classes(docs: DataFrame, classes: DataFrame, size: int, threshold: int) -> DataFrame:
     """(node, root) of all classes with a link. docs has _text; classes has node, digest, n_shingles, bands."""
     banded = classes.select("node", "n_shingles", F.explode("bands").alias("bucket"))
@@ -248,11 +297,11 @@ def linked_classes(docs: DataFrame, classes: DataFrame, size: int, threshold: in
     links = written(stars)
     parted = components(links)
 
-    # Members apart from their bucket's largest component against all others of the bucket.
+    # Members apart from their group's largest component against all others of the group.
     rest = members.filter("node <> hub").select("bucket", "node").join(parted, "node", "left").withColumn("part", F.coalesce("root", "node"))
-    rest = written(rest.select("bucket", "node", "part"))
-    groups = rest.groupBy("bucket", "part").agg(F.count("*").alias("n"))
-    main = groups.groupBy("bucket").agg(F.max(F.struct("n", "part")).alias("main"), F.count("*").alias("parts")).filter("parts > 1")
+    rest = written(groups(written(rest.select("bucket", "node", "part")), sets, threshold))
+    sizes = rest.groupBy("bucket", "part").agg(F.count("*").alias("n"))
+    main = sizes.groupBy("bucket").agg(F.max(F.struct("n", "part")).alias("main"), F.count("*").alias("parts")).filter("parts > 1")
     split = written(rest.join(main.select("bucket", F.col("main.part").alias("main")), "bucket"))
     few = split.groupBy("bucket").agg(F.count("*").alias("all"), F.count_if(F.col("part") != F.col("main")).alias("apart"))
     blocked = split.join(few, "bucket").withColumns({

@@ -68,6 +68,27 @@ def test_groups_of_near_copies(session, monkeypatch, size, block):
     compare(session, list(enumerate(rows)), size)
 
 
+@pytest.mark.parametrize("size, short", [(2, 256), (2, 40), (5, 8)])
+def test_large_buckets(session, monkeypatch, size, short):
+    monkeypatch.setattr(near_dedup, "BLOCK", 4)
+    monkeypatch.setattr(near_dedup, "SHORT", short)
+    rng = random.Random(size + short)
+    # Few distinct signatures a band: every set of a length shares some bucket.
+    monkeypatch.setattr(near_dedup, "band_keys", lambda signature: np.arange(near_dedup.BANDS))
+    stem = [f"s{k}" for k in range(60)]
+    rows = [" ".join(stem[: rng.randrange(5, 60)] + [f"t{rng.randrange(9)}"]) for _ in range(60)]
+    rows += [changed(rng, stem, n % 7) for n in range(30)] + [f"thank you name{rng.randrange(30)}" for _ in range(60)]
+    rng.shuffle(rows)
+    compare(session, list(enumerate(rows)), size)
+
+
+def test_templates_are_not_compared_in_pairs(session):
+    sets = session.range(3000).selectExpr("id AS node", "array(cast(7 AS BIGINT), 1000 + id) AS elements")
+    rest = sets.selectExpr("cast(1 AS BIGINT) AS bucket", "node", "node AS part")
+    got = near_dedup.groups(rest, sets, 80)
+    assert got.count() == 3000 and got.groupBy("bucket").count().agg({"count": "max"}).first()[0] == 1
+
+
 def test_edges(session):
     compare(session, [r[:2] for r in EDGES], 5)
 
