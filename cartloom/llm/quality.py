@@ -23,9 +23,10 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cartloom.llm.registry import fresh, llm_query, read, settled, written
+from cartloom.llm.registry import discard, fresh, llm_query, read, settled, written
 from cartloom.llm.scoring import MESSAGE, _batch, _message, _of_kind, _renamed, _shard_edges, pack, pack_sorted, unpack, unpack_sorted
 from cartloom.llm.words import BLANK_CUT, find_words, mix, pair_hashes, slices
+from cartloom.runtime import scratch_folder
 
 QUANTILE = 0.995
 ACCURACY = 20_000
@@ -150,10 +151,12 @@ class Model(NamedTuple):
 
 
 def fit(trusted: DataFrame) -> Model:
-    """The model of all trusted texts (lang, text)."""
-    trigrams = written(_trigram_rows(trusted).groupBy(*_GRAM).agg(F.count("*").alias("n")))
-    bigrams = written(trigrams.groupBy("v", "w").agg(F.count("*").alias("n")))
-    words = written(bigrams.groupBy("w").agg(F.count("*").alias("n")))
+    """The model of all trusted texts (lang, text). Only its table of counts is left in the shared folder."""
+    spark = trusted.sparkSession
+    steps = [scratch_folder(spark) for _ in range(3)]
+    trigrams = written(_trigram_rows(trusted).groupBy(*_GRAM).agg(F.count("*").alias("n")), steps[0])
+    bigrams = written(trigrams.groupBy("v", "w").agg(F.count("*").alias("n")), steps[1])
+    words = written(bigrams.groupBy("w").agg(F.count("*").alias("n")), steps[2])
     sums = [F.sum(c).alias(c) for c in _COUNTS]
     pairs = _keyed(bigrams, ["v", "w"]).unionByName(_keyed(_contexts(trigrams, ["u", "v"]), ["u", "v"])).groupBy("key").agg(*sums)
     singles = _keyed(words, ["w"]).unionByName(_keyed(_contexts(bigrams, ["v"]), ["v"])).groupBy("key").agg(*sums)
@@ -161,7 +164,9 @@ def fit(trusted: DataFrame) -> Model:
     # Words carry their language in the hash; a language's words are those of its texts.
     rows = words.join(_vocabulary(trusted), "w").groupBy("lang").agg(F.sum("n").alias("total"), F.count("*").alias("words")).collect()
     languages = {r.lang: (float(r.total), 0.5 * r.words / r.total / (r.words + 1)) for r in rows}
-    return Model(counts, counts.count(), discounts(trigrams), discounts(bigrams), languages)
+    model = Model(counts, counts.count(), discounts(trigrams), discounts(bigrams), languages)
+    discard(spark, steps)
+    return model
 
 
 def _bit_map(model: Model) -> np.ndarray:

@@ -44,17 +44,24 @@ def llm_query(name: str, sql: str | None = None):
     return register
 
 
-def written(df: DataFrame) -> DataFrame:
-    """The rows as a Parquet table in the shared folder, read back.
+def written(df: DataFrame, path: str | None = None) -> DataFrame:
+    """The rows as a Parquet table in the shared folder, or the path given, read back.
 
     What is read again later comes from files that outlive executors, and is
     computed once.
     """
-    spark, path = df.sparkSession, scratch_folder(df.sparkSession)
+    spark, path = df.sparkSession, path or scratch_folder(df.sparkSession)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Delete written tables that nothing reads any more."""
+    for name in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def fresh(taken: list[str], name: str) -> str:
     """A name for a helper column that none of the taken ones has, in whatever case."""
     used = {c.lower() for c in taken}
