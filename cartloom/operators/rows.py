@@ -66,8 +66,13 @@ def hash_below(keys: Sequence[str], fraction: float, seed: int = 0) -> Column:
     return point < int(fraction * 2**32)
 
 
-def sample_rows(df: DataFrame, fraction: float, seed: int = 0) -> DataFrame:
-    return df.sample(fraction=fraction, seed=seed)
+def sample_rows(df: DataFrame, fraction: float, seed: int = 0, keys: Sequence[str] = ()) -> DataFrame:
+    """A random share of the rows.
+
+    With keys that tell rows apart their hash decides, so the sample is the same
+    however the rows are partitioned; without, position and partition decide.
+    """
+    return df.filter(hash_below(keys, fraction, seed)) if keys else df.sample(fraction=fraction, seed=seed)
 
 
 def sample_entities(df: DataFrame, keys: Sequence[str], fraction: float, seed: int = 0) -> DataFrame:

@@ -331,9 +331,11 @@ def _(t):
     return rows.reverse_copy(p, "conv_id", only=F.col("n") > 1).drop("n")
 
 
-@query("row8_sample_rows")
+@query("row8_sample_rows", """
+SELECT l_orderkey, l_linenumber FROM lineitem
+WHERE CAST(concat('0x', right(md5(CAST(l_orderkey AS VARCHAR) || '|' || CAST(l_linenumber AS VARCHAR) || '|7'), 8)) AS UBIGINT) < 429496729""")
 def _(t):
-    return rows.sample_rows(t.lineitem, 0.1, 7).agg(big(F.count(F.lit(1)), "n"))
+    return rows.sample_rows(t.lineitem, 0.1, 7, ["l_orderkey", "l_linenumber"]).select("l_orderkey", "l_linenumber")
 
 
 @query("row8_seeded_shuffle", """

@@ -153,18 +153,20 @@ _LISTS = f"""{_RUNS}, pr AS (SELECT sess, item, i FROM (SELECT *, row_number() O
  lb AS (SELECT sess, item, row_number() OVER (PARTITION BY sess ORDER BY f DESC, item) AS k FROM (SELECT sess, item, max(score) AS f FROM runs WHERE bag = 1 GROUP BY ALL))"""
 
 
-def _lists(t):
+def _lists(t, first: bool = False):
     preds = R.top_lists(runs(t).filter("bag = 0"), ["sess"], "item", "score", 20).select("sess", F.col("items").alias("preds"))
-    # Labels are whole; only predictions are cut.
+    # Recall needs whole labels; the reciprocal rank only the first, which is kept map-side.
     scored = runs(t).filter("bag = 1").groupBy("sess", "item").agg(F.max("score").alias("score"))
-    labels = scored.groupBy("sess").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "item")))["item"].alias("labels"))
+    ordered = F.struct((-F.col("score")).alias("s"), "item")
+    kept = F.array(F.min(ordered)) if first else F.array_sort(F.collect_list(ordered))
+    labels = scored.groupBy("sess").agg(kept["item"].alias("labels"))
     return preds.join(labels, "sess")
 
 
 @query("met2_list_mrr", f"""
 WITH {_LISTS} SELECT l.sess, round(coalesce(1 / p.i, 0), 6) AS rr FROM lb l LEFT JOIN pr p USING (sess, item) WHERE l.k = 1""")
 def _(t):
-    return _lists(t).select("sess", rounded(M.list_reciprocal(F.col("preds"), F.col("labels"), 20), "rr"))
+    return _lists(t, first=True).select("sess", rounded(M.list_reciprocal(F.col("preds"), F.col("labels"), 20), "rr"))
 
 
 @query("met3_list_f1", f"""

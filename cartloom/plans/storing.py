@@ -61,7 +61,8 @@ SELECT user_id % 6 * 2 AS nb_after_add, event_id, event_type, value FROM events"
 def _(t):
     folder = scratch_folder(t.spark) + "/queries"
     day = F.date_format("ts", "yyyy-MM-dd")
-    packed = t.events.groupBy("user_id", day).agg(F.collect_list(F.struct("event_id", "event_type", "value")).alias("query"))
+    # At most 1,000 ids a query, however busy a user is.
+    packed = t.events.groupBy("user_id", day, F.floor(F.col("event_id") / 1000)).agg(F.collect_list(F.struct("event_id", "event_type", "value")).alias("query"))
     packed.select("query", (F.col("user_id") % 6 * 2).alias("nb_after_add")).write.json(folder)
     rows = readers.read_test_queries(t.spark, folder, "event_id: bigint, event_type: string, value: double", {"nb_after_add": "bigint"}, lines=True)
     return rows.drop("place")
