@@ -1,15 +1,18 @@
-"""Near duplicates against brute force, and the pipeline on edge rows."""
+"""Near duplicates against brute force, and the pipeline on edge rows and against its stages by brute force."""
 
+import hashlib
 import random
-from collections import Counter
+import zlib
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 
 import corpus_pipeline
-from cartloom.llm import near_dedup
+from cartloom.llm import mixing, near_dedup, sharding
 from cartloom.llm.registry import written
-from tests.llm.conftest import BASE, EDGES, SCHEMA, blank_words
+from tests.llm.conftest import BASE, EDGES, FOLDER, SCHEMA, blank_words
+from tests.llm.test_exact import hits, poisson_count
 
 
 def shingles(text, size):
@@ -162,6 +165,39 @@ def test_pipeline_stages(session, request, table):
     assert {"shard", "slot"} <= set(last.columns)
 
 
+def test_whole_pipeline(session, documents, benchmark):
+    rows = [r for r in documents.collect() if r.text and any(c.isalpha() for c in r.text)]
+    parts = brute([(r.doc_id, r.text) for r in rows], 5)
+    rows = [r for r, (_, _, part) in zip(rows, parts) if r.doc_id == part]
+    items = [(r.item_id, r.text) for r in benchmark.collect()]
+    rows = [r for r in rows if not hits(r.text, items)[4]]
+    assert 0 < len(rows) < documents.count()
+    size = Counter()
+    for r in rows:
+        size[r.source] += len(r.text.encode())
+    total, weight = sum(size.values()), sum(b**mixing.TEMPERATURE for b in size.values())
+    want = Counter()
+    for r in rows:
+        drawn = hashlib.md5(f"{mixing.SEED}:{r.doc_id}:{r.text}".encode()).hexdigest()
+        rate = total * size[r.source] ** mixing.TEMPERATURE / weight / size[r.source]
+        want[tuple(r)] += poisson_count(rate, int(drawn[:13], 16) / 2**52)
+
+    got = corpus_pipeline.run(session, FOLDER).collect()
+    assert Counter(tuple(r[c] for c in documents.columns) for r in got) == +want
+    places, load = defaultdict(list), Counter({k: 0 for k in range(sharding.SHARDS)})
+    for r in got:
+        body = r.text.encode()
+        assert r["size"] == len(body) + 16 and r.text_crc32 == zlib.crc32(body)
+        places[r.shard].append(r.slot)
+        load[r.shard] += r["size"]
+    assert set(places) <= set(range(sharding.SHARDS)) and all(sorted(p) == list(range(len(p))) for p in places.values())
+    by_slot = Counter()
+    for r in got:
+        by_slot[r.virtual_slot] += r["size"]
+    # Heaviest slots first, each to the lightest shard: no two shards differ by more than one slot.
+    assert max(load.values()) - min(load.values()) <= max(by_slot.values())
+
+
 def test_text_with_letters_stays(session, edges):
     kept = {r.doc_id for r in corpus_pipeline.language_id(session, edges.unionByName(edges), "").collect()}
     assert kept == {r[0] for r in EDGES if r[1] and any(c.isalpha() for c in r[1])}
