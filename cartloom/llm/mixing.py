@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cartloom.llm.registry import llm_query, read, written
+from cartloom.llm.registry import fresh, llm_query, read, written
 
 BROADCAST_BYTES = 32 << 20
 """A rate table of at most so many bytes, distributions included, is broadcast; a larger one is joined by shuffle."""
@@ -95,14 +95,15 @@ def replicate(docs: DataFrame, rates: DataFrame, seed: int = SEED, doc_id: str =
     """
     held = rates.agg(F.sum(8 * F.size("cdf") + F.octet_length(F.coalesce("source", F.lit(""))) + 64).cast("long")).first()[0] or 0
     few = held <= BROADCAST_BYTES
-    table = rates.select(F.col("source").alias("_source"), F.col("rate").alias("_rate"), F.col("cdf").alias("_cdf"))
-    joined = docs.join(F.broadcast(table) if few else table, F.col(source).eqNullSafe(F.col("_source")))
+    own_source, own_rate, own_cdf, own_u = (fresh(docs.columns, name) for name in ("source", "rate", "cdf", "u"))
+    table = rates.select(F.col("source").alias(own_source), F.col("rate").alias(own_rate), F.col("cdf").alias(own_cdf))
+    joined = docs.join(F.broadcast(table) if few else table, F.col(source).eqNullSafe(F.col(own_source)))
     u = unit(_key(seed, F.col(doc_id), F.col(text)))
-    counted = joined.withColumns({"_u": u}).withColumns({
-        "rate": F.col("_rate"), "n_copies": F.size(F.filter(F.col("_cdf"), lambda c: c <= F.col("_u")))})
+    counted = joined.withColumns({own_u: u}).withColumns({
+        "rate": F.col(own_rate), "n_copies": F.size(F.filter(F.col(own_cdf), lambda c: c <= F.col(own_u)))})
     copies = counted.filter(F.col("n_copies") > 0).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n_copies"))))
     keyed = copies.withColumn("order_key", _key(seed + 1, F.col(doc_id), F.col(text), F.col("copy")))
-    return keyed.drop("_source", "_rate", "_cdf", "_u").repartition("order_key").sortWithinPartitions("order_key")
+    return keyed.drop(own_source, own_rate, own_cdf, own_u).repartition("order_key").sortWithinPartitions("order_key")
 
 
 SQL = f"""

@@ -48,7 +48,8 @@ def clashing(edges):
     from pyspark.sql import functions as F
 
     names = ["lang_pred", "score", "size", "shard", "slot", "law", "rate", "copy", "n_copies", "order_key", "n_tokens", "perplexity", "n_words", "digest", "kept",
-             "_id", "_key", "_digest", "_text", "_lang", "_n", "_copy", "_order", "_at", "_slot", "_shard", "first_position"]
+             "_id", "_key", "_digest", "_text", "_lang", "_n", "_copy", "_order", "_at", "_slot", "_shard", "first_position",
+             "_source", "_rate", "_cdf", "_u"]
     return edges.withColumns({n: F.lit("taken") for n in names})
 
 
