@@ -16,6 +16,8 @@ FEW_KEYS = 100_000
 KEY_BITS = 1 << 28
 """Bits of a map of keys at most: 32 MB."""
 KEY_SEED = 20240607
+RANGE_BITS = 15
+"""Neighbours of a node whose numbers differ in these low bits only are in one list."""
 
 
 def attach(df: DataFrame, table: DataFrame, on: Sequence[str] | dict[str, str],
@@ -141,41 +143,51 @@ def nearest_events(rows: DataFrame, events: DataFrame, entity: tuple[str, str],
 def two_hop(pairs: DataFrame, edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """The given pairs (a, b) that are linked by some a -> c -> b, each once.
 
-    For each pair only the shorter of a's followees and b's followers, as bit
-    maps, is opened, and the other leg is a semi-join: a hub is not multiplied out.
+    For each pair only the shorter of a's followees and b's followers, in packed
+    lists, is opened, and the other leg is a semi-join: a hub is not multiplied out.
     """
     links = stored(edges.select(F.col(a).alias("_s"), F.col(b).alias("_d")).distinct())
     asked = links.select(F.col("_s").alias(a), F.col("_d").alias(b)) if pairs is edges else pairs.select(a, b).distinct()
     return _two_hop(asked, links, a, b).distinct()
 
 
+def _legs(links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The links that can be a first step of two, and those that can be a second: they end, or start, at a node between others."""
+    between = stored(links.select(F.col("_d").alias("node")).distinct().join(links.select(F.col("_s").alias("node")).distinct(), "node", "left_semi"))
+    return tuple(links.join(between, links[end] == between["node"], "left_semi") for end in ("_d", "_s"))
+
+
 def _neighbours(links: DataFrame, node: str, other: str) -> DataFrame:
-    """(node, word, bits): the node's neighbours, 64 numbers to a word; neighbours that are no numbers are words of their own."""
+    """(node, range, near): the node's neighbours, a row for those of 32,768 numbers, as places in that range;
+    neighbours that are no numbers are ranges of their own."""
     if links.schema[other].dataType.typeName() in ("byte", "short", "integer", "long"):
         number = F.col(other).cast("long")
-        word, bit = F.shiftright(number, 6), F.call_function("shiftleft", F.lit(1).cast("long"), number.bitwiseAND(63).cast("int"))
+        part, place = F.shiftright(number, RANGE_BITS), number.bitwiseAND((1 << RANGE_BITS) - 1).cast("short")
     else:
-        word, bit = F.col(other), F.lit(1).cast("long")
-    return stored(links.groupBy(F.col(node).alias("node"), word.alias("word")).agg(F.bit_or(bit).alias("bits")))
+        part, place = F.col(other), F.lit(0).cast("short")
+    return stored(links.groupBy(F.col(node).alias("node"), part.alias("range")).agg(F.collect_list(place).alias("near")))
 
 
 def _two_hop(pairs: DataFrame, links: DataFrame, a: str, b: str) -> DataFrame:
     """Those of the distinct pairs that are linked over some third, as often as they are; further columns of the pairs stay.
 
-    Followees and followers are bit maps, so that a hub has a row for 64 of its
-    neighbours; the maps of both ends of a pair meet word by word.
+    Followees and followers are lists of two bytes a neighbour, 64 KB at most, of
+    nodes between others only; the lists of both ends of a pair meet range by range.
     """
     names = pairs.columns
-    after, before = _neighbours(links, "_s", "_d"), _neighbours(links, "_d", "_s")
-    out_words = stored(after.groupBy(F.col("node").alias(a)).agg(F.count(F.lit(1)).alias("_out")), after)
-    in_words = stored(before.groupBy(F.col("node").alias(b)).agg(F.count(F.lit(1)).alias("_in")), before)
+    first, second = _legs(links)
+    after, before = _neighbours(first, "_s", "_d"), _neighbours(second, "_d", "_s")
+    # What opening a node's lists moves: some 40 bytes a row beside the places.
+    opening = F.sum(40 + 2 * F.size("near").cast("long"))
+    out_sizes = stored(after.groupBy(F.col("node").alias(a)).agg(opening.alias("_out")), after)
+    in_sizes = stored(before.groupBy(F.col("node").alias(b)).agg(opening.alias("_in")), before)
     # Both ways of looking read the pairs; they are made once.
-    sized = stored(pairs.join(out_words, a).join(in_words, b))
+    sized = stored(pairs.join(out_sizes, a).join(in_sizes, b))
 
     def met(chosen: DataFrame, first: DataFrame, start: str, second: DataFrame, end: str) -> DataFrame:
-        opened = chosen.join(first.select(F.col("node").alias(start), F.col("word").alias("_word"), F.col("bits").alias("_bits")), start)
-        other = second.select(F.col("node").alias("_end"), F.col("word").alias("_there"), F.col("bits").alias("_held"))
-        same = (opened[end] == other["_end"]) & (opened["_word"] == other["_there"]) & (F.col("_bits").bitwiseAND(F.col("_held")) != 0)
+        opened = chosen.join(first.select(F.col("node").alias(start), F.col("range").alias("_range"), F.col("near").alias("_near")), start)
+        other = second.select(F.col("node").alias("_end"), F.col("range").alias("_there"), F.col("near").alias("_held"))
+        same = (opened[end] == other["_end"]) & (opened["_range"] == other["_there"]) & F.arrays_overlap("_near", "_held")
         return opened.join(other, same, "left_semi").select(*names)
 
     by_start = met(sized.filter(F.col("_out") <= F.col("_in")), after, a, before, b)

@@ -52,3 +52,13 @@ def test_two_hops(spark, kind):
     assert sorted(map(tuple, joins.two_hop(table, table).collect())) == sorted(e for e in edges if two(*e))
     got = joins.follow_flags(asked, table).collect()
     assert sorted(map(tuple, got)) == sorted((a, b, int((b, a) in edges), int(two(a, b)), int(two(b, a))) for a, b in pairs)
+
+
+def test_a_node_is_opened_as_one_list_of_the_nodes_between(spark):
+    starts = [(1, 100 + 64 * x) for x in range(50)] + [(1, 9), (7, 1)]
+    edges = spark.createDataFrame(starts + [(100 + 64 * x, 5) for x in range(0, 50, 2)], "_s long, _d long")
+    first, second = joins._legs(edges)
+    near = {r.node: sorted(r.near) for r in joins._neighbours(first, "_s", "_d").collect()}
+    assert near == {1: [100 + 64 * x for x in range(0, 50, 2)], 7: [1]}
+    back = {r.node: sorted(r.near) for r in joins._neighbours(second, "_d", "_s").collect()}
+    assert back == {5: [100 + 64 * x for x in range(0, 50, 2)], 9: [1]} | {100 + 64 * x: [1] for x in range(50)}
