@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from cartloom.functions import vectors as V
 from cartloom.operators.ordered import ordered_list, top_k, with_group
 from cartloom.operators.ranking import top_items
+from cartloom.runtime import stored
 
 
 def average_runs(runs: DataFrame, keys: Sequence[str], scores: Sequence[str]) -> DataFrame:
@@ -109,7 +110,8 @@ def filter_predictions(preds: DataFrame, keys: Sequence[str], item: str, product
 
 
 def softmax_rows(scores: DataFrame, row: Sequence[str], score: str, out: str = "prob") -> DataFrame:
-    """Softmax over the rows of each group."""
+    """Softmax over the rows of each group; the scores are read three times and made once."""
+    scores = stored(scores, scores)
     peaked = with_group(scores, row, _peak=F.max(score))
     raised = peaked.withColumn("_e", F.exp(F.col(score) - F.col("_peak")))
     return with_group(raised, row, _sum=F.sum("_e")).withColumn(out, F.col("_e") / F.col("_sum")).drop("_peak", "_e", "_sum")

@@ -13,12 +13,14 @@ _RUNS = """runs AS (SELECT l_suppkey AS sess, l_partkey AS item, 'm' || m AS mod
  FROM lineitem, (SELECT unnest([0, 1, 2]) AS m) GROUP BY ALL)"""
 
 
-def runs(t):
-    m = F.explode(F.array(*[F.lit(i) for i in range(3)]))
-    rows = t.lineitem.select(F.col("l_suppkey").alias("sess"), F.col("l_partkey").alias("item"), "l_linenumber", m.alias("bag"))
-    raw = F.pmod(F.col("item") * (F.col("bag") + 37) + F.col("sess") * 11 + F.col("l_linenumber"), F.lit(1000))
-    means = rows.groupBy("sess", "item", "bag").agg((F.avg(raw) / 1000).alias("score"))
-    return means.withColumn("model", F.concat(F.lit("m"), "bag"))
+def runs(t, *bags):
+    """The runs of the given bags, of all three without any; each pair's lines are gathered once for all bags."""
+    bags = bags or (0, 1, 2)
+    item, sess, line = F.col("l_partkey"), F.col("l_suppkey"), F.col("l_linenumber")
+    raw = lambda i: F.pmod(item * (i + 37) + sess * 11 + line, F.lit(1000))
+    means = t.lineitem.groupBy(sess.alias("sess"), item.alias("item")).agg(*[(F.avg(raw(i)) / 1000).alias(f"_{i}") for i in bags])
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("bag"), F.col(f"_{i}").alias("score")) for i in bags]))
+    return means.select("sess", "item", each.alias("_run")).select("sess", "item", "_run.bag", "_run.score", F.concat(F.lit("m"), "_run.bag").alias("model"))
 
 
 # A classification table: score, label, bucket 0..10 and group per line.
@@ -70,7 +72,7 @@ WITH {_RUNS}, r AS (SELECT *, row_number() OVER (PARTITION BY model, sess ORDER
 SELECT sess, item, round(score, 6) AS score, k AS rank FROM (SELECT *, row_number() OVER (PARTITION BY sess ORDER BY score DESC, item) AS k FROM b) WHERE k <= 4""")
 def _(t):
     def top(i):
-        return R.top_items(runs(t).filter(F.col("bag") == i), ["sess"], "item", "score", 50).drop("rank")
+        return R.top_items(runs(t, i), ["sess"], "item", "score", 50).drop("rank")
 
     blended = B.blend_top([(top(0), 0.32), (top(1), 0.34), (top(2), 0.34)], ["sess"], "item", "score", 4)
     return blended.select("sess", "item", rounded("score"), big("rank"))
@@ -81,7 +83,7 @@ WITH {_RUNS}, r AS (SELECT *, row_number() OVER (PARTITION BY sess ORDER BY scor
  e AS (SELECT sess, item, i, exp(score - max(score) OVER (PARTITION BY sess)) AS e, count(*) OVER (PARTITION BY sess) AS n FROM r WHERE i <= 100)
 SELECT sess, CAST(i - 1 AS INT) AS place, item, round(e / sum(e) OVER (PARTITION BY sess) * log2(n), 6) AS prob, 'xl' AS algorithm, 0 AS bag FROM e""")
 def _(t):
-    lists = R.top_lists(runs(t).filter(F.col("bag") == 0), ["sess"], "item", "score", 100)
+    lists = R.top_lists(runs(t, 0), ["sess"], "item", "score", 100)
     rows = B.explode_predictions(lists, ["sess"], "items", "scores", algorithm="xl", bag=0)
     return rows.withColumn("prob", rounded("prob"))
 
@@ -114,7 +116,7 @@ SELECT sess, item, round(score, 6) AS score FROM runs WHERE bag = 0 AND item IN
 def _(t):
     products = t.part.filter("p_type <> 'ECONOMY'").select(F.col("p_partkey").alias("item"))
     seen = t.lineitem.filter("l_returnflag = 'R'").select(F.col("l_suppkey").alias("sess"), F.col("l_partkey").alias("item"))
-    kept = B.filter_predictions(runs(t).filter("bag = 0"), ["sess"], "item", products, seen, [1, 2, 3])
+    kept = B.filter_predictions(runs(t, 0), ["sess"], "item", products, seen, [1, 2, 3])
     return kept.select("sess", "item", rounded("score"))
 
 
@@ -154,9 +156,9 @@ _LISTS = f"""{_RUNS}, pr AS (SELECT sess, item, i FROM (SELECT *, row_number() O
 
 
 def _lists(t, first: bool = False):
-    preds = R.top_lists(runs(t).filter("bag = 0"), ["sess"], "item", "score", 20).select("sess", F.col("items").alias("preds"))
+    preds = R.top_lists(runs(t, 0), ["sess"], "item", "score", 20).select("sess", F.col("items").alias("preds"))
     # Recall needs whole labels; the reciprocal rank only the first, which is kept map-side.
-    scored = runs(t).filter("bag = 1").groupBy("sess", "item").agg(F.max("score").alias("score"))
+    scored = runs(t, 1).groupBy("sess", "item").agg(F.max("score").alias("score"))
     ordered = F.struct((-F.col("score")).alias("s"), "item")
     kept = F.array(F.min(ordered)) if first else F.array_sort(F.collect_list(ordered))
     labels = scored.groupBy("sess").agg(kept["item"].alias("labels"))
@@ -191,7 +193,7 @@ WITH {_RUNS}, r AS (SELECT *, row_number() OVER (PARTITION BY sess ORDER BY scor
  h AS (SELECT sess, max(CAST(item = target AS INT)) AS hit FROM r JOIN g USING (sess) WHERE i <= 4 GROUP BY sess) SELECT round(avg(hit), 6) AS precision_at_4, count(*) AS n FROM h""")
 def _(t):
     best = R.best_value(F.col("item"), F.col("score")).alias("target")
-    targets = runs(t).filter("bag = 2").groupBy("sess").agg(best)
+    targets = runs(t, 2).groupBy("sess").agg(best)
     return M.hit_rate(runs(t).join(targets, "sess"), ["sess"], "item", "score", "target", 4, F.col("bag") == 0).select(rounded("precision_at_4"), "n")
 
 

@@ -76,3 +76,18 @@ def test_filter_and_columns_reach_the_scan(spark):
 def test_rank_limit_before_the_shuffle(spark):
     plan = QUERIES["topk1_best_items"](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan
+
+
+def test_a_softmax_makes_its_scores_once(spark, large):
+    from cartloom.operators.blending import softmax_rows
+
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(x):
+        seen.add(1)
+        return float(x % 7)
+
+    scores = spark.range(60).select((F.col("id") % 4).alias("k"), counted.asNondeterministic()("id").alias("s"))
+    rows = softmax_rows(scores, ["k"], "s").groupBy("k").agg(F.round(F.sum("prob"), 9).alias("total")).collect()
+    assert [r.total for r in rows] == [1.0] * 4 and seen.value == 60
