@@ -7,6 +7,7 @@ from cartloom.operators import blending as B
 from cartloom.operators import metrics as M
 from cartloom.operators import ranking as R
 from cartloom.plans.registry import big, query, rounded
+from cartloom.runtime import stored
 
 # Scores of three made-up models over the given pairs, drawn from their keys.
 _RUNS = """runs AS (SELECT l_suppkey AS sess, l_partkey AS item, 'm' || m AS model, m AS bag, avg((l_partkey * (37 + m) + l_suppkey * 11 + l_linenumber) % 1000) / 1000 AS score
@@ -71,9 +72,9 @@ WITH {_RUNS}, r AS (SELECT *, row_number() OVER (PARTITION BY model, sess ORDER
  b AS (SELECT sess, item, round(sum(score * CASE bag WHEN 0 THEN 0.32 ELSE 0.34 END), 9) AS score FROM r WHERE i <= 50 GROUP BY ALL)
 SELECT sess, item, round(score, 6) AS score, k AS rank FROM (SELECT *, row_number() OVER (PARTITION BY sess ORDER BY score DESC, item) AS k FROM b) WHERE k <= 4""")
 def _(t):
-    def top(i):
-        return R.top_items(runs(t, i), ["sess"], "item", "score", 50).drop("rank")
-
+    # All bags' lists in one pass; a task that ranks them holds one sort.
+    best = stored(R.top_items(runs(t), ["bag", "sess"], "item", "score", 50).drop("rank"))
+    top = lambda i: best.filter(F.col("bag") == i)
     blended = B.blend_top([(top(0), 0.32), (top(1), 0.34), (top(2), 0.34)], ["sess"], "item", "score", 4)
     return blended.select("sess", "item", rounded("score"), big("rank"))
 

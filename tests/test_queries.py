@@ -2,6 +2,7 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
 from cartloom import plans
@@ -91,3 +92,21 @@ def test_a_softmax_makes_its_scores_once(spark, large):
     scores = spark.range(60).select((F.col("id") % 4).alias("k"), counted.asNondeterministic()("id").alias("s"))
     rows = softmax_rows(scores, ["k"], "s").groupBy("k").agg(F.round(F.sum("prob"), 9).alias("total")).collect()
     assert [r.total for r in rows] == [1.0] * 4 and seen.value == 60
+
+
+def test_ranked_bags_are_made_once(spark):
+    plan = QUERIES["bld5_sparse_top_blend"](spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_partkey" not in plan
+
+
+def test_tasks_after_a_shuffle_read_little(spark):
+    from cartloom.runtime import ADAPTIVE, tune
+
+    kept = {o: spark.conf.get(o, None) for o in [*ADAPTIVE, "spark.sql.shuffle.partitions"]}
+    try:
+        tune(spark).conf.set("spark.sql.shuffle.partitions", "64")
+        moved = spark.range(10_000_000).select(F.xxhash64("id").alias("h"), F.xxhash64(F.col("id") + 1).alias("g")).repartition("h")
+        assert moved.rdd.getNumPartitions() >= 8
+    finally:
+        for option, value in kept.items():
+            spark.conf.unset(option) if value is None else spark.conf.set(option, value)
