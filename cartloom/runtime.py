@@ -24,6 +24,8 @@ ADAPTIVE = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     # Hash joins without sorting where every built partition is seen to be small.
     "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64m",
+    # A task after a shuffle reads so much of it, compressed; its hash tables and sorts hold some 20 times that.
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16m",
 }
 """What a session should be set to for the operators' joins; see ``tune``."""
 
