@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cartloom.operators.aggregates import one_row
+from cartloom.operators.featuremaps import SMALL_MAP
 from cartloom.operators.joins import attach, outer_counts
-from cartloom.operators.ordered import Shift, number_rows, ordered_windows, small_map
-from cartloom.runtime import stored
+from cartloom.operators.ordered import HOT_ROWS, Shift, hot_groups, number_rows, ordered_windows, small_map
+from cartloom.runtime import cut_lineage, plan_bytes, stored
 
 
 # --- vocabularies -----------------------------------------------------------
@@ -193,10 +195,57 @@ def count_maps(df: DataFrame, key_sets: Sequence[Sequence[str]]) -> dict[tuple[s
     return {tuple(k): stored(count(k), df) for k in key_sets}
 
 
-def attach_counts(df: DataFrame, maps: dict[tuple[str, ...], DataFrame], missing: int = 1) -> DataFrame:
+def attach_counts(df: DataFrame, maps: dict[tuple[str, ...], DataFrame], missing: int = 1, small: int = SMALL_MAP,
+                  hot_rows: int | None = None) -> DataFrame:
+    """The rows with every map's count of their keys, ``missing`` where it has none.
+
+    Maps of up to ``small`` bytes are left to Spark's broadcast; of larger ones only
+    lines of another count than ``missing`` are looked up. Those still larger that
+    share a column take one shuffle of the rows, by that column, for all of them if
+    the session's ``runtime.SHARED_SHUFFLES`` is "false", and one for each otherwise.
+    Rows of its hot values (told from a sample, as in ``ordered_windows``) are
+    joined map by map, where Spark splits them.
+    """
+    names = {keys: "cnt_" + "_".join(keys) for keys in maps}
+    few, large = {}, {}
     for keys, table in maps.items():
-        df = attach(df, table, keys, {"cnt_" + "_".join(keys): missing})
-    return df
+        if plan_bytes(table) > small:
+            table = stored(table.filter(F.col(names[keys]) != missing))
+        (large if plan_bytes(table) > small else few)[keys] = table
+    one = lambda rows, keys, table: attach(rows, table, keys, {names[keys]: missing})
+    meeting = _meeting_columns(list(large))
+    hot = {c: cut_lineage(hot_groups(df, [c], HOT_ROWS if hot_rows is None else hot_rows)) for c, sets in meeting.items() if len(sets) > 1}
+    hot = {c: table for c, table in hot.items() if not table.isEmpty()}
+    whole, aside = df, None
+    if hot:
+        for c, table in hot.items():
+            marks = table.select(F.col(c).alias(f"_v_{c}"), F.lit(True).alias(f"_hot_{c}"))
+            whole = whole.join(F.broadcast(marks), F.col(c).eqNullSafe(F.col(f"_v_{c}")), "left")
+        is_hot = F.coalesce(*[F.col(f"_hot_{c}") for c in hot], F.lit(False))
+        whole, aside = whole.filter(~is_hot).select(*df.columns), whole.filter(is_hot).select(*df.columns)
+        for keys, table in large.items():
+            aside = one(aside, keys, table)
+    for c, sets in meeting.items():
+        if len(sets) == 1:
+            whole = one(whole, sets[0], large[sets[0]])
+            continue
+        whole = whole.repartition(c)
+        for keys in sets:
+            whole = one(whole, keys, large[keys].repartition(c))
+    whole = whole if aside is None else whole.unionByName(aside)
+    for keys, table in few.items():
+        whole = one(whole, keys, table)
+    return whole.select(*df.columns, *names.values())
+
+
+def _meeting_columns(key_sets: Sequence[Sequence[str]]) -> dict[str, list[Sequence[str]]]:
+    """The key sets under a column that each has, under as few columns as taking the most shared one first gives."""
+    left, out = list(key_sets), {}
+    while left:
+        shared = Counter(c for k in left for c in k).most_common(1)[0][0]
+        out[shared] = [k for k in left if shared in k]
+        left = [k for k in left if shared not in k]
+    return out
 
 
 def positive_pairs(df: DataFrame, a: str, b: str, labels: Sequence[str]) -> DataFrame:

@@ -10,7 +10,7 @@ from cartloom.operators import sequences as Q
 from cartloom.operators import splits
 from cartloom.operators.aggregates import histogram
 from cartloom.plans.registry import LINE_ORDER, big, query, rounded, text
-from cartloom.runtime import scratch_folder
+from cartloom.runtime import SHARED_SHUFFLES, scratch_folder, stored
 
 KEY = ["basket", "line", "item"]
 
@@ -146,10 +146,11 @@ _JOINS = "".join(f" LEFT JOIN (SELECT {', '.join(k)}, count(*) AS n{i} FROM te G
 
 
 @query("enc13_count_maps", "WITH $LOG, te AS (SELECT * FROM log WHERE posted >= TIMESTAMP '2000-01-01') SELECT basket, line, item, "
-       + ", ".join(f"coalesce(n{i}, 1) AS cnt_{'_'.join(k)}" for i, k in enumerate(_SETS)) + " FROM log" + _JOINS)
+       + ", ".join(f"coalesce(n{i}, 1) AS cnt_{'_'.join(k)}" for i, k in enumerate(_SETS)) + " FROM log" + _JOINS, {SHARED_SHUFFLES: "false"})
 def _(t):
-    maps = E.count_maps(t.log.filter("posted >= timestamp_ntz'2000-01-01'"), _SETS)
-    return E.attach_counts(t.log, maps).select(*KEY, *["cnt_" + "_".join(k) for k in _SETS])
+    log = stored(t.log.select(*dict.fromkeys([*KEY, "posted", *(c for k in _SETS for c in k)])), t.log)
+    maps = E.count_maps(log.filter("posted >= timestamp_ntz'2000-01-01'"), _SETS)
+    return E.attach_counts(log, maps).select(*KEY, *["cnt_" + "_".join(k) for k in _SETS])
 
 
 @query("enc14_supported_map", """

@@ -8,7 +8,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartloom.runtime import ADAPTIVE, spread
+from cartloom.runtime import ADAPTIVE, SHARED_SHUFFLES, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -26,7 +26,7 @@ LINE_ORDER_SQL = "line, item, author, price, ship"
 
 
 # Epoch values need UTC.
-SESSION_OPTIONS = {"spark.sql.session.timeZone": "UTC"} | ADAPTIVE
+SESSION_OPTIONS = {"spark.sql.session.timeZone": "UTC", **ADAPTIVE, SHARED_SHUFFLES: "true"}
 
 
 class Tables:
@@ -59,12 +59,12 @@ class Tables:
         )
 
 
-def query(name: str, sql: str | None = None):
-    """Register a function of Tables under a name, with its oracle if any."""
+def query(name: str, sql: str | None = None, options: dict[str, str] | None = None):
+    """Register a function of Tables under a name, with its oracle and session options of its own, if any."""
 
     def register(fn: Callable[[Tables], DataFrame]):
         def run(spark: SparkSession, folder: str) -> DataFrame:
-            for option, value in SESSION_OPTIONS.items():
+            for option, value in (SESSION_OPTIONS | (options or {})).items():
                 spark.conf.set(option, value)
             return fn(Tables(spark, folder))
 

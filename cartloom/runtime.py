@@ -28,6 +28,8 @@ ADAPTIVE = {
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16m",
 }
 """What a session should be set to for the operators' joins; see ``tune``."""
+SHARED_SHUFFLES = "spark.sql.requireAllClusterKeysForCoPartition"
+"""When "false", tables that were shuffled by one of the keys of a join are not shuffled again for it."""
 
 
 def tune(spark: SparkSession) -> SparkSession:
