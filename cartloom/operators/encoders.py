@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from cartloom.operators.aggregates import one_row
 from cartloom.operators.featuremaps import SMALL_MAP
-from cartloom.operators.joins import attach, outer_counts
+from cartloom.operators.joins import attach, attach_frequent, outer_counts
 from cartloom.operators.ordered import HOT_ROWS, Shift, hot_groups, number_rows, ordered_windows, small_map
 from cartloom.runtime import cut_lineage, plan_bytes, stored
 
@@ -44,9 +44,14 @@ def vocabulary_by_count(df: DataFrame, columns: Sequence[str], start: int = 0) -
     return stored(number_rows(counts, [F.desc("n"), "value"], "code", start), df)
 
 
-def encode(df: DataFrame, vocab: DataFrame, column: str, out: str, default: int | None = None) -> DataFrame:
-    """Codes from a vocabulary; unseen and null values get the default."""
-    coded = attach(df, vocab.select("value", F.col("code").alias(out)), {column: "value"})
+def encode(df: DataFrame, vocab: DataFrame, column: str, out: str, default: int | None = None, skewed: bool = False) -> DataFrame:
+    """Codes from a vocabulary; unseen and null values get the default.
+
+    ``skewed`` says that few values make most rows: by the vocabulary's counts ``n``
+    only rows of the others are moved, and the rows are made twice.
+    """
+    table = vocab.select("value", F.col("code").alias(out), *(["n"] if skewed else []))
+    coded = attach_frequent(df, table, {column: "value"}, "n", SMALL_MAP) if skewed else attach(df, table, {column: "value"})
     return coded if default is None else coded.withColumn(out, F.coalesce(out, F.lit(default)))
 
 

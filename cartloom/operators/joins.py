@@ -8,13 +8,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cartloom.operators.ordered import Running, ordered_windows
-from cartloom.runtime import stored
+from cartloom.runtime import plan_bytes, stored
 
 
 FEW_KEYS = 100_000
 """Distinct keys up to which they are broadcast to shrink a table."""
 KEY_BITS = 1 << 28
 """Bits of a map of keys at most: 32 MB."""
+FREQUENT = 200_000
+"""Lines of a table at most that are looked up without moving rows, the most frequent ones."""
 KEY_SEED = 20240607
 RANGE_BITS = 15
 """Neighbours of a node whose numbers differ in these low bits only are in one list."""
@@ -38,6 +40,24 @@ def attach(df: DataFrame, table: DataFrame, on: Sequence[str] | dict[str, str],
     return out.fillna(fills) if fills else out
 
 
+def attach_frequent(df: DataFrame, table: DataFrame, on: Sequence[str] | dict[str, str], weight: str, small: int,
+                    most: int = FREQUENT) -> DataFrame:
+    """``attach`` of a table that tells in ``weight`` how often its lines are met; each key has one line.
+
+    Of a table of more than ``small`` bytes the ``most`` frequent lines, stored so that
+    Spark sees whether they can be broadcast, are looked up where the rows are;
+    only rows that are not among them are moved to the rest of the table.
+    """
+    plain = table.drop(weight)
+    if plan_bytes(table) <= small:
+        return attach(df, plain, on)
+    theirs = list((on if isinstance(on, dict) else {k: k for k in on}).values())
+    head = stored(table.dropna(subset=theirs).orderBy(F.desc(weight), *theirs).limit(most))
+    marked = attach(df, head.drop(weight).withColumn("_met", F.lit(True)), on)
+    moved = marked.filter("_met is null").select(*df.columns)
+    return marked.filter("_met").drop("_met").unionByName(attach(moved, plain, on))
+
+
 def outer_counts(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """Full outer join of two count tables; missing counts are 0."""
     joined = left.join(right, key, "full_outer")

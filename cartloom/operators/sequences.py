@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from cartloom.functions import vectors as V
 from cartloom.operators.aggregates import one_row
-from cartloom.operators.joins import attach
+from cartloom.operators.featuremaps import SMALL_MAP
+from cartloom.operators.joins import attach, attach_frequent
 from cartloom.operators.ordered import Number, ordered_list, ordered_windows, small_map, top_k, with_group
 from cartloom.operators.rows import shuffle_rank
 
@@ -352,12 +353,15 @@ def item_embeddings(lists: DataFrame, column: str, size: int = 16, min_count: in
                     numPartitions=partitions, windowSize=window, maxIter=iterations).fit(lists)
 
 
-def decode_tokens(tokens: DataFrame, keys: Sequence[str], place: str, code: str, vocab: DataFrame, out: str) -> DataFrame:
+def decode_tokens(tokens: DataFrame, keys: Sequence[str], place: str, code: str, vocab: DataFrame, out: str,
+                  skewed: bool = False) -> DataFrame:
     """Text from token ids: look up, put in order, join, merge '##' pieces.
 
     One output row is one text, so its tokens are bounded by the text itself.
+    ``skewed`` is that of ``encoders.encode``.
     """
-    words = attach(tokens, vocab.select("code", F.col("value").alias("_word")), {code: "code"})
+    table = vocab.select("code", F.col("value").alias("_word"), *(["n"] if skewed else []))
+    words = attach_frequent(tokens, table, {code: "code"}, "n", SMALL_MAP) if skewed else attach(tokens, table, {code: "code"})
     lists = ordered_list(words.select(*keys, place, "_word"), keys, place, ["_word"])
     joined = F.replace(F.array_join("_word_list", " "), F.lit(" ##"), F.lit(""))
     return lists.select(*keys, joined.alias(out))

@@ -112,8 +112,8 @@ def _(t):
 
     vocab = E.vocabulary(t.documents.select(F.explode(F.split("text", " ")).alias("w")), "w")
     items = t.documents.select("doc_id", F.posexplode(F.split("text", " ")).alias("at", "w"))
-    coded = E.encode(items, vocab, "w", "code")
-    return decode_tokens(coded, ["doc_id"], "at", "code", vocab, "decoded").select("doc_id", F.md5("decoded").alias("decoded"))
+    coded = E.encode(items, vocab, "w", "code", skewed=True)
+    return decode_tokens(coded, ["doc_id"], "at", "code", vocab, "decoded", skewed=True).select("doc_id", F.md5("decoded").alias("decoded"))
 
 
 @query("str13_path_heads", "SELECT page_id, string_split(url, '/')[1] AS head, string_split(replace(p, '://', '/'), '/')[1] AS scheme FROM (SELECT page_id, url, url AS p FROM pages)")

@@ -5,6 +5,7 @@ import random
 import pytest
 
 from cartloom.operators import encoders as E
+from cartloom.operators.joins import attach_frequent
 from cartloom.runtime import SHARED_SHUFFLES
 
 SETS = [["r"], ["r", "a"], ["r", "k"], ["a"], ["a", "k"], ["i"], ["i", "k"]]
@@ -51,3 +52,15 @@ def test_maps_that_share_a_column_move_the_rows_once(spark, log):
             spark.conf.unset(option)
     # Rows by r, a and i, beside one for each map.
     assert plan.count("Exchange hashpartitioning") == 3 + len(SETS)
+
+
+def test_rows_of_frequent_lines_are_not_moved(spark):
+    draw = random.Random(5)
+    keys = [None if draw.random() < 0.05 else min(draw.randrange(60), draw.randrange(60)) for _ in range(900)]
+    rows = spark.createDataFrame([(i, k) for i, k in enumerate(keys)], "i int, k int")
+    lines = [(k, 10 * k, keys.count(k)) for k in range(45)] + [(None, -1, 10**6)]
+    table = spark.createDataFrame(lines, "key int, v int, n int")
+    for most in (1, 7, 1000):
+        found = attach_frequent(rows, table, {"k": "key"}, "n", small=0, most=most)
+        assert found.columns == ["i", "k", "v"]
+        assert rows_of(found) == sorted(((i, k, 10 * k if k is not None and k < 45 else None) for i, k in enumerate(keys)), key=str)
