@@ -30,6 +30,8 @@ SIDE_BY_SIDE = 4
 """Models that are fitted at a time."""
 STOP = 5e-4
 """Boosting ends when a round makes the loss of the rows held for it better by less than this share."""
+MERGED = 1_000_000
+"""Rows of a fit beyond which those of equal bins and label are merged to weighted lines."""
 VECTOR, DRAW = "_bins", "_draw"
 
 
@@ -99,25 +101,41 @@ def binned_table(df: DataFrame, features: Sequence[str], bins: int = BINS) -> tu
     return stored(binned(df, learned).withColumn(DRAW, F.shiftrightunsigned(place, 11).cast("double") * F.lit(2.0**-53))), learned
 
 
+def merged(rows: DataFrame, most: int | None = None) -> DataFrame:
+    """The rows of a fit, each of ``_weight`` 1; where there are more than ``most``, stored lines of equal rows with their number.
+
+    The rows of a line are dealt by their draw to as many lines as make ``most``
+    together, and one at least: lines are no more than distinct rows, or ``most``.
+    """
+    most = MERGED if most is None else most
+    if rows.count() <= most:
+        return rows.drop(DRAW).withColumn("_weight", F.lit(1.0))
+    keys = [c for c in rows.columns if c != DRAW]
+    distinct = rows.agg(F.approx_count_distinct(F.xxhash64(*keys))).first()[0]
+    parts = max(1, most // max(1, distinct))
+    lines = rows.groupBy(*keys, F.floor(F.col(DRAW) * parts).alias("_part")).agg(F.count(F.lit(1)).cast("double").alias("_weight"))
+    return stored(lines.drop("_part"))
+
+
 def fit_binned(table: DataFrame, bins: Bins, label: str, depth: int = 8, rounds: int = 300, step: float = 0.1, seed: int = 42,
                rows: float = 0.8, columns: float = 0.3, held: float = 0.1) -> Trees:
     """Binary classifier for one label on a binned table.
 
     Each tree is grown on the share ``rows`` of the rows, and each of its splits
     looks at the share ``columns`` of the features. A share ``held`` of the rows,
-    drawn by hash, ends the boosting early; with 0 all rounds are run.
+    drawn by hash, ends the boosting early; with 0 all rounds are run. Of large
+    tables, lines of equal rows take the place of rows; see ``merged``.
     """
     checkpoint_folder(table.sparkSession)
     stop: dict = {}
-    chosen = [VECTOR, F.col(label).cast("double").alias("_label")]
+    chosen = [VECTOR, DRAW, F.col(label).cast("double").alias("_label")]
     # A table too small to have a row held grows all rounds.
     if held > 0 and not table.filter(F.col(DRAW) < held).isEmpty():
         chosen.append((F.col(DRAW) < held).alias("_held"))
         stop = {"validationIndicatorCol": "_held", "validationTol": STOP}
-    trees = GBTClassifier(featuresCol=VECTOR, labelCol="_label", maxDepth=depth, maxIter=rounds, stepSize=step, seed=seed, subsamplingRate=rows,
+    trees = GBTClassifier(featuresCol=VECTOR, labelCol="_label", weightCol="_weight", maxDepth=depth, maxIter=rounds, stepSize=step, seed=seed, subsamplingRate=rows,
                           featureSubsetStrategy=str(columns), maxBins=max(BINS, 2 + max(map(len, bins.edges), default=0)), checkpointInterval=10, **stop)
-    data = table.select(*chosen)
-    return Trees(bins, trees.fit(data))
+    return Trees(bins, trees.fit(merged(table.select(*chosen))))
 
 
 def side_by_side(spark: SparkSession, jobs: Sequence[Callable[[], Trees]], threads: int = SIDE_BY_SIDE) -> list[Trees]:

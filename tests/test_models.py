@@ -92,3 +92,21 @@ def test_labels_share_a_table(table):
     assert list(fits) == ["y", "gap"] and fits["y"].bins == fits["gap"].bins
     both = models.score_trees(fits["gap"], models.score_trees(fits["y"], table, "p_y"), "p_gap")
     assert both.columns == [*table.columns, "p_y", "p_gap"] and accuracy(both, "y", "p_y") > 0.8 and accuracy(both, "gap", "p_gap") > 0.95
+
+
+def test_equal_rows_of_large_tables_are_merged(spark, table, monkeypatch):
+    stored, bins = models.binned_table(table, ["x", "z"])
+    chosen = stored.select(models.VECTOR, models.DRAW, "gap")
+    distinct = chosen.select(models.VECTOR, "gap").distinct().count()
+    lines = models.merged(chosen, 10)
+    assert lines.count() == distinct < 1200 and lines.agg(F.sum("_weight")).first()[0] == 1200
+    few = models.merged(chosen.select(F.expr("gap"), models.DRAW), 100)
+    assert 60 < few.count() <= 110 and {r.gap: r.n for r in few.groupBy("gap").agg(F.sum("_weight").alias("n")).collect()} == {
+        r.gap: r.n for r in table.groupBy("gap").agg(F.count("*").cast("double").alias("n")).collect()}
+    assert models.merged(chosen, 1200).agg(F.sum("_weight"), F.count("*")).first()[:] == (1200, 1200)
+    plain = models.fit_binned(stored, bins, "gap", depth=3, rounds=5, rows=1.0, columns=1.0, held=0)
+    monkeypatch.setattr(models, "MERGED", 10)
+    weighted = models.fit_binned(stored, bins, "gap", depth=3, rounds=5, rows=1.0, columns=1.0, held=0)
+    both = models.score_trees(weighted, models.score_trees(plain, table, "p"), "q")
+    assert both.agg(F.max(F.abs(F.col("p") - F.col("q")))).first()[0] < 1e-9
+    assert accuracy(models.score_trees(models.fit_trees(table, ["x", "noise"], "y"), table), "y") > 0.85
