@@ -1,20 +1,23 @@
 """Quality by perplexity under an interpolated modified Kneser-Ney trigram model.
 
 The model is learned from all texts of the learning half of the trusted
-documents. Its counts are one Spark table with a row for each n-gram: trigrams
-are counted, shorter n-grams counted by the distinct words before them, and each
-context has its total and how many n-grams of counts 1, 2 and more it has;
-counts of counts give the discounts. The table stays in shards of n-gram hashes.
+documents. Trigrams are counted, shorter n-grams counted by the distinct words
+before them, and each context has its total and how many n-grams of counts 1, 2
+and more it has; counts of counts give the discounts. The counts are one Spark
+table in shards of n-gram hashes, a row holding a shard's sorted hashes and
+their counts as packed arrays.
 Texts are cut into blocks; a block asks the shards for its distinct n-grams,
 which are joined with the counts there, and sums the log-probabilities of each
-of its texts from the answers. A document passes if its perplexity is within a
-quantile of that of its language's trusted documents, those held back from
-learning.
+of its texts from the answers. This is done for one part of the rows after
+another, so that the disk holds one part's questions and answers at a time. A
+document passes if its perplexity is within a quantile of that of its language's
+trusted documents, those held back from learning.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
@@ -23,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cartloom.llm.registry import discard, fresh, llm_query, read, settled, written
+from cartloom.llm.registry import discard, fresh, llm_query, read, settled, shuffles_freed, written
 from cartloom.llm.scoring import MESSAGE, _batch, _message, _of_kind, _renamed, _shard_edges, pack, pack_sorted, unpack, unpack_sorted
 from cartloom.llm.words import BLANK_CUT, find_words, mix, pair_hashes, slices
 from cartloom.runtime import scratch_folder
@@ -32,15 +35,20 @@ QUANTILE = 0.995
 ACCURACY = 20_000
 BLOCK_TOKENS = 1_000_000
 SHARD_BYTES = 16 << 20
-"""Text bytes for each shard of counts."""
-FILTER_BITS = 28
-"""At most 2^FILTER_BITS bits tell blocks which n-grams the model cannot have; a fuller filter lets more through, and answers stay the same."""
+"""Text bytes for each shard of counts when texts are scored."""
+LEARNED_BYTES = 2 << 20
+"""Learned text bytes for each shard of the model."""
+ROUNDS = 7
+"""Parts at most that the rows are scored in; a part's questions and answers are on disk at a time, and a copy of the model."""
+ROUND_BYTES = 16 << 20
+"""Text bytes, about, of a part of a small table."""
+FILTER_BITS = 27
+"""At most 2^FILTER_BITS bits tell blocks which n-grams the model cannot have, or rows which ids a join cannot find; a fuller filter lets more through, and answers stay the same."""
 SEGMENT_KEYS = 1 << 20
 """Keys, about, that a task holds when it makes a segment of that filter."""
 POOL = "\0pool"
 """Stands for the language of the model of all trusted texts."""
 END, BEGIN = mix(np.array([0x656E64, 0x626567696E], dtype=np.uint64))
-_GRAM = ["u", "v", "w"]
 _COUNTS = ["n", "total", "m1", "m2", "m3"]
 
 
@@ -78,72 +86,208 @@ def _before(w: np.ndarray, ends: np.ndarray, langs: list) -> tuple[np.ndarray, n
     return u, v
 
 
-def _trigram_rows(texts: DataFrame) -> DataFrame:
-    def cut(batches):
-        for batch in batches:
-            for low, high in slices(batch.column(1)):
-                part = batch.slice(low, high - low)
-                langs = part.column(0).to_pylist()
-                w, ends = _words(part.column(1), langs)
-                yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)) for g in (*_before(w, ends, langs), w)], names=_GRAM)
+def _pack_parts(parts: list[np.ndarray]) -> bytes:
+    """Sorted arrays after one another."""
+    packed = [pack_sorted(x) for x in parts]
+    return np.array([len(x) for x in packed], dtype=np.int64).tobytes() + b"".join(packed)
 
-    return texts.select("lang", "text").mapInArrow(cut, "u long, v long, w long")
 
+def _unpack_parts(raw: bytes, parts: int) -> np.ndarray:
+    at = 8 * parts + np.concatenate([[0], np.cumsum(np.frombuffer(raw, dtype=np.int64, count=parts))])
+    return np.concatenate([unpack_sorted(raw[i:j]) for i, j in zip(at[:-1], at[1:])])
 
-def _vocabulary(texts: DataFrame) -> DataFrame:
-    """Distinct (lang, w)."""
 
-    def cut(batches):
-        for batch in batches:
-            for low, high in slices(batch.column(1)):
-                part = batch.slice(low, high - low)
-                langs = part.column(0).to_pylist()
-                w, ends = _words(part.column(1), langs)
-                names, of = np.unique(np.array(langs, dtype=object), return_inverse=True)
-                each = np.repeat(of, np.diff(ends, prepend=0))
-                for k, name in enumerate(names):
-                    keys = np.unique(w[each == k])
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(keys), pa.string()), pa.array(keys.view(np.int64))], names=["lang", "w"])
-
-    return texts.select("lang", "text").mapInArrow(cut, "lang string, w long").distinct()
-
-
-def discounts(counts: DataFrame) -> list[float]:
-    """Modified Kneser-Ney discounts of the counts 1, 2 and more, from the counts of counts 1 to 4 of the table."""
-    row = counts.agg(*(F.count_if(F.col("n") == k).alias(f"n{k}") for k in range(1, 5))).first()
-    n1, n2, n3, n4 = (row[k] for k in range(4))
-    y = n1 / (n1 + 2 * n2) if n1 else 0.5
-    raw = [1 - 2 * y * n2 / n1 if n1 else 0.5, 2 - 3 * y * n3 / n2 if n2 else 1.0, 3 - 4 * y * n4 / n3 if n3 else 1.5]
-    # Small or odd tables can give figures outside what a count allows.
-    return [min(max(d, 0.1), k - 0.1) for k, d in enumerate(raw, 1)]
+def _text_message(block: int, rows: pa.Table, w: np.ndarray, ends: np.ndarray) -> tuple:
+    """A block's texts as numbers of its words, beside its rows."""
+    words, local, counts = np.unique(w, return_inverse=True, return_counts=True)
+    place = np.empty(len(words), dtype=np.int64)
+    place[np.argsort(-counts, kind="stable")] = np.arange(len(words))
+    # Frequent words get small numbers, whose upper bytes are all zero; words of numbers as long are sorted.
+    tier = (place >= 1 << 8).astype(np.int8) + (place >= 1 << 16)
+    order = np.argsort(tier, kind="stable")
+    number = np.empty(len(words), dtype=np.int64)
+    number[order] = np.arange(len(words))
+    words = words[order]
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema) as out:
+        out.write_table(rows)
+    return _message("text", block, "texts", 0, len(ends), pack(number[local]), pack(np.diff(ends, prepend=0)),
+                    _pack_parts([words[: 1 << 8], words[1 << 8 : 1 << 16], words[1 << 16 :]]), sink.getvalue().to_pybytes())
 
 
-def _keyed(rows: DataFrame, gram: list[str]) -> DataFrame:
-    """(key, *_COUNTS) of a table of n-grams, its missing counts as 0."""
+def _text_of(texts: pa.Table) -> tuple[int, pa.Table, np.ndarray, np.ndarray]:
+    """Number, rows, words and text ends of a block."""
+    block = {k: v[0] for k, v in texts.to_pydict().items()}
+    w = _unpack_parts(block["c"], 3)[unpack(block["a"]).astype(np.int64)]
+    return block["target"], pa.ipc.open_stream(block["d"]).read_all(), w, np.cumsum(unpack(block["b"]).astype(np.int64))
+
+
+def _is_of(messages: pa.Table, kind: str) -> bool:
+    return bool(messages.num_rows) and messages.column("kind")[0].as_py() == kind
+
+
+def _none() -> pa.Table:
+    return pa.Table.from_batches([_batch([])])
+
+
+def _to_shards(kind: str, what: str | None, origin: int, keys: np.ndarray, values: np.ndarray, shards: int) -> list[tuple]:
+    """A message for every shard of the sorted keys; values has a column for each."""
+    edges = _shard_edges(keys, shards)
+    return [_message(kind, s, what, origin, b - a, pack_sorted(keys[a:b]), pack(values[:, a:b].ravel()))
+            for s, (a, b) in enumerate(zip(edges[:-1], edges[1:])) if b > a]
+
+
+def _sums(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct keys, the sum of each row of values for each, and which of them each key is."""
+    distinct, where = np.unique(keys, return_inverse=True)
+    return distinct, np.array([np.bincount(where, weights=x, minlength=len(distinct)) for x in values]).astype(np.uint64), where
+
+
+def _power_of_two(n: float) -> int:
+    """At least n; so each of some shards is a part of one, or is cut into whole ones, of as many as another power."""
+    return 1 << max(1, math.ceil(math.log2(max(n, 2))))
+
+
+def _values(message: dict) -> np.ndarray:
+    return unpack(message["b"]).reshape(-1, message["n"])
 
-    def key(batches):
-        for batch in batches:
-            columns = [batch.column(c).to_numpy().view(np.uint64) for c in gram]
-            keys = columns[-1]
-            for column in columns[-2::-1]:
-                keys = pair_hashes(column, keys)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *(batch.column(c) for c in _COUNTS)], names=["key", *_COUNTS])
 
-    counts = [F.col(c).cast("long").alias(c) if c in rows.columns else F.lit(0).cast("long").alias(c) for c in _COUNTS]
-    return rows.select(*gram, *counts).mapInArrow(key, "key long, " + ", ".join(f"{c} long" for c in _COUNTS))
+def _added(messages: pa.Table):
+    """Messages to a shard by origin, their keys, their values, and the same of the distinct keys, with which of these each is."""
+    sent = sorted(messages.to_pylist(), key=lambda m: m["origin"])
+    keys, values = np.concatenate([unpack_sorted(m["a"]) for m in sent]), np.concatenate([_values(m) for m in sent], axis=1)
+    return sent, values, *_sums(keys, values)
+
+
+def _owners(messages: pa.Table) -> pa.Table:
+    """For each block twice the sum of the first value of its keys, and one more where the key is the block's to count:
+    of the blocks that give a key more than 0 exactly one is told so."""
+    if not messages.num_rows or messages.column("kind")[0].as_py() == "text":
+        return _none()
+    sent, values, _, sums, where = _added(messages)
+    answer = sums[0][where] * np.uint64(2)
+    given = np.flatnonzero(values[0])
+    _, first = np.unique(where[given], return_index=True)
+    answer[given[first]] += np.uint64(1)
+    edges = np.cumsum([0] + [m["n"] for m in sent])
+    return pa.Table.from_batches([_batch([_message("text", m["origin"], m["kind"], m["target"], m["n"], pack(answer[a:b]))
+                                          for m, a, b in zip(sent, edges[:-1], edges[1:])])])
+
+
+def _said(answers: list[dict], what: str) -> tuple[np.ndarray, np.ndarray]:
+    """What the shards say of each key that a block sent, in the order of the keys: whether it is the block's, and the sum."""
+    sent = sorted((m for m in answers if m["what"] == what), key=lambda m: m["origin"])
+    said = np.concatenate([unpack(m["a"]) for m in sent]) if sent else np.empty(0, dtype=np.uint64)
+    return (said & np.uint64(1)).astype(bool), said >> np.uint64(1)
+
+
+def _of_context(n: np.ndarray) -> np.ndarray:
+    """What an n-gram of count n adds to its context, with _COUNTS as rows."""
+    return np.array([np.zeros(len(n), dtype=np.uint64), n, n == 1, n == 2, n >= 3], dtype=np.uint64)
+
+
+def _of_ending(n: np.ndarray) -> np.ndarray:
+    """What an n-gram adds to the one without its first word."""
+    return np.array([np.ones(len(n)), *[np.zeros(len(n))] * 4]).astype(np.uint64)
+
+
+def _learned(shards: int):
+    """A message of each block's texts, and one to every shard of its distinct trigrams and their counts."""
+
+    def send(batches):
+        partition = TaskContext.get().partitionId()
+        for number, (rows, w, ends) in enumerate(_parts(batches)):
+            block = partition << 24 | number
+            yield _batch([_text_message(block, rows, w, ends)])
+            u, v = _before(w, ends, rows.column(0).to_pylist())
+            keys, counts = np.unique(pair_hashes(u, pair_hashes(v, w)), return_counts=True)
+            for message in _to_shards("tri", "tri", block, keys, counts[None], shards):
+                yield _batch([message])
+
+    return send
+
+
+def _own_trigrams(texts: pa.Table, answers: list[dict]):
+    """Number of a block, and of the trigrams that are its to count: words u, v, w, hashes of uv and vw, counts, languages."""
+    block, rows, w, ends = _text_of(texts)
+    langs = rows.column(0).to_pylist()
+    u, v = _before(w, ends, langs)
+    _, first = np.unique(pair_hashes(u, pair_hashes(v, w)), return_index=True)
+    own, n = _said(answers, "tri")
+    at, names = first[own], list(dict.fromkeys(langs))
+    lang = np.repeat(np.array([names.index(x) for x in langs], dtype=np.int64), np.diff(ends, prepend=0))[at]
+    u, v, w = u[at], v[at], w[at]
+    return block, v, w, pair_hashes(u, v), pair_hashes(v, w), n[own], lang, names
+
+
+def _ask_pairs(shards: int):
+    """To every shard what the block's own trigrams add to the pairs within them."""
+
+    def ask(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        if not _is_of(texts, "text"):
+            return _none()
+        block, _, _, uv, vw, n, *_ = _own_trigrams(texts, answers.to_pylist())
+        keys, values, _ = _sums(np.concatenate([vw, uv]), np.concatenate([_of_ending(n), _of_context(n)], axis=1))
+        return pa.Table.from_batches([_batch(_to_shards("pair", "pair", block, keys, values, shards))])
+
+    return ask
+
+
+def _ask_words(shards: int):
+    """To every shard what the block's own pairs add to the words within them, told apart by language."""
+
+    def ask(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        if not _is_of(texts, "text"):
+            return _none()
+        sent = answers.to_pylist()
+        block, v, w, uv, vw, _, lang, names = _own_trigrams(texts, sent)
+        keys = np.unique(np.concatenate([vw, uv]))
+        own, n = _said(sent, "pair")
+        pairs, first = np.unique(vw, return_index=True)
+        at = np.searchsorted(keys, pairs)
+        first, n = first[own[at]], n[at][own[at]]
+        rows = []
+        for k, name in enumerate(names):
+            here, some = first[lang[first] == k], n[lang[first] == k]
+            words, values, _ = _sums(np.concatenate([w[here], v[here]]), np.concatenate([_of_ending(some), _of_context(some)], axis=1))
+            rows += _to_shards("word", name, block, words, values, shards)
+        return pa.Table.from_batches([_batch(rows)])
+
+    return ask
+
+
+def _model_rows(messages: pa.Table) -> pa.Table:
+    """A shard's n-grams with their counts, how many have the counts 1 to 4, and the words of each language and their counts."""
+    if not messages.num_rows or messages.column("kind")[0].as_py() == "text":
+        return _none()
+    sent, _, keys, sums, _ = _added(messages)
+    kind, shard = sent[0]["kind"], sent[0]["target"]
+    rows = [_message("model", shard, kind, 0, len(keys), pack_sorted(keys), pack(sums.ravel()))]
+    rows += [_message("stat", shard, f"{kind}{k}", 0, int((sums[0] == k).sum())) for k in range(1, 5)]
+    if kind == "word":
+        for name in dict.fromkeys(m["what"] for m in sent):
+            at = np.searchsorted(keys, np.unique(np.concatenate([unpack_sorted(m["a"]) for m in sent if m["what"] == name])))
+            n = sums[0][at]
+            rows.append(_message("lang", shard, name, int(n.sum()), int((n > 0).sum())))
+    return pa.Table.from_batches([_batch(rows)])
 
 
-def _contexts(counts: DataFrame, context: list[str]) -> DataFrame:
-    """Each context's total and how many of its n-grams have counts 1, 2 and more."""
-    return counts.groupBy(*context).agg(F.sum("n").alias("total"), F.count_if(F.col("n") == 1).alias("m1"),
-                                        F.count_if(F.col("n") == 2).alias("m2"), F.count_if(F.col("n") >= 3).alias("m3"))
+def discounts(counts: list[int]) -> list[float]:
+    """Modified Kneser-Ney discounts of the counts 1, 2 and more, from the numbers of n-grams of counts 1 to 4."""
+    n1, n2, n3, n4 = counts
+    y = n1 / (n1 + 2 * n2) if n1 else 0.5
+    raw = [1 - 2 * y * n2 / n1 if n1 else 0.5, 2 - 3 * y * n3 / n2 if n2 else 1.0, 3 - 4 * y * n4 / n3 if n3 else 1.5]
+    # Small or odd tables can give figures outside what a count allows.
+    return [min(max(d, 0.1), k - 0.1) for k, d in enumerate(raw, 1)]
 
 
 class Model(NamedTuple):
-    """counts: (key, *_COUNTS), one row for each n-gram hash; discounts of trigrams and pairs; for each language what
-    a word's count is divided by and what every word has besides."""
+    """table: messages of kind "model", each with n sorted n-gram hashes of a shard and their counts; rows: of all of them;
+    discounts of trigrams and pairs; for each language what a word's count is divided by and what every word has besides."""
 
-    counts: DataFrame
+    path: str
+    shards: int
+    table: DataFrame
     rows: int
     discounts3: list[float]
     discounts2: list[float]
@@ -151,41 +295,86 @@ class Model(NamedTuple):
 
 
 def fit(trusted: DataFrame) -> Model:
-    """The model of all trusted texts (lang, text). Only its table of counts is left in the shared folder."""
+    """The model of all trusted texts (lang, text).
+
+    A block sends each distinct trigram once to its shard, which answers with the
+    count and whether it is the block's to count. The pairs within a block's own
+    trigrams go to their shards with what these add to them, and in the same way
+    the words within its own pairs. Only the table of counts is left in the
+    shared folder.
+    """
     spark = trusted.sparkSession
-    steps = [scratch_folder(spark) for _ in range(3)]
-    trigrams = written(_trigram_rows(trusted).groupBy(*_GRAM).agg(F.count("*").alias("n")), steps[0])
-    bigrams = written(trigrams.groupBy("v", "w").agg(F.count("*").alias("n")), steps[1])
-    words = written(bigrams.groupBy("w").agg(F.count("*").alias("n")), steps[2])
-    sums = [F.sum(c).alias(c) for c in _COUNTS]
-    pairs = _keyed(bigrams, ["v", "w"]).unionByName(_keyed(_contexts(trigrams, ["u", "v"]), ["u", "v"])).groupBy("key").agg(*sums)
-    singles = _keyed(words, ["w"]).unionByName(_keyed(_contexts(bigrams, ["v"]), ["v"])).groupBy("key").agg(*sums)
-    counts = written(_keyed(trigrams, _GRAM).unionByName(pairs).unionByName(singles))
-    # Words carry their language in the hash; a language's words are those of its texts.
-    rows = words.join(_vocabulary(trusted), "w").groupBy("lang").agg(F.sum("n").alias("total"), F.count("*").alias("words")).collect()
-    languages = {r.lang: (float(r.total), 0.5 * r.words / r.total / (r.words + 1)) for r in rows}
-    model = Model(counts, counts.count(), discounts(trigrams), discounts(bigrams), languages)
-    discard(spark, steps)
-    return model
+    step = scratch_folder(spark)
+    with shuffles_freed(spark):
+        texts = settled(trusted.select("text", "lang"), step)
+    size = texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    shards = _power_of_two(size / LEARNED_BYTES)
+
+    keys, other = ["kind", "target"], ["kind_", "target_"]
+    sent = texts.mapInArrow(_learned(shards), MESSAGE).repartition(shards, *keys)
+    own = _of_kind(sent, "text").groupBy(*keys)
+    trigrams = _of_kind(sent, "tri").groupBy(*keys)
+    said = trigrams.applyInArrow(_owners, MESSAGE).repartition(shards, *keys)
+    sent2 = own.cogroup(_renamed(said).groupBy(*other)).applyInArrow(_ask_pairs(shards), MESSAGE).repartition(shards, *keys)
+    pairs = sent2.groupBy(*keys)
+    both = said.unionByName(pairs.applyInArrow(_owners, MESSAGE).repartition(shards, *keys))
+    sent3 = own.cogroup(_renamed(both).groupBy(*other)).applyInArrow(_ask_words(shards), MESSAGE).repartition(shards, *keys)
+    with shuffles_freed(spark):
+        path = scratch_folder(spark)
+        table = written(reduce(DataFrame.unionByName, [x.applyInArrow(_model_rows, MESSAGE) for x in (trigrams, pairs, sent3.groupBy(*keys))]), path)
+    discard(spark, [step])
+
+    about = {(r.kind, r.what): r for r in table.groupBy("kind", "what").agg(F.sum("origin").alias("total"), F.sum("n").alias("n")).collect()}
+    seen = lambda kind: [about["stat", f"{kind}{k}"].n if about else 0 for k in range(1, 5)]
+    languages = {what: (float(r.total), 0.5 * r.n / r.total / (r.n + 1)) for (kind, what), r in about.items() if kind == "lang"}
+    return Model(path, shards, table.filter("kind = 'model'"), sum(r.n for (kind, _), r in about.items() if kind == "model"), discounts(seen("tri")), discounts(seen("pair")), languages)
+
+
+def _bits(rows: int) -> int:
+    return min(FILTER_BITS, max(16, math.ceil(math.log2(16 * rows + 1))))
+
+
+def _marks(keys: np.ndarray, bits: int) -> tuple[int, bytes]:
+    """Bytes of the map from the one of the smallest key on that have a bit for the top bits of every key."""
+    at = (keys >> np.uint64(64 - bits)).astype(np.int64)
+    low, high = int(at.min()) >> 3, int(at.max()) >> 3
+    marked = np.zeros((high + 1 - low) << 3, dtype=bool)
+    marked[at - (low << 3)] = True
+    return low, np.packbits(marked).tobytes()
+
+
+def _gathered(marks: DataFrame, bits: int) -> np.ndarray:
+    out = np.zeros(1 << (bits - 3), dtype=np.uint8)
+    for r in marks.toLocalIterator(prefetchPartitions=True):
+        out[r.low : r.low + len(r.marks)] |= np.frombuffer(r.marks, dtype=np.uint8)
+    return out
 
 
 def _bit_map(model: Model) -> np.ndarray:
-    """A bit for the top bits of every key of the model; a task makes a segment of the map from about SEGMENT_KEYS keys."""
-    bits = min(FILTER_BITS, max(16, math.ceil(math.log2(16 * model.rows + 1))))
-    segments = min(bits - 3, max(6, math.ceil(math.log2(model.rows / SEGMENT_KEYS + 1))))
+    """A bit for the top bits of every key of the model."""
+    bits = _bits(model.rows)
+
+    def mark(batches):
+        for batch in batches:
+            for raw in batch.column(0):
+                low, marks = _marks(unpack_sorted(raw.as_py()), bits)
+                yield pa.RecordBatch.from_arrays([pa.array([low], pa.int64()), pa.array([marks], pa.binary())], names=["low", "marks"])
+
+    return _gathered(model.table.select("a").mapInArrow(mark, "low long, marks binary"), bits)
+
+
+def _id_map(ids: DataFrame) -> np.ndarray:
+    """The same for hashes of ids (key); a task makes a segment of the map from about SEGMENT_KEYS keys."""
+    rows = ids.count()
+    bits = _bits(rows)
+    segments = min(bits - 3, max(3, math.ceil(math.log2(rows / SEGMENT_KEYS + 1))))
 
     def mark(table: pa.Table) -> pa.Table:
-        keys = table.column("key").to_numpy().view(np.uint64) >> np.uint64(64 - bits)
-        marked = np.zeros(1 << (bits - segments), dtype=bool)
-        marked[(keys & np.uint64(len(marked) - 1)).astype(np.int64)] = True
-        return pa.table({"segment": table.column("segment")[:1], "marks": pa.array([np.packbits(marked).tobytes()], pa.binary())})
+        low, marks = _marks(table.column("key").to_numpy().view(np.uint64), bits)
+        return pa.table({"low": pa.array([low], pa.int64()), "marks": pa.array([marks], pa.binary())})
 
     segment = F.shiftrightunsigned("key", 64 - segments).cast("int").alias("segment")
-    out = np.zeros(1 << (bits - 3), dtype=np.uint8)
-    size = len(out) >> segments
-    for r in model.counts.select("key", segment).groupBy("segment").applyInArrow(mark, "segment int, marks binary").toLocalIterator():
-        out[r.segment * size : (r.segment + 1) * size] = np.frombuffer(r.marks, dtype=np.uint8)
-    return out
+    return _gathered(ids.select("key", segment).groupBy("segment").applyInArrow(mark, "low long, marks binary"), bits)
 
 
 def _marked(keys: np.ndarray, bit_map: np.ndarray) -> np.ndarray:
@@ -193,13 +382,23 @@ def _marked(keys: np.ndarray, bit_map: np.ndarray) -> np.ndarray:
     return (bit_map[(at >> np.uint64(3)).astype(np.int64)] >> (np.uint8(7) - (at & np.uint64(7)).astype(np.uint8))) & np.uint8(1) > 0
 
 
-def _asked(w: np.ndarray, ends: np.ndarray, langs: list, bit_map: np.ndarray):
-    """Sorted distinct keys that a block asks for, and the keys of each position: w, v, vw, uv, uvw."""
-    u, v = _before(w, ends, langs)
-    vw = pair_hashes(v, w)
-    keys = [w, v, vw, pair_hashes(u, v), pair_hashes(u, vw)]
-    every = np.unique(np.concatenate([k[_marked(k, bit_map)] for k in keys]))
-    return every, keys
+def _key(doc_id: Column, kind) -> Column:
+    return F.xxhash64(doc_id.cast(kind))
+
+
+def _may_be_of(docs: DataFrame, ids: DataFrame) -> Column:
+    """Whether a document's id can be one of the ids; of a few others it says so too.
+
+    Where texts are joined with many ids, only those of such rows are moved then.
+    """
+    kind = docs.schema["doc_id"].dataType
+    shared = docs.sparkSession.sparkContext.broadcast(_id_map(ids.select(_key(F.col("doc_id"), kind).alias("key"))))
+
+    @F.arrow_udf("boolean")
+    def may(keys: pa.Array) -> pa.Array:
+        return pa.array(_marked(keys.to_numpy(zero_copy_only=False).view(np.uint64), shared.value))
+
+    return F.col("doc_id").isNotNull() & may(_key(F.col("doc_id"), kind))
 
 
 def _parts(batches):
@@ -228,6 +427,36 @@ def _joined(held):
     return rows, np.concatenate([h[1] for h in held]), np.concatenate([h[2] + s for h, s in zip(held, shifts)])
 
 
+def _keys(w: np.ndarray, ends: np.ndarray, langs: list, bit_map: np.ndarray) -> list[np.ndarray]:
+    """For each position the hashes of w, v, vw, uv and uvw, 0 for those that the model cannot have.
+
+    An n-gram is only in the model if all within it are; w may have 0 for words that are not.
+    """
+
+    def known(keys: np.ndarray) -> np.ndarray:
+        return np.where(_marked(keys, bit_map), keys, np.uint64(0))
+
+    u, v = _before(w, ends, langs)
+    first = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+    begin = v[first]
+    w_key = np.where(w == 0, np.uint64(0), known(w))
+    v_key, vw_key, uv_key, uvw_key = (np.zeros_like(w) for _ in range(4))
+    v_key[1:], v_key[first] = w_key[:-1], known(begin)
+    some = np.flatnonzero((v_key != 0) & (w_key != 0))
+    vw_key[some] = known(pair_hashes(v[some], w[some]))
+    uv_key[1:], uv_key[first] = vw_key[:-1], known(pair_hashes(begin, begin))
+    some = np.flatnonzero((vw_key != 0) & (uv_key != 0))
+    uvw_key[some] = known(pair_hashes(u[some], vw_key[some]))
+    return [w_key, v_key, vw_key, uv_key, uvw_key]
+
+
+def _asked(keys: list[np.ndarray], ends: np.ndarray) -> np.ndarray:
+    """Sorted distinct keys that a block asks for. Those of v and uv are the w and vw before, but where a text begins."""
+    w, v, vw, uv, uvw = keys
+    first = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+    return np.unique(np.concatenate([k[k != 0] for k in (w, v[first], vw, uv[first], uvw)]))
+
+
 def _questions(shards: int, shared):
     """A message of each block's texts as numbers of its words, and one to every shard of n-grams asked for."""
 
@@ -235,18 +464,10 @@ def _questions(shards: int, shared):
         partition = TaskContext.get().partitionId()
         for number, (rows, w, ends) in enumerate(_parts(batches)):
             block = partition << 24 | number
-            words, local = np.unique(w, return_inverse=True)
-            # Frequent words get small numbers, whose upper bytes are all zero.
-            order = np.argsort(-np.bincount(local, minlength=len(words)), kind="stable")
-            rank = np.empty(len(order), dtype=np.int64)
-            rank[order] = np.arange(len(order))
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, rows.schema) as out:
-                out.write_table(rows)
-            yield _batch([_message("text", block, "texts", 0, len(ends), pack(rank[local]), pack(np.diff(ends, prepend=0)), pack_sorted(words),
-                                   pack(order), sink.getvalue().to_pybytes())])
-            del order, rank, local
-            asked, _ = _asked(w, ends, rows.column(rows.num_columns - 1).to_pylist(), shared.value)
+            keys = _keys(w, ends, rows.column(rows.num_columns - 1).to_pylist(), shared.value)
+            yield _batch([_text_message(block, rows, keys[0], ends)])
+            asked = _asked(keys, ends)
+            del keys
             edges = _shard_edges(asked, shards)
             for s, (a, b) in enumerate(zip(edges[:-1], edges[1:])):
                 if b > a:
@@ -255,23 +476,41 @@ def _questions(shards: int, shared):
     return send
 
 
+def _dealt(model: Model, shards: int) -> DataFrame:
+    """The model's n-grams as messages to the shards that are asked for them."""
+
+    def cut(batches):
+        for batch in batches:
+            for m in batch.to_pylist():
+                yield _batch(_to_shards("gram", m["what"], m["target"], unpack_sorted(m["a"]), _values(m), shards))
+
+    if shards > model.shards:
+        return model.table.mapInArrow(cut, MESSAGE)
+    # A shard has the n-grams of several of the model's.
+    return model.table.withColumns({"kind": F.lit("gram"), "target": F.floor(F.col("target") / (model.shards // shards)).cast("long")})
+
+
 def _answer(messages: pa.Table, counts: pa.Table) -> pa.Table:
     """For each block the counts of the n-grams that it asked for, 0 where there are none."""
-    if not messages.num_rows or messages.column("kind")[0].as_py() != "gram":
-        return pa.Table.from_batches([_batch([])])
-    keys = counts.column("key").to_numpy().view(np.uint64)
+    if not _is_of(messages, "gram"):
+        return _none()
+    grams = counts.rename_columns([c.rstrip("_") for c in counts.column_names]).to_pylist()
+    keys = np.concatenate([np.empty(0, dtype=np.uint64), *(unpack_sorted(m["a"]) for m in grams)])
+    values = np.zeros((len(_COUNTS), len(keys) + 1), dtype=np.uint64)
+    low = 0
+    for m in grams:
+        of = _values(m)
+        values[: len(of), low : low + m["n"]] = of
+        low += m["n"]
     order = np.argsort(keys)
-    keys, values = keys[order], [counts.column(c).to_numpy()[order] for c in _COUNTS]
+    keys = keys[order]
+    order = np.append(order, len(keys))
     rows = []
     for m in messages.to_pylist():
         asked = unpack_sorted(m["a"])
-        if len(keys):
-            at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
-            found = keys[at] == asked
-            got = [np.where(found, v[at], 0) for v in values]
-        else:
-            got = [np.zeros(len(asked), dtype=np.int64)] * len(values)
-        rows.append(_message("text", m["origin"], "grams", m["target"], m["n"], *(pack(g) for g in got)))
+        at = np.searchsorted(keys, asked)
+        at[at < len(keys)] = np.where(keys[at[at < len(keys)]] == asked[at < len(keys)], at[at < len(keys)], len(keys))
+        rows.append(_message("text", m["origin"], "grams", m["target"], m["n"], *(pack(v) for v in values[:, order[at]])))
     return pa.Table.from_batches([_batch(rows)])
 
 
@@ -279,24 +518,29 @@ def _score(model: dict, shared, names: list[str], types: pa.Schema):
     """log10 of each whole text's probability, and its number of words with the end, beside its row."""
 
     def score(texts: pa.Table, answers: pa.Table) -> pa.Table:
-        if not texts.num_rows or texts.column("kind")[0].as_py() != "text":
+        if not _is_of(texts, "text"):
             return types.empty_table()
-        block = {k: v[0] for k, v in texts.to_pydict().items()}
-        rows = pa.ipc.open_stream(block["e"]).read_all()
+        _, rows, w, ends = _text_of(texts)
+        sizes = np.diff(ends, prepend=0)
         langs = rows.column(rows.num_columns - 1).to_pylist()
-        w = unpack_sorted(block["c"])[unpack(block["d"]).astype(np.int64)[unpack(block["a"]).astype(np.int64)]]
-        sizes = unpack(block["b"]).astype(np.int64)
-        ends = np.cumsum(sizes)
-        asked, keys = _asked(w, ends, langs, shared.value)
+        keys = _keys(w, ends, langs, shared.value)
+        asked = _asked(keys, ends)
         sent = sorted(answers.to_pylist(), key=lambda m: m["origin"])
         # A last row of zeros stands for what is not asked for.
         table = {c: np.append(np.concatenate([unpack(m[x]) for m in sent]) if sent else [], 0).astype(np.float64) for c, x in zip(_COUNTS, "abcde")}
 
         def place(key: np.ndarray) -> np.ndarray:
-            at = np.searchsorted(asked, key)
-            return np.where(np.append(asked, np.uint64(0))[at] == key, at, len(asked)) if len(asked) else np.zeros(len(key), dtype=np.int64)
+            at, some = np.full(len(key), len(asked)), np.flatnonzero(key)
+            at[some] = np.searchsorted(asked, key[some])
+            return at
+
+        def before(at: np.ndarray, key: np.ndarray) -> np.ndarray:
+            out, first = np.roll(at, 1), ends - sizes
+            out[first] = place(key[first])
+            return out
 
-        w_at, v_at, vw_at, uv_at, uvw_at = (place(k) for k in keys)
+        w_at, vw_at, uvw_at = (place(keys[k]) for k in (0, 2, 4))
+        v_at, uv_at = before(w_at, keys[1]), before(vw_at, keys[3])
         del keys, w
 
         def longer(p: np.ndarray, gram: np.ndarray, context: np.ndarray, d: list[float]) -> np.ndarray:
@@ -329,18 +573,27 @@ def perplexities(docs: DataFrame, model: Model, text: str = "text", lang: str =
     source = settled(docs.select(*names, F.coalesce(F.col(text), F.lit("")).alias(own_text), F.col(lang).cast("string").alias(own_lang)))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema if f.name in names), "n_tokens long", "perplexity double"])
     size = source.agg(F.sum(F.octet_length(own_text).cast("long"))).first()[0] or 0
-    shards = max(2, math.ceil(size / SHARD_BYTES))
+    shards = _power_of_two(size / SHARD_BYTES)
     shared = spark.sparkContext.broadcast(_bit_map(model))
     types = _arrow_schema(source, names)
-
-    keys = ["kind", "target"]
-    sent = source.mapInArrow(_questions(shards, shared), MESSAGE).repartition(shards, *keys)
-    shard = F.shiftright(F.shiftrightunsigned("key", 32) * F.lit(shards).cast("long"), 32)
-    counts = model.counts.select(F.lit("gram").alias("kind_"), shard.alias("target_"), "key", *_COUNTS).groupBy("kind_", "target_")
-    answers = _of_kind(sent, "gram").groupBy(*keys).cogroup(counts).applyInArrow(_answer, MESSAGE).repartition(shards, *keys)
     plain = {"languages": model.languages, "d2": model.discounts2, "d3": model.discounts3}
-    return _of_kind(sent, "text").groupBy(*keys).cogroup(_renamed(answers).groupBy("kind_", "target_")).applyInArrow(
-        _score(plain, shared, names, types), schema)
+    keys, other = ["kind", "target"], ["kind_", "target_"]
+
+    def scored(part: DataFrame) -> DataFrame:
+        sent = part.mapInArrow(_questions(shards, shared), MESSAGE).repartition(shards, *keys)
+        counts = _renamed(_dealt(model, shards)).repartition(shards, *other).groupBy(*other)
+        answers = _of_kind(sent, "gram").groupBy(*keys).cogroup(counts).applyInArrow(_answer, MESSAGE).repartition(shards, *keys)
+        return _of_kind(sent, "text").groupBy(*keys).cogroup(_renamed(answers).groupBy(*other)).applyInArrow(_score(plain, shared, names, types), schema)
+
+    rounds = min(ROUNDS, math.ceil(size / ROUND_BYTES))
+    if rounds <= 1:
+        return scored(source)
+    number = fresh(source.columns, "part")
+    parts = source.withColumn(number, F.monotonically_increasing_id() % rounds)
+    paths = [scratch_folder(spark) for _ in range(rounds)]
+    with shuffles_freed(spark):
+        done = [written(scored(parts.filter(F.col(number) == k).drop(number)), path) for k, path in enumerate(paths)]
+    return spark.read.schema(done[0].schema).parquet(*paths)
 
 
 def _arrow_schema(source: DataFrame, names: list[str]) -> pa.Schema:
@@ -372,12 +625,14 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) ->
     document is left for a model or a threshold, all is kept.
     Repeated rows each get a row; an empty table gives none.
     """
-    trusted = trusted_ids(labels)
-    learning = docs.filter("lang IS NOT NULL AND octet_length(text) > 0").join(trusted.filter(learns(F.col("doc_id"))), "doc_id", "left_semi")
+    trusted = written(trusted_ids(labels))
+    back, learned = trusted.filter(~learns(F.col("doc_id"))), trusted.filter(learns(F.col("doc_id")))
+    texts = docs.filter("lang IS NOT NULL AND octet_length(text) > 0").filter(_may_be_of(docs, learned))
+    learning = texts.join(learned, "doc_id", "left_semi")
     model = fit(learning.select(F.col("lang").cast("string").alias("lang"), "text"))
     source = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), "text")
-    back = trusted.filter(~learns(F.col("doc_id")))
-    scored = written(perplexities(source, model, keep=["doc_id", "lang"]))
+    scored = settled(perplexities(source, model, keep=["doc_id", "lang"]))
+    discard(docs.sparkSession, [model.path])
     threshold = F.percentile_approx("perplexity", F.lit(quantile), F.lit(ACCURACY)).alias("threshold")
     limits = written(scored.join(back, "doc_id", "left_semi").filter("perplexity IS NOT NULL").groupBy("lang").agg(threshold))
     columns = ["doc_id", "lang", "n_tokens", "perplexity", "threshold"]
@@ -386,9 +641,10 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) ->
     if not rest.isEmpty():
         if model.languages:
             pooled = fit(learning.select(F.lit(POOL).alias("lang"), "text"))
-            flags = (source.join(limits.select("lang", F.lit(True).alias("_own")), "lang", "left")
-                     .join(back.withColumn("_back", F.lit(True)), "doc_id", "left").filter("_own IS NULL OR _back").withColumn("_pool", F.lit(POOL)))
-            both = written(perplexities(flags, pooled, lang="_pool", keep=["doc_id", "lang", "_own", "_back"]))
+            flags = (source.withColumn("_may", _may_be_of(docs, back)).join(limits.select("lang", F.lit(True).alias("_own")), "lang", "left")
+                     .filter("_own IS NULL OR _may").withColumn("_pool", F.lit(POOL)))
+            both = perplexities(flags, pooled, lang="_pool", keep=["doc_id", "lang", "_own"])
+            both = written(both.join(back.withColumn("_back", F.lit(True)), "doc_id", "left").filter("_own IS NULL OR _back"))
             limit = both.filter("_back").agg(threshold).first()[0]
             rest = both.filter("_own IS NULL").withColumn("threshold", F.lit(limit).cast("double"))
         else:

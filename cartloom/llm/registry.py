@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -62,6 +63,20 @@ def discard(spark: SparkSession, paths: list[str]) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_freed(spark: SparkSession):
+    """What a job has shuffled is deleted at its end, and not when the driver happens to collect its garbage."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+
+
 def fresh(taken: list[str], name: str) -> str:
     """A name for a helper column that none of the taken ones has, in whatever case."""
     used = {c.lower() for c in taken}
@@ -71,11 +86,12 @@ def fresh(taken: list[str], name: str) -> str:
     return name
 
 
-def settled(df: DataFrame) -> DataFrame:
+def settled(df: DataFrame, path: str | None = None) -> DataFrame:
     """Rows in the same order whenever a partition is computed again.
 
-    So they are in a plain scan; what comes out of a shuffle is written first.
+    So they are in a plain scan; what comes out of a shuffle is written first,
+    to the path if one is given.
     """
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     moved = ("Join", "Aggregate", "Repartition", "Sort", "Window", "Generate", "Sample", "Limit", "Map", "Union")
-    return written(df) if any(word in plan for word in moved) else df
+    return written(df, path) if any(word in plan for word in moved) else df

@@ -287,6 +287,46 @@ def test_quality_learns_all_trusted_texts(session):
         assert got[k] == pytest.approx(perplexity("en", text), rel=1e-4)
 
 
+def shuffled_bytes(session):
+    """Of the shuffle files that Spark holds."""
+    files = session._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return sum(f.length() for f in (files.apply(k) for k in range(files.size())) if f.getName().startswith("shuffle_"))
+
+
+@pytest.mark.parametrize("round_bytes", [1 << 30, 20_000, 60_000])
+def test_quality_in_parts_leaves_no_shuffled_ngrams(session, monkeypatch, round_bytes):
+    texts = [" ".join(f"p{(k * k + j * j * 7) % 997}" for j in range(40)) for k in range(600)]
+    rows = [(k, text, ("en", "de")[k % 2]) for k, text in enumerate(texts)]
+    rows += [(k, text, lang) for k, (text, lang) in enumerate([(None, "en"), ("", "de"), (texts[0], None), (texts[0], "new"), (texts[1], "en")], 600)]
+    docs = session.createDataFrame(rows, "doc_id long, text string, lang string")
+    learned = [(lang, text) for k, text, lang in rows[:600] if k % 3]
+    before = shuffled_bytes(session)
+    model = quality.fit(session.createDataFrame(learned, "lang string, text string"))
+    assert shuffled_bytes(session) - before < 50_000
+    if round_bytes < 1 << 30:
+        monkeypatch.setattr(quality, "ROUND_BYTES", round_bytes)
+    before = shuffled_bytes(session)
+    got = {r.doc_id: r.perplexity for r in quality.perplexities(docs, model).collect()}
+    if round_bytes < 1 << 30:
+        assert shuffled_bytes(session) - before < 50_000
+    assert sorted(got) == list(range(605)) and got[602] is None and got[603] is None
+    perplexity = kneser_ney(learned)
+    for k in [*range(0, 600, 40), 1, 599, 600, 601, 604]:
+        assert got[k] == pytest.approx(perplexity(rows[k][2], rows[k][1] or ""), rel=1e-6)
+
+
+@pytest.mark.parametrize("shard_bytes", [1 << 10, 1 << 24])
+def test_quality_with_more_or_fewer_shards_than_the_model(session, monkeypatch, shard_bytes):
+    texts = [" ".join(f"p{(k * k + j * j * 7) % 997}" for j in range(40)) for k in range(200)]
+    monkeypatch.setattr(quality, "LEARNED_BYTES", 1 << 13)
+    model = quality.fit(session.createDataFrame([("en", text) for text in texts[::2]], "lang string, text string"))
+    monkeypatch.setattr(quality, "SHARD_BYTES", shard_bytes)
+    docs = session.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("lang", F.lit("en"))
+    got = {r.doc_id: r.perplexity for r in quality.perplexities(docs, model).collect()}
+    perplexity = kneser_ney([("en", text) for text in texts[::2]])
+    assert all(got[k] == pytest.approx(perplexity("en", texts[k]), rel=1e-6) for k in range(0, 200, 17))
+
+
 def test_quality_of_many_and_unknown_languages(session):
     rows = [(100 * n + k, made_text(k, f"l{n}x"), f"l{n:02d}") for n in range(66) for k in range(8)]
     rows += [(9001, made_text(3, "l5x"), None), (9002, "zq zr zs zt zu zv", None), (9003, "zq zr zs zt zu zv", "new")]
