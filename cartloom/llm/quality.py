@@ -137,6 +137,27 @@ def _to_shards(kind: str, what: str | None, origin: int, keys: np.ndarray, value
             for s, (a, b) in enumerate(zip(edges[:-1], edges[1:])) if b > a]
 
 
+def _new(ordered: np.ndarray) -> np.ndarray:
+    """Whether each of sorted keys differs from the one before."""
+    new = np.ones(len(ordered), dtype=bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    return new
+
+
+def _distinct(keys: np.ndarray) -> np.ndarray:
+    """Sorted distinct keys. np.unique without counts or places would hash them, which takes many times as long as a sort."""
+    ordered = np.sort(keys)
+    return ordered[_new(ordered)]
+
+
+def _one_of_each(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys and where one of each is; np.unique would find the first, by a slower sort."""
+    order = np.argsort(keys)
+    ordered = keys[order]
+    new = _new(ordered)
+    return ordered[new], order[new]
+
+
 def _sums(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sorted distinct keys, the sum of each row of values for each, and which of them each key is."""
     distinct, where = np.unique(keys, return_inverse=True)
@@ -212,7 +233,7 @@ def _own_trigrams(texts: pa.Table, answers: list[dict]):
     block, rows, w, ends = _text_of(texts)
     langs = rows.column(0).to_pylist()
     u, v = _before(w, ends, langs)
-    _, first = np.unique(pair_hashes(u, pair_hashes(v, w)), return_index=True)
+    _, first = _one_of_each(pair_hashes(u, pair_hashes(v, w)))
     own, n = _said(answers, "tri")
     at, names = first[own], list(dict.fromkeys(langs))
     lang = np.repeat(np.array([names.index(x) for x in langs], dtype=np.int64), np.diff(ends, prepend=0))[at]
@@ -241,9 +262,9 @@ def _ask_words(shards: int):
             return _none()
         sent = answers.to_pylist()
         block, v, w, uv, vw, _, lang, names = _own_trigrams(texts, sent)
-        keys = np.unique(np.concatenate([vw, uv]))
+        keys = _distinct(np.concatenate([vw, uv]))
         own, n = _said(sent, "pair")
-        pairs, first = np.unique(vw, return_index=True)
+        pairs, first = _one_of_each(vw)
         at = np.searchsorted(keys, pairs)
         first, n = first[own[at]], n[at][own[at]]
         rows = []
@@ -266,7 +287,7 @@ def _model_rows(messages: pa.Table) -> pa.Table:
     rows += [_message("stat", shard, f"{kind}{k}", 0, int((sums[0] == k).sum())) for k in range(1, 5)]
     if kind == "word":
         for name in dict.fromkeys(m["what"] for m in sent):
-            at = np.searchsorted(keys, np.unique(np.concatenate([unpack_sorted(m["a"]) for m in sent if m["what"] == name])))
+            at = np.searchsorted(keys, _distinct(np.concatenate([unpack_sorted(m["a"]) for m in sent if m["what"] == name])))
             n = sums[0][at]
             rows.append(_message("lang", shard, name, int(n.sum()), int((n > 0).sum())))
     return pa.Table.from_batches([_batch(rows)])
@@ -450,11 +471,10 @@ def _keys(w: np.ndarray, ends: np.ndarray, langs: list, bit_map: np.ndarray) ->
     return [w_key, v_key, vw_key, uv_key, uvw_key]
 
 
-def _asked(keys: list[np.ndarray], ends: np.ndarray) -> np.ndarray:
-    """Sorted distinct keys that a block asks for. Those of v and uv are the w and vw before, but where a text begins."""
+def _sought(keys: list[np.ndarray], first: np.ndarray) -> list[np.ndarray]:
+    """The keys that a block asks for, 0 for none. Those of v and uv are the w and vw before, but where a text begins."""
     w, v, vw, uv, uvw = keys
-    first = np.concatenate([[0], ends[:-1]]).astype(np.int64)
-    return np.unique(np.concatenate([k[k != 0] for k in (w, v[first], vw, uv[first], uvw)]))
+    return [w, v[first], vw, uv[first], uvw]
 
 
 def _questions(shards: int, shared):
@@ -466,7 +486,8 @@ def _questions(shards: int, shared):
             block = partition << 24 | number
             keys = _keys(w, ends, rows.column(rows.num_columns - 1).to_pylist(), shared.value)
             yield _batch([_text_message(block, rows, keys[0], ends)])
-            asked = _asked(keys, ends)
+            first = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+            asked = _distinct(np.concatenate([k[k != 0] for k in _sought(keys, first)]))
             del keys
             edges = _shard_edges(asked, shards)
             for s, (a, b) in enumerate(zip(edges[:-1], edges[1:])):
@@ -522,38 +543,40 @@ def _score(model: dict, shared, names: list[str], types: pa.Schema):
             return types.empty_table()
         _, rows, w, ends = _text_of(texts)
         sizes = np.diff(ends, prepend=0)
+        first = ends - sizes
         langs = rows.column(rows.num_columns - 1).to_pylist()
-        keys = _keys(w, ends, langs, shared.value)
-        asked = _asked(keys, ends)
+        sought = _sought(_keys(w, ends, langs, shared.value), first)
+        del w
         sent = sorted(answers.to_pylist(), key=lambda m: m["origin"])
         # A last row of zeros stands for what is not asked for.
         table = {c: np.append(np.concatenate([unpack(m[x]) for m in sent]) if sent else [], 0).astype(np.float64) for c, x in zip(_COUNTS, "abcde")}
 
-        def place(key: np.ndarray) -> np.ndarray:
-            at, some = np.full(len(key), len(asked)), np.flatnonzero(key)
-            at[some] = np.searchsorted(asked, key[some])
-            return at
-
-        def before(at: np.ndarray, key: np.ndarray) -> np.ndarray:
-            out, first = np.roll(at, 1), ends - sizes
-            out[first] = place(key[first])
+        # Where the answer to each key is: the distinct keys were asked for in their order.
+        flat = np.concatenate(sought)
+        some = np.flatnonzero(flat)
+        places = np.full(len(flat), -1)
+        places[some] = np.unique(flat[some], return_inverse=True)[1]
+        w_at, v_first, vw_at, uv_first, uvw_at = np.split(places, np.cumsum([len(k) for k in sought])[:-1])
+        del flat, some, sought
+
+        def before(at: np.ndarray, of_first: np.ndarray) -> np.ndarray:
+            out = np.roll(at, 1)
+            out[first] = of_first
             return out
 
-        w_at, vw_at, uvw_at = (place(keys[k]) for k in (0, 2, 4))
-        v_at, uv_at = before(w_at, keys[1]), before(vw_at, keys[3])
-        del keys, w
+        v_at, uv_at = before(w_at, v_first), before(vw_at, uv_first)
 
         def longer(p: np.ndarray, gram: np.ndarray, context: np.ndarray, d: list[float]) -> np.ndarray:
-            n, total = table["n"][gram], table["total"][context]
-            held = sum(x * table[m][context] for x, m in zip(d, ("m1", "m2", "m3")))
-            own = n - np.where(n == 0, 0, np.where(n == 1, d[0], np.where(n == 2, d[1], d[2])))
+            n, total = table["n"], table["total"][context]
+            held = sum(x * table[m] for x, m in zip(d, ("m1", "m2", "m3")))[context]
+            own = (n - np.array([0, *d])[np.minimum(n, 3).astype(np.int64)])[gram]
             return np.where(total > 0, (own + held * p) / np.maximum(total, 1), p)
 
         each = np.array([model["languages"].get(x, (1.0, 1.0)) for x in langs])
         total, floor = (np.repeat(each[:, k], sizes) for k in (0, 1))
         p = np.maximum(table["n"][w_at] - 0.5, 0) / total + floor
         p = longer(longer(p, vw_at, v_at, model["d2"]), uvw_at, uv_at, model["d3"])
-        values = 10 ** (-np.add.reduceat(np.log10(p), ends - sizes) / sizes)
+        values = 10 ** (-np.add.reduceat(np.log10(p), first) / sizes)
         unknown = np.array([x not in model["languages"] for x in langs])
         columns = {c: rows.column(c) for c in names} | {"n_tokens": pa.array(sizes), "perplexity": pa.array(values, mask=unknown)}
         return pa.table(columns).cast(types)

@@ -48,14 +48,19 @@ def pack(x: np.ndarray) -> bytes:
     """Unsigned numbers, first all lowest bytes, then all next ones, as far as the largest needs."""
     x = np.ascontiguousarray(x, dtype=np.uint64)
     width = max(1, (int(x.max()).bit_length() + 7) // 8) if len(x) else 1
-    return bytes([width]) + x.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+    each = x.view(np.uint8).reshape(-1, 8)
+    planes = np.empty((width, len(x)), dtype=np.uint8)
+    for k in range(width):
+        planes[k] = each[:, k]
+    return bytes([width]) + planes.tobytes()
 
 
 def unpack(raw: bytes) -> np.ndarray:
     width = raw[0]
     planes = np.frombuffer(raw, dtype=np.uint8, offset=1).reshape(width, -1)
     out = np.zeros((planes.shape[1], 8), dtype=np.uint8)
-    out[:, :width] = planes.T
+    for k in range(width):
+        out[:, k] = planes[k]
     return out.view(np.uint64).reshape(-1)
 
 

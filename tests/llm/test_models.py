@@ -3,7 +3,9 @@
 import math
 import zlib
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -327,6 +329,68 @@ def test_quality_with_more_or_fewer_shards_than_the_model(session, monkeypatch,
     assert all(got[k] == pytest.approx(perplexity("en", texts[k]), rel=1e-6) for k in range(0, 200, 17))
 
 
+def test_quality_sorts_the_ngrams_of_a_block(monkeypatch):
+    """np.unique without counts or places hashes its keys, and keys looked up in no order miss the cache: on large
+    blocks both take many times as long as a sort. The steps of a block run here without Spark."""
+    unique, searched = np.unique, np.searchsorted
+
+    def sorting(x, **returns):
+        assert any(returns.values())
+        return unique(x, **returns)
+
+    def in_order(x, keys, *args, **kwargs):
+        assert (np.diff(np.atleast_1d(keys).astype(np.float64)) >= 0).all()
+        return searched(x, keys, *args, **kwargs)
+
+    def messages(tables, kind):
+        """Those of a kind by what they are sent to."""
+        found = defaultdict(list)
+        for m in (m for t in tables for m in t.to_pylist() if m["kind"] == kind):
+            found[m["target"]].append(m)
+        return {k: pa.Table.from_pylist(v, schema=quality._none().schema) for k, v in found.items()}
+
+    texts = [" ".join(f"p{(k * k + j * j * 7) % 97}" for j in range(k % 40)) for k in range(120)]
+    langs = ["en" if k % 2 else "de" for k in range(120)]
+    learned = pa.record_batch({"text": texts[::3], "lang": langs[::3]})
+    docs = pa.record_batch({"doc_id": range(120), "text": texts, "lang": langs})
+    monkeypatch.setattr(quality, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    monkeypatch.setattr(np, "unique", sorting)
+    monkeypatch.setattr(np, "searchsorted", in_order)
+
+    sent = list(quality._learned(2)(iter([learned])))
+    trigrams, [own] = messages(sent, "tri"), messages(sent, "text").values()
+    said = [quality._owners(x) for x in trigrams.values()]
+    pairs = messages([quality._ask_pairs(2)(own, messages(said, "text")[0])], "pair")
+    both = said + [quality._owners(x) for x in pairs.values()]
+    words = messages([quality._ask_words(2)(own, messages(both, "text")[0])], "word")
+    rows = [quality._model_rows(x) for kind in (trigrams, pairs, words) for x in kind.values()]
+    about = Counter()
+    for m in (m for t in rows for m in t.to_pylist()):
+        about[m["kind"], m["what"]] += m["n"]
+        about[m["kind"], m["what"], "total"] += m["origin"]
+    languages = {x: (about["lang", x, "total"], 0.5 * about["lang", x] / about["lang", x, "total"] / (about["lang", x] + 1)) for x in ("de", "en")}
+    seen = {kind: quality.discounts([about["stat", f"{kind}{k}"] for k in range(1, 5)]) for kind in ("pair", "tri")}
+
+    shared = SimpleNamespace(value=np.full(1 << 13, 255, dtype=np.uint8))
+    sent = list(quality._questions(2, shared)(iter([docs])))
+    model, [own] = messages(rows, "model"), messages(sent, "text").values()
+    answers = messages([quality._answer(x, model[shard]) for shard, x in messages(sent, "gram").items()], "text")[0]
+    types = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("perplexity", pa.float64())])
+    plain = {"languages": languages, "d2": seen["pair"], "d3": seen["tri"]}
+    got = quality._score(plain, shared, ["doc_id"], types)(own, answers).to_pylist()
+    perplexity = kneser_ney(list(zip(langs[::3], texts[::3])))
+    assert [r["doc_id"] for r in got] == list(range(120))
+    assert all(r["perplexity"] == pytest.approx(perplexity(langs[k], texts[k]), rel=1e-6) for k, r in enumerate(got))
+
+
+def test_packed_numbers():
+    for x in ([], [0], [255, 0, 256], [2**64 - 1, 1], range(0, 70_000, 7)):
+        x = np.array(x, dtype=np.uint64)
+        raw, width = scoring.pack(x), max(1, (int(x.max(initial=0)).bit_length() + 7) // 8)
+        assert raw == bytes([width]) + bytes((int(v) >> 8 * k) & 255 for k in range(width) for v in x)
+        assert scoring.unpack(raw).tolist() == x.tolist()
+
+
 def test_quality_of_many_and_unknown_languages(session):
     rows = [(100 * n + k, made_text(k, f"l{n}x"), f"l{n:02d}") for n in range(66) for k in range(8)]
     rows += [(9001, made_text(3, "l5x"), None), (9002, "zq zr zs zt zu zv", None), (9003, "zq zr zs zt zu zv", "new")]
