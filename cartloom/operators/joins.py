@@ -7,14 +7,17 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cartloom.operators.hops import linked
 from cartloom.operators.ordered import Running, ordered_windows
-from cartloom.runtime import plan_bytes, stored
+from cartloom.runtime import passing, plan_bytes, scratch_folder, shuffles_freed, stored
 
 
 FEW_KEYS = 100_000
 """Distinct keys up to which they are broadcast to shrink a table."""
 KEY_BITS = 1 << 28
 """Bits of a map of keys at most: 32 MB."""
+MAP_WORDS = 512
+"""Words of 64 bits in a bit map's row of 4 KB."""
 FREQUENT = 200_000
 """Lines of a table at most that are looked up without moving rows, the most frequent ones."""
 KEY_SEED = 20240607
@@ -81,12 +84,13 @@ def key_bits(keys_of: DataFrame, keys: Sequence[str], bits: int) -> DataFrame:
 def maybe_among(table: DataFrame, marks: DataFrame, keys: Sequence[str], bits: int) -> DataFrame:
     """The rows whose key's bit is set: all whose key was marked, and by chance some others."""
     place = F.pmod(F.xxhash64(F.lit(KEY_SEED), *keys), F.lit(bits)) + 1
-    bit = F.bitmap_bit_position(place)
-    byte = F.conv(F.hex(F.substring("_marks", F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    is_set = F.expr("_byte >> cast(_bit % 8 as int) & 1 = 1")
-    named = marks.select(F.col("bucket").alias("_bucket"), F.col("marks").alias("_marks"))
-    met = table.withColumn("_bucket", F.bitmap_bucket_number(place)).withColumn("_bit", bit).join(F.broadcast(named), "_bucket")
-    return met.withColumn("_byte", byte).filter(is_set).select(*table.columns)
+    # Words of 64 bits, of which a row reads one where the map lies; a binary would be copied for every row.
+    half = lambda at: F.conv(F.hex(F.substring("marks", at, F.lit(4))), 16, 10).cast("long")
+    words = F.transform(F.sequence(F.lit(0), F.lit(MAP_WORDS - 1)), lambda i: F.shiftleft(half(i * 8 + 1), 32).bitwiseOR(half(i * 8 + 5)))
+    is_set = F.expr("(get(_words, cast(_bit >> 6 as int)) >> cast((_bit & 63) ^ 56 as int)) & 1 = 1")
+    named = marks.select(F.col("bucket").alias("_bucket"), words.alias("_words"))
+    met = table.withColumn("_bucket", F.bitmap_bucket_number(place)).withColumn("_bit", F.bitmap_bit_position(place)).join(F.broadcast(named), "_bucket")
+    return met.filter(is_set).select(*table.columns)
 
 
 def shrink_to(table: DataFrame, df: DataFrame, keys: Sequence[str], few: int = FEW_KEYS, most_bits: int = KEY_BITS) -> DataFrame:
@@ -163,12 +167,28 @@ def nearest_events(rows: DataFrame, events: DataFrame, entity: tuple[str, str],
 def two_hop(pairs: DataFrame, edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """The given pairs (a, b) that are linked by some a -> c -> b, each once.
 
-    For each pair only the shorter of a's followees and b's followers, in packed
-    lists, is opened, and the other leg is a semi-join: a hub is not multiplied out.
+    For each pair only the shorter of a's followees and b's followers is opened,
+    in memory: a hub is not multiplied out, and opened lists are not moved.
     """
-    links = stored(edges.select(F.col(a).alias("_s"), F.col(b).alias("_d")).distinct())
-    asked = links.select(F.col("_s").alias(a), F.col("_d").alias(b)) if pairs is edges else pairs.select(a, b).distinct()
-    return _two_hop(asked, links, a, b).distinct()
+    spark = pairs.sparkSession
+    path = scratch_folder(spark)
+    with shuffles_freed(spark), passing(spark):
+        links = _links(edges, a, b)
+        asked = links if pairs is edges else _links(pairs, a, b)
+        found = stored(_two_hop(asked.withColumn("way", F.lit(0).cast("byte")), links).drop("way"), path=path)
+    kinds = {f.name: f.dataType for f in pairs.schema}
+    return found.select(F.col("_s").cast(kinds[a]).alias(a), F.col("_d").cast(kinds[b]).alias(b))
+
+
+def _links(table: DataFrame, a: str, b: str) -> DataFrame:
+    """The distinct links or pairs (_s, _d) of a table, stored; whole numbers are long."""
+    named = table.select(F.col(a).alias("_s"), F.col(b).alias("_d"))
+    ends = [F.col(c).cast("long") if _whole(named, c) else F.col(c) for c in named.columns]
+    return stored(named.select(*ends).dropna().distinct())
+
+
+def _whole(frame: DataFrame, column: str) -> bool:
+    return frame.schema[column].dataType.typeName() in ("byte", "short", "integer", "long")
 
 
 def _legs(links: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -188,49 +208,68 @@ def _neighbours(links: DataFrame, node: str, other: str) -> DataFrame:
     return stored(links.groupBy(F.col(node).alias("node"), part.alias("range")).agg(F.collect_list(place).alias("near")))
 
 
-def _two_hop(pairs: DataFrame, links: DataFrame, a: str, b: str) -> DataFrame:
-    """Those of the distinct pairs that are linked over some third, as often as they are; further columns of the pairs stay.
+def _nodes(table: DataFrame, column: str) -> tuple[DataFrame, int]:
+    """The nodes in a column, for ``_near``: FEW_KEYS of them as they are, more as a bit map of 16 bits a node, KEY_BITS at most."""
+    nodes = stored(table.select(column).distinct())
+    n = nodes.count()
+    bits = 0 if n <= FEW_KEYS else min(KEY_BITS, 1 << max(15, (16 * n).bit_length()))
+    return stored(key_bits(nodes, [column], bits)) if bits else nodes.toDF("_node"), bits
+
 
-    Followees and followers are lists of two bytes a neighbour, 64 KB at most, of
-    nodes between others only; the lists of both ends of a pair meet range by range.
+def _near(table: DataFrame, column: str, nodes: tuple[DataFrame, int]) -> DataFrame:
+    """Rows whose node is among the nodes, and by chance of a bit map some others."""
+    known, bits = nodes
+    return maybe_among(table, known, [column], bits) if bits else table.join(F.broadcast(known), table[column] == known["_node"], "left_semi")
+
+
+def _two_hop(pairs: DataFrame, links: DataFrame) -> DataFrame:
+    """Those of the distinct pairs (_s, _d, way) that are linked over some third.
+
+    Nodes that are no whole numbers are numbered first.
     """
-    names = pairs.columns
-    first, second = _legs(links)
-    after, before = _neighbours(first, "_s", "_d"), _neighbours(second, "_d", "_s")
-    # What opening a node's lists moves: some 40 bytes a row beside the places.
-    opening = F.sum(40 + 2 * F.size("near").cast("long"))
-    out_sizes = stored(after.groupBy(F.col("node").alias(a)).agg(opening.alias("_out")), after)
-    in_sizes = stored(before.groupBy(F.col("node").alias(b)).agg(opening.alias("_in")), before)
-    # Both ways of looking read the pairs; they are made once.
-    sized = stored(pairs.join(out_sizes, a).join(in_sizes, b))
-
-    def met(chosen: DataFrame, first: DataFrame, start: str, second: DataFrame, end: str) -> DataFrame:
-        opened = chosen.join(first.select(F.col("node").alias(start), F.col("range").alias("_range"), F.col("near").alias("_near")), start)
-        other = second.select(F.col("node").alias("_end"), F.col("range").alias("_there"), F.col("near").alias("_held"))
-        same = (opened[end] == other["_end"]) & (opened["_range"] == other["_there"]) & F.arrays_overlap("_near", "_held")
-        return opened.join(other, same, "left_semi").select(*names)
-
-    by_start = met(sized.filter(F.col("_out") <= F.col("_in")), after, a, before, b)
-    by_end = met(sized.filter(F.col("_out") > F.col("_in")), before, b, after, a)
-    return by_start.unionByName(by_end)
+    whole = all(_whole(frame, c) for frame in (pairs, links) for c in ("_s", "_d"))
+    if not whole:
+        nodes = stored(links.select(F.col("_s").alias("node")).union(links.select("_d")).distinct().withColumn("number", F.monotonically_increasing_id()))
+        numbered = lambda frame, c: frame.join(nodes, F.col(c) == F.col("node")).withColumn(c, F.col("number")).drop("node", "number")
+        named = lambda frame, c: frame.join(nodes, F.col(c) == F.col("number")).withColumn(c, F.col("node")).drop("node", "number")
+        pairs, links = (stored(numbered(numbered(frame, "_s"), "_d")) for frame in (pairs, links))
+    first, second = (stored(leg) for leg in _legs(links.select("_s", "_d")))
+    asked = _near(_near(pairs, "_s", _nodes(first, "_s")), "_d", _nodes(second, "_d"))
+    found = linked(first.select(F.col("_s").alias("start"), F.col("_d").alias("node")), second.select(F.col("_s").alias("node"), F.col("_d").alias("end")),
+                   asked.select(F.col("_s").alias("start"), F.col("_d").alias("end"), "way"))
+    over = found.select(F.col("start").alias("_s"), F.col("end").alias("_d"), "way")
+    return over if whole else named(named(over, "_s"), "_d")
+
+
+def _reversed(pairs: DataFrame, links: DataFrame) -> DataFrame:
+    """The pairs (_s, _d) whose reverse is a link; most others, of whole numbers, are kept out of the shuffle."""
+    some, others = pairs, links
+    if all(_whole(frame, c) for frame in (pairs, links) for c in ("_s", "_d")):
+        known = {c: _nodes(links, c) for c in ("_s", "_d")}
+        asked = known if pairs is links else {c: _nodes(pairs, c) for c in ("_s", "_d")}
+        for mine, theirs in (("_s", "_d"), ("_d", "_s")):
+            some, others = _near(some, mine, known[theirs]), _near(others, mine, asked[theirs])
+    return some.join(others.select(F.col("_d").alias("_s"), F.col("_s").alias("_d")), ["_s", "_d"], "left_semi")
 
 
 def follow_flags(rows: DataFrame, edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """Per row (a, b): follows back, two hops forward, two hops backward."""
-    links = stored(edges.select(F.col(a).alias("_s"), F.col(b).alias("_d")).distinct())
-    pairs = stored(rows.select(a, b).distinct())
-    # Both directions in one pass over the links.
-    swapped = pairs.select(F.col(b).alias(a), F.col(a).alias(b))
-    ways = pairs.withColumn("_back", F.lit(False)).unionByName(swapped.withColumn("_back", F.lit(True)))
-    over = _two_hop(ways, links, a, b)
-    names = ("follows_back", "two_hop", "two_hop_back")
-    mark = lambda frame, start, end, which: frame.select(
-        F.col(start).alias(a), F.col(end).alias(b), *[F.lit(int(n == which)).alias(n) for n in names])
-    marks = (
-        mark(links, "_d", "_s", names[0])
-        .unionByName(over.select(
-            F.when(F.col("_back"), F.col(b)).otherwise(F.col(a)).alias(a), F.when(F.col("_back"), F.col(a)).otherwise(F.col(b)).alias(b),
-            F.lit(0).alias(names[0]), (~F.col("_back")).cast("int").alias(names[1]), F.col("_back").cast("int").alias(names[2])))
-    )
-    flags = marks.groupBy(a, b).agg(*[F.max(n).alias(n) for n in names])
-    return rows.join(flags, [a, b], "left").fillna(0, list(names))
+    """Per row (a, b): follows back, two hops forward, two hops backward; ``edges`` may be the rows themselves."""
+    spark, names = rows.sparkSession, ("follows_back", "two_hop", "two_hop_back")
+    path = scratch_folder(spark)
+    with shuffles_freed(spark), passing(spark):
+        links = _links(edges, a, b)
+        pairs = links if edges is rows else _links(rows, a, b)
+        # Both directions in one pass over the links.
+        ways = (pairs.withColumn("way", F.lit(0).cast("byte"))
+                .unionByName(pairs.select(F.col("_d").alias("_s"), F.col("_s").alias("_d"), F.lit(1).cast("byte").alias("way"))))
+        back = F.col("way") == 1
+        over = _two_hop(ways, links).select(
+            F.when(back, F.col("_d")).otherwise(F.col("_s")).alias("_s"), F.when(back, F.col("_s")).otherwise(F.col("_d")).alias("_d"),
+            F.when(back, 4).otherwise(2).alias("bit"))
+        marks = _reversed(pairs, links).withColumn("bit", F.lit(1)).unionByName(over)
+        flags = stored(marks.groupBy("_s", "_d").agg(F.bit_or("bit").alias("_flags")), path=path)
+    kinds = {f.name: f.dataType for f in rows.schema}
+    named = flags.select(F.col("_s").cast(kinds[a]).alias(a), F.col("_d").cast(kinds[b]).alias(b), "_flags")
+    joined = rows.join(named, [a, b], "left")
+    seen = F.coalesce("_flags", F.lit(0))
+    return joined.withColumns({n: F.shiftright(seen, i).bitwiseAND(1) for i, n in enumerate(names)}).drop("_flags")

@@ -7,6 +7,7 @@ from cartloom.operators import history as H
 from cartloom.operators import joins as J
 from cartloom.operators import ranking as R
 from cartloom.plans.registry import LINE_ORDER, query, rounded
+from cartloom.runtime import shuffles_freed, stored
 
 KEY = ["basket", "line", "item"]
 TRIP = ["posted", "basket", *LINE_ORDER]
@@ -176,8 +177,9 @@ WITH $LOG, e AS (SELECT DISTINCT reader AS a, author AS b FROM log),
 SELECT l.basket, l.line, l.item, CAST(r.a IS NOT NULL AS INT) AS follows_back, CAST(f.a IS NOT NULL AS INT) AS two_hop, CAST(k.a IS NOT NULL AS INT) AS two_hop_back
 FROM log l LEFT JOIN e r ON r.a = l.author AND r.b = l.reader LEFT JOIN h f ON f.a = l.reader AND f.b = l.author LEFT JOIN h k ON k.a = l.author AND k.b = l.reader""")
 def _(t):
-    rows = t.log.select(*KEY, F.col("reader").alias("a"), F.col("author").alias("b"))
-    return J.follow_flags(rows, rows.select("a", "b").distinct()).select(*KEY, "follows_back", "two_hop", "two_hop_back")
+    with shuffles_freed(t.spark):
+        rows = stored(t.log.select(*KEY, F.col("reader").alias("a"), F.col("author").alias("b")))
+    return J.follow_flags(rows, rows).select(*KEY, "follows_back", "two_hop", "two_hop_back")
 
 
 @query("win19_late_decline", """

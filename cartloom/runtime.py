@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -90,8 +91,37 @@ def drop_scratch(spark: SparkSession) -> None:
     files are kept until then, as lazy results read them.
     """
     while _scratch:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_scratch.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(spark, _scratch.pop())
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def passing(spark: SparkSession):
+    """Scratch tables written within are deleted at its end; a folder named before is kept."""
+    kept = len(_scratch)
+    try:
+        yield
+    finally:
+        while len(_scratch) > kept:
+            _delete(spark, _scratch.pop())
+
+
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_freed(spark: SparkSession):
+    """What a job has shuffled is deleted at its end, and not when the driver happens to collect its garbage."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -106,17 +136,17 @@ def checkpoint_folder(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(shared_folder(spark))
 
 
-def stored(table: DataFrame, source: DataFrame | None = None) -> DataFrame:
+def stored(table: DataFrame, source: DataFrame | None = None, path: str | None = None) -> DataFrame:
     """The table written to the shared folder and read back.
 
     A statistics table that later joins big tables is worth storing: its size
     is then known when the join is planned, so a small one is broadcast without
     shuffling the big side, and it is not computed again for every use. Left
-    lazy when the ``source`` it was computed from is small.
+    lazy when the ``source`` it was computed from is small. ``path`` is a scratch folder named before.
     """
     if source is not None and is_plain(source):
         return table
-    path = scratch_folder(table.sparkSession)
+    path = path or scratch_folder(table.sparkSession)
     table.write.parquet(path)
     return table.sparkSession.read.schema(table.schema).parquet(path)
 
