@@ -147,9 +147,10 @@ def _meet():
         node = keys % n
         mixed, eight = spread(node), np.diff(their_low) * 8
         # Eight marks a neighbour, side by side for a list, tell most nodes that are not in it.
-        owner = their_keys // n
         marks = np.zeros(8 * len(their_keys), bool)
-        marks[their_low[owner] * 8 + ((spread(their_keys % n) * eight[owner]) >> 32)] = True
+        for i in range(0, len(their_keys), PROBES):
+            owner, theirs = np.divmod(their_keys[i : i + PROBES], n)
+            marks[their_low[owner] * 8 + ((spread(theirs) * eight[owner]) >> 32)] = True
         size = (low[1:] - low[:-1])[opened[order]]
         total = np.cumsum(size)
         begin = 0
@@ -167,11 +168,15 @@ def _meet():
             begin = end
 
     def meet(table):
-        sides = {}
-        for kind, n, x, y in zip(*[table.column(c).to_pylist() for c in ("kind", "n", "x", "y")]):
-            first = np.frombuffer(x, np.int64, 1, len(x) - 8)
-            sides.setdefault(kind, []).append((np.cumsum(unpack(x[:-8], n)) + first, unpack(y, n)))
-        joined = {k: [np.concatenate(c) for c in zip(*v)] for k, v in sides.items()}
+        kinds, sizes = (table.column(c).to_numpy() for c in ("kind", "n"))
+        joined, at = {}, {}
+        for k in np.unique(kinds).tolist():
+            joined[k], at[k] = [np.empty(int(sizes[kinds == k].sum()), np.int64) for _ in range(2)], 0
+        for i, (k, n) in enumerate(zip(kinds.tolist(), sizes.tolist())):
+            x, (p, q) = table.column("x")[i].as_py(), joined[k]
+            p[at[k] : at[k] + n] = np.cumsum(unpack(x[:-8], n)) + np.frombuffer(x, np.int64, 1, len(x) - 8)
+            q[at[k] : at[k] + n] = unpack(table.column("y")[i].as_py(), n)
+            at[k] += n
         none = pa.table({"start": pa.array([], pa.int64()), "end": pa.array([], pa.int64()), "way": pa.array([], pa.int8())})
         asked = [k for k in joined if k >= ASKED]
         if FIRST not in joined or SECOND not in joined or not asked:
@@ -185,7 +190,12 @@ def _meet():
             return none
         starts, ends = distinct(a), distinct(b)
         after = distinct(np.searchsorted(starts, a) * n + out)
-        before = distinct(np.searchsorted(ends, b) * n + np.searchsorted(between, into))
+        del a, out
+        b = np.searchsorted(ends, b) * n
+        b += np.searchsorted(between, into)
+        del into
+        before = distinct(b)
+        del b
         after_low = np.searchsorted(after, np.arange(len(starts) + 1) * n)
         before_low = np.searchsorted(before, np.arange(len(ends) + 1) * n)
         results = [none]
